@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields"]
+MODULES = ["fields", "vortices"]
 
 
 def load_all() -> None:
