@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields", "vortices"]
+MODULES = ["fields", "vortices", "tracks"]
 
 
 def load_all() -> None:

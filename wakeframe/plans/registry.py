@@ -2,7 +2,9 @@
 
 A spec such as ``"run:i frame:i v:6 name:s"`` fixes the output columns: ``i``
 casts to BIGINT, ``s`` to STRING, ``b`` to BOOLEAN and a digit rounds a DOUBLE
-to that many places. It is applied to both sides, so they share one schema.
+to that many places. It is applied to both sides, so they share one schema. A
+nudge far below the last place goes on before rounding, so that exact halves (a
+mean of prices, say) round one way in spite of the last bit of a sum.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ def _parse(spec: str) -> list[tuple[str, str]]:
     return [tuple(item.split(":")) for item in spec.split()]
 
 
+def _nudge(kind: str) -> str:
+    return f"1.7e-{int(kind) + 4}"
+
+
 def shape(df: DataFrame, spec: str) -> DataFrame:
     cols = []
     for name, kind in _parse(spec):
         c = F.col(name)
         cols.append(
-            (c.cast(_SPARK[kind]) if kind in _SPARK else F.round(c.cast("double"), int(kind)) + F.lit(0.0)).alias(name)
+            (c.cast(_SPARK[kind]) if kind in _SPARK else F.round(c.cast("double") + float(_nudge(kind)), int(kind)) + F.lit(0.0)).alias(name)
         )
     return df.select(*cols)
 
@@ -52,7 +58,7 @@ def shape_sql(sql: str, spec: str) -> str:
     cols = [
         f"CAST({name} AS {_SQL[kind]}) AS {name}"
         if kind in _SQL
-        else f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}"
+        else f"round(CAST({name} AS DOUBLE) + {_nudge(kind)}, {kind}) + 0.0 AS {name}"
         for name, kind in _parse(spec)
     ]
     return f"SELECT {', '.join(cols)} FROM ({_expand_hypot(sql.strip())}) AS q"

@@ -41,6 +41,12 @@ def idiv(c, k: int):
     return F.floor(F.col(c) / k).cast("int")
 
 
+def micros(ts: str):
+    """Microseconds since the first day of the events, whatever the session's time zone."""
+    origin = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    return F.unix_micros(F.col(ts).cast("timestamp")) - origin
+
+
 def frames(spark, sf_dir) -> DataFrame:
     """(run, frame, label, v ARRAY<DOUBLE>)."""
     return table(spark, sf_dir, "embeddings").select(
@@ -89,7 +95,7 @@ def tracks(spark, sf_dir) -> DataFrame:
     """One row per detection of a track; ``event_id`` breaks ties inside a frame."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("double")
-    minute = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 60000000)
+    minute = F.floor(micros("ts") / 60000000)
     area = (k + 1).alias("area")
     return e.select(
         F.floor(minute / 10080).cast("int").alias("run"),
