@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from wakeframe.functions.geometry import convex_distance, edges, signed_distance, winding
 from wakeframe.functions.grid import Grid, let
-from wakeframe.session import literal_table
 
 # --- stencils -------------------------------------------------------------------------
 
@@ -523,6 +522,3 @@ def sensor_name(sx: Column, sy: Column, idx: Column) -> Column:
         .otherwise(F.concat(F.lit("S"), idx.cast("string")))
     )
 
-
-def weight_table(spark, weights: list[float]) -> DataFrame:
-    return literal_table(spark, [(k - len(weights) // 2, w) for k, w in enumerate(weights)], "k int, w double")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields", "vortices", "tracks"]
+MODULES = ["fields", "vortices", "tracks", "filters", "series"]
 
 
 def load_all() -> None:
