@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields", "vortices", "tracks", "filters", "series"]
+MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity"]
 
 
 def load_all() -> None:
