@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity"]
+MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity", "contours"]
 
 
 def load_all() -> None:
