@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity", "contours"]
+MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity", "contours", "modal"]
 
 
 def load_all() -> None:

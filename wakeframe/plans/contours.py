@@ -295,7 +295,7 @@ CORES = f"""cw AS (SELECT run, frame, x, y, cell, {inner(nb('u', 0, -1) + ' - u
     sql(
         "uv",
         """SELECT * FROM cor c WHERE NOT EXISTS (SELECT 1 FROM cor o WHERE o.run = c.run AND o.frame = c.frame AND hypot(o.x - c.x, o.y - c.y) < o.r + c.r + 1 AND o.w * c.w > 0
-        AND abs(o.rough) > abs(c.rough))""",
+        AND (abs(o.rough) > abs(c.rough) OR (abs(o.rough) = abs(c.rough) AND (o.x, o.y) < (c.x, c.y))))""",
         CORES,
     ),
 )
