@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,9 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     if len(rows) > BROADCAST_ROW_LIMIT:
         raise ValueError("literal tables are meant for small dimensions")
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path beside the checkpoints, shared by the cluster's machines."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/wakeframe-{name}-{uuid.uuid4().hex}"
