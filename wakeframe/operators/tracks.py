@@ -69,34 +69,46 @@ def _pieces(df: DataFrame, max_gap: int) -> DataFrame:
     return df.join(f.drop("_new"), ["run", "frame"])
 
 
+class Linker:
+    """Live tracks of one run, fed frame by frame."""
+
+    def __init__(self, max_distance: float, max_gap: int, state=None):
+        self.max_distance, self.max_gap = max_distance, max_gap
+        ids, frames, xs, ys, self.fresh = state or ([], [], [], [], 0)
+        self.ids, self.frames = np.asarray(ids, np.int64), np.asarray(frames, np.int64)
+        self.xy = np.column_stack([xs, ys]).astype(float).reshape(-1, 2)
+
+    def state(self):
+        return (self.ids.tolist(), self.frames.tolist(), self.xy[:, 0].tolist(), self.xy[:, 1].tolist(), int(self.fresh))
+
+    def step(self, frame: int, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Track ids and link distances (NaN for a new track) of one frame's detections."""
+        alive = frame - self.frames <= self.max_gap
+        self.ids, self.frames, self.xy = self.ids[alive], self.frames[alive], self.xy[alive]
+        ids, dist = np.full(len(xy), -1, np.int64), np.full(len(xy), np.nan)
+        if len(self.ids):
+            d = np.hypot(*(self.xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
+            near = d.argmin(axis=1)
+            best = d[np.arange(len(near)), near]
+            for k in np.lexsort((self.ids, best)):
+                if best[k] < self.max_distance and ids[near[k]] < 0:
+                    ids[near[k]], dist[near[k]] = self.ids[k], best[k]
+        new = ids < 0
+        ids[new] = self.fresh + np.arange(new.sum())
+        self.fresh += int(new.sum())
+        rest = ~np.isin(self.ids, ids)
+        self.ids = np.append(self.ids[rest], ids)
+        self.frames = np.append(self.frames[rest], np.full(len(xy), frame))
+        self.xy = np.vstack([self.xy[rest], xy])
+        return ids, dist
+
+
 def _link(pdf: pd.DataFrame, max_distance: float, max_gap: int) -> pd.DataFrame:
-    """Greedy frame-to-frame assignment inside one piece; rows come ordered by frame and region."""
     pdf = pdf.sort_values(["frame", "region"], kind="stable").reset_index(drop=True)
-    ids, dist = np.empty(len(pdf), np.int64), np.full(len(pdf), np.nan)
-    xy = pdf[["core_x", "core_y"]].to_numpy(float)
-    live_id, live_xy, live_frame = np.empty(0, np.int64), np.empty((0, 2)), np.empty(0, np.int64)
-    fresh = 0
+    linker, xy = Linker(max_distance, max_gap), pdf[["core_x", "core_y"]].to_numpy(float)
+    ids, dist = np.empty(len(pdf), np.int64), np.empty(len(pdf))
     for frame, rows in pdf.groupby("frame", sort=True).indices.items():
-        ok = frame - live_frame <= max_gap
-        live_id, live_xy, live_frame = live_id[ok], live_xy[ok], live_frame[ok]
-        own = np.full(len(rows), -1)
-        if len(live_id):
-            d = np.hypot(*(live_xy[:, None, :] - xy[rows][None, :, :]).transpose(2, 0, 1))
-            near = d.argmin(axis=1)
-            best = d[np.arange(len(live_id)), near]
-            for k in np.lexsort((live_id, best)):
-                if best[k] < max_distance and own[near[k]] < 0:
-                    own[near[k]] = k
-        ids[rows] = np.where(own >= 0, live_id[own] if len(live_id) else 0, -1)
-        if len(live_id):
-            dist[rows] = np.where(own >= 0, np.hypot(*(live_xy[own] - xy[rows]).T), np.nan)
-        new = own < 0
-        ids[rows[new]] = fresh + np.arange(new.sum())
-        fresh += int(new.sum())
-        keep = ~np.isin(live_id, ids[rows])
-        live_id = np.append(live_id[keep], ids[rows])
-        live_xy = np.vstack([live_xy[keep], xy[rows]])
-        live_frame = np.append(live_frame[keep], np.full(len(rows), frame))
+        ids[rows], dist[rows] = linker.step(int(frame), xy[rows])
     out = pdf[["run", "_piece", "frame", "region", "core_x", "core_y"]].copy()
     out["local_id"], out["track_distance"] = ids, dist
     return out

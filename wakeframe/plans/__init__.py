@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity", "contours", "modal", "learn", "sources"]
+MODULES = ["fields", "vortices", "tracks", "filters", "series", "similarity", "contours", "modal", "learn", "sources", "streams"]
 
 
 def load_all() -> None:

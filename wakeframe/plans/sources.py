@@ -335,10 +335,15 @@ def s29(spark, sf):
 # --- sinks ------------------------------------------------------------------------------
 
 
-@query("K01_wide_map_lines", "run:i cell:i frames:i first:s", sql("cells", "SELECT run, cell, count(*) AS frames, any_value(frame) IS NOT NULL AS ok, '' AS first FROM cells GROUP BY run, cell"))
+@query(
+    "K01_wide_map_lines",
+    "run:i cell:i frames:i first:8 last:8",
+    sql("cells", "SELECT run, cell, count(*) AS frames, arg_min(v, frame) AS first, arg_max(v, frame) AS last FROM cells GROUP BY run, cell"),
+)
 def k01(spark, sf):
     d = sinks.map_lines(cells(spark, sf).select("run", "frame", "cell", "v"))
-    return d.select("run", "cell", F.size(F.split("value", ",")).alias("frames"), F.lit("").alias("first"))
+    parts = F.split("value", ",")
+    return d.select("run", "cell", F.size(parts).alias("frames"), parts[0].alias("first"), F.element_at(parts, -1).alias("last"))
 
 
 @query(
@@ -352,10 +357,9 @@ def k01(spark, sf):
 def k02(spark, sf):
     """Snapshot ``frame`` of a run has 20 + frame samples; one padded matrix per run."""
     d = frames(spark, sf).select("run", "frame", F.posexplode(F.slice("v", F.lit(1), F.least(F.lit(64), 20 + F.col("frame")))).alias("pos", "p"))
-    d = d.withColumn("key", F.col("run") * 50 + F.col("frame"))
-    lines = sinks.padded_matrix(d, "key", 64)
-    m = lines.select(F.col("pos").alias("line"), F.posexplode(scans.doubles(F.col("value"))).alias("k", "p"))
-    return m.select(F.floor(F.col("k") / 50).alias("run"), "line", (F.col("k") % 50).alias("frame"), F.col("p").isNotNull().alias("present"), "p")
+    lines = sinks.padded_matrix(d, ["run"], "frame", 64)
+    m = lines.select("run", F.col("pos").alias("line"), F.posexplode(scans.doubles(F.col("value"))).alias("frame", "p"))
+    return m.withColumn("present", F.col("p").isNotNull())
 
 
 @query("K03_track_csv", "track_id:i frame:i time:4 event_id:i core_x:6 visible:i", sql("trk", "SELECT track_id, frame, frame * 0.02 AS time, event_id, core_x, visible::INT AS visible FROM trk"))

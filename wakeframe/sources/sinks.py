@@ -25,19 +25,20 @@ def write_map(cells: DataFrame, path: str, keys: Sequence[str] = ("run",)) -> No
     write_lines(map_lines(cells, keys), path, keys, ["cell"])
 
 
-def padded_matrix(series: DataFrame, key: str, max_len: int | None = None) -> DataFrame:
-    """(pos, value): ragged series as columns, missing samples as nan, columns in key order.
+def padded_matrix(series: DataFrame, blocks: Sequence[str], key: str, max_len: int | None = None) -> DataFrame:
+    """(blocks, pos, value): ragged series as columns, missing samples as nan, columns in key order.
 
-    The length is one number; each output line holds one entry per series, so this
-    format suits the snapshot counts it was made for. Keep long tables as parquet.
+    A line holds one entry per series of its block; ``blocks`` (a run, or a slice of
+    the series numbers) keep lines and groups bounded, one matrix file per block.
     """
     if max_len is None:
         max_len = series.agg((F.max("pos") + 1).alias("n")).first()["n"] or 0
-    ids = series.select(key).distinct()
+    blocks = list(blocks)
+    ids = series.select(*blocks, key).distinct()
     spine = ids.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(max_len - 1))))
-    full = spine.join(series.select(key, "pos", "p"), [key, "pos"], "left")
+    full = spine.join(series.select(*blocks, key, "pos", "p"), [*blocks, key, "pos"], "left")
     row = F.array_sort(F.collect_list(F.struct(F.col(key), F.col("p"))))
-    return full.groupBy("pos").agg(F.array_join(F.transform(row, lambda s: s["p"].cast("string")), ",", "nan").alias("value"))
+    return full.groupBy(*blocks, "pos").agg(F.array_join(F.transform(row, lambda s: s["p"].cast("string")), ",", "nan").alias("value"))
 
 
 def write_tracks(df: DataFrame, path: str, dt: float | None = None) -> None:
