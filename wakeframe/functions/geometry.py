@@ -108,45 +108,3 @@ def perimeter(poly: Column) -> Column:
 def shoelace(poly: Column) -> Column:
     """Signed area, positive for counter-clockwise vertices (y up)."""
     return _sum(edges(poly), lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]) * 0.5
-
-
-def winding(es: Column, px: Column, py: Column) -> Column:
-    """Winding number of a point against edge array ``es``; non-zero means inside."""
-
-    def step(acc, e):
-        side = orient(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
-        up = (e["y1"] <= py) & (e["y2"] > py) & (side > 0)
-        down = (e["y1"] > py) & (e["y2"] <= py) & (side < 0)
-        return acc + F.when(up, F.lit(1)).when(down, F.lit(-1)).otherwise(F.lit(0))
-
-    return F.aggregate(es, F.lit(0), step)
-
-
-def line_offset(e: Column, px: Column, py: Column) -> Column:
-    """Signed distance of a point to the edge's line; the normal is (-ty, tx)."""
-    length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
-    return orient(e["x1"], e["y1"], e["x2"], e["y2"], px, py) / length
-
-
-def convex_distance(es: Column, px: Column, py: Column) -> Column:
-    """Signed distance to a convex polygon: the largest edge-line offset."""
-    return F.array_max(F.transform(es, lambda e: line_offset(e, px, py)))
-
-
-def signed_distance(es: Column, px: Column, py: Column, along_edge_sum: bool = False) -> Column:
-    """Distance to the nearest edge, negative inside.
-
-    ``along_edge_sum`` adds the overshoot past an edge's ends to the normal
-    distance instead of taking the Euclidean distance.
-    """
-
-    def one(e):
-        if not along_edge_sum:
-            return point_segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])
-        length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
-        tx, ty = (e["x2"] - e["x1"]) / length, (e["y2"] - e["y1"]) / length
-        start = (px - e["x1"]) * tx + (py - e["y1"]) * ty
-        return F.abs(line_offset(e, px, py)) + F.greatest(F.lit(0.0), -start) + F.greatest(F.lit(0.0), start - length)
-
-    nearest = F.array_min(F.transform(es, one))
-    return F.when(winding(es, px, py) == 0, nearest).otherwise(-nearest)

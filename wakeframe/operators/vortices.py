@@ -13,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeframe.functions import geometry as geo
-from wakeframe.functions.grid import Grid, let
+from wakeframe.functions.grid import Grid, let, shift
 from wakeframe.operators import fields
 
 FRAME = ["run", "frame"]
@@ -50,30 +49,18 @@ def component_ids(masks: np.ndarray) -> np.ndarray:
 
 def label_components(df: DataFrame, grid: Grid, mask: str = "mask", out: str = "region") -> DataFrame:
     """Add the component id of every cell. Map-only: a frame is one row of an Arrow batch."""
-
-    @F.pandas_udf("array<int>")
-    def label(col: pd.Series) -> pd.Series:
-        if not len(col):
-            return pd.Series([], dtype=object)
-        stack = np.stack(col.to_numpy()).astype(bool).reshape(len(col), grid.nx, grid.ny)
-        ids = component_ids(stack).reshape(len(col), -1).astype("int32")
-        return pd.Series(list(ids))
-
-    return df.withColumn(out, label(F.col(mask)))
+    return df.withColumn(out, grid.apply(lambda m: component_ids(m > 0), mask, out="int"))
 
 
 def boundary_mask(df: DataFrame, grid: Grid, region: str = "region", out: str = "edge") -> DataFrame:
     """Region cells with a 4-neighbour outside the region; the grid border counts as outside."""
 
-    def cell(x, y, a):
-        me = a(x, y)
-        same = lambda ok, i, j: ok & (a(i, j) == me)
-        whole = (
-            same(x > 0, x - 1, y) & same(x < grid.nx - 1, x + 1, y) & same(y > 0, x, y - 1) & same(y < grid.ny - 1, x, y + 1)
-        )
-        return (me >= 0) & ~F.coalesce(whole, F.lit(False))
+    def edge(a):
+        wide = np.pad(a, ((0, 0), (1, 1), (1, 1)), constant_values=-1)
+        same = [shift(wide, dx, dy) == a for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+        return (a >= 0) & ~np.logical_and.reduce(same)
 
-    return df.withColumn(out, grid.map(cell, F.col(region)))
+    return df.withColumn(out, grid.apply(edge, region, out="boolean"))
 
 
 def regions(df: DataFrame, grid: Grid, value: str, mask: str = "mask") -> DataFrame:
@@ -160,16 +147,23 @@ def wall_intersections(df: DataFrame, wall_y: float | None, tol: float, name: st
 
 def boundary_segments(points: Column) -> Column:
     """Unit links between 8-neighbouring boundary points, each once from the smaller (x, y)."""
-    steps = [(0, 1), (1, -1), (1, 0), (1, 1)]
 
-    def links(p):
-        ends = F.array(*[F.struct((p["y"] + dy).alias("y"), (p["x"] + dx).alias("x")) for dx, dy in steps])
-        return F.transform(
-            F.filter(ends, lambda q: F.array_contains(points, q)),
-            lambda q: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1")),
-        )
+    @F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            known = set(zip(x.tolist(), y.tolist()))
+            out.append(
+                [
+                    {"x0": a, "y0": b, "x1": a + dx, "y1": b + dy}
+                    for a, b in zip(x.tolist(), y.tolist())
+                    for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1))
+                    if (a + dx, b + dy) in known
+                ]
+            )
+        return pd.Series(out, dtype=object)
 
-    return F.flatten(F.transform(points, links))
+    return run(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 
 
 def body_distance(df: DataFrame, contours: DataFrame, minimum: float = 0.0) -> DataFrame:
@@ -182,40 +176,78 @@ def body_distance(df: DataFrame, contours: DataFrame, minimum: float = 0.0) -> D
     return out.filter(F.col("body_distance") >= minimum) if minimum > 0 else out
 
 
+def _links(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Boundary links of one region as rows (x0, y0, x1, y1)."""
+    known = {p: i for i, p in enumerate(zip(x.tolist(), y.tolist()))}
+    rows = [(a, b, a + dx, b + dy) for a, b in known for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1)) if (a + dx, b + dy) in known]
+    return np.asarray(rows, float).reshape(-1, 4)
+
+
+def _point_segment(px, py, ax, ay, bx, by):
+    vx, vy = bx - ax, by - ay
+    size = vx * vx + vy * vy
+    t = np.clip(((px - ax) * vx + (py - ay) * vy) / np.where(size == 0, 1.0, size), 0, 1)
+    return np.hypot(px - ax - t * vx, py - ay - t * vy)
+
+
+def _blocked(ax, ay, bx, by, seg: np.ndarray, eps: float) -> np.ndarray:
+    """For each segment: does it cross, touch or come within ``eps`` of the ray a-b?"""
+    cx, cy, dx, dy = seg.T
+    orient = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    between = lambda px, py, qx, qy, rx, ry: (
+        (np.minimum(px, qx) - 1e-9 <= rx) & (rx <= np.maximum(px, qx) + 1e-9) & (np.minimum(py, qy) - 1e-9 <= ry) & (ry <= np.maximum(py, qy) + 1e-9)
+    )
+    oc, od = orient(ax, ay, bx, by, cx, cy), orient(ax, ay, bx, by, dx, dy)
+    oa, ob = orient(cx, cy, dx, dy, ax, ay), orient(cx, cy, dx, dy, bx, by)
+    hit = (oc * od < 0) & (oa * ob < 0)
+    hit |= (np.abs(oc) <= 1e-9) & between(ax, ay, bx, by, cx, cy)
+    hit |= (np.abs(od) <= 1e-9) & between(ax, ay, bx, by, dx, dy)
+    hit |= (np.abs(oa) <= 1e-9) & between(cx, cy, dx, dy, ax, ay)
+    hit |= (np.abs(ob) <= 1e-9) & between(cx, cy, dx, dy, bx, by)
+    if eps > 0:
+        gaps = [
+            _point_segment(ax, ay, cx, cy, dx, dy), _point_segment(bx, by, cx, cy, dx, dy),
+            _point_segment(cx, cy, ax, ay, bx, by), _point_segment(dx, dy, ax, ay, bx, by),
+        ]
+        hit |= np.minimum.reduce(gaps) <= eps
+    return hit
+
+
 def occlusion(df: DataFrame, sensors: list[tuple[int, float, float]], eps: float) -> DataFrame:
     """``visible``: no nearer region of the frame crosses the ray from at least one sensor.
 
-    The regions of a frame meet as one array (bounded by the grid), and the search
-    stops at the first region that hides the core.
+    The regions of a frame meet as one row (bounded by the grid); each ray is tested
+    against all links of the nearer regions at once.
     """
     if not sensors:
         return df.withColumn("visible", F.lit(True))
-    slim = df.select(*FRAME, "region", "core_x", "core_y", boundary_segments(F.col("boundary")).alias("segs"))
-    packed = slim.groupBy(*FRAME).agg(F.collect_list(F.struct("region", "core_x", "core_y", "segs")).alias("dets"))
-
-    def seen(det, s, dets):
-        reach = lambda r: F.hypot(r["core_x"] - s["x"], r["core_y"] - s["y"])
-
-        def hides(o):
-            nearer = (reach(o) < reach(det)) | ((reach(o) == reach(det)) & (o["region"] < det["region"]))
-            hit = F.exists(
-                o["segs"],
-                lambda g: geo.segments_cross_or_close(
-                    s["x"], s["y"], det["core_x"], det["core_y"], *[g[c].cast("double") for c in ("x0", "y0", "x1", "y1")], eps
-                ),
-            )
-            return nearer & hit
-
-        return ~F.exists(dets, hides)
-
-    flags = F.transform(
-        "dets",
-        lambda d: F.struct(
-            d["region"].alias("region"),
-            F.exists(sensor_array(sensors), lambda s: seen(d, s, F.col("dets"))).alias("visible"),
-        ),
+    item = F.struct(
+        "region", "core_x", "core_y", F.transform("boundary", lambda p: p["x"]).alias("bx"), F.transform("boundary", lambda p: p["y"]).alias("by")
     )
-    return df.join(packed.select(*FRAME, F.inline(flags)), [*FRAME, "region"])
+    packed = df.select(*FRAME, item.alias("d")).groupBy(*FRAME).agg(F.array_sort(F.collect_list("d")).alias("d"))
+    part = lambda name: F.transform("d", lambda r: r[name])
+
+    @F.pandas_udf("array<boolean>")
+    def seen(xs: pd.Series, ys: pd.Series, bxs: pd.Series, bys: pd.Series) -> pd.Series:
+        out = []
+        for x, y, bx, by in zip(xs, ys, bxs, bys):
+            links = [_links(np.asarray(p), np.asarray(q)) for p, q in zip(bx, by)]
+            flags = np.zeros(len(x), bool)
+            for _, sx, sy in sensors:
+                d = np.hypot(x - sx, y - sy)
+                order = np.lexsort((np.arange(len(d)), d))
+                for rank, i in enumerate(order):
+                    if flags[i]:
+                        continue
+                    nearer = [links[j] for j in order[:rank]]
+                    wall = np.concatenate(nearer) if nearer else np.empty((0, 4))
+                    flags[i] = not (len(wall) and _blocked(sx, sy, x[i], y[i], wall, eps).any())
+            out.append(flags)
+        return pd.Series(out, dtype=object)
+
+    flags = packed.select(*FRAME, part("region").alias("region"), seen(part("core_x"), part("core_y"), part("bx"), part("by")).alias("visible"))
+    rows = flags.select(*FRAME, F.inline(F.arrays_zip("region", "visible")))
+    return df.join(rows, [*FRAME, "region"])
 
 
 def detect(

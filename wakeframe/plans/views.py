@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wakeframe.functions.grid import Grid
 from wakeframe.operators.ordering import index_rows
+from wakeframe.session import spread
 
 GRID = Grid(8, 8)
 RUN = 50
@@ -49,7 +50,7 @@ def micros(ts: str):
 
 def frames(spark, sf_dir) -> DataFrame:
     """(run, frame, label, v ARRAY<DOUBLE>)."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         idiv("vec_id", RUN).alias("run"),
         (F.col("vec_id") % RUN).cast("int").alias("frame"),
         "label",
@@ -59,7 +60,7 @@ def frames(spark, sf_dir) -> DataFrame:
 
 def velocity(spark, sf_dir) -> DataFrame:
     """(run, frame, u ARRAY<DOUBLE>, w ARRAY<DOUBLE>)."""
-    e = table(spark, sf_dir, "embeddings").select(
+    e = spread(table(spark, sf_dir, "embeddings")).select(
         idiv("vec_id", 2).alias("k"), (F.col("vec_id") % 2).alias("part"), F.col("embedding").cast("array<double>").alias("a")
     )
     return (
@@ -124,7 +125,7 @@ def segments(spark, sf_dir) -> DataFrame:
     (snapshot, vec_id, model, start_frame, end_frame, length, p ARRAY<DOUBLE>). A vector
     is one row of 64 samples, so the runs are cut inside the row without a shuffle.
     """
-    e = table(spark, sf_dir, "embeddings").select(
+    e = spread(table(spark, sf_dir, "embeddings")).select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
     size = 64

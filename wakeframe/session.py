@@ -35,6 +35,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input too small to be split; a large scan keeps its own splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal dimension (sensors, thresholds, weights): fixed size, safe to broadcast."""
     if len(rows) > BROADCAST_ROW_LIMIT:
