@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.functions.filters import advance, both_ways, butterworth, run_rows, state_space, steady_state
-from wakeframe.session import small
+from wakeframe.session import bounded
 
 CHUNK = 65536
 
@@ -110,10 +110,12 @@ def zero_phase(df: DataFrame, keys: Sequence[str], b, a, n: str = "n", value: st
     """
     keys = list(keys)
     pad = 3 * max(len(a), len(b))
-    ends = df.groupBy(*keys).agg(
-        (F.max(n) + 1).alias("_size"), F.min_by(value, n).alias("_first"), F.max_by(value, n).alias("_last")
+    ends = bounded(
+        df.groupBy(*keys).agg(
+            (F.max(n) + 1).alias("_size"), F.min_by(value, n).alias("_first"), F.max_by(value, n).alias("_last")
+        )
     )
-    j = df.select(*keys, n, value).join(small(ends), keys)
+    j = df.select(*keys, n, value).join(ends, keys)
     v, k, size_ = F.col(value), F.col(n), F.col("_size")
     row = lambda pos, val: F.struct(pos.cast("bigint").alias("m"), val.alias("v"))
     copies = F.array(
@@ -129,7 +131,7 @@ def zero_phase(df: DataFrame, keys: Sequence[str], b, a, n: str = "n", value: st
     chunks = _chunks(ext, keys, "m", "v", size)
     forward = _pass(chunks, keys, b, a, False, True).repartition(*[F.col(k) for k in keys], F.col("chunk"))
     back = _pass(forward, keys, b, a, True, True)
-    out = _rows(back, keys, n, value, size, pad).join(small(ends.select(*keys, "_size")), keys)
+    out = _rows(back, keys, n, value, size, pad).join(ends.drop("_first", "_last"), keys)
     return out.filter((F.col(n) >= 0) & (F.col(n) < F.col("_size"))).drop("_size")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.operators.ordering import index_rows
+from wakeframe.session import bounded
 
 # --- order and splits ----------------------------------------------------------------------
 
@@ -44,7 +45,7 @@ def split_three(df: DataFrame, ids: Sequence[str], train: float, validate: float
 def split_stratified(df: DataFrame, ids: Sequence[str], label: str, test: float, seed: int) -> DataFrame:
     """``part``: test holds the rounded share of every class."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    d = shuffled_rank(df, ids, seed, [label]).join(n, label)
+    d = shuffled_rank(df, ids, seed, [label]).join(bounded(n), label)
     return d.withColumn("part", F.when(F.col("rank") < F.bround(F.col("_n") * test), "test").otherwise("train")).drop("_n", "rank")
 
 

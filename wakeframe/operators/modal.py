@@ -49,6 +49,24 @@ def gram(df: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame:
     return total.groupBy(*keys, "size").agg(F.transform(packed, lambda s: s["v"]).alias("g"))
 
 
+def weighted_gram(df: DataFrame, rows: Column, weights: Column) -> DataFrame:
+    """(replica, size, g): one Gram matrix per entry of the rows' weight arrays, rows copied nowhere."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x, w = np.stack(pdf["_x"].to_numpy()).astype(float), np.stack(pdf["_w"].to_numpy()).astype(float)
+            k = x.shape[1]
+            for r in range(w.shape[1]):
+                yield pd.DataFrame({"replica": r, "size": k, "i": np.arange(k * k), "v": ((x * w[:, r : r + 1]).T @ x).ravel()})
+
+    parts = df.select(rows.cast("array<double>").alias("_x"), weights.alias("_w")).mapInPandas(partial, "replica int, size int, i int, v double")
+    total = parts.groupBy("replica", "size", "i").agg(F.sum("v").alias("v"))
+    packed = F.array_sort(F.collect_list(F.struct("i", "v")))
+    return total.groupBy("replica", "size").agg(F.transform(packed, lambda s: s["v"]).alias("g"))
+
+
 def cell_rows(df: DataFrame, col: str = "v", centred: bool = True) -> DataFrame:
     """(run, cell, x ARRAY over the frames): one row per cell, its time mean removed when ``centred``."""
     packed = F.array_sort(F.collect_list(F.struct("frame", "v")))
@@ -431,12 +449,9 @@ def ensemble_fit(
     else:
         # Poisson(1) by inversion of a uniform hash (cumulative probabilities, fixed values).
         steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-        copies = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-        u = F.pmod(F.xxhash64(row_id, F.col("replica"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        count = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-        root = F.sqrt(count.cast("double"))
-        weighted = copies.select("replica", root.alias("_w"), rows.alias("_r")).filter("_w > 0")
-        replica = gram(weighted, ["replica"], F.transform("_r", lambda v: v * F.col("_w")))
+        u = lambda r: F.pmod(F.xxhash64(row_id, r, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        draws = lambda r: sum(((u(r) >= s).cast("double") for s in steps), F.lit(0.0))
+        replica = weighted_gram(df, rows, F.array(*[draws(F.lit(r)) for r in range(replicas)]))
 
     def one(m, dropped=None):
         g, rhs = m[:k, :k].copy(), m[:k, k:].copy()

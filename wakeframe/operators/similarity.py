@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from wakeframe.functions import alignment
-from wakeframe.session import small
-
 
 def dtw_distance(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
@@ -56,7 +54,7 @@ def pair_matrix(df: DataFrame, keys: Sequence[str], item: str, col: str, metric=
     # One partner row per tile of the matrix: an equi-join on the keys over block numbers only.
     tiles = blocks.join(blocks.withColumnRenamed("_b", "_c"), keys).filter("_b <= _c")
     ends = tiles.select(*keys, "_b", "_c", F.explode(F.array_distinct(F.array("_b", "_c"))).alias("_home"))
-    placed = tagged.withColumnRenamed("_b", "_home").join(small(ends), [*keys, "_home"])
+    placed = tagged.withColumnRenamed("_b", "_home").join(ends, [*keys, "_home"])
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         b, c = pdf["_b"].iloc[0], pdf["_c"].iloc[0]

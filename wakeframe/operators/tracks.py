@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from wakeframe.operators.ordering import previous_row
 from wakeframe.operators.vortices import sensor_array
-from wakeframe.session import small
 
 # --- activity windows -------------------------------------------------------------------
 
@@ -49,12 +48,13 @@ def interval_join(
     """Every (point, interval) with start <= t <= end, both inclusive.
 
     The interval side is copied to the buckets it covers and the join runs on
-    (keys, bucket), so neither a wide key nor a long recording meets in one task.
+    (keys, bucket), so neither a wide key nor a long recording meets in one task;
+    adaptive execution broadcasts the intervals when they turn out small.
     """
     first, last = F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)
     spread = intervals.filter(F.col(end) >= F.col(start)).withColumn("_b", F.explode(F.sequence(first, last)))
     tagged = points.withColumn("_b", F.floor(F.col(t) / bucket))
-    return tagged.join(small(spread), [*keys, "_b"]).filter(F.col(t).between(F.col(start), F.col(end))).drop("_b")
+    return tagged.join(spread, [*keys, "_b"]).filter(F.col(t).between(F.col(start), F.col(end))).drop("_b")
 
 
 # --- linking detections -----------------------------------------------------------------
@@ -63,10 +63,8 @@ def interval_join(
 def _pieces(df: DataFrame, max_gap: int) -> DataFrame:
     """Cut runs where no track can survive: more than ``max_gap`` frames without detections."""
     w = W.partitionBy("run").orderBy("frame")
-    f = df.select("run", "frame").distinct()
-    f = f.withColumn("_new", (F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"))
-    f = f.withColumn("_piece", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return df.join(f.drop("_new"), ["run", "frame"])
+    d = df.withColumn("_new", (F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"))
+    return d.withColumn("_piece", F.sum(F.coalesce("_new", F.lit(0))).over(w)).drop("_new")
 
 
 class Linker:
@@ -125,13 +123,12 @@ def assign_tracks(df: DataFrame, max_distance: float, max_gap: int) -> DataFrame
     tagged = _pieces(df.select("run", "frame", "region", "core_x", "core_y"), max_gap)
     schema = "run int, _piece bigint, frame int, region int, core_x double, core_y double, local_id bigint, track_distance double"
     linked = tagged.groupBy("run", "_piece").applyInPandas(lambda pdf: _link(pdf, max_distance, max_gap), schema)
-    count = tagged.select("run", "_piece").distinct()
-    sizes = linked.groupBy("run", "_piece").agg((F.max("local_id") + 1).alias("_n"))
-    before = W.partitionBy("run").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    offsets = count.join(sizes, ["run", "_piece"]).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return linked.join(offsets.drop("_n"), ["run", "_piece"]).select(
+    fresh = F.isnan("track_distance").cast("bigint")
+    before = W.partitionBy("run").orderBy("_piece").rangeBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(fresh).over(before), F.lit(0))
+    return linked.select(
         "run", "frame", "region", "core_x", "core_y",
-        (F.col("local_id") + F.col("_off")).alias("track_id"),
+        (F.col("local_id") + offset).alias("track_id"),
         F.nanvl("track_distance", F.lit(None).cast("double")).alias("track_distance"),
     )
 

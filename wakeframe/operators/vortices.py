@@ -8,6 +8,8 @@ orders regions as a row-by-row scan meets them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -200,16 +202,16 @@ def _blocked(ax, ay, bx, by, seg: np.ndarray, eps: float) -> np.ndarray:
     oc, od = orient(ax, ay, bx, by, cx, cy), orient(ax, ay, bx, by, dx, dy)
     oa, ob = orient(cx, cy, dx, dy, ax, ay), orient(cx, cy, dx, dy, bx, by)
     hit = (oc * od < 0) & (oa * ob < 0)
-    hit |= (np.abs(oc) <= 1e-9) & between(ax, ay, bx, by, cx, cy)
-    hit |= (np.abs(od) <= 1e-9) & between(ax, ay, bx, by, dx, dy)
-    hit |= (np.abs(oa) <= 1e-9) & between(cx, cy, dx, dy, ax, ay)
-    hit |= (np.abs(ob) <= 1e-9) & between(cx, cy, dx, dy, bx, by)
+    hit = hit | (np.abs(oc) <= 1e-9) & between(ax, ay, bx, by, cx, cy)
+    hit = hit | (np.abs(od) <= 1e-9) & between(ax, ay, bx, by, dx, dy)
+    hit = hit | (np.abs(oa) <= 1e-9) & between(cx, cy, dx, dy, ax, ay)
+    hit = hit | (np.abs(ob) <= 1e-9) & between(cx, cy, dx, dy, bx, by)
     if eps > 0:
         gaps = [
             _point_segment(ax, ay, cx, cy, dx, dy), _point_segment(bx, by, cx, cy, dx, dy),
             _point_segment(cx, cy, ax, ay, bx, by), _point_segment(dx, dy, ax, ay, bx, by),
         ]
-        hit |= np.minimum.reduce(gaps) <= eps
+        hit = hit | (reduce(np.minimum, gaps) <= eps)
     return hit
 
 
@@ -221,33 +223,30 @@ def occlusion(df: DataFrame, sensors: list[tuple[int, float, float]], eps: float
     """
     if not sensors:
         return df.withColumn("visible", F.lit(True))
-    item = F.struct(
-        "region", "core_x", "core_y", F.transform("boundary", lambda p: p["x"]).alias("bx"), F.transform("boundary", lambda p: p["y"]).alias("by")
-    )
-    packed = df.select(*FRAME, item.alias("d")).groupBy(*FRAME).agg(F.array_sort(F.collect_list("d")).alias("d"))
+    # The struct starts with the region, so sorting the array gives raster order.
+    cols = ["region", *[c for c in df.columns if c not in (*FRAME, "region")]]
+    packed = df.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("d"))
     part = lambda name: F.transform("d", lambda r: r[name])
+    edge = lambda axis: F.transform("d", lambda r: F.transform(r["boundary"], lambda p: p[axis]))
 
     @F.pandas_udf("array<boolean>")
     def seen(xs: pd.Series, ys: pd.Series, bxs: pd.Series, bys: pd.Series) -> pd.Series:
+        at = np.array([s[1:] for s in sensors], float)
         out = []
         for x, y, bx, by in zip(xs, ys, bxs, bys):
             links = [_links(np.asarray(p), np.asarray(q)) for p, q in zip(bx, by)]
-            flags = np.zeros(len(x), bool)
-            for _, sx, sy in sensors:
-                d = np.hypot(x - sx, y - sy)
-                order = np.lexsort((np.arange(len(d)), d))
-                for rank, i in enumerate(order):
-                    if flags[i]:
-                        continue
-                    nearer = [links[j] for j in order[:rank]]
-                    wall = np.concatenate(nearer) if nearer else np.empty((0, 4))
-                    flags[i] = not (len(wall) and _blocked(sx, sy, x[i], y[i], wall, eps).any())
-            out.append(flags)
+            owner, wall = np.repeat(np.arange(len(links)), [len(k) for k in links]), np.concatenate(links)
+            sx, sy = at[:, 0][:, None, None], at[:, 1][:, None, None]
+            # Rank of each region by distance from each sensor; ties keep raster order.
+            rank = np.argsort(np.argsort(np.hypot(x[None] - at[:, :1], y[None] - at[:, 1:]), axis=1, kind="stable"), axis=1, kind="stable")
+            hit = _blocked(sx, sy, x[None, :, None], y[None, :, None], wall, eps)
+            hidden = (hit & (rank[:, owner][:, None, :] < rank[:, :, None])).any(axis=2)
+            out.append(~hidden.all(axis=0))
         return pd.Series(out, dtype=object)
 
-    flags = packed.select(*FRAME, part("region").alias("region"), seen(part("core_x"), part("core_y"), part("bx"), part("by")).alias("visible"))
-    rows = flags.select(*FRAME, F.inline(F.arrays_zip("region", "visible")))
-    return df.join(rows, [*FRAME, "region"])
+    flags = packed.withColumn("_f", seen(part("core_x"), part("core_y"), edge("x"), edge("y")))
+    rows = flags.select(*FRAME, F.inline(F.arrays_zip("d", "_f")))
+    return rows.select(*FRAME, "d.*", F.col("_f").alias("visible"))
 
 
 def detect(

@@ -35,6 +35,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A derived side table (one row per channel, file split, class) for a join with the whole data.
+
+    It is computed once into the checkpoint folder, so that counting its rows does not
+    scan the data again, and broadcast when the count proves it small. A hot key then
+    never gathers its rows in one task; a large table joins in the ordinary way.
+    """
+    return small(checkpoint(df))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input too small to be split; a large scan keeps its own splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from wakeframe.functions.text import lenient_double, lenient_int
-from wakeframe.session import small
+from wakeframe.session import bounded, small
 
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
@@ -27,7 +27,7 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = splits.select("file", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return raw.join(small(starts), ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+    return raw.join(bounded(starts), ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
 
 
 def doubles(value: Column, sep: str = ",") -> Column:
@@ -125,7 +125,7 @@ def timed_table(lines: DataFrame) -> DataFrame:
     """Tab-separated table under a ``rows cols dt`` line -> (file, row, t, col, value)."""
     v = doubles(F.col("value"), "\t")
     head = lines.filter("line = 0").select("file", F.get(v, F.lit(0)).alias("_rows"), F.get(v, F.lit(1)).alias("_cols"), F.get(v, F.lit(2)).alias("_dt"))
-    body = lines.filter("line > 0").withColumn("row", F.col("line") - 1).join(small(head), "file").filter("row < _rows")
+    body = lines.filter("line > 0").withColumn("row", F.col("line") - 1).join(bounded(head), "file").filter("row < _rows")
     long = body.select("file", "row", (F.col("row") * F.col("_dt")).alias("t"), "_cols", F.posexplode(v).alias("col", "value"))
     return long.filter("col < _cols").drop("_cols")
 
