@@ -123,7 +123,7 @@ def assign_tracks(df: DataFrame, max_distance: float, max_gap: int) -> DataFrame
     tagged = _pieces(df.select("run", "frame", "region", "core_x", "core_y"), max_gap)
     schema = "run int, _piece bigint, frame int, region int, core_x double, core_y double, local_id bigint, track_distance double"
     linked = tagged.groupBy("run", "_piece").applyInPandas(lambda pdf: _link(pdf, max_distance, max_gap), schema)
-    fresh = F.isnan("track_distance").cast("bigint")
+    fresh = (F.col("track_distance").isNull() | F.isnan("track_distance")).cast("bigint")
     before = W.partitionBy("run").orderBy("_piece").rangeBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(fresh).over(before), F.lit(0))
     return linked.select(
