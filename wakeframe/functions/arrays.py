@@ -92,8 +92,8 @@ def tail_spike(arr: Column, fraction: float, ratio: float, min_tail: int) -> Col
 
 def roll(arr: Column, shift: Column) -> Column:
     """Rotate so that element 0 moves to position ``shift`` (negative turns it back)."""
-    n = F.size(arr)
-    return F.transform(arr, lambda v, i: F.get(arr, F.pmod(i - shift, n).cast("int")))
+    bound = F.struct(arr.alias("a"), shift.cast("int").alias("s"))
+    return let(bound, lambda b: F.transform(b["a"], lambda v, i: F.get(b["a"], F.pmod(i - b["s"], F.size(b["a"])).cast("int"))))
 
 
 def difference(arr: Column) -> Column:

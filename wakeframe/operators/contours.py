@@ -11,7 +11,7 @@ from wakeframe.functions import arrays, geometry as geo
 from wakeframe.functions.grid import Grid, let
 from wakeframe.operators import filters
 from wakeframe.operators.fields import winding_numbers
-from wakeframe.operators.vortices import line_integral
+from wakeframe.operators.vortices import line_integrals
 
 
 def point(x: Column, y: Column) -> Column:
@@ -37,19 +37,26 @@ def close(ring: Column) -> Column:
 
 def repeats(ring: Column) -> Column:
     """(pos, x, y) of every vertex that repeats an earlier one."""
-    marked = F.transform(ring, lambda p, i: F.struct(i.alias("pos"), p["x"].alias("x"), p["y"].alias("y")))
-    return F.filter(marked, lambda m: F.array_position(ring, point(m["x"], m["y"])) - 1 < m["pos"])
+
+    def find(r):
+        marked = F.transform(r, lambda p, i: F.struct(i.alias("pos"), p["x"].alias("x"), p["y"].alias("y")))
+        return F.filter(marked, lambda m: F.array_position(r, point(m["x"], m["y"])) - 1 < m["pos"])
+
+    return let(ring, find)
 
 
 def neighbour_angles(ring: Column, reach: int) -> Column:
     """Angle in degrees at each vertex between the vertices ``reach`` before and after."""
 
-    def at(p, i):
-        n = F.size(ring)
-        a, c = F.get(ring, F.pmod(i - reach, n).cast("int")), F.get(ring, F.pmod(i + reach, n).cast("int"))
-        return geo.angle_degrees(a["x"], a["y"], p["x"], p["y"], c["x"], c["y"])
+    def angles(r):
+        def at(p, i):
+            n = F.size(r)
+            a, c = F.get(r, F.pmod(i - reach, n).cast("int")), F.get(r, F.pmod(i + reach, n).cast("int"))
+            return geo.angle_degrees(a["x"], a["y"], p["x"], p["y"], c["x"], c["y"])
 
-    return F.transform(ring, at)
+        return F.transform(r, at)
+
+    return let(ring, angles)
 
 
 def most_acute(ring: Column, reach: int = 5) -> Column:
@@ -60,30 +67,34 @@ def most_acute(ring: Column, reach: int = 5) -> Column:
 def opposite_end(ring: Column, tail: Column) -> Column:
     """First vertex at which the length walked from ``tail`` reaches half the perimeter."""
 
-    def walk(es):
-        turned = arrays.roll(es, -tail)
-        lengths = F.transform(turned, lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+    length = lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+
+    def walk(q):
         start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("hit"))
 
         def step(acc, v):
             s = acc["s"] + v
-            hit = F.coalesce(acc["hit"], F.when(s >= geo.perimeter(ring) / 2, acc["i"] + 1))
+            hit = F.coalesce(acc["hit"], F.when(s >= q["half"], acc["i"] + 1))
             return F.struct(s.alias("s"), (acc["i"] + 1).alias("i"), hit.alias("hit"))
 
-        return F.pmod(F.aggregate(lengths, start, step)["hit"] + tail, F.size(ring))
+        return F.pmod(F.aggregate(q["lengths"], start, step)["hit"] + tail, F.size(q["lengths"]))
 
-    return let(geo.edges(ring), walk)
+    turned = F.transform(arrays.roll(geo.edges(ring), -tail), length)
+    return let(F.struct(turned.alias("lengths"), (geo.perimeter(ring) / 2).alias("half")), walk)
 
 
 def slopes(ring: Column, vertical: float = 1e10) -> Column:
     """dy/dx of each vertex's neighbours around the ring; equal x gives ``vertical``."""
 
-    def at(p, i):
-        n = F.size(ring)
-        a, b = F.get(ring, F.pmod(i + 1, n).cast("int")), F.get(ring, F.pmod(i - 1, n).cast("int"))
-        return F.when(a["x"] == b["x"], F.lit(vertical)).otherwise((a["y"] - b["y"]) / (a["x"] - b["x"]))
+    def all_slopes(r):
+        def at(p, i):
+            n = F.size(r)
+            a, b = F.get(r, F.pmod(i + 1, n).cast("int")), F.get(r, F.pmod(i - 1, n).cast("int"))
+            return F.when(a["x"] == b["x"], F.lit(vertical)).otherwise((a["y"] - b["y"]) / (a["x"] - b["x"]))
+
+        return F.transform(r, at)
 
-    return F.transform(ring, at)
+    return let(ring, all_slopes)
 
 
 def smoothed_derivative(arr: Column, step: float, window: int = 11, degree: int = 3) -> Column:
@@ -125,27 +136,24 @@ def resample_ring(ring: Column, count: int) -> Column:
     def walk(es):
         lengths = F.transform(es, lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
         start = F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0.0)).alias("all"))
-        cum = F.aggregate(
-            lengths, start, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["all"], F.array(acc["s"] + v)).alias("all"))
+        cum = lambda ls: F.aggregate(
+            ls, start, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["all"], F.array(acc["s"] + v)).alias("all"))
         )["all"]
+        return let(lengths, lambda ls: let(F.struct(es.alias("e"), ls.alias("l"), cum(ls).alias("c")), place))
+
+    def place(q):
+        def at(k):
+            s = F.element_at(q["c"], -1) * k / (count - 1)
+            i = F.least(F.size(F.filter(q["c"], lambda v: v <= s)) - 1, F.size(q["e"]) - 1).cast("int")
+            seg = F.struct(F.get(q["e"], i).alias("e"), ((s - F.get(q["c"], i)) / F.get(q["l"], i)).alias("t"))
+            return let(
+                seg,
+                lambda g: point(
+                    g["e"]["x1"] + (g["e"]["x2"] - g["e"]["x1"]) * g["t"], g["e"]["y1"] + (g["e"]["y2"] - g["e"]["y1"]) * g["t"]
+                ),
+            )
 
-        def place(c):
-            whole = F.element_at(c, -1)
-
-            def at(k):
-                s = whole * k / (count - 1)
-                i = F.least(F.size(F.filter(c, lambda v: v <= s)) - 1, F.size(es) - 1)
-                return let(
-                    F.struct(F.get(es, i.cast("int")).alias("e"), (s - F.get(c, i.cast("int"))).alias("t"), F.get(lengths, i.cast("int")).alias("l")),
-                    lambda q: point(
-                        q["e"]["x1"] + (q["e"]["x2"] - q["e"]["x1"]) * q["t"] / q["l"],
-                        q["e"]["y1"] + (q["e"]["y2"] - q["e"]["y1"]) * q["t"] / q["l"],
-                    ),
-                )
-
-            return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at)
-
-        return let(cum, place)
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at)
 
     return let(geo.edges(ring), walk)
 
@@ -348,26 +356,21 @@ def grow_cores(df: DataFrame, grid: Grid, field: str, r0: float, dr: float, r_ma
 
     Needs (x, y, w) per core and the frame's array; each core row is on its own.
     """
-    steps = int(round((r_max - r0) / dr))
-    radii = F.array(*[F.lit(r0 + k * dr) for k in range(steps)])
-    cx, cy = F.col("x").cast("double"), F.col("y").cast("double")
-
-    def rim(r):
-        return line_integral(grid, F.col(field), cx, cy, r, per_radius, True) / (2 * F.pi() * r)
-
+    radii = [r0 + k * dr for k in range(int(round((r_max - r0) / dr)))]
+    lines = line_integrals(grid, field, F.col("x").cast("double"), F.col("y").cast("double"), radii, per_radius)
+    rims = F.zip_with(lines, F.array(*[F.lit(r) for r in radii]), lambda v, r: F.struct(v.alias("line"), r.alias("r")))
     start = F.struct(F.lit(float(r0)).alias("r"), F.lit(0.0).alias("g"), F.lit(True).alias("on"))
 
     def step(acc, t):
-        on = acc["on"] & (F.abs(t["rim"]) > tolerance * F.abs(F.col("w")))
+        on = acc["on"] & (F.abs(t["line"] / (2 * F.pi() * t["r"])) > tolerance * F.abs(F.col("w")))
         return F.struct(
             F.when(on, t["r"] + dr).otherwise(acc["r"]).alias("r"),
-            F.when(on, acc["g"] + t["rim"] * 2 * F.pi() * t["r"] * dr).otherwise(acc["g"]).alias("g"),
+            F.when(on, acc["g"] + t["line"] * dr).otherwise(acc["g"]).alias("g"),
             on.alias("on"),
         )
 
-    rims = F.transform(radii, lambda r: F.struct(r.alias("r"), rim(r).alias("rim")))
-    grown = F.aggregate(rims, start, step)
-    return df.withColumn("_g", grown).withColumns({"r": F.col("_g.r"), "rough": F.col("_g.g")}).drop("_g")
+    d = df.withColumn("_rims", rims).withColumn("_g", F.aggregate("_rims", start, step))
+    return d.withColumns({"r": F.col("_g.r"), "rough": F.col("_g.g")}).drop("_g", "_rims")
 
 
 def suppress_cores(df: DataFrame, dr: float) -> DataFrame:

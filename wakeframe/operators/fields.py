@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeframe.functions.grid import Grid, interior, shift
+from wakeframe.functions.grid import Grid, interior, let, shift
 
 # --- stencils -------------------------------------------------------------------------
 
@@ -217,12 +217,8 @@ def transect(df: DataFrame, grid: Grid, col: str, x: int, ys: list[int]) -> Data
 
 def wall_row(df: DataFrame, grid: Grid, col: str, y: int, ref: tuple[int, int]) -> DataFrame:
     """One full row of the frame minus the reference cell."""
-    base = grid.at(F.col(col), *ref)
-    row = F.transform(
-        F.sequence(F.lit(0), F.lit(grid.nx - 1)),
-        lambda x: F.struct(x.alias("x"), (grid.at(F.col(col), x, y) - F.col("_base")).alias("p")),
-    )
-    return df.withColumn("_base", base).select("run", "frame", F.inline(row))
+    picks = [F.struct(F.lit(x).alias("x"), (grid.at(F.col(col), x, y) - grid.at(F.col(col), *ref)).alias("p")) for x in range(grid.nx)]
+    return df.select("run", "frame", F.inline(F.array(*picks)))
 
 
 def crop(df: DataFrame, grid: Grid, col: str, width: int, height: int, x0: int, middle_y: int) -> DataFrame:
@@ -342,14 +338,12 @@ def reductions(df: DataFrame, grid: Grid, a: str, b: str) -> DataFrame:
 
 def minmax_ignoring_zero(df: DataFrame, col: str) -> DataFrame:
     """Per-frame rescale to [0, 1] over the non-zero cells (zeros mark the body)."""
-    live = F.filter(F.col(col), lambda v: v != 0)
-    span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return (
-        df.withColumn("_hi", F.array_max(live))
-        .withColumn("_lo", F.array_min(live))
-        .withColumn(col, F.transform(F.col(col), lambda v: (v - F.col("_lo")) / span))
-        .drop("_hi", "_lo")
-    )
+
+    def rescale(live):
+        bound = F.struct(F.array_min(live).alias("lo"), (F.array_max(live) - F.array_min(live)).alias("span"))
+        return let(bound, lambda b: F.transform(F.col(col), lambda v: (v - b["lo"]) / F.nullif(b["span"], F.lit(0.0))))
+
+    return df.withColumn(col, let(F.filter(F.col(col), lambda v: v != 0), rescale))
 
 
 def reference_offset(df: DataFrame, grid: Grid, col: str, switch_frame: int) -> DataFrame:

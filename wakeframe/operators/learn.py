@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.operators.ordering import index_rows
-from wakeframe.session import bounded
+from wakeframe.session import bounded, checkpoint
 
 # --- order and splits ----------------------------------------------------------------------
 
@@ -189,13 +189,16 @@ def assemble(features: Sequence[str]) -> VectorAssembler:
 
 
 def train_linear(train: DataFrame, features: Sequence[str], label: str, loss: str, reg: float = 0.0):
-    """One linear map fitted by mean squared error or by logistic loss."""
+    """One linear map fitted by mean squared error or by logistic loss.
+
+    Fitting reads the rows many times, so they are computed once into a checkpoint.
+    """
     est = (
         LinearRegression(labelCol=label, regParam=reg, solver="normal", predictionCol="prediction")
         if loss == "mse"
         else LogisticRegression(labelCol=label, regParam=reg, maxIter=100)
     )
-    return Pipeline(stages=[assemble(features), est]).fit(train)
+    return Pipeline(stages=[assemble(features), est]).fit(checkpoint(train.select(*features, label)))
 
 
 def apply_linear(model, df: DataFrame, loss: str) -> DataFrame:
@@ -211,7 +214,7 @@ def search_linear(train: DataFrame, features: Sequence[str], label: str, trials:
     regs = 10 ** np.random.default_rng(seed).uniform(-6, 0, trials)
     est = LinearRegression(labelCol=label, solver="normal")
     grid = ParamGridBuilder().addGrid(est.regParam, [float(r) for r in regs]).build()
-    data = assemble(features).transform(train).select("features", label)
+    data = assemble(features).transform(checkpoint(train.select(*features, label))).select("features", label)
     tuner = TrainValidationSplit(
         estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
         trainRatio=0.8, seed=seed, parallelism=parallelism,
@@ -222,7 +225,7 @@ def search_linear(train: DataFrame, features: Sequence[str], label: str, trials:
 
 def train_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 10, seed: int = 42):
     est = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-    return Pipeline(stages=[assemble(features), est]).fit(train)
+    return Pipeline(stages=[assemble(features), est]).fit(checkpoint(train.select(*features, label)))
 
 
 def grid_search(train: DataFrame, features: Sequence[str], label: str, kind: str, grid: dict[str, list], folds: int = 5, seed: int = 42):
@@ -232,7 +235,7 @@ def grid_search(train: DataFrame, features: Sequence[str], label: str, kind: str
     for name, values in grid.items():
         build = build.addGrid(est.getParam(name), values)
     maps = build.build()
-    data = assemble(features).transform(train).select("features", label)
+    data = assemble(features).transform(checkpoint(train.select(*features, label))).select("features", label)
     cv = CrossValidator(
         estimator=est, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=4,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeframe.functions.arrays import zero_mean
 from wakeframe.operators.fields import long_cells
 
 
@@ -73,8 +74,7 @@ def cell_rows(df: DataFrame, col: str = "v", centred: bool = True) -> DataFrame:
     rows = long_cells(df, col).groupBy("run", "cell").agg(F.transform(packed, lambda s: s["v"]).alias("x"))
     if not centred:
         return rows
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
-    return rows.withColumn("_m", mean).withColumn("x", F.transform("x", lambda v: v - F.col("_m"))).drop("_m")
+    return rows.withColumn("x", zero_mean(F.col("x")))
 
 
 def _solve(df: DataFrame, keys: Sequence[str], schema: str, fn) -> DataFrame:

@@ -116,19 +116,12 @@ def closest_sensor(df: DataFrame, sensors: list[tuple[int, float, float]], max_d
 
 def closest_edge(df: DataFrame) -> DataFrame:
     """Boundary point nearest to the region's sensor, first in raster order on a tie."""
-    near = F.array_min(
-        F.transform(
-            "boundary",
-            lambda p: F.struct(
-                (
-                    (p["x"] - F.col("sensor_x")) * (p["x"] - F.col("sensor_x"))
-                    + (p["y"] - F.col("sensor_y")) * (p["y"] - F.col("sensor_y"))
-                ).alias("d"),
-                p["y"].alias("y"),
-                p["x"].alias("x"),
-            ),
-        )
-    )
+
+    def nearest(s):
+        gap = lambda p: (p["x"] - s["x"]) * (p["x"] - s["x"]) + (p["y"] - s["y"]) * (p["y"] - s["y"])
+        return F.array_min(F.transform("boundary", lambda p: F.struct(gap(p).alias("d"), p["y"].alias("y"), p["x"].alias("x"))))
+
+    near = let(F.struct(F.col("sensor_x").alias("x"), F.col("sensor_y").alias("y")), nearest)
     d = df.withColumn("_e", near)
     return d.withColumns({"edge_x": F.col("_e.x").cast("double"), "edge_y": F.col("_e.y").cast("double")}).drop("_e")
 
@@ -316,66 +309,71 @@ def detect_peaks(
 # --- circulation around cores -----------------------------------------------------------
 
 
-def _ring(grid: Grid, arr: Column, cx: Column, cy: Column, r: Column, points: Column):
-    """Samples of ``arr`` on a circle as structs (x, y, f)."""
-    step = 2 * F.pi() / points
-    return F.transform(
-        F.sequence(F.lit(0), (points - 1).cast("int")),
-        lambda i: F.struct(
-            (r * F.cos(i * step)).alias("x"),
-            (r * F.sin(i * step)).alias("y"),
-            grid.bilinear(arr, cx + r * F.cos(i * step), cy + r * F.sin(i * step)).alias("f"),
-        ),
-    )
+def _bilinear(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Samples of stacked frames (k, nx, ny) at points (k, n), clamped half a cell inside."""
+    nx, ny = a.shape[1:]
+    x, y = np.clip(x, 0.5, nx - 1.5), np.clip(y, 0.5, ny - 1.5)
+    i, j = np.minimum(x.astype(int), nx - 2), np.minimum(y.astype(int), ny - 2)
+    s, t, k = x - i, y - j, np.arange(len(a))[:, None]
+    return s * (t * a[k, i + 1, j + 1] + (1 - t) * a[k, i + 1, j]) + (1 - s) * (t * a[k, i, j + 1] + (1 - t) * a[k, i, j])
 
 
-def line_integral(grid: Grid, arr: Column, cx: Column, cy: Column, r: Column, per_radius: float, same_sign: bool) -> Column:
-    """Integral of a scalar along a circle; optionally only samples with the centre's sign."""
-    points = F.floor(r * per_radius + 0.5).cast("int")
-    weight = r * 2 * F.pi() / points
-    mid = grid.bilinear(arr, cx, cy)
-    return let(
-        mid,
-        lambda m: F.aggregate(
-            _ring(grid, arr, cx, cy, r, points),
-            F.lit(0.0),
-            lambda s, p: s + (F.when(p["f"] * m > 0, p["f"] * weight).otherwise(0.0) if same_sign else p["f"] * weight),
-        ),
-    )
+def _circle(r: float, per_radius: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Offsets of the samples on a circle and their angular step."""
+    points = max(1, int(r * per_radius + 0.5))
+    angle = np.arange(points) * 2 * np.pi / points
+    return r * np.cos(angle), r * np.sin(angle), 2 * np.pi / points
+
 
+def _around(grid: Grid, fn, *cols) -> Column:
+    """Column from ``fn(arrays..., cx, cy)`` over stacked frames; the last two columns are centres."""
 
-def circulation_integral(grid: Grid, u: Column, w: Column, cx: Column, cy: Column, r: Column, per_radius: float) -> Column:
+    @F.pandas_udf("array<double>")
+    def run(*series: pd.Series) -> pd.Series:
+        if not len(series[0]):
+            return pd.Series([], dtype=object)
+        stacks = [np.stack(c.to_numpy()).astype(float).reshape(len(c), grid.nx, grid.ny) for c in series[:-2]]
+        cx, cy = [c.to_numpy(float)[:, None] for c in series[-2:]]
+        return pd.Series(list(fn(*stacks, cx, cy)), dtype=object)
+
+    return run(*cols)
+
+
+def rim_integrals(a: np.ndarray, cx: np.ndarray, cy: np.ndarray, radii: list[float], per_radius: float, same_sign: bool = True) -> np.ndarray:
+    """Line integral of a scalar on circles (k, radii); optionally only samples with the centre's sign."""
+    mid, out = _bilinear(a, cx, cy), []
+    for r in radii:
+        dx, dy, step = _circle(r, per_radius)
+        f = _bilinear(a, cx + dx, cy + dy)
+        out.append((np.where(f * mid > 0, f, 0.0) if same_sign else f).sum(axis=1) * r * step)
+    return np.stack(out, axis=1)
+
+
+def line_integrals(grid: Grid, arr: str, cx: Column, cy: Column, radii: list[float], per_radius: float, same_sign: bool = True) -> Column:
+    return _around(grid, lambda a, x, y: rim_integrals(a, x, y, radii, per_radius, same_sign), arr, cx, cy)
+
+
+def circulation_integral(grid: Grid, u: str, w: str, cx: Column, cy: Column, r: float, per_radius: float) -> Column:
     """Velocity circulation: u dx + w dy summed along a circle."""
-    points = F.floor(r * per_radius + 0.5).cast("int")
-    step = 2 * F.pi() / points
 
-    def term(i):
-        x, y = r * F.cos(i * step), r * F.sin(i * step)
-        dx, dy = x - r * F.cos((i - 1) * step), y - r * F.sin((i - 1) * step)
-        return grid.bilinear(u, cx + x, cy + y) * dx + grid.bilinear(w, cx + x, cy + y) * dy
+    def walk(a, b, x, y):
+        dx, dy, step = _circle(r, per_radius)
+        back = np.arange(len(dx)) * step - step
+        along = _bilinear(a, x + dx, y + dy) * (dx - r * np.cos(back)) + _bilinear(b, x + dx, y + dy) * (dy - r * np.sin(back))
+        return along.sum(axis=1, keepdims=True)
 
-    return F.aggregate(F.sequence(F.lit(0), points - 1), F.lit(0.0), lambda s, i: s + term(i))
+    return _around(grid, walk, u, w, cx, cy)[0]
 
 
-def area_integral(grid: Grid, arr: Column, cx: Column, cy: Column, radii: list[float], dr: float, per_radius: float) -> Column:
+def area_integral(grid: Grid, arr: str, cx: Column, cy: Column, radii: list[float], dr: float, per_radius: float) -> Column:
     """Same-sign area integral on concentric rings, plus the centre disc."""
-    mid = grid.bilinear(arr, cx, cy)
-    outer = radii[-1]
-
-    def ring(m, r):
-        points = max(1, int(r * per_radius + 0.5))
-        top = outer if r == outer else r + dr / 2
-        weight = (top**2 - (r - dr / 2) ** 2) * 2 * np.pi / points / 2
-        return F.aggregate(
-            _ring(grid, arr, cx, cy, F.lit(float(r)), F.lit(points)),
-            F.lit(0.0),
-            lambda s, p: s + F.when(p["f"] * m > 0, p["f"] * float(weight)).otherwise(0.0),
-        )
 
-    def body(m):
-        out = m * float(np.pi * dr * dr / 4)
-        for r in radii:
-            out = out + ring(m, r)
-        return out
+    def area(a, x, y):
+        total = _bilinear(a, x, y)[:, 0] * np.pi * dr * dr / 4
+        rims = rim_integrals(a, x, y, radii, per_radius)
+        for k, r in enumerate(radii):
+            top = r if r == radii[-1] else r + dr / 2
+            total = total + rims[:, k] / r * (top**2 - (r - dr / 2) ** 2) / 2
+        return total[:, None]
 
-    return let(mid, body)
+    return _around(grid, area, arr, cx, cy)[0]

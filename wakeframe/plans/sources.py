@@ -485,10 +485,10 @@ def e05(spark, sf):
 @query(
     "F01_range_list",
     "event_id:i k:i v:i",
-    sql("", "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY v) - 1 AS k, v FROM (SELECT DISTINCT event_id, unnest(list_concat([user_id], range(least(user_id, k), greatest(user_id, k) + 1))) AS v FROM (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"),
+    sql("", "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY v) - 1 AS k, v FROM (SELECT DISTINCT event_id, unnest(list_concat([user_id], range(least(m, k), greatest(m, k) + 1))) AS v FROM (SELECT event_id, user_id, minute(ts) AS m, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"),
 )
 def f01(spark, sf):
-    spec = F.concat(F.col("user_id").cast("string"), F.lit(", "), F.col("user_id").cast("string"), F.lit("-"), F.get_json_object("props", "$.k"))
+    spec = F.concat(F.col("user_id").cast("string"), F.lit(", "), F.minute("ts").cast("string"), F.lit("-"), F.get_json_object("props", "$.k"))
     return table(spark, sf, "events").select("event_id", F.posexplode(text.range_list(spec)).alias("k", "v"))
 
 

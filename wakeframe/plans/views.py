@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.functions.grid import Grid
+from wakeframe.functions.grid import Grid, let
 from wakeframe.operators.ordering import index_rows
 from wakeframe.session import spread
 
@@ -133,13 +133,14 @@ def segments(spark, sf_dir) -> DataFrame:
         F.sequence(F.lit(0), F.lit(size)),
         lambda i: (i == 0) | (i == size) | ((F.get("v", i) > -0.2) != (F.get("v", i - 1) > -0.2)),
     )
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("cut") - 2),
-        lambda k: F.struct(F.get("cut", k).alias("a"), F.get("cut", k + 1).alias("b")),
+    pieces = let(
+        cut,
+        lambda c: F.transform(
+            F.sequence(F.lit(0), F.size(c) - 2), lambda k: F.struct(F.get(c, k).alias("a"), F.get(c, k + 1).alias("b"))
+        ),
     )
     return (
-        e.withColumn("cut", cut)
-        .select("*", F.inline(pieces))
+        e.select("*", F.inline(pieces))
         .filter(F.get("v", F.col("a")) > -0.2)
         .select(
             (F.col("vec_id") * 64 + F.col("a")).alias("snapshot"),

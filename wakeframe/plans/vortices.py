@@ -354,10 +354,9 @@ RINGS = f"""uva AS (SELECT (a.vec_id // 50)::INT AS run, ((a.vec_id // 2) % 25):
 )
 def a34(spark, sf):
     d = velocity(spark, sf).withColumns({"cx": 3.5 + 4 * F.col("u")[1], "cy": 3.5 + 4 * F.col("w")[1]})
-    u, w, cx, cy = cols(["u", "w", "cx", "cy"])
     return d.select(
         *K,
-        ops.circulation_integral(GRID, u, w, cx, cy, F.lit(2.0), 6).alias("velocity_line"),
-        ops.line_integral(GRID, u, cx, cy, F.lit(2.0), 6, True).alias("scalar_line"),
-        ops.area_integral(GRID, u, cx, cy, [1.0, 1.5, 2.0], 0.5, 6).alias("area"),
+        ops.circulation_integral(GRID, "u", "w", "cx", "cy", 2.0, 6).alias("velocity_line"),
+        ops.line_integrals(GRID, "u", "cx", "cy", [2.0], 6)[0].alias("scalar_line"),
+        ops.area_integral(GRID, "u", "cx", "cy", [1.0, 1.5, 2.0], 0.5, 6).alias("area"),
     )
