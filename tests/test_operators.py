@@ -184,7 +184,7 @@ def flow(spark):
 
 def test_pod_matches_numpy(flow):
     data, df = flow
-    rows, cov = modal.cell_rows(df), modal.snapshot_covariance(df)
+    rows, cov = modal.cell_blocks(df, size=5), modal.snapshot_covariance(df)
     spec = modal.spectrum(cov, ["run"]).toPandas()
     errors = {r["run"]: r for r in modal.reconstruction_error(rows, cov, 0.8).collect()}
     needed = {r["run"]: r for r in modal.modes_needed(modal.spectrum(cov, ["run"]), ["run"], 0.8).collect()}

@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeframe.functions.arrays import zero_mean
 from wakeframe.operators.fields import long_cells
 
 
-def gram(df: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame:
-    """(keys, size, g ARRAY): flattened sum over rows of the outer product of ``rows``.
+def gram(df: DataFrame, keys: Sequence[str], rows: Column, matrices: bool = False) -> DataFrame:
+    """(keys, size, g ARRAY): flattened sum of the outer products of ``rows``.
 
-    Every batch is reduced to one matrix per key before anything is shuffled.
+    A row is one vector, or with ``matrices`` a k x n matrix that adds M M'. Every batch
+    is reduced to one matrix per key before anything is shuffled.
     """
     keys = list(keys)
     types = dict(df.dtypes)
@@ -35,16 +35,23 @@ def gram(df: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame:
                 continue
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for key, part in groups:
-                x = np.stack(part["_x"].to_numpy()).astype(float)
-                g = x.T @ x
-                k = g.shape[0]
+                if matrices:
+                    g = 0.0
+                    for m in part["_x"]:
+                        m = np.stack(m).astype(float)
+                        g = g + m @ m.T
+                else:
+                    x = np.stack(part["_x"].to_numpy()).astype(float)
+                    g = x.T @ x
+                k = len(g)
                 out = pd.DataFrame({"size": k, "i": np.arange(k * k), "v": g.ravel()})
                 for name, value in zip(keys, key):
                     out[name] = value
                 yield out[[*keys, "size", "i", "v"]]
 
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["size int", "i int", "v double"])
-    parts = df.select(*keys, rows.cast("array<double>").alias("_x")).mapInPandas(partial, schema)
+    kind = "array<array<double>>" if matrices else "array<double>"
+    parts = df.select(*keys, rows.cast(kind).alias("_x")).mapInPandas(partial, schema)
     total = parts.groupBy(*keys, "size", "i").agg(F.sum("v").alias("v"))
     packed = F.array_sort(F.collect_list(F.struct("i", "v")))
     return total.groupBy(*keys, "size").agg(F.transform(packed, lambda s: s["v"]).alias("g"))
@@ -68,13 +75,55 @@ def weighted_gram(df: DataFrame, rows: Column, weights: Column) -> DataFrame:
     return total.groupBy("replica", "size").agg(F.transform(packed, lambda s: s["v"]).alias("g"))
 
 
-def cell_rows(df: DataFrame, col: str = "v", centred: bool = True) -> DataFrame:
-    """(run, cell, x ARRAY over the frames): one row per cell, its time mean removed when ``centred``."""
-    packed = F.array_sort(F.collect_list(F.struct("frame", "v")))
-    rows = long_cells(df, col).groupBy("run", "cell").agg(F.transform(packed, lambda s: s["v"]).alias("x"))
-    if not centred:
-        return rows
-    return rows.withColumn("x", zero_mean(F.col("x")))
+# Cells that travel together from frame order to cell order.
+CELL_BLOCK = 1024
+
+
+def cell_blocks(df: DataFrame, col: str = "v", centred: bool = True, size: int = CELL_BLOCK) -> DataFrame:
+    """(run, block, x): the frames of a run over ``size`` neighbouring cells as a frames x cells matrix.
+
+    This is the transposition every modal operator needs: slices of frames are
+    shuffled, not single cells, and a task holds one slice of one recording. With
+    ``centred`` each cell's time mean is removed.
+    """
+    slices = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(col) - 1) / size).cast("int")),
+        lambda b: F.struct(b.alias("block"), F.slice(F.col(col), b * size + 1, size).alias("part")),
+    )
+    long = df.select("run", "frame", F.inline(slices))
+    packed = F.array_sort(F.collect_list(F.struct("frame", "part")))
+    rows = long.groupBy("run", "block").agg(F.transform(packed, lambda s: s["part"]).alias("x"))
+    return rows.withColumn("x", _centre("x")) if centred else rows
+
+
+def _matrix_udf(fn, *cols, out: str = "array<array<double>>") -> Column:
+    """Column from ``fn(matrix, *others)`` of each row's frames x cells matrix."""
+
+    @F.pandas_udf(out)
+    def run(*series: pd.Series) -> pd.Series:
+        rows = []
+        for m, *rest in zip(*series):
+            value = fn(np.stack(m).astype(float), *rest)
+            rows.append(list(value) if value.ndim == 2 else value)
+        return pd.Series(rows, dtype=object)
+
+    return run(*cols)
+
+
+def _centre(col: str) -> Column:
+    return _matrix_udf(lambda m: m - m.mean(axis=0), col)
+
+
+def block_cells(df: DataFrame, value: str, size: int = CELL_BLOCK) -> DataFrame:
+    """(run, cell, value) from blocks that hold one array per cell."""
+    long = df.select("run", "block", F.posexplode(value).alias("_p", value))
+    return long.select("run", (F.col("block") * size + F.col("_p")).alias("cell"), value)
+
+
+def covariance(rows: DataFrame) -> DataFrame:
+    """Gram matrix of the frames of each run over its cells, divided by frames - 1."""
+    g = gram(rows, ["run"], F.col("x"), matrices=True)
+    return g.withColumn("g", F.transform("g", lambda v: v / (F.col("size") - 1)))
 
 
 def _solve(df: DataFrame, keys: Sequence[str], schema: str, fn) -> DataFrame:
@@ -104,9 +153,8 @@ def _eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def snapshot_covariance(df: DataFrame, col: str = "v") -> DataFrame:
-    """Covariance of the frames of each run over its cells, divided by frames - 1."""
-    g = gram(cell_rows(df, col), ["run"], F.col("x"))
-    return g.withColumn("g", F.transform("g", lambda v: v / (F.col("size") - 1)))
+    """Covariance of the frames of each run."""
+    return covariance(cell_blocks(df, col))
 
 
 def matrix_entries(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,14 +192,9 @@ def temporal_basis(cov: DataFrame) -> DataFrame:
 
 
 def project_cells(rows: DataFrame, basis: DataFrame) -> DataFrame:
-    """Unscaled modes: each cell's frame values times every temporal vector, one array per cell."""
-    j = rows.join(basis, "run")
-
-    @F.pandas_udf("array<double>")
-    def dot(x: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(m, float).reshape(-1, len(r)) @ np.asarray(r, float) for r, m in zip(x, b)], dtype=object)
-
-    return j.select("run", "cell", "x", dot("x", "basis").alias("phi"))
+    """(run, cell, phi): unscaled modes, each cell's frames times every temporal vector."""
+    project = lambda m, b: (np.asarray(b, float).reshape(-1, len(m)) @ m).T
+    return block_cells(rows.join(basis, "run").withColumn("phi", _matrix_udf(project, "x", "basis")), "phi")
 
 
 def mode_coefficients(cov: DataFrame) -> DataFrame:
@@ -184,16 +227,13 @@ def reconstruction_error(rows: DataFrame, cov: DataFrame, target: float = 0.99,
 
     projector = _solve(cov, ["run"], "size int, kept int, p array<double>", one)
 
-    @F.pandas_udf("array<double>")
-    def residual(x: pd.Series, p: pd.Series) -> pd.Series:
-        out = []
-        for r, m in zip(x, p):
-            r = np.asarray(r, float)
-            out.append((r - r @ np.asarray(m, float).reshape(len(r), len(r))) ** 2)
-        return pd.Series(out, dtype=object)
-
-    sq = rows.join(projector, "run").select("run", "kept", F.posexplode(residual("x", "p")).alias("frame", "e"))
-    per = sq.groupBy("run", "kept", "frame").agg(F.sqrt(F.avg("e")).alias("rmse"))
+    def residual(m, p):
+        rest = m - np.asarray(p, float).reshape(len(m), len(m)) @ m
+        return np.append((rest**2).sum(axis=1), m.shape[1])
+
+    sums = rows.join(projector, "run").select("run", "kept", _matrix_udf(residual, "x", "p", out="array<double>").alias("e"))
+    long = sums.select("run", "kept", F.element_at("e", -1).alias("cells"), F.posexplode(F.slice("e", F.lit(1), F.size("e") - 1)).alias("frame", "sq"))
+    per = long.groupBy("run", "kept", "frame").agg(F.sqrt(F.sum("sq") / F.sum("cells")).alias("rmse"))
     return per.groupBy("run", "kept").agg(F.avg("rmse").alias("error"))
 
 
@@ -202,8 +242,8 @@ def sweep(df: DataFrame, a: str, b: str, col: str = "v") -> DataFrame:
 
     ``df`` carries the sweep keys per frame; every run is independent.
     """
-    rows = cell_rows(df, col)
-    cov = gram(rows, ["run"], F.col("x")).withColumn("g", F.transform("g", lambda v: v / (F.col("size") - 1)))
+    rows = cell_blocks(df, col)
+    cov = covariance(rows)
     spec = spectrum(cov, ["run"])
     n99 = modes_needed(spec, ["run"], 0.99, False).withColumnRenamed("needed", "n99")
     n95 = modes_needed(spec, ["run"], 0.95, False).select("run", F.col("needed").alias("n95"))
@@ -222,26 +262,17 @@ def shift_mode_basis(df: DataFrame, starts: DataFrame, n_modes: int, col: str =
     Columns are found per cell, then made orthonormal through their k x k Gram matrix
     (Cholesky), never by gathering cells. Returns (run, cell, basis ARRAY).
     """
-    cut = df.join(starts.select("run", "start"), "run")
-    late = cut.filter(F.col("frame") >= F.col("start")).withColumn("frame", F.col("frame") - F.col("start"))
-    rows = cell_rows(late, col)
-    raw = cell_rows(late, col, centred=False).withColumnRenamed("x", "raw")
-    cov = gram(rows, ["run"], F.col("x")).withColumn("g", F.transform("g", lambda v: v / (F.col("size") - 1)))
-    basis = temporal_basis(cov)
-    mean = long_cells(df, col).groupBy("run", "cell").agg(F.avg("v").alias("mean"))
+    rows = cell_blocks(df, col, centred=False).join(starts.select("run", "start"), "run")
+    late = lambda m, start: m[start:] - m[start:].mean(axis=0)
+    basis = temporal_basis(covariance(rows.withColumn("x", _matrix_udf(late, "x", "start"))))
 
-    @F.pandas_udf("array<double>")
-    def columns(x: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
-        out = []
-        for r, u, mu in zip(x, b, m):
-            r = np.asarray(r, float)
-            modes = np.asarray(u, float).reshape(-1, len(r))[: n_modes - 1] @ r
-            out.append(np.append(modes, mu))
-        return pd.Series(out, dtype=object)
+    def columns(m, start, b):
+        period = m[start:]
+        modes = np.asarray(b, float).reshape(-1, len(period))[: n_modes - 1] @ period
+        return np.vstack([modes, m.mean(axis=0)]).T
 
-    phi = raw.join(basis.select("run", "basis"), "run").join(mean, ["run", "cell"])
-    phi = phi.select("run", "cell", columns("raw", "basis", "mean").alias("phi"))
-    return orthonormal(phi)
+    phi = rows.join(basis.select("run", "basis"), "run").withColumn("phi", _matrix_udf(columns, "x", "start", "basis"))
+    return orthonormal(block_cells(phi, "phi"))
 
 
 def orthonormal(phi: DataFrame) -> DataFrame:
@@ -307,7 +338,7 @@ def project_series(df: DataFrame, keys: Sequence[str], col: str, modes: DataFram
 
 def singular_values(df: DataFrame, col: str = "v") -> DataFrame:
     """Singular values of each run's cells x frames matrix."""
-    return spectrum(gram(cell_rows(df, col, centred=False), ["run"], F.col("x")), ["run"]).select("run", "mode", F.sqrt("value").alias("sigma"))
+    return spectrum(gram(cell_blocks(df, col, centred=False), ["run"], F.col("x"), matrices=True), ["run"]).select("run", "mode", F.sqrt("value").alias("sigma"))
 
 
 def dynamic_modes(df: DataFrame, rank: int, dt: float, col: str = "v") -> DataFrame:
@@ -336,7 +367,7 @@ def dynamic_modes(df: DataFrame, rank: int, dt: float, col: str = "v") -> DataFr
             {"mode": np.arange(r, dtype="int32"), "re": lam.real, "im": lam.imag, "frequency": log.imag / (2 * np.pi), "growth": log.real, "error": err}
         )
 
-    g = gram(cell_rows(df, col, centred=False), ["run"], F.col("x"))
+    g = gram(cell_blocks(df, col, centred=False), ["run"], F.col("x"), matrices=True)
     return _solve(g, ["run"], "mode int, re double, im double, frequency double, growth double, error double", one)
 
 

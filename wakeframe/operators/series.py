@@ -159,14 +159,13 @@ def energy_cumulative(df: DataFrame, keys: Sequence[str], value: str, target: fl
 
 def ring_subset(df: DataFrame, col: str, picks: int) -> DataFrame:
     """Regular subset of a ring after turning it by the position of its smallest value."""
-    n = F.size(col)
     low = F.array_position(F.col(col), F.array_min(col)).cast("int") - 1
-    d = df.withColumn("_r", arrays.roll(F.col(col), low))
-    take = F.transform(
-        F.sequence(F.lit(0), F.lit(picks - 1)),
-        lambda k: F.struct(k.alias("k"), F.get("_r", F.bround(k * (n - 1) / picks).cast("int")).alias("v")),
-    )
-    return d.withColumn("subset", take).drop("_r")
+
+    def take(ring):
+        at = lambda k: F.get(ring, F.bround(k * (F.size(ring) - 1) / picks).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(picks - 1)), lambda k: F.struct(k.alias("k"), at(k).alias("v")))
+
+    return df.withColumn("subset", let(arrays.roll(F.col(col), low), take))
 
 
 # --- spines ---------------------------------------------------------------------------------

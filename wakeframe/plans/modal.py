@@ -29,7 +29,7 @@ def m01(spark, sf):
 
 @query("M02_pod_modes", "run:i cell:i norm:6", sql("cells", "SELECT run, cell, sum(v * v) AS norm FROM cen GROUP BY 1, 2", CENT))
 def m02(spark, sf):
-    phi = ops.project_cells(ops.cell_rows(frames(spark, sf)), ops.temporal_basis(covariance(spark, sf)))
+    phi = ops.project_cells(ops.cell_blocks(frames(spark, sf)), ops.temporal_basis(covariance(spark, sf)))
     return phi.select("run", "cell", arrays.total(F.transform("phi", lambda p: p * p)).alias("norm"))
 
 
@@ -59,7 +59,7 @@ def m03n(spark, sf):
 
 @query("M04_reconstruction_error", "run:i kept:i error:6 raw_error:5")
 def m04(spark, sf):
-    rows, cov = ops.cell_rows(frames(spark, sf)), covariance(spark, sf)
+    rows, cov = ops.cell_blocks(frames(spark, sf)), covariance(spark, sf)
     raw = ops.reconstruction_error(rows, cov, 0.9, normalised=False).select("run", F.col("error").alias("raw_error"))
     return ops.reconstruction_error(rows, cov, 0.9).join(raw, "run")
 
