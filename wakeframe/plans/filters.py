@@ -46,7 +46,16 @@ def both_ways_sql(src: str, key: str, b, a) -> list[str]:
 LISTS = "lst AS (SELECT channel, list(p ORDER BY n) AS p FROM sig GROUP BY channel)"
 
 
-@query("Q01_butterworth_design", "channel:s rate:3 tap:i b:8 a:8", None)
+@query(
+    "Q01_butterworth_design",
+    "channel:s rate:3 tap:i b:8 a:8",
+    sql(
+        "",
+        """SELECT channel, rate, tap, [k * k / d, 2 * k * k / d, k * k / d][tap + 1] AS b, [1, 2 * (k * k - 1) / d, (1 - sqrt(2) * k + k * k) / d][tap + 1] AS a FROM
+        (SELECT event_type AS channel, count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9) AS rate FROM events GROUP BY 1), range(3) r(tap),
+        (SELECT tan(pi() * 0.1) AS k, 1 + sqrt(2) * tan(pi() * 0.1) + pow(tan(pi() * 0.1), 2) AS d)""",
+    ),
+)
 def q01(spark, sf):
     """Low-pass taps for each channel's own sampling rate (samples per hour), cutoff a tenth of it."""
     span = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 3.6e9

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wakeframe.plans.learn import grid
 from wakeframe.plans.registry import query
 from wakeframe.plans.similarity import sweep
+from wakeframe.plans.tracks import LINK, LINKED
 from wakeframe.plans.views import frames, micros, sql, table
 from wakeframe.plans.vortices import raw_regions
 from wakeframe.session import scratch
@@ -123,7 +124,7 @@ def t09(spark, sf):
     live.closed_loop(stream, grid(spark, sf), folder, (2.0, 8.0), 1e-9, scratch(spark, "t09-state")).awaitTermination()
     return spark.read.parquet(folder + "/next")
 
-@query("T10_stateful_tracking", "run:i frame:i region:i core_x:4 core_y:4 track_id:i")
+@query("T10_stateful_tracking", "run:i frame:i region:i core_x:4 core_y:4 track_id:i", sql("cells", LINKED, *LINK))
 def t10(spark, sf):
     d = raw_regions(spark, sf).filter("area >= 2").select("run", "frame", "region", "core_x", "core_y")
     return finish(live.track_stream(replay(spark, d, "t10-in"), 2.0, 3), "t10")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wakeframe.operators import fields, tracks as ops, vortices
 from wakeframe.plans.registry import query
 from wakeframe.plans.views import GRID, SENSORS, contours, frames, micros, sql, table, tracks
-from wakeframe.plans.vortices import BEST, RAW, raw_regions
+from wakeframe.plans.fields import SMOOTH
+from wakeframe.plans.vortices import BEST, PEAKS, RAW, raw_regions
 
 TK = ["run", "track_id"]
 ORDER = ["frame", "event_id"]
@@ -59,12 +60,54 @@ def w03(spark, sf):
     return ops.cut_series(probe, w02(spark, sf), ["run", "sensor_id"])
 
 
-@query("J07_assign_tracks", "run:i frame:i region:i core_x:6 core_y:6 track_id:i track_distance:6")
+def linking_sql(dets: str, key: str, limit: float, gap: int, winner: str) -> list[str]:
+    """Frame-by-frame linking as a recursive CTE whose rows carry the live tracks as a list.
+
+    A track offers its nearest detection; of the offers for one detection the least
+    by ``winner`` (fields of the offer) takes it.
+    """
+    track = "STRUCT(id BIGINT, f BIGINT, x DOUBLE, y DOUBLE)[]"
+    row = "STRUCT(r BIGINT, x DOUBLE, y DOUBLE, id BIGINT, dist DOUBLE)[]"
+    return [
+        f"byf AS (SELECT run, frame, list({{'r': {key}::BIGINT, 'x': x::DOUBLE, 'y': y::DOUBLE}} ORDER BY {key}) AS d FROM {dets} GROUP BY run, frame)",
+        "allf AS (SELECT fr.run, fr.frame, coalesce(d, []) AS d FROM fr LEFT JOIN byf USING (run, frame))",
+        f"""lnk AS (SELECT DISTINCT run, -1 AS frame, []::{track} AS live, 0::BIGINT AS fresh, []::{row} AS done FROM fr
+        UNION ALL SELECT run, frame, list_concat(list_filter(alive, lambda t: NOT list_contains(list_transform(done, lambda o: o.id), t.id)),
+          list_transform(done, lambda o: {{'id': o.id, 'f': frame::BIGINT, 'x': o.x, 'y': o.y}})) AS live, fresh + len(list_filter(done, lambda o: o.dist IS NULL)) AS fresh, done FROM
+        (SELECT run, frame, alive, fresh, list_transform(won, lambda p, i: {{'r': p.r, 'x': p.x, 'y': p.y, 'id': CASE WHEN p.w IS NULL
+          THEN fresh + len(list_filter(won, lambda q, j: j < i AND q.w IS NULL)) ELSE p.w.id END, 'dist': p.w.dist}}) AS done FROM
+        (SELECT run, frame, alive, fresh, list_transform(d, lambda p, i: {{'r': p.r, 'x': p.x, 'y': p.y, 'w': list_sort(list_transform(
+          list_filter(offers, lambda o: o.k = i), lambda o: {winner}))[1]}}) AS won FROM
+        (SELECT run, frame, alive, fresh, d, list_filter(list_transform(alive, lambda t: list_sort(list_transform(d, lambda p, i:
+          {{'dist': sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2)), 'k': i, 'id': t.id}}))[1]), lambda o: o.dist < {limit}) AS offers FROM
+        (SELECT s.run, n.frame, list_filter(s.live, lambda t: n.frame - t.f <= {gap}) AS alive, s.fresh, n.d FROM lnk s JOIN allf n ON n.run = s.run AND n.frame = s.frame + 1)))))""",
+        "linked AS (SELECT run, frame, o.r, o.x, o.y, o.id, o.dist FROM (SELECT run, frame, unnest(done) AS o FROM lnk))",
+    ]
+
+
+NEAREST_FIRST = "{'dist': o.dist, 'id': o.id}"
+OLDEST_FIRST = "{'id': o.id, 'dist': o.dist}"
+LINK = [RAW, "dts AS (SELECT run, frame, region, core_x AS x, core_y AS y FROM reg WHERE area >= 2)", *linking_sql("dts", "region", 2.0, 3, NEAREST_FIRST)]
+LINKED = "SELECT run, frame, r AS region, x AS core_x, y AS core_y, id AS track_id, dist AS track_distance FROM linked"
+
+
+@query("J07_assign_tracks", "run:i frame:i region:i core_x:6 core_y:6 track_id:i track_distance:6", sql("cells", LINKED, *LINK))
 def j07(spark, sf):
     return ops.assign_tracks(raw_regions(spark, sf).filter("area >= 2"), 2.0, 3)
 
 
-@query("J08_assign_tracks_in_order", "run:i frame:i x:i y:i value:6 track_id:i")
+@query(
+    "J08_assign_tracks_in_order",
+    "run:i frame:i x:i y:i value:6 track_id:i",
+    sql(
+        "cells ring",
+        "SELECT run, frame, l.x, l.y, value, id AS track_id FROM linked l JOIN dts USING (run, frame, r)",
+        SMOOTH,
+        PEAKS,
+        "dts AS (SELECT run, frame, x, y, value, row_number() OVER (PARTITION BY run, frame ORDER BY (value < 0)::INT, x, y) AS r FROM pd WHERE distance >= 1)",
+        *linking_sql("dts", "r", 2.0, 1000000, OLDEST_FIRST),
+    ),
+)
 def j08(spark, sf):
     peaks = vortices.detect_peaks(contours(spark, sf), GRID, "v", 0.02, 5, 1.0, poly="poly", distance_min=1.0)
     return ops.assign_tracks_in_order(peaks, 2.0)
