@@ -142,7 +142,30 @@ def q08(spark, sf):
     return spectra(spark, sf).select("run", "frame", ops.dominant(F.col("spec")).alias("d")).select("run", "frame", "d.*")
 
 
-@query("Q09_detrend_adaptive", "run:i frame:i pos:i p:6", None)
+def smooth_pass(name: str, src: str) -> str:
+    """One pass of a second-order low-pass whose taps are columns of the row, from its steady state."""
+    return f"""{name} AS (SELECT run, frame, e, b0, b1, a1, a2, 1::BIGINT AS m, y, b1 * x - a1 * y + z1 AS z0, b0 * x - a2 * y AS z1 FROM
+      (SELECT *, e[1] AS x, e[1] AS y, (b0 - a2) * e[1] AS z1 FROM {src}) UNION ALL
+      SELECT run, frame, e, b0, b1, a1, a2, m, y, b1 * x - a1 * y + z1, b0 * x - a2 * y FROM (SELECT *, b0 * x + z0 AS y FROM
+      (SELECT run, frame, e, b0, b1, a1, a2, m + 1 AS m, e[m + 1] AS x, z0, z1 FROM {name} WHERE m < len(e))))"""
+
+
+DETREND = [
+    """tap AS (SELECT run, frame, k * k / d AS b0, 2 * k * k / d AS b1, 2 * (k * k - 1) / d AS a1, (1 - sqrt(2) * k + k * k) / d AS a2 FROM
+      (SELECT run, frame, k, 1 + sqrt(2) * k + k * k AS d FROM (SELECT run, frame, tan(pi() * freq / 100) AS k FROM dom WHERE freq > 0 AND freq < 50)))""",
+    """ext AS (SELECT t.*, list_concat(list_concat(list_transform(range(9, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v),
+      list_transform(range(1, 10), lambda i: 2 * v[64] - v[64 - i])) AS e FROM tap t JOIN fr USING (run, frame))""",
+    smooth_pass("fwd", "ext"),
+    "turned AS (SELECT run, frame, b0, b1, a1, a2, list(y ORDER BY m DESC) AS e FROM fwd GROUP BY ALL)",
+    smooth_pass("bwd", "turned"),
+]
+
+
+@query(
+    "Q09_detrend_adaptive",
+    "run:i frame:i pos:i p:6",
+    sql("cells", "SELECT b.run, b.frame, 82 - m - 9 AS pos, f.v[82 - m - 9 + 1] - y AS p FROM bwd b JOIN fr f USING (run, frame) WHERE 82 - m - 9 BETWEEN 0 AND 63", SPEC_SQL, DOM_SQL, *DETREND),
+)
 def q09(spark, sf):
     d = spectra(spark, sf).withColumn("cutoff", ops.dominant(F.col("spec"))["freq"])
     return d.select("run", "frame", F.posexplode(ops.detrend_adaptive(F.col("v"), F.col("cutoff"), 100.0)).alias("pos", "p"))

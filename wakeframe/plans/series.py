@@ -181,7 +181,25 @@ def q11(spark, sf):
     return long(segments(spark, sf).withColumn("p", arrays.resample_linear(F.col("p"), F.lit(40))))
 
 
-@query("Q12_resample_cubic", SP)
+# Natural spline: elimination forwards, substitution backwards, one knot a step.
+SPLINE = [
+    "knots AS (SELECT snapshot, any_value(length) AS n, list(p ORDER BY pos) AS p FROM ser GROUP BY snapshot)",
+    """down AS (SELECT snapshot, n, p, 0::BIGINT AS i, []::DOUBLE[] AS c, []::DOUBLE[] AS d FROM knots WHERE n >= 4 UNION ALL
+      SELECT snapshot, n, p, i + 1, list_append(c, 1 / (4 - coalesce(c[-1], 0))),
+      list_append(d, (6 * (p[i + 3] - 2 * p[i + 2] + p[i + 1]) * (n - 1) * (n - 1) - coalesce(d[-1], 0)) / (4 - coalesce(c[-1], 0))) FROM down WHERE i < n - 2)""",
+    """up AS (SELECT snapshot, n, p, c, d, i, [0.0::DOUBLE] AS m FROM down WHERE i = n - 2 UNION ALL
+      SELECT snapshot, n, p, c, d, i - 1, list_prepend(d[i] - c[i] * m[1], m) FROM up WHERE i > 0)""",
+    """spl AS (SELECT snapshot, k AS pos, (1 - t) * p[lo + 1] + t * p[lo + 2] + ((pow(1 - t, 3) - (1 - t)) * m[lo + 1] + (pow(t, 3) - t) * m[lo + 2]) / (6.0::DOUBLE * (n - 1) * (n - 1)) AS p FROM
+      (SELECT *, x - lo AS t FROM (SELECT *, least(floor(x), n - 2)::BIGINT AS lo FROM (SELECT snapshot, n, p, list_prepend(0.0::DOUBLE, m) AS m, k, k * (n - 1) / 39.0::DOUBLE AS x
+      FROM up, range(40) r(k) WHERE i = 0))))""",
+]
+
+
+@query(
+    "Q12_resample_cubic",
+    SP,
+    sql("ser", "SELECT * FROM spl UNION ALL SELECT snapshot, pos, p FROM rs WHERE snapshot IN (SELECT snapshot FROM seg WHERE length < 4)", resample_sql(40), *SPLINE),
+)
 def q12(spark, sf):
     return long(segments(spark, sf).withColumn("p", ops.resample_cubic(F.col("p"), 40)))
 
