@@ -202,12 +202,15 @@ def test_pod_matches_numpy(flow):
 
 
 def test_shift_mode_basis_is_orthonormal(spark, flow):
-    _, df = flow
+    data, df = flow
     starts = spark.createDataFrame([(0, 1), (1, 2)], "run int, start int")
-    basis = modal.shift_mode_basis(df, starts, 4).toPandas()
-    for _, part in basis.groupby("run"):
-        m = np.stack(part["phi"].to_numpy())
+    basis = modal.shift_mode_basis(df, starts, 4)
+    coef = modal.project_frames(df, basis).toPandas()
+    for run, part in modal.block_cells(basis, "phi").toPandas().groupby("run"):
+        m = np.stack(part.sort_values("cell")["phi"].to_numpy())
         np.testing.assert_allclose(m.T @ m, np.eye(4), atol=1e-8)
+        a = coef[coef["run"] == run].sort_values(["frame", "mode"])["a"].to_numpy().reshape(6, 4)
+        np.testing.assert_allclose(a, data[run] @ m, atol=1e-9)
 
 
 def test_pressure_modes_match_svd(spark):

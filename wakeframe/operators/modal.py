@@ -256,11 +256,10 @@ def sweep(df: DataFrame, a: str, b: str, col: str = "v") -> DataFrame:
 
 
 def shift_mode_basis(df: DataFrame, starts: DataFrame, n_modes: int, col: str = "v") -> DataFrame:
-    """Orthonormal basis of the leading modes of the final period plus the mean flow, with the
-    energy of the full data on it.
+    """(run, block, phi): orthonormal cells x modes blocks of the final period's leading modes and the mean flow.
 
-    Columns are found per cell, then made orthonormal through their k x k Gram matrix
-    (Cholesky), never by gathering cells. Returns (run, cell, basis ARRAY).
+    ``starts`` gives the frame at which each run's final period begins. The columns are
+    made orthonormal through their k x k Gram matrix, never by gathering cells.
     """
     rows = cell_blocks(df, col, centred=False).join(starts.select("run", "start"), "run")
     late = lambda m, start: m[start:] - m[start:].mean(axis=0)
@@ -272,11 +271,11 @@ def shift_mode_basis(df: DataFrame, starts: DataFrame, n_modes: int, col: str =
         return np.vstack([modes, m.mean(axis=0)]).T
 
     phi = rows.join(basis.select("run", "basis"), "run").withColumn("phi", _matrix_udf(columns, "x", "start", "basis"))
-    return orthonormal(block_cells(phi, "phi"))
+    return orthonormal(phi.select("run", "block", "phi"))
 
 
 def orthonormal(phi: DataFrame) -> DataFrame:
-    """Gram-Schmidt of column arrays ``phi`` over the cells of a run, by Cholesky of their Gram matrix.
+    """Gram-Schmidt of the columns of cells x k blocks over a run, by Cholesky of their Gram matrix.
 
     A second round repairs the digits the first loses when columns are nearly parallel.
     """
@@ -286,21 +285,19 @@ def orthonormal(phi: DataFrame) -> DataFrame:
         low = np.linalg.cholesky(m / np.outer(scale, scale) + 1e-14 * np.eye(len(m)))
         return pd.DataFrame({"w": [(np.linalg.inv(low) / scale[None, :]).ravel()]})
 
-    @F.pandas_udf("array<double>")
-    def apply(x: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(m, float).reshape(len(r), len(r)) @ np.asarray(r, float) for r, m in zip(x, w)], dtype=object)
-
+    turn = lambda m, w: m @ np.asarray(w, float).reshape(m.shape[1], m.shape[1]).T
     for _ in range(2):
-        w = _solve(gram(phi, ["run"], F.col("phi")), ["run"], "w array<double>", one)
-        phi = phi.join(w, "run").select("run", "cell", apply("phi", "w").alias("phi"))
+        w = _solve(gram(phi, ["run"], _matrix_udf(lambda m: m.T, "phi"), matrices=True), ["run"], "w array<double>", one)
+        phi = phi.join(w, "run").select("run", "block", _matrix_udf(turn, "phi", "w").alias("phi"))
     return phi
 
 
 def project_frames(df: DataFrame, basis: DataFrame, col: str = "v") -> DataFrame:
-    """(run, frame, mode, a): every frame on a basis given per cell."""
-    cells = long_cells(df, col).join(basis, ["run", "cell"])
-    long = cells.select("run", "frame", "v", F.posexplode("phi").alias("mode", "c"))
-    return long.groupBy("run", "frame", "mode").agg(F.sum(F.col("v") * F.col("c")).alias("a"))
+    """(run, frame, mode, a): every frame on a basis in blocks; blocks add up their shares."""
+    share = _matrix_udf(lambda m, b: m @ np.stack(b).astype(float), "x", "phi")
+    j = cell_blocks(df, col, centred=False).join(basis, ["run", "block"]).select("run", share.alias("a"))
+    long = j.select("run", F.posexplode("a").alias("frame", "_r")).select("run", "frame", F.posexplode("_r").alias("mode", "a"))
+    return long.groupBy("run", "frame", "mode").agg(F.sum("a").alias("a"))
 
 
 def modal_energy(coeffs: DataFrame) -> DataFrame:

@@ -214,6 +214,7 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 # --- features ---------------------------------------------------------------------------
 
+# Feature names and their order (fixed names: models are trained on them).
 FEATURES = [
     "duration_frames", "duration_ratio", "displacement", "path_length", "mean_speed", "max_speed",
     "mean_core_q", "max_core_q", "mean_abs_core_q", "mean_radius", "max_radius", "mean_area", "max_area",

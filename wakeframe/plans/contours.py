@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeframe.functions import geometry as geo
 from wakeframe.operators import contours as ops, fields
+from wakeframe.plans.filters import smooth_pass
 from wakeframe.plans.registry import query
 from wakeframe.plans.fields import UVW, inner, nb
 from wakeframe.plans.views import GRID, OCTAGON, contours, frames, sql, velocity
@@ -260,20 +261,51 @@ def a39(spark, sf):
     return ops.bounding_box(contours(spark, sf), ["run"])
 
 
+TRAJECTORY = """SELECT a.run, abs(arg_max(a.x, a.frame) - arg_min(a.x, a.frame)) * 0.004 AS distance, avg(hypot(a.x - b.x, a.y - b.y)) * 0.004 AS length, count(*) / 100 AS duration
+        FROM ring a JOIN ring b ON a.run = b.run AND a.frame = b.frame AND a.vertex = 0 AND b.vertex = 4 GROUP BY a.run"""
+
+
+@query("A37_trajectory_summary", "run:i distance:6 length:6 duration:6", sql("ring", TRAJECTORY))
+def a37(spark, sf):
+    return ops.trajectory_summary(contours(spark, sf), 0, 4, 0.004, 100.0)
+
+
+def track_spectrum(name: str, src: str) -> str:
+    """Amplitudes of 50-frame tracks (run, i, y) at 100 frames a second."""
+    part = lambda fn: f"pow(sum((y - mu) * {fn}(2 * pi() * k * i / 50)), 2)"
+    return f"""{name} AS (SELECT run, k, k * 2.0 AS freq, 2.0 / 50 * sqrt({part('cos')} + {part('sin')}) AS amp FROM
+      (SELECT *, avg(y) OVER (PARTITION BY run) AS mu FROM {src}), range(25) r(k) GROUP BY run, k)"""
+
+
+BEAT = [
+    "head AS (SELECT run, frame AS i, y FROM ring WHERE vertex = 0)",
+    "tail AS (SELECT run, list(y ORDER BY frame) AS v FROM ring WHERE vertex = 4 GROUP BY run)",
+    track_spectrum("hsp", "head"),
+    """tap AS (SELECT run, 0 AS frame, k * k / d AS b0, 2 * k * k / d AS b1, 2 * (k * k - 1) / d AS a1, (1 - sqrt(2) * k + k * k) / d AS a2 FROM
+      (SELECT run, k, 1 + sqrt(2) * k + k * k AS d FROM (SELECT run, tan(pi() * max(freq) FILTER (amp > top / 10) / 100) AS k FROM
+      (SELECT *, max(amp) OVER (PARTITION BY run) AS top FROM hsp) GROUP BY run)))""",
+    """ext AS (SELECT t.*, list_concat(list_concat(list_transform(range(9, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v),
+      list_transform(range(1, 10), lambda i: 2 * v[50] - v[50 - i])) AS e FROM tap t JOIN tail USING (run))""",
+    smooth_pass("fwd", "ext"),
+    "turned AS (SELECT run, frame, b0, b1, a1, a2, list(y ORDER BY m DESC) AS e FROM fwd GROUP BY ALL)",
+    smooth_pass("bwd", "turned"),
+    "swing AS (SELECT b.run, 68 - m - 9 AS i, t.v[68 - m - 9 + 1] - b.y AS y FROM bwd b JOIN tail t USING (run) WHERE 68 - m - 9 BETWEEN 0 AND 49)",
+    track_spectrum("ssp", "swing"),
+    "beat AS (SELECT run, arg_max(freq, (amp, -k)) AS frequency FROM ssp GROUP BY run)",
+    f"trj AS ({TRAJECTORY})",
+]
+
+
 @query(
-    "A37_trajectory_summary",
-    "run:i distance:6 length:6 duration:6",
+    "A37_tailbeat",
+    "run:i frequency:4 strouhal:4 reynolds:3 reynolds_printed:1 lengths:4 beats:4",
     sql(
         "ring",
-        """SELECT a.run, abs(arg_max(a.x, a.frame) - arg_min(a.x, a.frame)) * 0.004 AS distance, avg(hypot(a.x - b.x, a.y - b.y)) * 0.004 AS length, count(*) / 100 AS duration
-        FROM ring a JOIN ring b ON a.run = b.run AND a.frame = b.frame AND a.vertex = 0 AND b.vertex = 4 GROUP BY a.run""",
+        """SELECT run, frequency, frequency * length / (distance / duration) AS strouhal, distance / duration * length / 1e-6 AS reynolds,
+        length * length / (distance / duration) * 1000000 AS reynolds_printed, distance / length AS lengths, duration * frequency AS beats FROM trj JOIN beat USING (run)""",
+        *BEAT,
     ),
 )
-def a37(spark, sf):
-    return ops.trajectory_summary(contours(spark, sf), 0, 4, 0.004, 100.0)
-
-
-@query("A37_tailbeat", "run:i frequency:4 strouhal:4 reynolds:3 reynolds_printed:1 lengths:4 beats:4")
 def a37t(spark, sf):
     return ops.tailbeat(ops.trajectory_summary(contours(spark, sf), 0, 4, 0.004, 100.0), 100.0)
 

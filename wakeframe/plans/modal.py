@@ -78,7 +78,7 @@ def shift_basis(spark, sf):
 @query("M06_shift_mode_basis", "run:i mode:i norm:6 energy:5")
 def m06(spark, sf):
     f, basis = shift_basis(spark, sf)
-    norm = basis.select("run", F.posexplode("phi").alias("mode", "c")).groupBy("run", "mode").agg(F.sum(F.col("c") * F.col("c")).alias("norm"))
+    norm = ops.block_cells(basis, "phi").select("run", F.posexplode("phi").alias("mode", "c")).groupBy("run", "mode").agg(F.sum(F.col("c") * F.col("c")).alias("norm"))
     a = ops.project_frames(f, basis).groupBy("run", "mode").agg(F.sum(F.col("a") * F.col("a")).alias("energy"))
     return norm.join(a, ["run", "mode"])
 
