@@ -236,21 +236,23 @@ def a25(spark, sf):
     return a24(spark, sf).join(a23(spark, sf), ["re", "h"])
 
 
-POSITION = "pos AS (SELECT re, log10(h) AS x, log10(pow(max(p) - min(p), -4)) AS y FROM swp GROUP BY re, h)"
-FIT = f"""fit AS (SELECT re, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n,
-  sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS std_err FROM pos GROUP BY re)"""
+POSITION = "pos AS (SELECT re, log10(h) AS x, log10(pow(nullif(max(p) - min(p), 0), -4)) AS y FROM swp GROUP BY re, h)"
+FIT = f"""fit AS (SELECT re, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_count(y, x) AS n,
+  sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)) AS std_err FROM pos GROUP BY re)"""
+# Student quantiles by degrees of freedom, as many as a sweep has heights.
+QUANTILES = "tq AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {float(alignment.t_quantile(0.995, k))!r}::DOUBLE)" for k in range(1, 49)) + ") t(df, q))"
 
 
 def slopes(spark, sf):
     g = sweep(spark, sf).groupBy("re", "h").agg((F.max("p") - F.min("p")).alias("amp"))
-    d = g.select("re", F.log10("h").alias("x"), F.log10(F.pow("amp", F.lit(-4.0))).alias("y"))
+    d = g.select("re", F.log10("h").alias("x"), F.log10(F.pow(F.nullif("amp", F.lit(0.0)), F.lit(-4.0))).alias("y"))
     return ops.log_regression(d, "re", "x", "y")
 
 
 @query(
     "A26_log_regression",
     "re:i slope:6 intercept:6 r2:6 std_err:6 n:i low:6 high:6",
-    sql("", f"SELECT *, slope - {alignment.t_quantile(0.995, 48)!r} * std_err AS low, slope + {alignment.t_quantile(0.995, 48)!r} * std_err AS high FROM fit", SWEEP, POSITION, FIT),
+    sql("", "SELECT *, slope - q * std_err AS low, slope + q * std_err AS high FROM fit JOIN tq ON df = n - 2", SWEEP, POSITION, FIT, QUANTILES),
 )
 def a26(spark, sf):
     return slopes(spark, sf)
