@@ -358,3 +358,19 @@ def test_regions_cover_the_mask(spark):
     r = raw_regions(spark, SF).agg(F.sum("area")).first()[0]
     m = views.cells(spark, SF).filter("v > 0.05").count()
     assert r == m
+
+
+def test_annotation_files_span_lines(spark, tmp_path):
+    doc = """{
+  "shapes": [{"label": "fish", "points": [[1.5, 2.0], [3.0, 4.5]], "group_id": null, "shape_type": "polygon", "flags": {}}],
+  "imagePath": "frame-0001.png", "imageData": null, "imageHeight": 64, "imageWidth": 64
+}"""
+    (tmp_path / "frame-0001.json").write_text(doc)
+    rows = scans.read_annotations(spark, str(tmp_path)).orderBy("vertex").collect()
+    assert [(r["imagePath"], r["label"], r["x"], r["y"]) for r in rows] == [("frame-0001.png", "fish", 1.5, 2.0), ("frame-0001.png", "fish", 3.0, 4.5)]
+
+
+def test_decimal_comma_files(spark):
+    path = scratch(spark, "comma")
+    sinks.write_decimal_comma(spark.createDataFrame([(1, 2.5)], "k int, v double"), path)
+    assert [r[0] for r in spark.read.text(path).collect()] == ["k;v", "1;2,500000"]

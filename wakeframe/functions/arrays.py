@@ -106,7 +106,3 @@ def difference(arr: Column) -> Column:
         )
 
     return let(arr, run)
-
-
-def decimate(arr: Column, step: int, first: int = 0) -> Column:
-    return F.filter(arr, lambda v, i: (i >= first) & ((i - first) % step == 0))

@@ -135,24 +135,6 @@ def zero_phase(df: DataFrame, keys: Sequence[str], b, a, n: str = "n", value: st
     return out.filter((F.col(n) >= 0) & (F.col(n) < F.col("_size"))).drop("_size")
 
 
-def zero_phase_arrays(col: Column, b, a) -> Column:
-    """Forward-backward filter of one bounded series per row; too short a series is NULL."""
-    pad = 3 * max(len(a), len(b))
-
-    @F.pandas_udf("array<double>")
-    def run(rows: pd.Series) -> pd.Series:
-        out: list = [None] * len(rows)
-        lengths = rows.map(lambda r: -1 if r is None else len(r)).to_numpy()
-        for n in np.unique(lengths[lengths > pad]):
-            at = np.flatnonzero(lengths == n)
-            y = both_ways(np.stack([rows.iloc[i] for i in at]).astype(float), b, a)
-            for i, r in zip(at, y):
-                out[i] = r
-        return pd.Series(out, dtype=object)
-
-    return run(col)
-
-
 def high_pass_by_speed(df: DataFrame, keys: Sequence[str], re: float, fs: float, **kw) -> DataFrame:
     """Zero-phase high-pass of order 4 whose cutoff follows the Reynolds number."""
     b, a = butterworth(4, 0.004 * re / 1000, "high", fs)

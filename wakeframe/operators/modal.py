@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeframe.operators.fields import long_cells
 
 
 def gram(df: DataFrame, keys: Sequence[str], rows: Column, matrices: bool = False) -> DataFrame:

@@ -51,13 +51,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A literal dimension (sensors, thresholds, weights): fixed size, safe to broadcast."""
-    if len(rows) > BROADCAST_ROW_LIMIT:
-        raise ValueError("literal tables are meant for small dimensions")
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path beside the checkpoints, shared by the cluster's machines."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
