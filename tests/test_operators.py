@@ -372,5 +372,5 @@ def test_annotation_files_span_lines(spark, tmp_path):
 
 def test_decimal_comma_files(spark):
     path = scratch(spark, "comma")
-    sinks.write_decimal_comma(spark.createDataFrame([(1, 2.5)], "k int, v double"), path)
+    sinks.write_decimal_comma(spark.createDataFrame([(1, 2.5)], "k int, v double").coalesce(1), path)
     assert [r[0] for r in spark.read.text(path).collect()] == ["k;v", "1;2,500000"]
