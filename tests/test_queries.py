@@ -11,7 +11,7 @@ from conftest import SF
 PICKS = """P06 P10 G02 G08 G17 G19 G21 J24 A05 A08 A28 A02 J06 W02 W03 J09 J14 A10 A14 P12 J10 Q02 Q05 Q08 N07 Q11 Q13 W07 W09 W11 W22 J11
 Q18 Q20 Q21 A20 A26 J17 W13 W20 A31 A35 M01 M03 M07 M09 M12 L01 L09 L10 J12 J13 A17 A18 S01 S06 S13 S28 K02 K06 T03 T11 F01""".split()
 oracles = entry.oracle_sql()
-keys = [k for k in oracles if os.environ.get("ALL_QUERIES") or re.match(r"[A-Z]\d\d", k).group() in PICKS]
+keys = [k for k in oracles if (m := re.match(r"[A-Z]\d\d", k)) and (os.environ.get("ALL_QUERIES") or m.group() in PICKS)]
 
 
 def sorted_rows(rows):
