@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import packed_ids, packing, tokens
+from wakeframe.llm import exact, lines, packed_ids, packing, sharding, tokens
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -48,3 +48,58 @@ def op10(spark, sf_dir):
     pieces = tokens.tokenize(table(spark, sf_dir, "documents"), vocabulary(), max_length=SEQUENCE)
     items = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(items, SEQUENCE, ["doc_id", "piece"], carry=["start", "ids_crc32"])
+
+
+@query(
+    "op3_line_spread",
+    f"""
+    WITH l AS (
+        SELECT doc_id, coalesce('s' || source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents WHERE text IS NOT NULL
+    ), k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l), b AS (
+        SELECT key, min(doc_id) AS first FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= {lines.MIN_SITES}
+    ), m AS (
+        SELECT k.doc_id, k.pos, k.line, (b.key IS NOT NULL AND k.doc_id <> b.first) AS gone FROM k LEFT JOIN b USING (key)
+    ), t AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+        FROM m GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(t.text, '')) AS text_sha256
+    FROM (SELECT doc_id FROM documents) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op3(spark, sf_dir):
+    """Documents without the lines that ten or more sources share."""
+    cleaned = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cleaned.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
+
+
+SHARDS = 8
+
+
+@query("op5_feistel_shards")
+def op5(spark, sf_dir):
+    """All documents in eight shards whose row counts differ by one at most. No groups: copies are dealt singly."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.shard(rows, ["doc_id", "size", "text_crc32"], SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op9_exact_groups",
+    """
+    SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def op9(spark, sf_dir):
+    """Groups of equal texts; the largest id stays."""
+    return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
