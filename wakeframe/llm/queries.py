@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import exact, lines, packed_ids, packing, sharding, tokens
+from wakeframe.llm import exact, lines, packed_ids, packing, phrase_index, sharding, tokens
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -103,3 +103,39 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     """Groups of equal texts; the largest id stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def _words_sql(source: str, key: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"SELECT {key}, {words} AS w FROM {source}"
+
+
+@query(
+    "op8_phrase_index",
+    f"""
+    WITH d AS ({_words_sql("documents", "doc_id")}), b AS ({_words_sql("benchmark", "item_id")}),
+    phrases AS (
+        SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+    ), sizes AS (SELECT DISTINCT n FROM phrases), runs AS (
+        SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n)
+    ), hits AS (SELECT doc_id, i, n, item_id FROM runs JOIN phrases USING (n, phrase)), words AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op8(spark, sf_dir):
+    """Words of all documents that lie in ten-word phrases of the benchmark."""
+    found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
