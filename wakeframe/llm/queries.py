@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import exact, lines, packed_ids, packing, phrase_index, sharding, tokens
+from wakeframe.llm import exact, lines, minhash, packed_ids, packing, phrase_index, sharding, tokens
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -139,3 +139,9 @@ def op8(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated"
     )
+
+
+@query("op6_minhash_groups")
+def op6(spark, sf_dir):
+    """Groups of near copies among all documents; the smallest id stays."""
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
