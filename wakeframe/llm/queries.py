@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import exact, lines, minhash, packed_ids, packing, phrase_index, sharding, tokens
+from wakeframe.llm import exact, lines, minhash, packed_ids, packing, phrase_index, quality, sharding, tokens
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +145,20 @@ def op8(spark, sf_dir):
 def op6(spark, sf_dir):
     """Groups of near copies among all documents; the smallest id stays."""
     return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+KEEP_SCORE = 0.7
+
+
+def held_out():
+    """Rows that no classifier learns from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query("op4_quality_rules")
+def op4(spark, sf_dir):
+    """Quality of all documents by rules learnt from three quarters of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules = quality.train(docs, labels.filter(~held_out()))
+    scored = quality.score(docs.select("doc_id", "text"), rules)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
