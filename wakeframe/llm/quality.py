@@ -23,7 +23,7 @@ from wakeframe.llm.words import SPACED, Words, blocks, shingles
 
 # Labelled rows that a model is fitted on, at most: those whose id has the smallest hash.
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, L1 = 15, 3, 0.002
+TREES, DEPTH, L1 = 20, 3, 0.0005
 MIN_NODE = 20
 
 _CLASSES = ["upper", "lower", "digit", "space", "feed", "stop", "exclaim", "bar", "sign", "foreign", "rest"]
@@ -42,7 +42,7 @@ def _byte_classes() -> np.ndarray:
 
 STATISTICS = [
     "words", "word_length", "upper", "digit", "stop", "exclaim", "bar", "sign", "foreign", "space", "line_words", "distinct_words",
-    "distinct_runs", "top_word", "signed_words", "capital_words",
+    "distinct_runs", "variety", "top_word", "signed_words", "capital_words",
 ]
 
 
@@ -79,7 +79,7 @@ def _statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         [
             np.log1p(words), (chars - c["space"] - c["feed"]) / some, c["upper"] / letters, c["digit"] / chars, c["stop"] / chars,
             c["exclaim"] / chars, c["bar"] / chars, c["sign"] / chars, c["foreign"] / letters, c["space"] / chars, words / (c["feed"] + 1),
-            distinct / some, distinct_runs, top / some, signed / some, capital / some,
+            distinct / some, distinct_runs, np.log1p(distinct) / np.log1p(some), top / some, signed / some, capital / some,
         ]
     )
 
