@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import exact, lines, minhash, packed_ids, packing, phrase_index, quality, sharding, tokens
+from wakeframe.llm import exact, lines, minhash, packed_ids, packing, personal, phrase_index, quality, sharding, tokens
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -162,3 +162,15 @@ def op4(spark, sf_dir):
     rules = quality.train(docs, labels.filter(~held_out()))
     scored = quality.score(docs.select("doc_id", "text"), rules)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+@query("op2_personal_spans")
+def op2(spark, sf_dir):
+    """Personal data in all documents: base spans, and those that the classifier adds."""
+    found = personal.find_spans(table(spark, sf_dir, "documents"))
+    place = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in personal.BASE]
+    digest = F.sha2(F.array_join(F.transform(base, place), ",").cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.array_join(F.transform("spans", place), ",").alias("spans"))
