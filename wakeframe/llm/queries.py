@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import exact, lines, minhash, packed_ids, packing, personal, phrase_index, quality, sharding, tokens
+from wakeframe.llm import exact, licenses, lines, minhash, packed_ids, packing, personal, phrase_index, quality, sharding, tokens
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -174,3 +174,40 @@ def op2(spark, sf_dir):
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in personal.BASE]
     digest = F.sha2(F.array_join(F.transform(base, place), ",").cast("binary"), 256)
     return found.select("doc_id", *counts, digest.alias("base_sha256"), F.array_join(F.transform("spans", place), ",").alias("spans"))
+
+
+def _license_sql() -> str:
+    """Containment in every window, without sketches: the windows and sets that the operator defines."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    values = ", ".join(f"('{k}', '{v}')" for k, v in licenses.NOTICES.items())
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH t AS (SELECT template_id, {words} AS w FROM (VALUES {values}) AS v(template_id, text)),
+    s AS (
+        SELECT DISTINCT template_id, n, array_to_string(w[i : i + n - 1], ' ') AS shingle
+        FROM (SELECT template_id, w, least(len(w), {licenses.WORDS}) AS n, unnest(range(1, greatest(len(w) - {licenses.WORDS - 1}, 1) + 1)) AS i FROM t)
+    ), sizes AS (
+        SELECT template_id, count(*) AS total, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS size FROM s GROUP BY template_id
+    ), d AS (SELECT doc_id, {words} AS w FROM documents), runs AS (
+        SELECT doc_id, n, i - 1 AS pos, array_to_string(w[i : i + n - 1], ' ') AS shingle
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM s) ON len(w) >= n)
+    ), found AS (
+        SELECT doc_id, template_id, total, shingle, pos // size - back AS win
+        FROM runs JOIN s USING (n, shingle) JOIN sizes USING (template_id), (VALUES (0), (1)) AS b(back)
+    ), good AS (
+        SELECT doc_id, template_id FROM found WHERE win >= 0 GROUP BY doc_id, template_id, win
+        HAVING 100 * count(DISTINCT shingle) >= {licenses.PERCENT} * any_value(total)
+    ), listed AS (
+        SELECT doc_id, count(*) AS n_licenses, string_agg(template_id, ',' ORDER BY template_id) AS licenses
+        FROM (SELECT DISTINCT * FROM good) GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN listed USING (doc_id)
+    """
+
+
+@query("op7_license_scan", _license_sql())
+def op7(spark, sf_dir):
+    """License notices that each document holds."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template_id"])))
+    return found.select("doc_id", F.size(names).cast("bigint").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
