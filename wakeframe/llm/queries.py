@@ -42,12 +42,16 @@ def op1(spark, sf_dir):
 SEQUENCE = 2048
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = tokens.tokenize(docs, vocabulary(), max_length=SEQUENCE)
+    items = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(items, SEQUENCE, ["doc_id", "piece"], carry=["start", "ids_crc32"])
+
+
 @query("op10_best_fit_packing")
 def op10(spark, sf_dir):
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    pieces = tokens.tokenize(table(spark, sf_dir, "documents"), vocabulary(), max_length=SEQUENCE)
-    items = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(items, SEQUENCE, ["doc_id", "piece"], carry=["start", "ids_crc32"])
+    return packed(table(spark, sf_dir, "documents"))
 
 
 @query(
