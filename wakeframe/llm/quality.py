@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wakeframe.llm.stored import stored
+from wakeframe.llm.stored import in_batches, stored
 from wakeframe.llm.words import SPACED, Words, blocks, shingles
 
 # Labelled rows that a model is fitted on, at most: those whose id has the smallest hash.
@@ -99,7 +99,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "statis
 
     if name in docs.columns:
         raise ValueError(f"there is a column {name} already")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))
+    return in_batches(docs, run, StructType([*docs.schema.fields, StructField(name, kind)]))
 
 
 @dataclass(frozen=True)
@@ -180,5 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, rules: Rules, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with ``name`` DOUBLE between 0 and 1, for every row, also empty and null texts. No shuffle."""
-    return with_statistics(docs, text_col, "_statistics").withColumn(name, rules.score("_statistics")).drop("_statistics")
+    """``docs`` with ``name`` DOUBLE between 0 and 1, for every row, also empty and null texts. No shuffle.
+
+    Other columns pass through; a column called ``name`` is replaced. An empty table gives no rows.
+    """
+    own = "statistics"
+    while own in docs.columns:
+        own += "_"
+    return with_statistics(docs, text_col, own).withColumn(name, rules.score(own)).drop(own)

@@ -50,22 +50,24 @@ def permuted(n: Column, total: int, seed: int = 0) -> Column:
     return F.transform(F.array(walked), lambda x: F.when(x < total, x).otherwise(stuck))[0]
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """(rows with a global 0-based number by ``order``, number of rows).
+def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """((row STRUCT, number BIGINT), number of rows): rows with a global 0-based number by ``order``.
 
     Rows are ranged over the partitions, sorted inside and written once with their place in the partition;
     counts by partition (one row each) give the places before it. Nulls come first; rows that agree in
     ``order`` are numbered in either order.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    base = stored(placed, "numbered")
-    part = F.shiftright("_place", 33)
-    counts = base.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = base.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_before") + local)
-    return numbered.drop("_part", "_place", "_before"), base.count()
+    keys = [f"key{i}" for i in range(len(order))]
+    rows = df.select(F.struct("*").alias("row"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    base = stored(ranged.select("row", F.monotonically_increasing_id().alias("place")), "numbered")
+    part = F.shiftright("place", 33)
+    counts = base.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    local = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = base.withColumn("part", part).join(starts, "part")
+    return numbered.select("row", (F.col("before") + local).alias("number")), base.count()
 
 
 def shard(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> DataFrame:
@@ -76,9 +78,7 @@ def shard(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> DataFr
     counts as the smallest; rows that repeat an id share consecutive numbers. An empty table gives no rows.
     Columns of ``df`` named shard or slot are replaced.
     """
-    numbered, total = number_rows(df.drop("shard", "slot"), order, "_number")
-    place = permuted(F.col("_number"), total, seed)
-    placed = numbered.withColumn("_to", place)
-    return placed.withColumns(
-        {"shard": (F.col("_to") % shards).cast("int"), "slot": ((F.col("_to") - F.col("_to") % shards) / shards).cast("bigint")}
-    ).drop("_number", "_to")
+    numbered, total = number_rows(df.drop("shard", "slot"), order)
+    placed = numbered.select("row", permuted(F.col("number"), total, seed).alias("to"))
+    home = F.col("to") % shards
+    return placed.select("row.*", home.cast("int").alias("shard"), ((F.col("to") - home) / shards).cast("bigint").alias("slot"))
