@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What the formulas below need of columns and of numpy arrays. A ratio with a zero divisor is 0.
+COLUMNS = SimpleNamespace(
+    unit=lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)),
+    ratio=lambda p, q: F.coalesce(p / F.nullif(q, F.lit(0.0)), F.lit(0.0)),
+    hypot=F.hypot,
+)
+ARRAYS = SimpleNamespace(
+    unit=lambda v: np.clip(v, 0.0, 1.0),
+    ratio=lambda p, q: np.where(q == 0, 0.0, p / np.where(q == 0, 1.0, q)),
+    hypot=np.hypot,
+)
+# Gaps up to this length count as contact.
+CONTACT = 1e-9
+
 
 def distance(ax, ay, bx, by) -> Column:
     return F.hypot(ax - bx, ay - by)
@@ -15,50 +32,39 @@ def orient(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def on_segment(ax, ay, bx, by, cx, cy, eps: float = 1e-9) -> Column:
-    """c lies in the bounding box of segment ab, grown by ``eps``."""
-    return cx.between(F.least(ax, bx) - eps, F.greatest(ax, bx) + eps) & cy.between(
-        F.least(ay, by) - eps, F.greatest(ay, by) + eps
-    )
+def on_segment(ax, ay, bx, by, cx, cy, eps: float = CONTACT) -> Column:
+    """c lies in the box around segment ab, grown by ``eps``: no further from its middle than half its sides."""
+    inside = lambda p, q, r: F.abs(2 * r - p - q) <= F.abs(q - p) + 2 * eps
+    return inside(ax, bx, cx) & inside(ay, by, cy)
 
 
-def segments_cross(ax, ay, bx, by, cx, cy, dx, dy, eps: float = 1e-9) -> Column:
-    """Proper crossing of ab and cd, or a collinear touch."""
-    sides = {
-        "c": orient(ax, ay, bx, by, cx, cy),
-        "d": orient(ax, ay, bx, by, dx, dy),
-        "a": orient(cx, cy, dx, dy, ax, ay),
-        "b": orient(cx, cy, dx, dy, bx, by),
-    }
-    proper = (sides["c"] * sides["d"] < 0) & (sides["a"] * sides["b"] < 0)
-    touch = (
-        ((F.abs(sides["c"]) <= eps) & on_segment(ax, ay, bx, by, cx, cy, eps))
-        | ((F.abs(sides["d"]) <= eps) & on_segment(ax, ay, bx, by, dx, dy, eps))
-        | ((F.abs(sides["a"]) <= eps) & on_segment(cx, cy, dx, dy, ax, ay, eps))
-        | ((F.abs(sides["b"]) <= eps) & on_segment(cx, cy, dx, dy, bx, by, eps))
-    )
-    return proper | touch
+def segment_gap(ax, ay, bx, by, cx, cy, dx, dy, on: SimpleNamespace = COLUMNS):
+    """Distance of two segments, 0 where they cross; either may be a point.
+
+    Both are written with a parameter from 0 to 1. The first parameter solves for the lines' closest
+    points and is clamped; then each parameter follows from the other by projection, clamped again.
+    """
+    ux, uy, vx, vy, wx, wy = bx - ax, by - ay, dx - cx, dy - cy, ax - cx, ay - cy
+    uu, vv, uv = ux * ux + uy * uy, vx * vx + vy * vy, ux * vx + uy * vy
+    uw, vw = ux * wx + uy * wy, vx * wx + vy * wy
+    first = on.unit(on.ratio(uv * vw - uw * vv, uu * vv - uv * uv))
+    other = on.unit(on.ratio(uv * first + vw, vv))
+    first = on.unit(on.ratio(uv * other - uw, uu))
+    return on.hypot(wx + first * ux - other * vx, wy + first * uy - other * vy)
+
+
+def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """The segments have a point in common: a crossing, a touch or an overlap."""
+    return segment_gap(ax, ay, bx, by, cx, cy, dx, dy) <= CONTACT
 
 
 def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
-    vx, vy = bx - ax, by - ay
-    along, length2 = vx * (px - ax) + vy * (py - ay), vx * vx + vy * vy
-    t = F.when(along <= 0, F.lit(0.0)).when(length2 <= along, F.lit(1.0)).otherwise(along / length2)
-    return F.hypot(px - (ax + t * vx), py - (ay + t * vy))
+    return segment_gap(ax, ay, bx, by, px, py, px, py)
 
 
 def segments_cross_or_close(ax, ay, bx, by, cx, cy, dx, dy, eps: float) -> Column:
-    """Crossing segments, or segments no further apart than ``eps`` (when positive)."""
-    cross = segments_cross(ax, ay, bx, by, cx, cy, dx, dy)
-    if eps <= 0:
-        return cross
-    gap = F.least(
-        point_segment_distance(ax, ay, cx, cy, dx, dy),
-        point_segment_distance(bx, by, cx, cy, dx, dy),
-        point_segment_distance(cx, cy, ax, ay, bx, by),
-        point_segment_distance(dx, dy, ax, ay, bx, by),
-    )
-    return cross | (gap <= eps)
+    """Segments no further apart than ``eps``, crossing ones included."""
+    return segment_gap(ax, ay, bx, by, cx, cy, dx, dy) <= max(eps, CONTACT)
 
 
 def angle_degrees(ax, ay, bx, by, cx, cy) -> Column:

@@ -60,35 +60,42 @@ class Grid:
 
         return run(*cols)
 
+    def _corner(self, c: Column, n: int) -> Column:
+        """Lower cell of the pair that holds a coordinate, so that the upper one is on the grid."""
+        return F.least(F.floor(c), F.lit(n - 2)).cast("int")
+
     def bilinear(self, arr: Column, px: Column, py: Column) -> Column:
         """Sample at (px, py), clamped half a cell inside the border."""
-        x = F.least(F.greatest(F.lit(0.5), px), F.lit(self.nx - 1.5))
-        y = F.least(F.greatest(F.lit(0.5), py), F.lit(self.ny - 1.5))
-        i = F.least(F.floor(x), F.lit(self.nx - 2)).cast("int")
-        j = F.least(F.floor(y), F.lit(self.ny - 2)).cast("int")
-        s, t = x - i, y - j
-        return s * (t * self.at(arr, i + 1, j + 1) + (1 - t) * self.at(arr, i + 1, j)) + (1 - s) * (
-            t * self.at(arr, i, j + 1) + (1 - t) * self.at(arr, i, j)
-        )
+        px, py = (F.greatest(F.lit(0.5), F.least(c, F.lit(n - 1.5))) for c, n in ((px, self.nx), (py, self.ny)))
+        x0, y0 = self._corner(px, self.nx), self._corner(py, self.ny)
+        return blend(lambda a, b: self.at(arr, x0 + a, y0 + b), px - x0, py - y0)
 
     def floor_sample(self, arr: Column, px: Column, py: Column) -> Column:
-        i = F.least(F.floor(px), F.lit(self.nx - 2)).cast("int")
-        j = F.least(F.floor(py), F.lit(self.ny - 2)).cast("int")
-        return self.at(arr, i, j)
+        return self.at(arr, self._corner(px, self.nx), self._corner(py, self.ny))
 
     def quadratic(self, arr: Column, px: Column, py: Column) -> Column:
-        """Limited quadratic sample on the nearest 3 x 3 cells, bilinear near the border."""
-        i = F.floor(px + 0.5).cast("int")
-        j = F.floor(py + 0.5).cast("int")
-        dx, dy = px - i, py - j
-
-        def line(d, e, f, g):
-            raw = f * (1 - d * d) + (g * (d * d + d) + e * (d * d - d)) * 0.5
-            return F.greatest(F.least(raw, F.greatest(e, f, g)), F.least(e, f, g))
-
-        rows = [line(dx, *[self.at(arr, i + k, j + r) for k in (-1, 0, 1)]) for r in (-1, 0, 1)]
-        near = (i > self.nx - 2) | (i < 1) | (j > self.ny - 2) | (j < 1)
-        return F.when(near, self.bilinear(arr, px, py)).otherwise(line(dy, *rows))
+        """Parabolas through the nearest 3 x 3 cells, held between their values; bilinear at the border."""
+        x0, y0 = F.floor(px + 0.5).cast("int"), F.floor(py + 0.5).cast("int")
+        across = [limited_parabola([self.at(arr, x0 + a, y0 + b) for a in (-1, 0, 1)], px - x0) for b in (-1, 0, 1)]
+        inside = x0.between(1, self.nx - 2) & y0.between(1, self.ny - 2)
+        return F.when(inside, limited_parabola(across, py - y0)).otherwise(self.bilinear(arr, px, py))
+
+
+def blend(corner: Callable, fx, fy):
+    """Linear interpolation along y on both sides, then along x between the two; columns or arrays."""
+    left, right = (corner(a, 0) + (corner(a, 1) - corner(a, 0)) * fy for a in (0, 1))
+    return left + (right - left) * fx
+
+
+def limited_parabola(values: list[Column], at: Column) -> Column:
+    """Lagrange polynomial through the values at -1, 0 and 1, clamped to their range."""
+    total = F.lit(0.0)
+    for k, v in zip((-1, 0, 1), values):
+        weight = F.lit(1.0)
+        for other in {-1, 0, 1} - {k}:
+            weight = weight * (at - other) / (k - other)
+        total = total + weight * v
+    return F.greatest(F.least(total, F.greatest(*values)), F.least(*values))
 
 
 def interior(values: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
