@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.functions.filters import advance, both_ways, butterworth, run_rows, state_space, steady_state
-from wakeframe.session import bounded
+from wakeframe.session import written
 
 CHUNK = 65536
 
@@ -110,7 +110,7 @@ def zero_phase(df: DataFrame, keys: Sequence[str], b, a, n: str = "n", value: st
     """
     keys = list(keys)
     pad = 3 * max(len(a), len(b))
-    ends = bounded(
+    ends = written(
         df.groupBy(*keys).agg(
             (F.max(n) + 1).alias("_size"), F.min_by(value, n).alias("_first"), F.max_by(value, n).alias("_last")
         )

@@ -13,7 +13,7 @@ from wakeframe.functions import arrays
 from wakeframe.functions.filters import natural_spline
 from wakeframe.functions.grid import let
 from wakeframe.operators.ordering import BLOCK, running, windowed
-from wakeframe.session import bounded
+from wakeframe.session import written
 
 # --- scaling ------------------------------------------------------------------------------
 
@@ -235,7 +235,7 @@ def trim_by_trigger(df: DataFrame, keys: Sequence[str], state: Column, t: str) -
     """Rows whose trigger is set, time counted from the first of them."""
     on = df.filter(state)
     start = on.groupBy(*keys).agg(F.min(t).alias("_t0"))
-    return on.join(bounded(start), list(keys)).withColumn(t, F.col(t) - F.col("_t0")).drop("_t0")
+    return on.join(written(start), list(keys)).withColumn(t, F.col(t) - F.col("_t0")).drop("_t0")
 
 
 def periodic_lookup(queries: DataFrame, tables: DataFrame, key: str, t: str, dt: float, rows: int) -> DataFrame:

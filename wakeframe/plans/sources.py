@@ -519,10 +519,10 @@ def f21(spark, sf):
     return d.select("event_id", "vertex", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-@query("F22_lookup", "n_nationkey:i root:s", sql("", "SELECT n_nationkey, CASE r_name WHEN 'ASIA' THEN 'nadia' WHEN 'EUROPE' THEN 'thomas' ELSE 'full' END AS root FROM nation JOIN region ON r_regionkey = n_regionkey"))
+@query("F22_lookup", "n_nationkey:i root:s", sql("", "SELECT n_nationkey, CASE r_name WHEN 'ASIA' THEN 'rig' WHEN 'EUROPE' THEN 'tank' ELSE 'full' END AS root FROM nation JOIN region ON r_regionkey = n_regionkey"))
 def f22(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", text.lookup(F.col("r_name"), {"ASIA": "nadia", "EUROPE": "thomas"}, "full").alias("root"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", text.lookup(F.col("r_name"), {"ASIA": "rig", "EUROPE": "tank"}, "full").alias("root"))
 
 
 @query("F24_sequence_names", "event_id:i name:s", sql("", "SELECT event_id, 'frame-' || CASE WHEN event_id < 10000 THEN lpad(event_id::VARCHAR, 4, '0') ELSE event_id::VARCHAR END || '.txt' AS name FROM events"))

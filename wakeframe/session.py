@@ -1,4 +1,4 @@
-"""Session-level helpers: reliable checkpoints and size-checked broadcasts."""
+"""Session-level helpers: intermediate tables and checkpoints in the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -6,52 +6,57 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows of a dimension table that may be broadcast without a further thought.
-BROADCAST_ROW_LIMIT = 200_000
 
+# The temporary folder of each application that has no shared one.
+_OWN: dict[str, str] = {}
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    The setting is read from the session; a temporary folder is used only when
-    the session names none, as in single-machine tests.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder of a single machine.
+
+    On a cluster executors do not see each other's disks, so there the setting must be there.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="wakeframe-")
+    return _OWN[app]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wakeframe-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when a row count proves it small, else leave the join to Catalyst.
-
-    The probe stops after ``limit + 1`` rows, so it never scans a big table whole.
-    """
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/wakeframe-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A derived side table (one row per channel, file split, class) for a join with the whole data.
+def written(df: DataFrame, name: str = "side") -> DataFrame:
+    """``df`` computed once into the shared folder and read from there.
 
-    It is computed once into the checkpoint folder, so that counting its rows does not
-    scan the data again, and broadcast when the count proves it small. A hot key then
-    never gathers its rows in one task; a large table joins in the ordinary way.
+    Its size is then known, so Catalyst broadcasts a small one and shuffles a large one, and rows
+    that depend on the partitioning stay as they were written.
     """
-    return small(checkpoint(df))
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input too small to be split; a large scan keeps its own splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path beside the checkpoints, shared by the cluster's machines."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/wakeframe-{name}-{uuid.uuid4().hex}"

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from wakeframe.functions.text import lenient_double, lenient_int
-from wakeframe.session import bounded, small
+from wakeframe.session import written
 
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
     """(file, line, value) with exact 0-based line numbers, without sorting any file.
 
-    Rows of one file split sit together in scan order, so a line's number is its
-    distance from the split's first row plus the rows of the file's earlier splits.
-    Only one row per split is aggregated.
+    Rows of one file split sit together in scan order, so a line's number is its distance from the
+    split's first row plus the rows of the file's earlier splits. The scan is written once and both
+    the rows and the one row per split are read from there: splits that another scan cuts elsewhere
+    cannot lose a line.
     """
     raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -24,10 +25,11 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Tru
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
-    splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    lines = written(raw, "lines")
+    splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = splits.select("file", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return raw.join(bounded(starts), ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+    return lines.join(starts, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
 
 
 def doubles(value: Column, sep: str = ",") -> Column:
@@ -125,7 +127,7 @@ def timed_table(lines: DataFrame) -> DataFrame:
     """Tab-separated table under a ``rows cols dt`` line -> (file, row, t, col, value)."""
     v = doubles(F.col("value"), "\t")
     head = lines.filter("line = 0").select("file", F.get(v, F.lit(0)).alias("_rows"), F.get(v, F.lit(1)).alias("_cols"), F.get(v, F.lit(2)).alias("_dt"))
-    body = lines.filter("line > 0").withColumn("row", F.col("line") - 1).join(bounded(head), "file").filter("row < _rows")
+    body = lines.filter("line > 0").withColumn("row", F.col("line") - 1).join(written(head), "file").filter("row < _rows")
     long = body.select("file", "row", (F.col("row") * F.col("_dt")).alias("t"), "_cols", F.posexplode(v).alias("col", "value"))
     return long.filter("col < _cols").drop("_cols")
 
@@ -173,6 +175,7 @@ def track_rows(raw: DataFrame) -> DataFrame:
     ).filter("frame IS NOT NULL")
 
 
+# Columns of the track format that hold whole numbers (fixed values).
 WHOLE_COLUMNS = ("frame", "track_id", "sensor_id", "visible")
 
 
@@ -269,7 +272,7 @@ def sweep_files(files: DataFrame, re: float | None = None, h: float | None = Non
 
 
 def sweep_combinations(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    return sweep_files(files).join(small(pairs), ["re", "h"], "left_semi")
+    return sweep_files(files).join(pairs, ["re", "h"], "left_semi")
 
 
 def paired_runs(files: DataFrame, first: str, second: str) -> DataFrame:
