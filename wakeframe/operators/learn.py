@@ -6,18 +6,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.operators.ordering import index_rows
-from wakeframe.session import bounded, checkpoint
+from wakeframe.session import written
 
 # --- order and splits ----------------------------------------------------------------------
 
@@ -45,7 +43,7 @@ def split_three(df: DataFrame, ids: Sequence[str], train: float, validate: float
 def split_stratified(df: DataFrame, ids: Sequence[str], label: str, test: float, seed: int) -> DataFrame:
     """``part``: test holds the rounded share of every class."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    d = shuffled_rank(df, ids, seed, [label]).join(bounded(n), label)
+    d = shuffled_rank(df, ids, seed, [label]).join(written(n), label)
     return d.withColumn("part", F.when(F.col("rank") < F.bround(F.col("_n") * test), "test").otherwise("train")).drop("_n", "rank")
 
 
@@ -184,24 +182,65 @@ def linear_shap(df: DataFrame, ids: Sequence[str], features: Sequence[str], weig
     return df.join(F.broadcast(stats)).select(*ids, F.inline(rows))
 
 
-def assemble(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+class Features:
+    """Feature columns, or one array column, as a vector; gaps (NULL or NaN) get the training mean.
 
+    No row is dropped, in fitting or in scoring. A feature without any value in training counts as 0.
+    """
 
-def train_linear(train: DataFrame, features: Sequence[str], label: str, loss: str, reg: float = 0.0):
-    """One linear map fitted by mean squared error or by logistic loss.
+    def __init__(self, train: DataFrame, features: Sequence[str] | str):
+        self.features = features
+        known = lambda c: F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+        if isinstance(features, str):
+            size = train.agg(F.max(F.size(features))).first()[0] or 0
+            parts = [F.get(features, F.lit(i)) for i in range(max(0, size))]
+        else:
+            parts = [F.col(c) for c in features]
+        # Means in slices, so that a long array does not make one huge row expression.
+        self.means = []
+        for low in range(0, len(parts), 200):
+            row = train.agg(*[F.avg(known(c)) for c in parts[low : low + 200]]).first()
+            self.means += [0.0 if m is None else float(m) for m in row]
 
-    Fitting reads the rows many times, so they are computed once into a checkpoint.
-    """
+    def vector(self) -> Column:
+        means = F.array(*[F.lit(m) for m in self.means])
+        # A missing end of an array is a gap as well; what lies beyond the fitted length has no weight.
+        values = F.slice(F.col(self.features), 1, len(self.means)) if isinstance(self.features, str) else F.array(*[F.col(c).cast("double") for c in self.features])
+        fill = lambda v, m: F.coalesce(F.nanvl(v.cast("double"), F.lit(None).cast("double")), m)
+        return array_to_vector(F.transform(means, lambda m, i: fill(F.get(values, i), m)))
+
+    def rows(self, train: DataFrame, label: str) -> DataFrame:
+        return train.select(self.vector().alias("features"), label)
+
+
+class Fitted:
+    """A model with the features it was fitted on."""
+
+    def __init__(self, features: Features, model):
+        self.features, self.model = features, model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df.withColumn("features", self.features.vector()))
+
+
+def _training(train: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
+    """Fitting reads the rows many times, so they are computed once into the shared folder."""
+    return written(train.select(*([features] if isinstance(features, str) else features), label), "training")
+
+
+def train_linear(train: DataFrame, features: Sequence[str] | str, label: str, loss: str, reg: float = 0.0) -> Fitted:
+    """One linear map fitted by mean squared error or by logistic loss."""
     est = (
         LinearRegression(labelCol=label, regParam=reg, solver="normal", predictionCol="prediction")
         if loss == "mse"
         else LogisticRegression(labelCol=label, regParam=reg, maxIter=100)
     )
-    return Pipeline(stages=[assemble(features), est]).fit(checkpoint(train.select(*features, label)))
+    data = _training(train, features, label)
+    own = Features(data, features)
+    return Fitted(own, est.fit(own.rows(data, label)))
 
 
-def apply_linear(model, df: DataFrame, loss: str) -> DataFrame:
+def apply_linear(model: Fitted, df: DataFrame, loss: str) -> DataFrame:
     out = model.transform(df)
     prob = F.col("prediction") if loss == "mse" else vector_to_array("probability")[1]
     prob = F.greatest(F.lit(0.0), F.least(F.lit(1.0), prob))
@@ -214,18 +253,25 @@ def search_linear(train: DataFrame, features: Sequence[str], label: str, trials:
     regs = 10 ** np.random.default_rng(seed).uniform(-6, 0, trials)
     est = LinearRegression(labelCol=label, solver="normal")
     grid = ParamGridBuilder().addGrid(est.regParam, [float(r) for r in regs]).build()
-    data = assemble(features).transform(checkpoint(train.select(*features, label))).select("features", label)
+    data = _training(train, features, label)
+    own = Features(data, features)
     tuner = TrainValidationSplit(
         estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
         trainRatio=0.8, seed=seed, parallelism=parallelism,
     )
-    model = tuner.fit(data)
-    return model, [(float(r), float(m)) for r, m in zip(regs, model.validationMetrics)]
+    tuned = tuner.fit(own.rows(data, label))
+    return Fitted(own, tuned), [(float(r), float(m)) for r, m in zip(regs, tuned.validationMetrics)]
+
+
+# Depth to which trees grow when no other is asked for: as deep as the library goes.
+FULL_DEPTH = 30
 
 
-def train_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 10, seed: int = 42):
+def train_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = FULL_DEPTH, seed: int = 42) -> Fitted:
     est = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-    return Pipeline(stages=[assemble(features), est]).fit(checkpoint(train.select(*features, label)))
+    data = _training(train, features, label)
+    own = Features(data, features)
+    return Fitted(own, est.fit(own.rows(data, label)))
 
 
 def grid_search(train: DataFrame, features: Sequence[str], label: str, kind: str, grid: dict[str, list], folds: int = 5, seed: int = 42):
@@ -235,11 +281,11 @@ def grid_search(train: DataFrame, features: Sequence[str], label: str, kind: str
     for name, values in grid.items():
         build = build.addGrid(est.getParam(name), values)
     maps = build.build()
-    data = assemble(features).transform(checkpoint(train.select(*features, label))).select("features", label)
+    data = _training(train, features, label)
     cv = CrossValidator(
         estimator=est, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=4,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-    ).fit(data)
+    ).fit(written(Features(data, features).rows(data, label), "features"))
     return [(kind, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a)) for m, a in zip(maps, cv.avgMetrics)]
 
 

@@ -324,12 +324,23 @@ def pressure_modes(df: DataFrame, keys: Sequence[str], col: str, target: float)
     return _solve(gram(df, keys, F.col(col)), keys, "mode int, value double, cumulative double, k int, vector array<double>", one)
 
 
+def project_array(df: DataFrame, keys: Sequence[str], col: str, modes: DataFrame, name: str = "coef") -> DataFrame:
+    """Add the array of each series' coefficients on its key's modes, in mode order.
+
+    A key's modes are packed into one row (at most as many vectors as a series has samples), so the
+    join never multiplies rows; without keys it is a join with a single row.
+    """
+    packed = modes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("mode", "vector"))).alias("_basis"))
+    j = df.join(packed, list(keys)) if keys else df.join(F.broadcast(packed))
+    dot = lambda m: F.aggregate(F.zip_with(col, m["vector"], lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return j.withColumn(name, F.transform("_basis", dot)).withColumn(name + "_modes", F.transform("_basis", lambda m: m["mode"])).drop("_basis")
+
+
 def project_series(df: DataFrame, keys: Sequence[str], col: str, modes: DataFrame) -> DataFrame:
     """Coefficients of each series on its key's modes (one row per series and mode)."""
-    dot = F.aggregate(F.zip_with(col, "vector", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    basis = modes.select(*keys, "mode", "vector")
-    j = df.join(basis, list(keys)) if keys else df.join(F.broadcast(basis))
-    return j.withColumn("coef", dot).drop("vector")
+    d = project_array(df, keys, col, modes, "_c")
+    rows = F.arrays_zip(F.col("_c_modes").alias("mode"), F.col("_c").alias("coef"))
+    return d.select(*df.columns, F.inline(rows))
 
 
 def singular_values(df: DataFrame, col: str = "v") -> DataFrame:

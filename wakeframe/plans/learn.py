@@ -12,6 +12,7 @@ from wakeframe.plans.registry import query
 from wakeframe.plans.similarity import SWEEP, sweep
 from wakeframe.plans.tracks import WIN, a10, windows
 from wakeframe.plans.views import contours, frames, segments, signal, sql, table, tracks
+from wakeframe.session import written
 
 VEC = [f"x{i}" for i in range(8)]
 
@@ -72,12 +73,15 @@ def l04(spark, sf):
     return out
 
 
-@query("L05_feature_classifier", "run:i track_id:i prob:4 pred:i")
+@query("L05_feature_classifier", "run:i track_id:i part:s prob:4 pred:i")
 def l05(spark, sf):
-    d = a10(spark, sf).withColumn("y", (F.col("run") % 2).cast("double"))
-    d = series.standardise(d, trk.FEATURES)
-    model = ops.train_linear(d, trk.FEATURES, "y", "mse", 1e-3)
-    return ops.apply_linear(model, d, "mse")
+    """Fitted on the training part, whose statistics scale the others too; the part tells what is held out."""
+    d = ops.split_three(a10(spark, sf).withColumn("y", (F.col("run") % 2).cast("double")), ["run", "track_id"], 0.7, 0.15, 42)
+    d = written(d, "track-features")
+    train = d.filter("part = 'train'")
+    scaled = series.standardise(d, trk.FEATURES, series.standardise_stats(train, trk.FEATURES))
+    model = ops.train_linear(scaled.filter("part = 'train'"), trk.FEATURES, "y", "mse", 1e-3)
+    return ops.apply_linear(model, scaled, "mse")
 
 
 @query("L06_penalty_search", "trial:i reg:8 mse:6")
@@ -105,20 +109,10 @@ def l07(spark, sf):
     return ops.linear_scores(d, LIN, LW, -0.4, "bce")
 
 
-@query("L08_apply_to_real_signals", "run:i frame:i channel:s samples:i prob:3 pred:i")
+@query("L08_apply_to_real_signals", "energy:2 run:i frame:i channel:s samples:i modes:i prob:3 pred:i")
 def l08(spark, sf):
-    """Train on simulated snapshots, score filtered sensor windows on the same modes."""
+    """Train on simulated snapshots, score filtered sensor windows on the same modes; all modes of either energy."""
     d = snapshots(spark, sf).withColumn("p", arrays.normalise(F.col("p")))
-    basis = modal.pressure_modes(d, [], "p", 0.5)
-    names = [f"c{i}" for i in range(8)]
-
-    def wide(rows, ids):
-        coef = modal.project_series(rows, [], "p", basis).filter(F.col("mode") < len(names))
-        pick = [F.max(F.when(F.col("mode") == i, F.col("coef"))).alias(n) for i, n in enumerate(names)]
-        return coef.groupBy(*ids).agg(*pick)
-
-    train = wide(d.withColumn("y", (F.col("model") == "cylinder").cast("double")), ["vec_id", "y"])
-    model = ops.train_linear(train, names, "y", "mse", 1e-3)
     f = frames(spark, sf)
     n0 = F.col("run") * 120 + F.col("frame") * 2 + 25
     spans = f.select(
@@ -129,8 +123,16 @@ def l08(spark, sf):
     real = filters.zero_phase(signal(spark, sf), ["channel"], *BAND, size=CHUNK)
     win = similarity.windows_from_channels(spans, real, ["run", "frame", "channel"])
     win = win.withColumn("samples", F.size("x")).withColumn("p", series.resample_cubic(F.col("x"), 64))
-    win = win.withColumn("p", arrays.normalise(arrays.zero_mean(F.col("p")))).drop("x")
-    return ops.apply_linear(model, wide(win, ["run", "frame", "channel", "samples"]), "mse")
+    win = written(win.withColumn("p", arrays.normalise(arrays.zero_mean(F.col("p")))).drop("x"), "windows")
+    sim = d.withColumn("y", (F.col("model") == "cylinder").cast("double"))
+    out = None
+    for energy in (0.95, 0.99):
+        basis = written(modal.pressure_modes(d, [], "p", energy), "basis")
+        model = ops.train_linear(modal.project_array(sim, [], "p", basis), "coef", "y", "mse", 1e-3)
+        scored = ops.apply_linear(model, modal.project_array(win, [], "p", basis), "mse")
+        scored = scored.withColumns({"energy": F.lit(energy), "modes": F.size("coef")})
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 # --- matching ---------------------------------------------------------------------------
@@ -362,7 +364,7 @@ def l10(spark, sf):
 @query("L11_random_forest", "vec_id:i pred:i")
 def l11(spark, sf):
     d = parted(spark, sf)
-    model = ops.train_forest(d.filter("part = 'train'"), VEC, "y", trees=200, depth=5)
+    model = ops.train_forest(d.filter("part = 'train'"), VEC, "y", trees=200)
     return model.transform(d.filter("part = 'test'")).withColumn("pred", F.col("prediction"))
 
 
