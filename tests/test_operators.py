@@ -1,5 +1,6 @@
 """Operators on small frames against pandas, numpy or plain loops."""
 
+import math
 import numpy as np
 import pandas as pd
 import pytest
@@ -291,11 +292,67 @@ def test_predictive_deviation_matches_dense(spark):
     assert best["idx"] == got[got["idx"] != 2].sort_values(["std", "idx"], ascending=[False, True])["idx"].iloc[0]
 
 
-def test_overlap_with_itself_is_whole(spark):
-    ring = F.array(*[contours.point(F.lit(x), F.lit(y)) for x, y in ((1.1, 1.2), (6.3, 1.4), (6.1, 5.9), (1.4, 6.2))])
-    d = spark.range(1).select(contours.raster_overlap(ring, ring, 0, 0, 8, 8, 0.25).alias("n"), geo.shoelace(ring).alias("area"))
-    r = contours.overlap_scores(d, "n", 0.25).first()
-    assert r["iou"] == 1 and r["intersection"] == pytest.approx(r["area"], abs=21 * 0.25)
+def test_overlap_areas_are_exact(spark):
+    def ring(points):
+        return F.array(*[contours.point(F.lit(float(x)), F.lit(float(y))) for x, y in points])
+
+    def octagon(x, y, r):
+        return [(x + r * math.cos(k * math.pi / 4), y + r * math.sin(k * math.pi / 4)) for k in range(8)]
+
+    quad = [(1.1, 1.2), (6.3, 1.4), (6.1, 5.9), (1.4, 6.2)]
+    # Octagons of circumradius 100 whose centres lie 2 * apothem - 10 apart along a normal share a strip cut off both.
+    r, angle = 100.0, math.pi / 8
+    side, apart = 2 * r * math.sin(angle), 2 * r * math.cos(angle) - 10
+    moved = octagon(apart * math.cos(angle), apart * math.sin(angle), r)
+    # Beyond the side the neighbouring sides slope at 45 degrees: a hexagon of two trapezoids of height 5.
+    strip = 2 * (side * 5 + 25)
+    bow = [(0, 0), (4, 4), (4, 0), (0, 4)]
+    cases = [(quad, quad, None), (octagon(0, 0, r), moved, strip), (bow, [(0, 0), (2, 0), (2, 4), (0, 4)], 4.0), (quad, [(50, 50), (60, 50), (60, 60)], 0.0)]
+    for p, q, want in cases:
+        d = spark.range(1).select(contours.overlap_areas(ring(p), ring(q)).alias("n"), F.abs(geo.shoelace(ring(p))).alias("area"))
+        got = contours.overlap_scores(d, "n").first()
+        assert got["intersection"] == pytest.approx(got["area"] if want is None else want, rel=1e-9, abs=1e-9)
+        if want is None:
+            assert got["iou"] == pytest.approx(1)
+
+
+def test_gaps_in_features_keep_their_rows(spark):
+    rows = [(i, None if i % 4 == 0 else float(i % 7), float("nan") if i % 5 == 0 else float(i % 3), [float(i % 3)] * (2 + i % 2), float(i % 2)) for i in range(100)]
+    d = spark.createDataFrame(rows, "id int, a double, b double, v array<double>, y double")
+    for loss in ("mse", "bce"):
+        for features in (["a", "b"], "v"):
+            model = learn.train_linear(d, features, "y", loss, 1e-3)
+            out = learn.apply_linear(model, d, loss)
+            assert out.count() == 100 and out.filter("prob IS NULL OR isnan(prob)").count() == 0
+    assert learn.train_forest(d, ["a", "b"], "y", trees=5).transform(d).count() == 100
+    means = learn.Features(d, ["a", "b"]).means
+    assert means[0] == pytest.approx(np.mean([r[1] for r in rows if r[1] is not None])) and means[1] == pytest.approx(np.mean([r[2] for r in rows if r[2] == r[2]]))
+
+
+def test_segment_gap_agrees_with_sampling():
+    rng = np.random.default_rng(3)
+    t = np.linspace(0, 1, 201)
+    for _ in range(200):
+        a, b, c, d = rng.integers(-4, 5, (4, 2)).astype(float)
+        p, q = a + (b - a) * t[:, None], c + (d - c) * t[:, None]
+        brute = np.hypot(*(p[:, None] - q[None]).transpose(2, 0, 1)).min()
+        gap = float(geo.segment_gap(*a, *b, *c, *d, geo.ARRAYS))
+        assert gap <= brute + 1e-9 and brute <= gap + 0.05
+
+
+def test_line_numbers_do_not_depend_on_later_splits(spark):
+    folder = scratch(spark, "lines")
+    spark.range(20_000).selectExpr("cast(id as string) AS value").coalesce(1).write.text(folder)
+    keys = {"spark.sql.files.openCostInBytes": "1024", "spark.sql.files.minPartitionNum": "2"}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        lines = scans.read_lines(spark, folder)
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        assert lines.filter("cast(value as bigint) = line").count() == 20_000
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
 
 
 def test_line_numbers_survive_many_splits(spark):

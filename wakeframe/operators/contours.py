@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.functions import arrays, geometry as geo
 from wakeframe.functions.grid import Grid, let
 from wakeframe.operators import filters
-from wakeframe.operators.fields import winding_numbers
 from wakeframe.operators.vortices import line_integrals
 
 
@@ -223,36 +223,54 @@ def area_and_moment(ring: Column) -> Column:
     return let(F.struct(ring.alias("r"), cx.alias("cx"), cy.alias("cy")), measure)
 
 
-def raster_overlap(a: Column, b: Column, x0: float, y0: float, x1: float, y1: float, step: float) -> Column:
-    """(in_a, in_b, both): sample counts of two polygons on a grid of spacing ``step``.
+def _overlap_areas(p: np.ndarray, q: np.ndarray) -> tuple[float, float, float]:
+    """Exact areas (of p, of q, of both) of two polygons given as vertex arrays (n, 2); non-zero winding.
 
-    Areas are counts times step^2, off by at most perimeter * step each.
+    Between neighbouring abscissas of vertices and edge crossings no edge begins, ends or crosses
+    another, so every covered length is linear there and its value in the middle times the width is exact.
     """
-    nx, ny = round((x1 - x0) / step), round((y1 - y0) / step)
-    i, j = np.divmod(np.arange(nx * ny), ny)
-    points = np.column_stack([x0 + (i + 0.5) * step, y0 + (j + 0.5) * step])
-
-    @F.pandas_udf("in_a int, in_b int, both int")
-    def run(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
-        hits = lambda xs, ys: [winding_numbers(points, np.asarray(x, float), np.asarray(y, float)) != 0 for x, y in zip(xs, ys)]
-        in_a, in_b = hits(ax, ay), hits(bx, by)
-        return pd.DataFrame(
-            {"in_a": [p.sum() for p in in_a], "in_b": [q.sum() for q in in_b], "both": [(p & q).sum() for p, q in zip(in_a, in_b)]}, dtype="int32"
-        )
-
-    axis = lambda ring, name: F.transform(ring, lambda p: p[name])
-    return run(axis(a, "x"), axis(a, "y"), axis(b, "x"), axis(b, "y"))
-
-
-def overlap_scores(df: DataFrame, counts: str, step: float) -> DataFrame:
+    start = np.concatenate([p, q])
+    step = np.concatenate([np.roll(p, -1, axis=0), np.roll(q, -1, axis=0)]) - start
+    first = np.arange(len(start)) < len(p)
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    turn = cross(step[:, None], step[None])
+    along = np.divide(cross(start[None] - start[:, None], step[None]), turn, out=np.full_like(turn, -1.0), where=turn != 0)
+    meet = (along >= 0) & (along <= 1) & (along.T >= 0) & (along.T <= 1)
+    xs = np.unique(np.concatenate([start[:, 0], (start[:, None, 0] + along * step[:, None, 0])[meet]]))
+    middle, width = (xs[1:] + xs[:-1])[:, None] / 2, np.diff(xs)
+    low, high = np.minimum(start[:, 0], start[:, 0] + step[:, 0]), np.maximum(start[:, 0], start[:, 0] + step[:, 0])
+    spans = (low < middle) & (middle < high)
+    slope = np.divide(step[:, 1], step[:, 0], out=np.zeros(len(step)), where=step[:, 0] != 0)
+    y = np.where(spans, start[:, 1] + (middle - start[:, 0]) * slope, np.inf)
+    order = np.argsort(y, axis=1)
+    sign = np.take_along_axis(np.where(spans, np.sign(step[:, 0]), 0.0), order, axis=1)
+    inside = [np.cumsum(np.where(own[order], sign, 0.0), axis=1)[:, :-1] != 0 for own in (first, ~first)]
+    ys = np.take_along_axis(y, order, axis=1)
+    gap = np.where(np.isfinite(ys[:, 1:]), ys[:, 1:] - np.where(np.isfinite(ys[:, :-1]), ys[:, :-1], 0.0), 0.0)
+    return tuple(float((width[:, None] * np.where(test, gap, 0.0)).sum()) for test in (*inside, inside[0] & inside[1]))
+
+
+def overlap_areas(a: Column, b: Column) -> Column:
+    """(in_a, in_b, both): exact areas of two polygons and of their intersection, wherever they lie."""
+
+    @F.arrow_udf("in_a double, in_b double, both double")
+    def run(ps: pa.Array, qs: pa.Array) -> pa.Array:
+        ring = lambda v: np.column_stack([v.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]).astype(float)
+        areas = [_overlap_areas(ring(p), ring(q)) for p, q in zip(ps, qs)]
+        return pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in (zip(*areas) if areas else ((), (), ()))], ["in_a", "in_b", "both"])
+
+    return run(a, b)
+
+
+def overlap_scores(df: DataFrame, areas: str) -> DataFrame:
     """Intersection area, IoU and the intersection's change against the first polygon in percent."""
-    c = F.col(counts)
+    c = F.col(areas)
     union = c["in_a"] + c["in_b"] - c["both"]
     return df.withColumns(
         {
-            "intersection": c["both"] * step * step,
-            "iou": c["both"] / F.nullif(union, F.lit(0)),
-            "variation": 100 * (c["both"] - c["in_a"]) / F.nullif(c["in_a"], F.lit(0)),
+            "intersection": c["both"],
+            "iou": c["both"] / F.nullif(union, F.lit(0.0)),
+            "variation": 100 * (c["both"] - c["in_a"]) / F.nullif(c["in_a"], F.lit(0.0)),
         }
     )
 

@@ -186,22 +186,26 @@ def a30(spark, sf):
     return bumpy(spark, sf).select(*K, ops.area_and_moment(poly()).alias("m")).select(*K, "m.*")
 
 
-def raster_sql(name, src):
-    side = "((e.x2 - e.x1) * (g.py - e.y1) - (e.y2 - e.y1) * (g.px - e.x1))"
-    return f"""{name} AS (SELECT run, frame, gid, sum(CASE WHEN e.y1 <= g.py AND e.y2 > g.py AND {side} > 0 THEN 1 WHEN e.y1 > g.py AND e.y2 <= g.py AND {side} < 0 THEN -1 ELSE 0 END) <> 0 AS hit
-      FROM {src} e, (SELECT c AS gid, (c // 16 + 0.5) * 0.5 AS px, (c % 16 + 0.5) * 0.5 AS py FROM range(256) r(c)) g GROUP BY run, frame, gid)"""
-
-
-OVER = f"""{raster_sql('ra', 'edge')}, {raster_sql('rb', 'bedge')},
-  ovl AS (SELECT run, frame, sum((a.hit AND b.hit)::INT) * 0.25 AS intersection, sum((a.hit AND b.hit)::INT) / nullif(sum((a.hit OR b.hit)::INT), 0) AS iou,
-  100 * (sum((a.hit AND b.hit)::INT) - sum(a.hit::INT)) / nullif(sum(a.hit::INT), 0) AS variation FROM ra a JOIN rb b USING (run, frame, gid) GROUP BY run, frame)"""
+# Exact areas by slabs between the abscissas of vertices and edge crossings, with non-zero winding.
+OVER = """pair AS (SELECT run, frame, 0 AS src, vertex, x1, y1, x2, y2 FROM edge UNION ALL SELECT run, frame, 1, vertex, x1, y1, x2, y2 FROM bedge),
+  crs AS (SELECT a.run, a.frame, a.x1, a.x2, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS d,
+    (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS na, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS nb
+    FROM pair a JOIN pair b ON a.run = b.run AND a.frame = b.frame AND (a.src < b.src OR (a.src = b.src AND a.vertex < b.vertex))),
+  xs AS (SELECT run, frame, x1 AS x FROM pair UNION SELECT run, frame, x1 + na / d * (x2 - x1) FROM crs WHERE d <> 0 AND na / d BETWEEN 0 AND 1 AND nb / d BETWEEN 0 AND 1),
+  slab AS (SELECT run, frame, x AS lo, lead(x) OVER (PARTITION BY run, frame ORDER BY x) AS hi FROM xs),
+  hit AS (SELECT s.run, s.frame, lo, hi - lo AS width, src, sign(x2 - x1) AS way, y1 + ((lo + hi) / 2 - x1) * (y2 - y1) / (x2 - x1) AS y
+    FROM slab s JOIN pair b ON s.run = b.run AND s.frame = b.frame AND least(x1, x2) < (lo + hi) / 2 AND greatest(x1, x2) > (lo + hi) / 2 WHERE hi IS NOT NULL),
+  wound AS (SELECT run, frame, width, lead(y) OVER w - y AS gap, sum(CASE WHEN src = 0 THEN way ELSE 0 END) OVER w <> 0 AS in_a, sum(CASE WHEN src = 1 THEN way ELSE 0 END) OVER w <> 0 AS in_b
+    FROM hit WINDOW w AS (PARTITION BY run, frame, lo ORDER BY y, src)),
+  areas AS (SELECT run, frame, sum(CASE WHEN in_a THEN width * gap ELSE 0 END) AS a, sum(CASE WHEN in_b THEN width * gap ELSE 0 END) AS b, sum(CASE WHEN in_a AND in_b THEN width * gap ELSE 0 END) AS c
+    FROM wound GROUP BY run, frame),
+  ovl AS (SELECT run, frame, c AS intersection, c / nullif(a + b - c, 0) AS iou, 100 * (c - a) / nullif(a, 0) AS variation FROM areas)"""
 
 
 def overlap(spark, sf):
     a = contours(spark, sf).select(*K, poly().alias("a"))
     b = bumpy(spark, sf).select(*K, poly().alias("b"))
-    d = a.join(b, K).withColumn("n", ops.raster_overlap(F.col("a"), F.col("b"), 0.0, 0.0, 8.0, 8.0, 0.5))
-    return ops.overlap_scores(d, "n", 0.5)
+    return ops.overlap_scores(a.join(b, K).withColumn("n", ops.overlap_areas(F.col("a"), F.col("b"))), "n")
 
 
 @query("A31_polygon_overlap", KF + "intersection:4 iou:6 variation:4", sql("edge fr oct", "SELECT * FROM ovl", BUMPY, OVER))

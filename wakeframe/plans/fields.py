@@ -336,7 +336,8 @@ def g23(spark, sf):
     return ops.steady_change(d, "u", "w", "p")
 
 
-SHIFTED = "al AS (SELECT a.run, a.frame, a.cell, a.x, a.y, a.v AS a, b.v AS b FROM cells a JOIN cells b ON a.run = b.run AND b.frame = a.frame + 3 AND a.cell = b.cell)"
+SHIFTED = """al AS (SELECT run, frame, cell, cell // 8 AS x, cell % 8 AS y, a, b FROM
+  (SELECT a.run, a.frame, unnest(range(64))::INT AS cell, unnest(a.v) AS a, unnest(b.v) AS b FROM fr a JOIN fr b ON a.run = b.run AND b.frame = a.frame + 3))"""
 
 
 def shifted(spark, sf):
@@ -344,7 +345,7 @@ def shifted(spark, sf):
     return ops.aligned(f, f, "v", 3)
 
 
-@query("J19_frame_offset_join", SPEC + "a:6 b:6", sql("cells", "SELECT * FROM al", SHIFTED))
+@query("J19_frame_offset_join", SPEC + "a:6 b:6", sql("fr", "SELECT * FROM al", SHIFTED))
 def j19(spark, sf):
     return cells_of(shifted(spark, sf), a="a", b="b")
 
@@ -352,7 +353,7 @@ def j19(spark, sf):
 @query(
     "G24_overlap_code",
     SPEC + "code:i",
-    sql("cells", "SELECT *, (a > 0.05)::INT + 2 * (b > 0.05)::INT AS code FROM al", SHIFTED),
+    sql("fr", "SELECT *, (a > 0.05)::INT + 2 * (b > 0.05)::INT AS code FROM al", SHIFTED),
 )
 def g24(spark, sf):
     return cells_of(ops.overlap_code(shifted(spark, sf), 0.05), code="code")
@@ -362,7 +363,7 @@ def g24(spark, sf):
     "A09_mask_overlap",
     "run:i frame:i iou:6 precision:6 recall:6 ref_fraction:6 other_fraction:6",
     sql(
-        "cells",
+        "fr",
         """SELECT run, frame, both_ / nullif(r + o - both_, 0) AS iou, both_ / nullif(o, 0) AS "precision", both_ / nullif(r, 0) AS recall,
         r / 64 AS ref_fraction, o / 64 AS other_fraction FROM (SELECT run, frame, sum((a > 0.05 AND b > 0.05)::INT) AS both_,
         sum((a > 0.05)::INT) AS r, sum((b > 0.05)::INT) AS o FROM al GROUP BY run, frame)""",
