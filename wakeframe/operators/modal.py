@@ -1,77 +1,110 @@
 """Modal analysis and dynamics identification from small Gram matrices.
 
-Data stays distributed: each Arrow batch adds its rows' outer products into a
-k x k matrix (k = frames of a run, samples of a snapshot, terms of a library), the
-partial matrices are summed by one aggregate of k^2 numbers per run, and only the
-k x k problem is solved in one place. k is a property of the experiment, not of
+Data stays distributed: each task adds its rows' outer products into a k x k
+matrix per run (k = frames of a run, samples of a snapshot, terms of a library), the
+partial matrices meet as one packed row per task and run, and only the k x k
+problem is solved in one place. k is a property of the experiment, not of
 the amount of data.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeframe.session import written
 
 
-def gram(df: DataFrame, keys: Sequence[str], rows: Column, matrices: bool = False) -> DataFrame:
-    """(keys, size, g ARRAY): flattened sum of the outer products of ``rows``.
+# Bytes of partial matrices that a task holds before it passes them on.
+HELD_BYTES = 64 << 20
 
-    A row is one vector, or with ``matrices`` a k x n matrix that adds M M'. Every batch
-    is reduced to one matrix per key before anything is shuffled.
-    """
-    keys = list(keys)
-    types = dict(df.dtypes)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _adding(keys: list[str], matrices_of) -> Callable:
+    """A task's loop that adds up the matrices ``matrices_of(part)`` -> {replica: matrix} of each key's rows."""
+
+    def rows(held: dict) -> pd.DataFrame:
+        out = pd.DataFrame({"replica": [r for _, r in held], "size": [len(g) for g in held.values()], "g": [g.ravel() for g in held.values()]})
+        for i, name in enumerate(keys):
+            out.insert(i, name, [k[i] for k, _ in held])
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for key, part in groups:
-                if matrices:
-                    g = 0.0
-                    for m in part["_x"]:
-                        m = np.stack(m).astype(float)
-                        g = g + m @ m.T
+                for replica, g in matrices_of(part).items():
+                    at = (key, replica)
+                    held[at] = held[at] + g if at in held else g
+            if sum(g.nbytes for g in held.values()) > HELD_BYTES:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _added(parts: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """The partial matrices of each key and replica as one: they meet sorted, and one is held at a time."""
+    by = [*keys, "replica"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            for i in range(len(pdf)):
+                row = pdf.iloc[[i]]
+                key = tuple(row[c].iloc[0] for c in by)
+                if last is not None and last[0] == key:
+                    last[1]["g"] = [last[1]["g"].iloc[0] + row["g"].iloc[0]]
                 else:
-                    x = np.stack(part["_x"].to_numpy()).astype(float)
-                    g = x.T @ x
-                k = len(g)
-                out = pd.DataFrame({"size": k, "i": np.arange(k * k), "v": g.ravel()})
-                for name, value in zip(keys, key):
-                    out[name] = value
-                yield out[[*keys, "size", "i", "v"]]
-
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["size int", "i int", "v double"])
+                    if last is not None:
+                        yield last[1]
+                    last = (key, row.copy())
+        if last is not None:
+            yield last[1]
+
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
+def gram(df: DataFrame, keys: Sequence[str], rows: Column, matrices: bool = False) -> DataFrame:
+    """(keys, size, g ARRAY): flattened sum of the outer products of ``rows``.
+
+    A row is one vector, or with ``matrices`` a k x n matrix that adds M M'. A task adds up its
+    rows and passes on one packed matrix per key.
+    """
+    keys = list(keys)
+    types = dict(df.dtypes)
+
+    def products(part: pd.DataFrame) -> dict:
+        if matrices:
+            return {0: sum(m @ m.T for m in (np.stack(x).astype(float) for x in part["_x"]))}
+        x = np.stack(part["_x"].to_numpy()).astype(float)
+        return {0: x.T @ x}
+
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["replica int, size int, g array<double>"])
     kind = "array<array<double>>" if matrices else "array<double>"
-    parts = df.select(*keys, rows.cast(kind).alias("_x")).mapInPandas(partial, schema)
-    total = parts.groupBy(*keys, "size", "i").agg(F.sum("v").alias("v"))
-    packed = F.array_sort(F.collect_list(F.struct("i", "v")))
-    return total.groupBy(*keys, "size").agg(F.transform(packed, lambda s: s["v"]).alias("g"))
+    parts = df.select(*keys, rows.cast(kind).alias("_x")).mapInPandas(_adding(keys, products), schema)
+    return _added(parts, keys, schema).drop("replica")
 
 
 def weighted_gram(df: DataFrame, rows: Column, weights: Column) -> DataFrame:
     """(replica, size, g): one Gram matrix per entry of the rows' weight arrays, rows copied nowhere."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x, w = np.stack(pdf["_x"].to_numpy()).astype(float), np.stack(pdf["_w"].to_numpy()).astype(float)
-            k = x.shape[1]
-            for r in range(w.shape[1]):
-                yield pd.DataFrame({"replica": r, "size": k, "i": np.arange(k * k), "v": ((x * w[:, r : r + 1]).T @ x).ravel()})
+    def products(part: pd.DataFrame) -> dict:
+        x, w = np.stack(part["_x"].to_numpy()).astype(float), np.stack(part["_w"].to_numpy()).astype(float)
+        return {r: (x * w[:, r : r + 1]).T @ x for r in range(w.shape[1])}
 
-    parts = df.select(rows.cast("array<double>").alias("_x"), weights.alias("_w")).mapInPandas(partial, "replica int, size int, i int, v double")
-    total = parts.groupBy("replica", "size", "i").agg(F.sum("v").alias("v"))
-    packed = F.array_sort(F.collect_list(F.struct("i", "v")))
-    return total.groupBy("replica", "size").agg(F.transform(packed, lambda s: s["v"]).alias("g"))
+    schema = "replica int, size int, g array<double>"
+    parts = df.select(rows.cast("array<double>").alias("_x"), weights.alias("_w")).mapInPandas(_adding([], products), schema)
+    return _added(parts, [], schema)
 
 
 # Cells that travel together from frame order to cell order.
@@ -241,8 +274,8 @@ def sweep(df: DataFrame, a: str, b: str, col: str = "v") -> DataFrame:
 
     ``df`` carries the sweep keys per frame; every run is independent.
     """
-    rows = cell_blocks(df, col)
-    cov = covariance(rows)
+    rows = written(cell_blocks(df, col), "blocks")
+    cov = written(covariance(rows), "covariance")
     spec = spectrum(cov, ["run"])
     n99 = modes_needed(spec, ["run"], 0.99, False).withColumnRenamed("needed", "n99")
     n95 = modes_needed(spec, ["run"], 0.95, False).select("run", F.col("needed").alias("n95"))
@@ -260,7 +293,7 @@ def shift_mode_basis(df: DataFrame, starts: DataFrame, n_modes: int, col: str =
     ``starts`` gives the frame at which each run's final period begins. The columns are
     made orthonormal through their k x k Gram matrix, never by gathering cells.
     """
-    rows = cell_blocks(df, col, centred=False).join(starts.select("run", "start"), "run")
+    rows = written(cell_blocks(df, col, centred=False).join(starts.select("run", "start"), "run"), "blocks")
     late = lambda m, start: m[start:] - m[start:].mean(axis=0)
     basis = temporal_basis(covariance(rows.withColumn("x", _matrix_udf(late, "x", "start"))))
 
@@ -270,7 +303,7 @@ def shift_mode_basis(df: DataFrame, starts: DataFrame, n_modes: int, col: str =
         return np.vstack([modes, m.mean(axis=0)]).T
 
     phi = rows.join(basis.select("run", "basis"), "run").withColumn("phi", _matrix_udf(columns, "x", "start", "basis"))
-    return orthonormal(phi.select("run", "block", "phi"))
+    return orthonormal(written(phi.select("run", "block", "phi"), "columns"))
 
 
 def orthonormal(phi: DataFrame) -> DataFrame:

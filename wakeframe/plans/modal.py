@@ -13,6 +13,7 @@ from wakeframe.operators import modal as ops, series
 from wakeframe.operators.learn import balance
 from wakeframe.plans.registry import query
 from wakeframe.plans.views import frames, segments, sql, velocity
+from wakeframe.session import written
 
 CENT = "cen AS (SELECT run, frame, cell, v - avg(v) OVER (PARTITION BY run, cell) AS v FROM cells)"
 COV = "cov AS (SELECT a.run, a.frame AS i, b.frame AS j, sum(a.v * b.v) / 49 AS v FROM cen a JOIN cen b ON a.run = b.run AND a.cell = b.cell GROUP BY 1, 2, 3)"
@@ -59,7 +60,8 @@ def m03n(spark, sf):
 
 @query("M04_reconstruction_error", "run:i kept:i error:6 raw_error:5")
 def m04(spark, sf):
-    rows, cov = ops.cell_blocks(frames(spark, sf)), covariance(spark, sf)
+    rows = written(ops.cell_blocks(frames(spark, sf)), "blocks")
+    cov = written(ops.covariance(rows), "covariance")
     raw = ops.reconstruction_error(rows, cov, 0.9, normalised=False).select("run", F.col("error").alias("raw_error"))
     return ops.reconstruction_error(rows, cov, 0.9).join(raw, "run")
 
@@ -150,11 +152,15 @@ def m12(spark, sf):
 STATES = ["a", "b", "c"]
 
 
+# Cells 0-20, 21-41 and 42-63 of a frame make its three states.
+THIRDS = [(1, 21), (22, 21), (43, 22)]
+
+
 def states(spark, sf):
-    return frames(spark, sf).select("run", "frame", *[(F.col("v")[i] * 5).alias(n) for i, n in enumerate(STATES)])
+    return frames(spark, sf).select("run", "frame", *[arrays.total(F.slice("v", i, n)).alias(s) for s, (i, n) in zip(STATES, THIRDS)])
 
 
-ST = "st AS (SELECT run, frame, v[1] * 5 AS a, v[2] * 5 AS b, v[3] * 5 AS c FROM fr)"
+ST = "st AS (SELECT run, frame, list_sum(v[1:21]) AS a, list_sum(v[22:42]) AS b, list_sum(v[43:64]) AS c FROM fr)"
 TERM_SQL = ", ".join(" * ".join(t) if t else "1" for t in ops.terms(STATES, 2))
 
 

@@ -117,11 +117,11 @@ def s08(spark, sf):
     return scans.ring_coordinates(sensor_lines(spark, sf)).select(run_of().alias("run"), F.posexplode("coords").alias("k", "x"))
 
 
-@query("S09_timed_table", "run:i row:i t:4 col:i value:6", sql("fr", "SELECT run, frame AS row, frame * 0.25 AS t, k AS col, v[k + 1] AS value FROM fr, range(6) r(k)"))
+@query("S09_timed_table", "run:i row:i t:4 col:i value:6", sql("fr", "SELECT run, frame AS row, frame * 0.25 AS t, k AS col, v[k + 1] AS value FROM fr, range(64) r(k)"))
 def s09(spark, sf):
     f = frames(spark, sf)
-    head = f.select("run").distinct().select("run", F.lit(0).alias("line"), F.lit("50\t6\t0.25").alias("value"))
-    row = F.array_join(F.transform(F.slice("v", 1, 6), lambda v: v.cast("string")), "\t")
+    head = f.select("run").distinct().select("run", F.lit(0).alias("line"), F.lit("50\t64\t0.25").alias("value"))
+    row = F.array_join(F.transform("v", lambda v: v.cast("string")), "\t")
     d = head.unionByName(f.select("run", (F.col("frame") + 1).alias("line"), row.alias("value")))
     return scans.timed_table(back(spark, d, "timed")).withColumn("run", run_of())
 

@@ -66,13 +66,13 @@ def t03(spark, sf):
 def t04(spark, sf):
     return finish(live.emit_every(replay(spark, feed(spark, sf), "t04-in"), 1), "t04")
 
-@query("T05_serial_records", "t:i k:i p:6", sql("fr", "SELECT run * 50 + frame AS t, k, v[k + 1] AS p FROM fr, range(8) r(k) WHERE v[1] >= -0.1"))
+@query("T05_serial_records", "t:i k:i p:6", sql("fr", "SELECT run * 50 + frame AS t, k, v[k + 1] AS p FROM fr, range(64) r(k) WHERE v[1] >= -0.1"))
 def t05(spark, sf):
-    nums = F.transform(F.slice("v", 1, 8), lambda v: v.cast("string"))
+    nums = F.transform("v", lambda v: v.cast("string"))
     bad = F.concat_ws(" ", F.slice(nums, 1, 5), F.lit("x"))
     good = F.concat_ws(" ", nums, (F.col("run") * 50 + F.col("frame")).cast("string"))
     d = frames(spark, sf).select(F.when(F.col("v")[0] < -0.1, bad).otherwise(good).alias("value"))
-    out = finish(live.serial_records(replay(spark, d, "t05-in")), "t05")
+    out = finish(live.serial_records(replay(spark, d, "t05-in"), fields=65), "t05")
     return out.select("t", F.posexplode("sensors").alias("k", "p"))
 
 @query(
@@ -113,7 +113,7 @@ def stamped(spark, sf, kind):
 )
 def t08(spark, sf):
     a, b = replay(spark, stamped(spark, sf, "view"), "t08-a"), replay(spark, stamped(spark, sf, "click"), "t08-b")
-    return finish(live.paired_feeds(a, b, "user_id", "ts", "1 day", "60 days"), "t08")
+    return finish(live.paired_feeds(a, b, "user_id", "ts", "1 day", "2 hours"), "t08")
 
 @query("T09_closed_loop", "batch:i idx:i a:4 b:4 std:5")
 def t09(spark, sf):

@@ -7,6 +7,7 @@ and different feeds run in parallel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -130,15 +131,21 @@ class _Capture(StatefulProcessor):
         self.start = handle.getValueState("start", "t0 double")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
+        """Only rows that may still lie in the capture are held while the first time is looked for."""
         if self.start.exists():
-            t0 = self.start.get()[0]
-        else:
-            t0 = float(pdf["t"].min())
-            self.start.update((t0,))
-        keep = pdf[pdf["t"] < t0 + self.duration]
-        if len(keep):
-            yield keep[["channel", "id", "t", "p"]]
+            end = self.start.get()[0] + self.duration
+            for pdf in rows:
+                yield pdf.loc[pdf["t"] < end, ["channel", "id", "t", "p"]]
+            return
+        first, held = math.inf, []
+        for pdf in rows:
+            low = float(pdf["t"].min())
+            if low < first:
+                first = low
+                held = [h[h["t"] < first + self.duration] for h in held]
+            held.append(pdf.loc[pdf["t"] < first + self.duration, ["channel", "id", "t", "p"]])
+        self.start.update((first,))
+        yield from (h for h in held if len(h))
 
     def close(self) -> None:
         pass
@@ -190,10 +197,17 @@ def track_stream(df: DataFrame, max_distance: float, max_gap: int) -> DataFrame:
 
 
 def paired_feeds(a: DataFrame, b: DataFrame, key: str, ts: str, bucket: str, delay: str) -> DataFrame:
-    """Rows of two feeds that fall in one time bucket of one key; late rows beyond ``delay`` are dropped."""
+    """Rows of two feeds that fall in one time bucket of one key; late rows beyond ``delay`` are dropped.
+
+    The times of a pair are less than a bucket apart, which is said as a condition too: rows leave the
+    state when the watermark of the other feed has passed that range.
+    """
     left = a.withWatermark(ts, delay).withColumn("bucket", F.window(ts, bucket)["start"])
-    right = b.withWatermark(ts, delay).select(F.col(key), *[F.col(c).alias("other_" + c) for c in b.columns if c not in (key, ts)], F.window(ts, bucket)["start"].alias("bucket"))
-    return left.join(right, [key, "bucket"])
+    other = [F.col(c).alias("other_" + c) for c in b.columns if c not in (key, ts)]
+    right = b.withWatermark(ts, delay).select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), *other, F.window(ts, bucket)["start"].alias("_bucket"))
+    reach = F.expr(f"INTERVAL {bucket}")
+    near = (F.col(ts) > F.col("_ts") - reach) & (F.col(ts) < F.col("_ts") + reach)
+    return left.join(right, (F.col(key) == F.col("_key")) & (F.col("bucket") == F.col("_bucket")) & near).drop("_key", "_ts", "_bucket")
 
 
 def window_means(df: DataFrame, key: str, ts: str, value: str, length: str, slide: str | None, delay: str) -> DataFrame:
