@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from wakeframe.llm.stored import in_batches
 from wakeframe.llm.words import ALPHANUMERIC, U, Words, blocks, shingles, stream
 
 WORDS = 5
@@ -172,4 +173,4 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
                         out[d].append({"template_id": part.ids[t], "start": a, "stop": z, "containment": share, "value": raw.tobytes().decode()})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, kind)], ["doc_id", "matches"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, matches {shape}")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, matches {shape}")

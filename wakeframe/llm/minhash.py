@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeframe.llm.components import components
-from wakeframe.llm.stored import stored
+from wakeframe.llm.stored import in_batches, stored
 from wakeframe.llm.words import SPACED, U, Words, blocks, mix, shingles, stream
 
 WORDS = 5
@@ -91,7 +91,7 @@ def sign(docs: DataFrame, width: int = WORDS) -> DataFrame:
                     ["id", "n", "digest", "signature"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, digest binary, signature binary")
+    return in_batches(docs, run, "id bigint, n bigint, digest binary, signature binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 data = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), data], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+    return in_batches(docs, run, "id bigint, shingles binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     own = nodes.select("node", "signature")
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return in_batches(both, run, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(good)
 
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return in_batches(both, run, "a bigint, b bigint").distinct()
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _across(open_rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         return None if last else batch.slice(bounds[-1])
 
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return in_batches(sorted_rows, run, "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from wakeframe.llm.stored import in_batches
 from wakeframe.session import checkpoint
 
 # Items of one length that are ranked together; more are dealt to several groups first.
@@ -143,7 +144,7 @@ def pack(items: DataFrame, capacity: int, order: list[str], length: str = "lengt
 
     rows = ranked.select(*order, *carry, "length", "rank")
     out = rows.drop("rank").schema.add("sequence_id", LongType()).add("offset", LongType())
-    return rows.mapInArrow(place, out)
+    return in_batches(rows, place, out)
 
 
 def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:

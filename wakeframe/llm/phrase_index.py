@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wakeframe.llm.stored import stored
+from wakeframe.llm.stored import in_batches, stored
 from wakeframe.llm.words import ALPHANUMERIC, Words, blocks
 
 # Text of a segment, and test words that a search takes at a time (these go to every task).
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ["docs", "terms", "first", "postings"],
                 )
 
-    segments = rows.mapInArrow(run, _SEGMENT.format(id=id_type.simpleString()))
+    segments = in_batches(rows, run, _SEGMENT.format(id=id_type.simpleString()))
     return stored(segments.withColumn("segment", F.monotonically_increasing_id()), "phrase-index")
 
 
@@ -186,7 +186,7 @@ def _counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(terms), np.int64)
     if len(terms):
-        for r in index.select("terms", "first").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n")).collect():
+        for r in in_batches(index.select("terms", "first"), run, "place bigint, n bigint").groupBy("place").agg(F.sum("n")).collect():
             out[r[0]] = r[1]
     return out
 
@@ -225,7 +225,7 @@ def find_phrases(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
                             ["segment", "doc", "item_id", "matches"],
                         )
 
-        some = index.select("segment", "docs", "terms", "first", "postings").mapInArrow(run, schema)
+        some = in_batches(index.select("segment", "docs", "terms", "first", "postings"), run, schema)
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = index.sparkSession.createDataFrame([], schema)

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from wakeframe.session import scratch
 
+# Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, run, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` on batches of at most BATCH_BYTES (or one row), whatever the rows' sizes.
+
+    The session's own bound on the bytes of a batch, read when the query runs, is lowered to that.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark: SparkSession = df.sparkSession
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet beside the checkpoints and read again.
