@@ -143,18 +143,32 @@ def match_exact_or_first(df: DataFrame, meta: DataFrame, keys: Sequence[str], ex
     return out.select(*df.columns, F.col("_exact").isNotNull().alias("exact"), *[F.col("_pick")["_" + c].alias("meta_" + c) for c in [*exact, *rest]])
 
 
-def match_nearest_interval(df: DataFrame, meta: DataFrame, keys: Sequence[str], ids: Sequence[str], order: str) -> DataFrame:
+def match_nearest_interval(df: DataFrame, meta: DataFrame, keys: Sequence[str], ids: Sequence[str], order: str, reach: int = 64) -> DataFrame:
     """Meta interval closest to each prediction: least |start gap| + |end gap|, first on a tie.
 
-    An exact match has cost 0, so it wins by itself. Candidates are the windows of one
-    (experiment, snapshot, sensor); the running minimum is map-side combined.
+    An exact match has cost 0, so it wins by itself. A prediction is joined with the windows of its keys
+    that start in its own or a neighbouring bucket of ``reach`` frames. All others start further away than
+    ``reach``, so a cost up to that is final; the rest look again in buckets eight times as wide, until one
+    bucket holds everything. ``ids`` tell predictions apart.
     """
     m = meta.select(*keys, order, F.col("start_frame").alias("meta_start"), F.col("end_frame").alias("meta_end"))
-    j = df.join(m, list(keys))
+    low, high = df.select("start_frame").unionByName(meta.select("start_frame")).agg(F.min("start_frame"), F.max("start_frame")).first()
     cost = F.abs(F.col("meta_start") - F.col("start_frame")) + F.abs(F.col("meta_end") - F.col("end_frame"))
     pick = F.min(F.struct(cost.alias("cost"), F.col(order).alias("idx"), "meta_start", "meta_end"))
-    best = j.groupBy(*ids).agg(pick.alias("_b"))
-    return df.join(best, list(ids)).select(*df.columns, "_b.cost", "_b.idx", "_b.meta_start", "_b.meta_end")
+    pending, found = df, None
+    while True:
+        last = low is None or reach > high - low
+        bucket = F.floor(F.col("start_frame") / reach)
+        near = pending.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+        best = near.join(m.withColumn("_b", F.floor(F.col("meta_start") / reach)), [*keys, "_b"]).groupBy(*ids).agg(pick.alias("_m"))
+        seen = written(pending.join(best, list(ids), "left"), "nearest")
+        done = seen.filter(F.col("_m").isNotNull() & (F.lit(last) | (F.col("_m.cost") <= reach)))
+        done = done.select(*df.columns, "_m.cost", "_m.idx", "_m.meta_start", "_m.meta_end")
+        found = done if found is None else found.unionByName(done)
+        pending = seen.filter(F.col("_m").isNull() | (F.col("_m.cost") > reach)).select(*df.columns)
+        if last or pending.isEmpty():
+            return found
+        reach *= 8
 
 
 # --- linear models --------------------------------------------------------------------------------

@@ -48,20 +48,21 @@ def previous_row(
 ) -> DataFrame:
     """``lag(1)`` of ``values`` inside ``keys`` by ``order``, block by block.
 
-    The first row of a block takes its predecessor from the last row of the
-    nearest earlier block that has rows; those last rows come from a partial
-    aggregate with one row per block.
+    The first row of a block takes its predecessor from the last row of the nearest earlier
+    block that has rows. Those last rows, one per block, come from the same sorted blocks as the
+    lags do, so the rows are shuffled once.
     """
     keys, order, values = list(keys), list(order), list(values)
     tagged = df.withColumn("_blk", block)
-    tail = tagged.groupBy(*keys, "_blk").agg(
-        F.max_by(F.struct(*values), F.struct(*order)).alias("_tail")
+    local = W.partitionBy(*keys, "_blk").orderBy(*order)
+    lagged = tagged.withColumns(
+        {"_lag": F.lag(F.struct(*values)).over(local), "_last": F.lead(F.lit(False), 1, True).over(local)}
     )
+    tail = lagged.filter("_last").select(*keys, "_blk", F.struct(*values).alias("_tail"))
     carried = tail.select(
         *keys, "_blk", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_blk")).alias("_carry")
     )
-    local = W.partitionBy(*keys, "_blk").orderBy(*order)
-    out = tagged.withColumn("_lag", F.lag(F.struct(*values)).over(local)).join(carried, [*keys, "_blk"])
+    out = lagged.join(carried, [*keys, "_blk"])
     prev = F.coalesce(F.col("_lag"), F.col("_carry"))
     return out.select(*df.columns, *[prev[v].alias(prefix + v) for v in values])
 

@@ -231,20 +231,19 @@ def track_features(
 ) -> DataFrame:
     """The 17 features of each track.
 
-    Steps come from the previous row (block by block, so a very long track is not one
-    task); everything else is a partial aggregate. A frame gap of 0 counts as 1.
+    ``order`` begins with the frame. Steps come from the previous row (block by block, so a very
+    long track is not one task); everything else is one hash aggregate: the displacement is the sum
+    of the steps, and a frame counts where it differs from the one before. A frame gap of 0 counts as 1.
     """
     d = previous_row(df, keys, order, block, ["frame", "core_x", "core_y"])
-    step = F.hypot(F.col("core_x") - F.col("prev_core_x"), F.col("core_y") - F.col("prev_core_y"))
+    dx, dy = F.col("core_x") - F.col("prev_core_x"), F.col("core_y") - F.col("prev_core_y")
+    step = F.hypot(dx, dy)
     gap = F.col("frame") - F.col("prev_frame")
-    d = d.withColumns({"_step": step, "_speed": step / F.when(gap <= 0, 1).otherwise(gap)})
-    at = F.struct("core_x", "core_y")
-    by = F.struct(*order)
+    d = d.withColumns({"_dx": dx, "_dy": dy, "_step": step, "_speed": step / F.when(gap <= 0, 1).otherwise(gap)})
     agg = d.groupBy(*keys).agg(
-        F.count_distinct("frame").alias("_frames"),
+        F.count_if(~F.col("frame").eqNullSafe(F.col("prev_frame"))).alias("_frames"),
         F.max(snapshot_length).alias("_length"),
-        F.min_by(at, by).alias("_first"),
-        F.max_by(at, by).alias("_last"),
+        F.hypot(safe(F.sum("_dx")), safe(F.sum("_dy"))).alias("displacement"),
         safe(F.sum("_step")).alias("path_length"),
         safe(F.avg("_speed")).alias("mean_speed"),
         safe(F.max("_speed")).alias("max_speed"),
@@ -264,9 +263,6 @@ def track_features(
         {
             "duration_frames": F.col("_frames").cast("double"),
             "duration_ratio": F.col("_frames") / F.col("_length"),
-            "displacement": F.hypot(
-                F.col("_last.core_x") - F.col("_first.core_x"), F.col("_last.core_y") - F.col("_first.core_y")
-            ),
         }
     ).select(*keys, *FEATURES)
 
@@ -296,21 +292,17 @@ def feature_meta(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def track_features_v1(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, sx: float, sy: float) -> DataFrame:
     """Duration, displacement, speeds and strength of a track, and its closest pass by a sensor."""
     d = previous_row(df, keys, order, block, ["core_x", "core_y"])
-    step = F.hypot(F.col("core_x") - F.col("prev_core_x"), F.col("core_y") - F.col("prev_core_y"))
-    at, by = F.struct("core_x", "core_y", "frame"), F.struct(*order)
+    dx, dy = F.col("core_x") - F.col("prev_core_x"), F.col("core_y") - F.col("prev_core_y")
     g = d.groupBy(*keys).agg(
-        F.min_by(at, by).alias("_f"),
-        F.max_by(at, by).alias("_l"),
-        safe(F.max(step)).alias("max_speed"),
+        (F.max("frame") - F.min("frame") + 1).alias("duration"),
+        F.hypot(safe(F.sum(dx)), safe(F.sum(dy))).alias("displacement"),
+        safe(F.max(F.hypot(dx, dy))).alias("max_speed"),
         F.avg(F.abs("core_q")).alias("mean_vorticity"),
         F.stddev_pop("core_q").alias("std_vorticity"),
         F.min(F.hypot(F.col("core_x") - sx, F.col("core_y") - sy)).alias("min_distance"),
         F.max(F.abs("core_q")).alias("max_vorticity"),
     )
-    moved = F.hypot(F.col("_l.core_x") - F.col("_f.core_x"), F.col("_l.core_y") - F.col("_f.core_y"))
-    g = g.withColumns({"duration": F.col("_l.frame") - F.col("_f.frame") + 1, "displacement": moved})
-    speed = F.when(F.col("duration") > 0, F.col("displacement") / F.col("duration")).otherwise(0.0)
-    return g.withColumn("avg_speed", speed).drop("_f", "_l")
+    return g.withColumn("avg_speed", F.when(F.col("duration") > 0, F.col("displacement") / F.col("duration")).otherwise(0.0))
 
 
 def theoretical_pressure(df: DataFrame, sx: float, sy: float, core: float = 1.5) -> DataFrame:

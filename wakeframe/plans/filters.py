@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from wakeframe.functions.filters import butterworth, steady_state
 from wakeframe.operators import filters as ops
+from wakeframe.operators.filters import CHUNK
 from wakeframe.operators.ordering import index_rows
 from wakeframe.plans.registry import query
 from wakeframe.plans.views import frames, signal, sql, table
 
-CHUNK = 512
-
 
 def recursion(name: str, src: str, key: str, b, a, start: str) -> str:
     """Recursive CTE over lists ``e`` of ``src``: transposed direct form, one sample a step."""
