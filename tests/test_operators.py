@@ -292,6 +292,55 @@ def test_predictive_deviation_matches_dense(spark):
     assert best["idx"] == got[got["idx"] != 2].sort_values(["std", "idx"], ascending=[False, True])["idx"].iloc[0]
 
 
+def test_deviation_from_many_experiments_needs_few(spark):
+    """Any number of training points: the thinned basis gives what the dense formula gives on a part of them."""
+    rng = np.random.default_rng(5)
+    points = rng.uniform(0, 6, (3000, 2))
+    train = spark.createDataFrame([(float(a), float(b)) for a, b in points] + [(None, 1.0)], "a double, b double").repartition(5)
+    basis = learn.training_basis(train, (2.0, 2.0))
+    assert 20 < len(basis) < 200
+    cand = spark.createDataFrame([(i, 5.5 + 0.6 * (i % 3), 1.5 * (i // 3)) for i in range(9)], "idx int, a double, b double")
+    got = learn.predictive_deviation(cand, train, (2.0, 2.0)).orderBy("idx").toPandas()
+    z, q = points / 2, got[["a", "b"]].to_numpy() / 2
+    k = lambda p, r: np.exp(-0.5 * ((p[:, None] - r[None]) ** 2).sum(-1))
+    want = np.sqrt(np.maximum(1 - np.einsum("ij,ji->i", k(q, z), np.linalg.solve(k(z, z) + 1e-8 * np.eye(len(z)), k(q, z).T)), 0))
+    np.testing.assert_allclose(got["std"], want, atol=0.02)
+    assert learn.predictive_deviation(cand, train.limit(0), (2.0, 2.0)).filter("std <> 1").count() == 0
+
+
+def test_used_candidates_and_the_random_one(spark):
+    bounds = spark.createDataFrame([(0.0, 9.0, 0.0, 19.0)], "a_lo double, a_hi double, b_lo double, b_hi double")
+    grid = learn.candidate_grid(bounds, 10, 20)
+    assert grid.count() == 200 and grid.rdd.getNumPartitions() > 1
+    done = spark.createDataFrame([(3.2, 4.6), (2.9, 5.4), (100.0, -3.0)], "a double, b double")
+    used = learn.grid_index(done, bounds, 10, 20)
+    assert sorted(r.idx for r in used.collect()) == [65, 180]
+    scored = grid.withColumn("s", F.when(F.col("idx") == 65, 9.0).when(F.col("idx") == 7, 5.0).otherwise(1.0))
+    assert learn.next_parameters(scored, used, "s").first().idx == 7
+    drawn = learn.next_or_random(scored, used, "s").first()
+    assert drawn.fallback and drawn.idx not in (65, 180)
+    assert not learn.next_or_random(scored, used.filter("idx = 180"), "s").first().fallback
+    assert learn.next_or_random(scored, grid, "s").count() == 0
+
+
+def test_closed_loop_makes_whole_runs_of_parts(spark):
+    """A run spread over two batches gets the metrics of all of its rows."""
+    rows = [(re, 1, sensor, float(t), float((re * 7 + sensor * 3 + t * t) % 11)) for re in (1, 2) for sensor in (0, 1) for t in range(12)]
+    folder, source = scratch(spark, "loop"), scratch(spark, "loop-in")
+    for part in (0, 1):
+        some = [r for r in rows if r[3] % 2 == part]
+        spark.createDataFrame(some, "re int, h int, sensor int, t double, p double").coalesce(1).write.mode("append").parquet(source)
+    feed = spark.readStream.schema("re int, h int, sensor int, t double, p double").option("maxFilesPerTrigger", 1).parquet(source)
+    bounds = spark.createDataFrame([(1.0, 2.0, 0.0, 2.0)], "a_lo double, a_hi double, b_lo double, b_hi double")
+    grid = learn.candidate_grid(bounds, 3, 3)
+    live.closed_loop(feed, grid, lambda d: learn.grid_index(d, bounds, 3, 3), folder, (1.0, 1.0), 1e-9, scratch(spark, "loop-state")).awaitTermination()
+    got = live.latest_metrics(spark, folder)
+    whole = spark.createDataFrame(rows, "re int, h int, sensor int, t double, p double")
+    want = similarity.time_of_minimum(whole, ["re", "h"], "sensor", "t", "p").join(similarity.peak_to_peak(whole, ["re", "h"], "sensor", "p"), ["re", "h"])
+    assert spark.read.parquet(folder + "/next").select("batch").distinct().count() == 2
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_overlap_areas_are_exact(spark):
     def ring(points):
         return F.array(*[contours.point(F.lit(float(x)), F.lit(float(y))) for x, y in points])

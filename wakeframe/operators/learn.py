@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -355,35 +356,81 @@ def oversample(df: DataFrame, item: str, vec: str, label: str, minority, deficit
 
 
 def candidate_grid(bounds: DataFrame, na: int, nb: int) -> DataFrame:
-    """Even grid over the (lo, hi) ranges of two parameters given as one row."""
+    """Even grid over the (lo, hi) ranges of two parameters given as one row, dealt to all tasks."""
     step = lambda axis, i, n: F.col(axis + "_lo") + (F.col(axis + "_hi") - F.col(axis + "_lo")) * i / (n - 1)
-    ids = bounds.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(na * nb - 1))))
+    ids = bounds.sparkSession.range(na * nb).select(F.col("id").cast("int").alias("idx")).join(F.broadcast(bounds))
     i, j = F.floor(F.col("idx") / nb), F.col("idx") % nb
     return ids.select("idx", step("a", i, na).alias("a"), step("b", j, nb).alias("b"))
 
 
-# Training points of a Gaussian process: one experiment each, so hundreds at most.
-MAX_TRAINING_POINTS = 5000
+def grid_index(points: DataFrame, bounds: DataFrame, na: int, nb: int) -> DataFrame:
+    """(idx) of the grid candidates nearest to finished experiments (a, b), each once."""
+    nearest = lambda axis, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.round(F.coalesce((F.col(axis) - F.col(axis + "_lo")) * (n - 1) / F.nullif(F.col(axis + "_hi") - F.col(axis + "_lo"), F.lit(0.0)), F.lit(0.0)))))
+    one = bounds.select(*[F.col(c).cast("double").alias(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi")])
+    return points.join(F.broadcast(one)).select((nearest("a", na) * nb + nearest("b", nb)).cast("int").alias("idx")).distinct()
 
 
-def predictive_deviation(candidates: DataFrame, training: DataFrame, scales: tuple[float, float], name: str = "std", noise: float = 1e-10) -> DataFrame:
+# Variance below which a training point adds nothing: as much as the noise.
+GP_NOISE = 1e-10
+
+
+def _kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return np.exp(-0.5 * ((x[:, None] - z[None]) ** 2).sum(-1))
+
+
+class _Basis:
+    """Training points chosen one by one (pivoted Cholesky) until all others are determined up to the noise."""
+
+    def __init__(self):
+        self.z, self.low = np.empty((0, 2)), np.empty((0, 0))
+
+    def take(self, x: np.ndarray) -> None:
+        half = np.linalg.solve(self.low, _kernel(self.z, x)) if len(self.z) else np.empty((0, len(x)))
+        left = 1 - (half * half).sum(0)
+        while len(x) and left.max() > GP_NOISE:
+            p = int(left.argmax())
+            root = math.sqrt(left[p])
+            row = (_kernel(x[p : p + 1], x)[0] - half[:, p] @ half) / root
+            grown = np.zeros((len(self.z) + 1, len(self.z) + 1))
+            grown[:-1, :-1], grown[-1, :-1], grown[-1, -1] = self.low, half[:, p], root
+            self.low, self.z = grown, np.vstack([self.z, x[p]])
+            half = np.vstack([half, row])
+            left = np.maximum(left - row * row, 0.0)
+            left[p] = 0.0
+
+
+def training_basis(training: DataFrame, scales: tuple[float, float]) -> np.ndarray:
+    """Few training points (in units of ``scales``) that fix the posterior deviation, up to the noise.
+
+    Each task thins its own points, then one task thins what they kept. What is left is bounded by the
+    kernel's numerical rank over the box of the parameters, some ten points for each square of the length
+    scales, however many experiments there are.
+    """
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _Basis()
+        for pdf in batches:
+            own.take(np.unique(pdf[["a", "b"]].to_numpy(float), axis=0))
+        yield pd.DataFrame(own.z, columns=["a", "b"])
+
+    scaled = training.select((F.col("a").cast("double") / scales[0]).alias("a"), (F.col("b").cast("double") / scales[1]).alias("b")).dropna()
+    kept = scaled.mapInPandas(thin, "a double, b double").repartition(1).sortWithinPartitions("a", "b").mapInPandas(thin, "a double, b double")
+    return np.array([(r["a"], r["b"]) for r in kept.collect()], float).reshape(-1, 2)
+
+
+def predictive_deviation(candidates: DataFrame, training: DataFrame, scales: tuple[float, float], name: str = "std", noise: float = GP_NOISE) -> DataFrame:
     """Posterior deviation of a unit Gaussian process with a squared-exponential kernel.
 
-    The training set is one row per finished experiment: it is counted, refused above
-    ``MAX_TRAINING_POINTS``, and shipped to the tasks that score the candidates.
+    The candidates are scored where they are; they need only the training points of
+    :func:`training_basis`. Without training points the deviation is 1. Points with a gap do not count.
     """
-    points = training.select("a", "b").distinct().limit(MAX_TRAINING_POINTS + 1).toPandas().to_numpy(float)
-    if len(points) > MAX_TRAINING_POINTS:
-        raise ValueError("too many training points for an exact Gaussian process")
-    z = points / np.asarray(scales)
-    kern = np.exp(-0.5 * ((z[:, None] - z[None]) ** 2).sum(-1)) + noise * np.eye(len(z))
-    low = np.linalg.cholesky(kern)
+    z = training_basis(training, scales)
+    low = np.linalg.cholesky(_kernel(z, z) + noise * np.eye(len(z))) if len(z) else None
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             q = pdf[["a", "b"]].to_numpy(float) / np.asarray(scales)
-            cross = np.exp(-0.5 * ((q[:, None] - z[None]) ** 2).sum(-1))
-            half = np.linalg.solve(low, cross.T)
+            half = np.linalg.solve(low, _kernel(z, q)) if len(z) else np.zeros((0, len(q)))
             yield pdf.assign(**{name: np.sqrt(np.maximum(1 - (half * half).sum(0), 0.0))})
 
     schema = ", ".join(f"{n} {t}" for n, t in candidates.dtypes) + f", {name} double"
@@ -395,6 +442,17 @@ def next_parameters(scored: DataFrame, used: DataFrame, score: str) -> DataFrame
     return scored.join(used.select("idx"), "idx", "left_anti").orderBy(F.col(score).desc(), "idx").limit(1)
 
 
+def next_or_random(scored: DataFrame, used: DataFrame, score: str, seed: int = 42) -> DataFrame:
+    """The candidate with the highest score; if that was used already, a random unused one (``fallback``).
+
+    The draw is by a seeded hash of the index. No row if all candidates were used.
+    """
+    best = scored.orderBy(F.col(score).desc(), "idx").limit(1).join(used.select("idx"), "idx", "left_anti")
+    free = scored.join(used.select("idx"), "idx", "left_anti").orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(1)
+    both = best.withColumn("fallback", F.lit(False)).unionByName(free.withColumn("fallback", F.lit(True)))
+    return both.orderBy("fallback").limit(1)
+
+
 def disagreement(candidates: DataFrame, one: DataFrame, two: DataFrame, scales: tuple[float, float]) -> DataFrame:
     """|deviation from one source - deviation from the other| per candidate."""
     d = predictive_deviation(predictive_deviation(candidates, one, scales, "s1"), two, scales, "s2")

@@ -387,9 +387,15 @@ def l13(spark, sf):
 BOUNDS = "bnd AS (SELECT min(re) AS a_lo, max(re) AS a_hi, min(h) AS b_lo, max(h) AS b_hi FROM swp)"
 
 
+GRID_SIZE = (100, 220)
+
+
+def bounds(spark, sf):
+    return sweep(spark, sf).agg(F.min("re").alias("a_lo"), F.max("re").alias("a_hi"), F.min("h").alias("b_lo"), F.max("h").alias("b_hi"))
+
+
 def grid(spark, sf):
-    b = sweep(spark, sf).agg(F.min("re").alias("a_lo"), F.max("re").alias("a_hi"), F.min("h").alias("b_lo"), F.max("h").alias("b_hi"))
-    return ops.candidate_grid(b, 100, 220)
+    return ops.candidate_grid(bounds(spark, sf), *GRID_SIZE)
 
 
 @query(
@@ -401,26 +407,26 @@ def l16(spark, sf):
     return grid(spark, sf)
 
 
-def experiments(spark, sf, flag):
-    """Finished experiments of a source: the sweep cells whose mean is above the source's own."""
-    d = sweep(spark, sf).filter(F.col("flag") == flag)
-    mean = d.agg(F.avg("p").alias("_all"))
-    g = d.groupBy("re", "h").agg(F.avg("p").alias("_p")).join(F.broadcast(mean)).filter("_p > _all")
-    return g.select(F.col("re").alias("a"), F.col("h").alias("b"))
+def experiments(spark, sf, *flags):
+    """Finished experiments (a, b) of the named sources: all their sweep cells."""
+    return sweep(spark, sf).filter(F.col("flag").isin(*flags)).select(F.col("re").alias("a"), F.col("h").alias("b")).distinct()
 
 
-@query("L15_active_sampling", "idx:i a:6 b:6 std:5")
+@query("L15_active_sampling", "idx:i a:6 b:6 std:5 pick:b")
 def l15(spark, sf):
-    scored = ops.predictive_deviation(grid(spark, sf), experiments(spark, sf, "A"), (2.0, 8.0))
-    return scored
+    """Deviation of every candidate given all experiments, and the next one to try."""
+    done = written(experiments(spark, sf, "A", "N", "R"), "experiments")
+    scored = written(ops.predictive_deviation(grid(spark, sf), done, (2.0, 8.0)), "scored")
+    pick = ops.next_parameters(scored, ops.grid_index(done, bounds(spark, sf), *GRID_SIZE), "std")
+    return scored.join(F.broadcast(pick.select("idx", F.lit(True).alias("pick"))), "idx", "left").withColumn("pick", F.coalesce("pick", F.lit(False)))
 
 
-@query("L17_disagreement_pick", "idx:i a:6 b:6 gap:5")
+@query("L17_disagreement_pick", "idx:i a:6 b:6 gap:5 fallback:b")
 def l17(spark, sf):
-    one, two = experiments(spark, sf, "A"), experiments(spark, sf, "R").filter("b > 25")
-    d = ops.disagreement(grid(spark, sf), one, two, (2.0, 8.0))
-    used = d.filter(F.col("s1") < 1e-3)
-    return ops.next_parameters(d, used, "gap")
+    """The candidate on which two sources disagree most; a random one if it was measured already."""
+    one, two = written(experiments(spark, sf, "A"), "one"), written(experiments(spark, sf, "R"), "two")
+    scored = written(ops.disagreement(grid(spark, sf), one, two, (2.0, 8.0)), "scored")
+    return ops.next_or_random(scored, ops.grid_index(one.unionByName(two), bounds(spark, sf), *GRID_SIZE), "gap")
 
 
 # --- pictures and labels ----------------------------------------------------------------------

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wakeframe.plans.learn import grid
+from wakeframe.operators.learn import grid_index
+from wakeframe.plans.learn import GRID_SIZE, bounds, grid
 from wakeframe.plans.registry import query
 from wakeframe.plans.similarity import sweep
 from wakeframe.plans.tracks import LINK, LINKED
 from wakeframe.plans.views import frames, micros, sql, table
 from wakeframe.plans.vortices import raw_regions
-from wakeframe.session import scratch
+from wakeframe.session import scratch, written
 from wakeframe.sources import sinks
 from wakeframe.streaming import live
 
@@ -115,14 +116,17 @@ def t08(spark, sf):
     a, b = replay(spark, stamped(spark, sf, "view"), "t08-a"), replay(spark, stamped(spark, sf, "click"), "t08-b")
     return finish(live.paired_feeds(a, b, "user_id", "ts", "1 day", "2 hours"), "t08")
 
-@query("T09_closed_loop", "batch:i idx:i a:4 b:4 std:5")
+@query("T09_closed_loop", "batch:i idx:i a:4 b:4 std:5 runs:i")
 def t09(spark, sf):
-    runs = sweep(spark, sf)
-    runs = runs.join(runs.agg(F.avg("p").alias("_m")).hint("broadcast")).filter("p > _m").drop("_m").repartition(4, "re")
-    folder = scratch(spark, "t09")
+    """All runs arrive in four parts, each run spread over several of them."""
+    runs = sweep(spark, sf).repartition(4)
+    folder, size = scratch(spark, "t09"), GRID_SIZE
     stream = replay(spark, runs, "t09-in", files_per_trigger=1)
-    live.closed_loop(stream, grid(spark, sf), folder, (2.0, 8.0), 1e-9, scratch(spark, "t09-state")).awaitTermination()
-    return spark.read.parquet(folder + "/next")
+    limits = written(bounds(spark, sf), "bounds")
+    index = lambda done: grid_index(done, limits, *size)
+    live.closed_loop(stream, written(grid(spark, sf), "grid"), index, folder, (2.0, 8.0), 1e-9, scratch(spark, "t09-state")).awaitTermination()
+    done = live.latest_metrics(spark, folder).agg(F.count(F.lit(1)).alias("runs"))
+    return spark.read.parquet(folder + "/next").join(F.broadcast(done))
 
 @query("T10_stateful_tracking", "run:i frame:i region:i core_x:4 core_y:4 track_id:i", sql("cells", LINKED, *LINK))
 def t10(spark, sf):

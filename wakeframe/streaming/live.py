@@ -8,7 +8,7 @@ and different feeds run in parallel.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -22,6 +22,7 @@ from wakeframe.operators.learn import next_parameters, predictive_deviation
 from wakeframe.operators.series import force_and_pressure
 from wakeframe.operators.similarity import peak_to_peak, time_of_minimum
 from wakeframe.operators.tracks import Linker
+from wakeframe.session import written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -220,23 +221,30 @@ def window_means(df: DataFrame, key: str, ts: str, value: str, length: str, slid
 # --- closed loop --------------------------------------------------------------------------------
 
 
-def closed_loop(feed: DataFrame, candidates: DataFrame, folder: str, scales: tuple[float, float], threshold: float, checkpoint: str):
-    """For every batch of new runs: metrics, refit, next parameters; stops below ``threshold``.
+def closed_loop(
+    feed: DataFrame, candidates: DataFrame, index: Callable[[DataFrame], DataFrame], folder: str, scales: tuple[float, float], threshold: float, checkpoint: str
+):
+    """For every batch of new rows: metrics of the runs, refit, next parameters; stops below ``threshold``.
 
-    Each batch writes to its own folder, so a repeated batch replaces its earlier try.
+    A batch's rows are kept, and the metrics of the runs (re, h) that it touches are made anew from all
+    rows of those runs so far, so a run may arrive in parts. ``index`` maps finished experiments (a, b) to
+    the candidates they stand for. Each batch writes to its own folders: a repeated one replaces its first try.
     """
     spark = feed.sparkSession
     holder: dict = {}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        so_far = spark.read.schema(f"{batch.schema.toDDL()}, batch bigint").parquet(f"{folder}/rows").filter(F.col("batch") <= batch_id)
+        touched = so_far.filter(F.col("batch") == batch_id).select("re", "h").distinct()
+        if touched.isEmpty():
             return
-        metrics = time_of_minimum(batch, ["re", "h"], "sensor", "t", "p").join(peak_to_peak(batch, ["re", "h"], "sensor", "p"), ["re", "h"])
+        whole = written(so_far.drop("batch").join(touched, ["re", "h"], "left_semi"), "touched")
+        metrics = time_of_minimum(whole, ["re", "h"], "sensor", "t", "p").join(peak_to_peak(whole, ["re", "h"], "sensor", "p"), ["re", "h"])
         metrics.write.mode("overwrite").parquet(f"{folder}/metrics/batch={batch_id}")
-        done = spark.read.parquet(f"{folder}/metrics").select(F.col("re").alias("a"), F.col("h").alias("b")).distinct()
-        scored = predictive_deviation(candidates, done, scales)
-        used = candidates.join(done, ["a", "b"], "left_semi")
-        best = next_parameters(scored, used, "std").withColumn("batch", F.lit(batch_id))
+        done = written(spark.read.parquet(f"{folder}/metrics").filter(F.col("batch") <= batch_id).select(F.col("re").alias("a"), F.col("h").alias("b")).distinct(), "done")
+        scored = written(predictive_deviation(candidates, done, scales), "scored")
+        best = next_parameters(scored, index(done), "std").withColumn("batch", F.lit(batch_id))
         best.write.mode("overwrite").parquet(f"{folder}/next/batch={batch_id}")
         top = spark.read.parquet(f"{folder}/next/batch={batch_id}").agg(F.max("std")).first()[0]
         if top is not None and top < threshold and "query" in holder:
@@ -246,3 +254,8 @@ def closed_loop(feed: DataFrame, candidates: DataFrame, folder: str, scales: tup
     return holder["query"]
 
 
+def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of each run as of the last batch that touched it."""
+    rows = spark.read.parquet(f"{folder}/metrics")
+    last = rows.groupBy("re", "h").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["re", "h", "batch"])
