@@ -6,7 +6,8 @@ bands; nodes that agree in a band share a bucket. Two rounds find the links:
 * Each node of a bucket is compared with one node of it, another one in each bucket. That joins large
   groups of copies with a number of pairs that grows with the nodes.
 * In buckets that still hold several components, nodes of different components are compared in tiles of
-  bounded size, on signatures inside the task; only pairs that pass become rows.
+  bounded size, signatures first and then sets, inside the task; only links that join components become
+  rows. A pair is looked at in the first band in which it agrees.
 
 Pairs whose signatures agree enough are verified on the full shingle sets. No bucket is capped. Two sets at
 the threshold miss each other in all 32 bands of 4 with a chance of 5e-6, and a true link fails the signature
@@ -30,10 +31,9 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 # Share of equal minima below which a pair is not verified: more than five standard errors under the threshold.
 LEAST_ESTIMATE = 0.55
-TILE = 128
+# Nodes of a block of a large bucket; two blocks meet in a task.
+TILE = 512
 _CHUNK = 1 << 14
-# Sets of a pair that are joined at a time, in shingles.
-_PAIR_ROWS = 256
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -121,83 +121,96 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return in_batches(both, run, "a bigint, b bigint").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sets."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
 
-    def linked(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-            return False
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return 100 * both >= percent * (len(p) + len(q) - both)
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are linked by their full sets."""
 
     def run(batches):
         for batch in batches:
-            good = pa.array([linked(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield batch.select([0, 1]).filter(good)
+            good = [_linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return in_batches(both, run, "a bigint, b bigint").distinct()
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, head) of buckets with several nodes; the head is one of them, another one for each key."""
+    """(key, band, node, head, size) of buckets with several nodes; the head is one of them, another one for each key."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-    rows = nodes.select(F.explode(keys).alias("key"), "node")
+    rows = nodes.select(F.posexplode(keys).alias("band", "key"), "node")
     mask = F.xxhash64("key")
     heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(mask)).alias("least"))
     shared = heads.filter(F.col("size") > 1).select("key", F.col("least").bitwiseXOR(mask).alias("head"), "size")
     return rows.join(shared, "key")
 
 
-def _across(open_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share an open bucket, lie in different components and have alike signatures.
-
-    ``open_rows`` is (key, node, component, size). A bucket of more than TILE nodes is cut into blocks, and
-    each pair of blocks is a tile; a node goes to one tile for each block of its bucket.
+def _tile_links(first: bool, mine, i: int, band: int, node, component, minima, sets, percent: int):
+    """Links (a, b) that join components of one tile: block ``i`` with itself (``first``) or with the other block."""
+    root = component.copy()
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == i) if first else np.flatnonzero(mine != i)
+    for k in left.tolist():
+        others = right[right > k] if first else right
+        others = others[root[others] != root[k]]
+        if not len(others):
+            continue
+        same = minima[others] == minima[k]
+        near = same.mean(axis=1) >= LEAST_ESTIMATE
+        agreed = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
+        for o in others[near][agreed.argmax(axis=1) == band].tolist():
+            if root[o] != root[k] and _linked(sets[k], sets[o], percent):
+                yield min(int(node[k]), int(node[o])), max(int(node[k]), int(node[o]))
+                root[root == root[o]] = root[k]
+
+
+def _across(open_rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different components that share an open bucket, enough to join all that are linked.
+
+    ``open_rows`` is (key, band, node, component, size). A bucket of more than TILE nodes is cut into blocks,
+    and each pair of blocks is a tile; a node goes to one tile for each block of its bucket.
     """
     cut = F.ceil(F.col("size") / TILE).cast("int")
     block = F.pmod(F.xxhash64("node"), cut).cast("int")
     tagged = open_rows.withColumns({"blocks": cut, "mine": block})
     tiles = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = tiles.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component")
-    rows = placed.join(nodes.select("node", "signature"), "node")
+    placed = tiles.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "node", "component")
+    own = nodes.select("node", "signature").join(sets.withColumnRenamed("id", "node"), "node")
     order = ["key", "i", "j"]
-    sorted_rows = rows.repartition(*order).sortWithinPartitions(*order).select(*order, "mine", "node", "component", "signature")
-
-    def compare(i, j, mine, node, component, minima):
-        left, right = (np.flatnonzero(mine == i), np.flatnonzero(mine == j))
-        for k in left.tolist():
-            with_ = right[right > k] if i == j else right
-            with_ = with_[component[with_] != component[k]]
-            if len(with_):
-                near = with_[(minima[with_] == minima[k]).mean(axis=1) >= LEAST_ESTIMATE]
-                for o in node[near].tolist():
-                    yield (min(o, int(node[k])), max(o, int(node[k])))
+    rows = placed.join(own, "node").repartition(*order).sortWithinPartitions(*order)
+    rows = rows.select(*order, "mine", "band", "node", "component", "signature", "shingles")
 
     def run(batches):
         rest = None
         for batch in batches:
-            rest = yield from tile(batch if rest is None else pa.concat_batches([rest, batch]), False)
+            rest = yield from tiles_of(batch if rest is None else pa.concat_batches([rest, batch]), False)
         if rest is not None:
-            yield from tile(rest, True)
+            yield from tiles_of(rest, True)
 
-    def tile(batch, last):
-        key, i, j, mine, node, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
-        if not len(key):
+    def tiles_of(batch, last):
+        """Links of the tiles that end in the batch; the rows after the last end."""
+        if not batch.num_rows:
             return None
+        key, i, j, mine, band, node, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
         turn = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         bounds = [0, *turn.tolist(), *([len(key)] if last else [])]
-        if len(bounds) > 1:
-            end = bounds[-1]
-            minima = np.frombuffer(b"".join(batch.column(6).slice(0, end).to_pylist()), "<u4").reshape(-1, HASHES)
-            found = {p for a, z in zip(bounds, bounds[1:]) for p in compare(i[a], j[a], mine[a:z], node[a:z], component[a:z], minima[a:z])}
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = []
+        for a, z in zip(bounds, bounds[1:]):
+            part = slice(a, z)
+            minima = np.frombuffer(b"".join(batch.column(7).slice(a, z - a).to_pylist()), "<u4").reshape(-1, HASHES)
+            full = [np.frombuffer(x, "<u8") for x in batch.column(8).slice(a, z - a).to_pylist()]
+            found += _tile_links(i[a] == j[a], mine[part], i[a], band[a], node[part], component[part], minima, full, percent)
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         return None if last else batch.slice(bounds[-1])
 
-    return in_batches(sorted_rows, run, "a bigint, b bigint").distinct()
+    return in_batches(rows, run, "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -223,9 +236,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = components(_verified(_alike(to_head.distinct(), nodes), sets, percent))
 
     known = first.withColumnRenamed("component", "to")
-    placed = buckets.join(known, "node", "left").select("key", "node", F.coalesce("to", "node").alias("component"), "size")
+    placed = buckets.join(known, "node", "left").select("key", "band", "node", F.coalesce("to", "node").alias("component"), "size")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    across = _verified(_across(placed.join(mixed, "key", "left_semi"), nodes), sets, percent)
+    across = _across(placed.join(mixed, "key", "left_semi"), nodes, sets, percent)
     label = {c: known.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab"}
     between = across.join(label["a"], "a", "left").join(label["b"], "b", "left")
     second = components(between.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))).toDF("middle", "last")
