@@ -15,7 +15,7 @@ from wakeframe.operators import contours, fields, filters, learn, modal, orderin
 from wakeframe.plans import views
 from wakeframe.plans.vortices import raw_regions
 from wakeframe.session import scratch
-from wakeframe.sources import scans, sinks
+from wakeframe.sources import growing, scans, sinks
 from wakeframe.streaming import live
 
 RNG = np.random.default_rng(11)
@@ -435,14 +435,43 @@ def test_count_emission_across_batches(spark):
     for part in (rows[:20], rows[20:31], rows[31:]):
         spark.createDataFrame(part, "channel string, id bigint, t double, p double").coalesce(1).write.parquet(folder + "/in", mode="append")
     feed = spark.readStream.schema("channel string, id bigint, t double, p double").option("maxFilesPerTrigger", 1).parquet(folder + "/in")
-    with live.state_in_rocksdb(spark):
-        got = live.run_to_table(live.emit_every(feed, 10), folder + "/out", folder + "/state").toPandas().sort_values("n")
+    live.emit_every(feed, 10, folder + "/out", folder + "/state").awaitTermination()
+    got = live.emitted(spark, folder + "/out").toPandas().sort_values("n")
+    assert spark.read.parquet(folder + "/out/state").select("batch").distinct().count() == 3
     p = np.array([r[3] for r in rows])
     assert got["n"].tolist() == [9, 19, 29, 39, 49]
     np.testing.assert_allclose(got["baseline"], [p[max(0, n - 19) : n + 1].mean() for n in got["n"]])
     np.testing.assert_allclose(got["corrected"], (got["p"] - got["baseline"]) / 4)
 
 
+def test_a_growing_file_is_read_line_by_line(spark, tmp_path):
+    """Rows appended between two runs are read, each once, and a row only when its line is complete."""
+    folder = scratch(spark, "grow")
+    path = tmp_path / "feed" / "a.csv"
+    path.parent.mkdir()
+
+    def add(text):
+        with path.open("a") as f:
+            f.write(text)
+        return live.run_to_table(live.tail_csv(spark, str(path.parent), 2), folder + "/out", folder + "/state")
+
+    times = lambda df: sorted(r.timestamp for r in df.collect())
+    assert times(add("1,0.5,0.6\n2,0.1,0.2\nbad,1,2\n3,0.1")) == [1.0, 2.0]
+    assert times(add(",0.7\n4,1,1\n5,1")) == [1.0, 2.0, 3.0, 4.0]
+    assert times(add(",2\n")) == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_ranges_of_a_growing_file_split_no_line(tmp_path, monkeypatch):
+    monkeypatch.setattr(growing, "SPLIT_BYTES", 7)
+    monkeypatch.setattr(growing, "LOOK_BYTES", 3)
+    lines = ["", "a", "bcd" * 5, "", "éü", "x" * 20]
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\nrest")
+    reader = growing._Reader(str(tmp_path), ".csv")
+    end = reader.latestOffset()
+    got = [v for part in reader.partitions({}, end) for batch in reader.read(part) for v in batch.column(1).to_pylist()]
+    assert got == lines and reader.partitions(end, end)[0].path == ""
+
+
 def test_gap_fill_and_tail_spike(spark):
     d = spark.createDataFrame([([None, 1.0, None, 3.0, None],), ([None, None],)], "v array<double>")
     got = [r[0] for r in d.select(arrays.fill_gaps(F.col("v"))).collect()]

@@ -42,30 +42,42 @@ def array_lines(spark, sf):
 
 TAIL = "SELECT run * 50 + frame AS timestamp, cell AS k, v[cell + 1] AS p FROM fr, grid WHERE v[1] >= -0.1"
 
-def tailed(spark, sf, files=None):
+def recorded(spark, sf):
     path = scratch(spark, "live")
     sinks.write_lines(array_lines(spark, sf), path, ["run"], ["line"])
-    return live.tail_csv(spark, path + "/run=*", 64, files)
+    return path
 
 @query("T01_tail_csv", "timestamp:i k:i p:6", sql("fr grid", TAIL))
 def t01(spark, sf):
-    return finish(tailed(spark, sf), "t01").select("timestamp", F.posexplode("pressures").alias("k", "p"))
+    return finish(live.tail_csv(spark, recorded(spark, sf), 64), "t01").select("timestamp", F.posexplode("pressures").alias("k", "p"))
 
 @query("T02_replay_chunks", "timestamp:i k:i p:6", sql("fr grid", TAIL))
 def t02(spark, sf):
-    return finish(tailed(spark, sf, files=4), "t02").select("timestamp", F.posexplode("pressures").alias("k", "p"))
+    return finish(live.replay_csv(spark, recorded(spark, sf) + "/run=*", 64, 4), "t02").select("timestamp", F.posexplode("pressures").alias("k", "p"))
 
 BASE = """bse AS (SELECT channel, n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY channel)) / 1e6 AS elapsed, p,
   avg(p) OVER (PARTITION BY channel ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS baseline FROM
   (SELECT event_type AS channel, ts, value AS p, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events))"""
 
+def emitted(spark, sf, name, every):
+    """The feed in four batches, in order of time; the state carries over."""
+    path, folder = scratch(spark, name + "-in"), scratch(spark, name)
+    quarter = 31 * 86400 / 4
+    for k in range(4):
+        low, high = F.lit(k * quarter) if k else F.lit(float("-inf")), F.lit((k + 1) * quarter) if k < 3 else F.lit(float("inf"))
+        feed(spark, sf).filter((F.col("t") >= low) & (F.col("t") < high)).write.mode("append").parquet(f"{path}/part={k}")
+    for k in range(4):
+        stream = spark.readStream.schema(feed(spark, sf).schema).parquet(f"{path}/part=[0-{k}]")
+        live.emit_every(stream, every, folder, folder + "-state").awaitTermination()
+    return live.emitted(spark, folder)
+
 @query("T03_count_emission", "channel:s n:i elapsed:3 p:4", sql("", "SELECT * FROM bse WHERE n % 50 = 49", BASE))
 def t03(spark, sf):
-    return finish(live.emit_every(replay(spark, feed(spark, sf), "t03-in"), 50), "t03")
+    return emitted(spark, sf, "t03", 50)
 
 @query("T04_trailing_baseline", "channel:s n:i baseline:5 corrected:5", sql("", "SELECT *, (p - baseline) / 4 AS corrected FROM bse", BASE))
 def t04(spark, sf):
-    return finish(live.emit_every(replay(spark, feed(spark, sf), "t04-in"), 1), "t04")
+    return emitted(spark, sf, "t04", 1)
 
 @query("T05_serial_records", "t:i k:i p:6", sql("fr", "SELECT run * 50 + frame AS t, k, v[k + 1] AS p FROM fr, range(64) r(k) WHERE v[1] >= -0.1"))
 def t05(spark, sf):

@@ -13,16 +13,18 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wakeframe.functions.text import lenient_double
 from wakeframe.operators.learn import next_parameters, predictive_deviation
+from wakeframe.operators.ordering import index_rows, windowed
 from wakeframe.operators.series import force_and_pressure
 from wakeframe.operators.similarity import peak_to_peak, time_of_minimum
 from wakeframe.operators.tracks import Linker
 from wakeframe.session import written
+from wakeframe.sources.growing import GrowingLines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -56,12 +58,15 @@ def tail_rows(lines: DataFrame, channels: int = 96, sep: str = ",") -> DataFrame
     return d.select(F.get("_p", F.lit(0)).alias("timestamp"), F.slice("_p", 2, channels).alias("pressures"))
 
 
-def tail_csv(spark: SparkSession, path: str, channels: int = 96, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of complete CSV rows from files that land whole; ``files_per_trigger`` replays in chunks."""
-    reader = spark.readStream
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return tail_rows(reader.text(path), channels)
+def tail_csv(spark: SparkSession, path: str, channels: int = 96) -> DataFrame:
+    """Stream of complete CSV rows of the files under ``path``, also of rows that are appended later."""
+    spark.dataSource.register(GrowingLines)
+    return tail_rows(spark.readStream.format("growing_lines").option("path", path).load(), channels)
+
+
+def replay_csv(spark: SparkSession, path: str, channels: int, files_per_trigger: int) -> DataFrame:
+    """A recording as a stream, some files at a time."""
+    return tail_rows(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), channels)
 
 
 def serial_records(lines: DataFrame, fields: int = 9) -> DataFrame:
@@ -79,49 +84,47 @@ def force_feed(df: DataFrame, col: str) -> DataFrame:
 # --- count-based state ------------------------------------------------------------------------
 
 
-class _Emitter(StatefulProcessor):
-    """Every ``every`` rows emit that row with its time since the first row and its baseline."""
-
-    def __init__(self, every: int, rows: int, divisor: float):
-        self.every, self.rows, self.divisor = every, rows, divisor
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n bigint, t0 double, last array<double>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "id"])
-        n, t0, last = self.seen.get() if self.seen.exists() else (0, float(pdf["t"].iloc[0]), [])
-        past = np.asarray(last, float)
-        p = np.concatenate([past, pdf["p"].to_numpy(float)])
-        run = np.concatenate([[0.0], np.cumsum(p)])
-        at = np.arange(len(past), len(p))
-        low = np.maximum(at + 1 - self.rows, 0)
-        base = (run[at + 1] - run[low]) / (at + 1 - low)
-        index = n + np.arange(len(pdf))
-        hit = index % self.every == self.every - 1
-        self.seen.update((int(n + len(pdf)), t0, [float(v) for v in p[-(self.rows - 1) :]] if self.rows > 1 else []))
-        if hit.any():
-            value = pdf["p"].to_numpy(float)
-            yield pd.DataFrame(
-                {"channel": key[0], "n": index[hit], "elapsed": pdf["t"].to_numpy(float)[hit] - t0, "p": value[hit],
-                 "baseline": base[hit], "corrected": (value[hit] - base[hit]) / self.divisor}
-            )
-
-    def close(self) -> None:
-        pass
-
-
-def emit_every(df: DataFrame, every: int, rows: int = 20, divisor: float = 4.0) -> DataFrame:
-    """Feed (channel, id, t, p) -> one row out of ``every`` with its trailing-mean baseline.
+def emit_every(df: DataFrame, every: int, folder: str, checkpoint: str, rows: int = 20, divisor: float = 4.0, block: Column | None = None):
+    """Feed (channel, id, t, p) -> one row out of ``every`` with its trailing-mean baseline, as a running query.
 
-    Rows of one micro-batch are put in time order; batches must arrive in order.
+    Rows of one micro-batch are put in time order; batches must arrive in order. A batch is numbered and
+    averaged block by block (``block`` grows with t; by default an hour), so no channel is one task's. A channel's
+    state (rows seen, first time, last values) is one row of the batch's state table; batch k reads that of
+    batch k - 1 and replaces its own files when it is repeated. Results are under ``folder``/rows.
     """
-    return df.groupBy("channel").transformWithStateInPandas(
-        statefulProcessor=_Emitter(every, rows, divisor),
-        outputStructType="channel string, n bigint, elapsed double, p double, baseline double, corrected double",
-        outputMode="Append",
-        timeMode="None",
-    )
+    spark = df.sparkSession
+    hour = F.floor(F.col("t") / 3600) if block is None else block
+    state_of = lambda k: f"{folder}/state/batch={k}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        now = written(index_rows(batch.select("channel", "id", "t", "p"), ["channel"], ["t", "id"], hour, "_k"), "feed")
+        kind = "channel string, seen bigint, t0 double, last array<double>"
+        old = spark.read.schema(kind).parquet(state_of(batch_id - 1)) if batch_id else spark.createDataFrame([], kind)
+        starts = now.groupBy("channel").agg(F.min("t").alias("_first"), F.count(F.lit(1)).alias("_new")).join(old, "channel", "full")
+        starts = written(starts.select("channel", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("t0", "_first").alias("t0"), F.coalesce("_new", F.lit(0)).alias("_new"), F.coalesce("last", F.array().cast("array<double>")).alias("last")), "starts")
+        fresh = now.join(starts.select("channel", "seen", "t0"), "channel").select("channel", (F.col("seen") + F.col("_k")).alias("n"), "t", "t0", "p")
+        held = starts.select("channel", "seen", "t0", F.size("last").alias("_size"), F.posexplode("last").alias("_i", "p"))
+        held = held.select("channel", (F.col("seen") - F.col("_size") + F.col("_i")).alias("n"), F.lit(None).cast("double").alias("t"), "t0", "p")
+        both = windowed(fresh.unionByName(held), ["channel"], "n", rows - 1, 0, lambda w: {"baseline": F.avg("p").over(w.rowsBetween(1 - rows, 0))})
+        out = both.filter(F.col("t").isNotNull() & (F.col("n") % every == every - 1)).select(
+            "channel", "n", (F.col("t") - F.col("t0")).alias("elapsed"), "p", "baseline", ((F.col("p") - F.col("baseline")) / divisor).alias("corrected")
+        )
+        out.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        # The last values of a channel: at most rows - 1 of them.
+        late = fresh.unionByName(held).join(starts.select("channel", (F.col("seen") + F.col("_new")).alias("_total")), "channel").filter(F.col("n") > F.col("_total") - rows)
+        last = late.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("_l"))
+        kept = starts.join(last, "channel", "left").select(
+            "channel", (F.col("seen") + F.col("_new")).alias("seen"), "t0", F.transform("_l", lambda r: r["p"]).alias("last")
+        )
+        kept.write.mode("overwrite").parquet(state_of(batch_id))
+
+    return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def emitted(spark: SparkSession, folder: str) -> DataFrame:
+    """What :func:`emit_every` has put out."""
+    kind = "channel string, n bigint, elapsed double, p double, baseline double, corrected double, batch bigint"
+    return spark.read.schema(kind).parquet(f"{folder}/rows").drop("batch")
 
 
 class _Capture(StatefulProcessor):
