@@ -429,6 +429,57 @@ def l17(spark, sf):
     return ops.next_or_random(scored, ops.grid_index(one.unionByName(two), bounds(spark, sf), *GRID_SIZE), "gap")
 
 
+# --- what every fit must keep: rows, keys and bounds ------------------------------------------
+
+# Sizes of the three parts of a permutation split of n rows.
+PARTS = """pt AS (SELECT n, round_even(n * 0.7, 0) AS tr, round_even(n * 0.15, 0) AS va FROM cnt),
+  parts AS (SELECT 'train' AS part, tr AS n FROM pt UNION ALL SELECT 'validate', va FROM pt UNION ALL SELECT 'test', n - tr - va FROM pt)"""
+
+
+def outside(c, low=0.0, high=1.0):
+    """Rows whose value is missing or out of bounds."""
+    return F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | ~F.col(c).between(low, high))
+
+
+@query("L04_coverage", "loss:s part:s n:i bad:i", sql("", "SELECT loss, part, n, 0 AS bad FROM parts, (VALUES ('mse'), ('bce')) l(loss)", "cnt AS (SELECT count(*) AS n FROM embeddings)", PARTS))
+def l04_coverage(spark, sf):
+    return l04(spark, sf).groupBy("loss", "part").agg(F.count(F.lit(1)).alias("n"), outside("prob").alias("bad"))
+
+
+@query("L05_coverage", "part:s n:i bad:i", sql("trk", "SELECT part, n, 0 AS bad FROM parts", "cnt AS (SELECT count(*) AS n FROM (SELECT DISTINCT run, track_id FROM trk))", PARTS))
+def l05_coverage(spark, sf):
+    return l05(spark, sf).groupBy("part").agg(F.count(F.lit(1)).alias("n"), outside("prob").alias("bad"))
+
+
+@query("L06_coverage", "trials:i bad:i", "SELECT 30 AS trials, 0 AS bad")
+def l06_coverage(spark, sf):
+    """Penalties lie in the searched range, and no trial is worse than twice the variance of a fair label."""
+    ok = F.col("reg").between(1e-6, 1.0) & F.col("mse").between(0.0, 0.5)
+    return l06(spark, sf).agg(F.count(F.lit(1)).alias("trials"), F.count_if(~ok).alias("bad"))
+
+
+@query("L11_coverage", "n:i bad:i", sql("", "SELECT n, 0 AS bad FROM parts WHERE part = 'test'", "cnt AS (SELECT count(*) AS n FROM embeddings)", PARTS))
+def l11_coverage(spark, sf):
+    return l11(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("pred").isin(0.0, 1.0)).alias("bad"))
+
+
+@query(
+    "L13_coverage",
+    "n:i bases:i bad:i",
+    """SELECT deficit AS n, least(deficit, minority) AS bases, 0 AS bad FROM (SELECT count(*) FILTER (label <> 3) - count(*) FILTER (label = 3) AS deficit,
+    count(*) FILTER (label = 3) AS minority FROM embeddings)""",
+)
+def l13_coverage(spark, sf):
+    """As many new rows as the minority lacks, every base in turn, none blended with itself."""
+    return l13(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("bases"), F.count_if(F.col("base") == F.col("near")).alias("bad"))
+
+
+@query("L15_coverage", "n:i picks:i bad:i", "SELECT 22000 AS n, 1 AS picks, 0 AS bad FROM (SELECT count(*) FROM lineitem)")
+def l15_coverage(spark, sf):
+    d = l15(spark, sf)
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if("pick").alias("picks"), outside("std").alias("bad"))
+
+
 # --- pictures and labels ----------------------------------------------------------------------
 
 

@@ -85,6 +85,22 @@ def m06(spark, sf):
     return norm.join(a, ["run", "mode"])
 
 
+@query("M06_orthonormal", "run:i i:i j:i dot:6", sql("fr", "SELECT run, i, j, (i = j)::INT AS dot FROM (SELECT DISTINCT run FROM fr), range(8) a(i), range(8) b(j)"))
+def m06o(spark, sf):
+    """Products of the basis' columns over all cells of a run."""
+    _, basis = shift_basis(spark, sf)
+    phi = ops.block_cells(basis, "phi").select("run", F.posexplode("phi").alias("i", "x"), "phi")
+    return phi.select("run", "i", F.posexplode("phi").alias("j", "y"), "x").groupBy("run", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+
+@query("M04_bounds", "run:i bad:i", sql("fr", "SELECT DISTINCT run, 0 AS bad FROM fr"))
+def m04_bounds(spark, sf):
+    """A projection on part of the modes leaves something, and less than scaling the modes by their energy."""
+    d = m04(spark, sf)
+    ok = F.col("kept").between(1, 49) & (F.col("error") > 0) & (F.col("error") < F.col("raw_error"))
+    return d.select("run", F.when(ok, 0).otherwise(1).alias("bad"))
+
+
 @query(
     "A42_modal_energy",
     "run:i frame:i energy:5",

@@ -140,6 +140,16 @@ def t09(spark, sf):
     done = live.latest_metrics(spark, folder).agg(F.count(F.lit(1)).alias("runs"))
     return spark.read.parquet(folder + "/next").join(F.broadcast(done))
 
+@query(
+    "T09_coverage",
+    "batches:i runs:i bad:i",
+    sql("", "SELECT 4 AS batches, count(*) AS runs, 0 AS bad FROM (SELECT DISTINCT l_linenumber, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"),
+)
+def t09_coverage(spark, sf):
+    """One choice for each batch, metrics for every run, deviations within bounds."""
+    d = t09(spark, sf)
+    return d.agg(F.count_distinct("batch").alias("batches"), F.max("runs").alias("runs"), F.count_if(~F.col("std").between(0, 1)).alias("bad"))
+
 @query("T10_stateful_tracking", "run:i frame:i region:i core_x:4 core_y:4 track_id:i", sql("cells", LINKED, *LINK))
 def t10(spark, sf):
     d = raw_regions(spark, sf).filter("area >= 2").select("run", "frame", "region", "core_x", "core_y")
