@@ -292,6 +292,21 @@ def test_predictive_deviation_matches_dense(spark):
     assert best["idx"] == got[got["idx"] != 2].sort_values(["std", "idx"], ascending=[False, True])["idx"].iloc[0]
 
 
+def test_nearest_interval_widens_until_found(spark):
+    rng = np.random.default_rng(8)
+    spot = lambda n, wide: [(int(k % 3), i, int(s), int(s + rng.integers(1, 50))) for i, (k, s) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, wide, n)))]
+    preds, metas = spot(120, 5000), [m for m in spot(40, 100_000) if m[0] != 2] + [(0, 900, 10, 20), (0, 901, 10, 20)]
+    p = spark.createDataFrame(preds, "key int, id int, start_frame int, end_frame int")
+    m = spark.createDataFrame(metas, "key int, idx int, start_frame int, end_frame int")
+    got = {r.id: (r.cost, r.idx) for r in learn.match_nearest_interval(p, m, ["key"], ["id"], "idx", reach=4).collect()}
+    want = {}
+    for key, i, s, e in preds:
+        own = [(abs(ms - s) + abs(me - e), j) for k, j, ms, me in metas if k == key]
+        if own:
+            want[i] = min(own)
+    assert got == want and len(want) < len(preds)
+
+
 def test_deviation_from_many_experiments_needs_few(spark):
     """Any number of training points: the thinned basis gives what the dense formula gives on a part of them."""
     rng = np.random.default_rng(5)
