@@ -78,7 +78,7 @@ def _pass(df: DataFrame, keys: list[str], b, a, backward: bool, from_steady: boo
         out, _ = run_rows(rows, np.stack(state.to_numpy()).astype(float), b, a)
         return pd.Series([np.ascontiguousarray(r[::turn]) for r in out])
 
-    starts = _states(df, keys, b, a, backward, from_steady)
+    starts = written(_states(df, keys, b, a, backward, from_steady), "states")
     return df.join(starts, [*keys, "chunk"]).select(*keys, "chunk", run("x", "s0").alias("x"))
 
 
@@ -102,37 +102,41 @@ def causal(df: DataFrame, keys: Sequence[str], b, a, n: str = "n", value: str =
     return _rows(_pass(_chunks(df, keys, n, value, size), keys, b, a, False, False), keys, n, value, size, 0)
 
 
+def _edges(chunks: DataFrame, keys: list[str], size: int, pad: int) -> DataFrame:
+    """(keys, _last, _before, _after): each channel's last chunk and the odd extension at both of its ends.
+
+    Only the chunks that hold the outer ``pad`` + 1 samples are opened.
+    """
+    ends = chunks.groupBy(*keys).agg(F.max(F.struct("chunk", F.size("x").alias("len"))).alias("_e"))
+    ends = ends.select(*keys, F.col("_e.chunk").alias("_last"), (F.col("_e.chunk") * size + F.col("_e.len")).alias("_size"))
+    outer = chunks.join(ends, keys).filter((F.col("chunk") * size <= pad) | ((F.col("chunk") + 1) * size >= F.col("_size") - pad))
+    rows = outer.select(*keys, "_last", "_size", "chunk", F.posexplode("x").alias("_i", "v")).withColumn("n", F.col("chunk") * size + F.col("_i"))
+    part = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("n", "v")))), lambda r: r["v"])
+    g = rows.groupBy(*keys, "_last", "_size").agg(part(F.col("n") <= pad).alias("_h"), part(F.col("n") >= F.col("_size") - 1 - pad).alias("_t"))
+    error = F.raise_error(F.lit("channel shorter than the filter's edge extension")).cast("array<double>")
+    mirrored = lambda inner, edge: F.transform(F.reverse(inner), lambda v: 2 * edge - v)
+    before = F.when(F.col("_size") > pad, mirrored(F.slice("_h", 2, pad), F.get("_h", F.lit(0)))).otherwise(error)
+    return g.select(*keys, "_last", before.alias("_before"), mirrored(F.slice("_t", 1, pad), F.element_at("_t", -1)).alias("_after"))
+
+
 def zero_phase(df: DataFrame, keys: Sequence[str], b, a, n: str = "n", value: str = "p", size: int = CHUNK) -> DataFrame:
     """Forward-backward filter with odd extension at both ends and steady initial states.
 
-    The extension samples are emitted by the few edge rows that mirror them, so the
-    padding costs no extra shuffle. Raises when a channel is shorter than the padding.
+    Samples are packed into chunks once; the chunks are written, extended at the channel's ends, run
+    both ways and unpacked, without moving samples again. Raises when a channel is shorter than the padding.
     """
     keys = list(keys)
     pad = 3 * max(len(a), len(b))
-    ends = written(
-        df.groupBy(*keys).agg(
-            (F.max(n) + 1).alias("_size"), F.min_by(value, n).alias("_first"), F.max_by(value, n).alias("_last")
-        )
-    )
-    j = df.select(*keys, n, value).join(ends, keys)
-    v, k, size_ = F.col(value), F.col(n), F.col("_size")
-    row = lambda pos, val: F.struct(pos.cast("bigint").alias("m"), val.alias("v"))
-    copies = F.array(
-        row(k + pad, v),
-        F.when(k.between(1, pad), row(pad - k, 2 * F.col("_first") - v)),
-        F.when(
-            k.between(size_ - 1 - pad, size_ - 2), row(2 * (size_ - 1) - k + pad, 2 * F.col("_last") - v)
-        ),
-    )
-    checked = F.when(size_ > pad, copies).otherwise(F.raise_error(F.lit("channel shorter than the filter's edge extension")))
-    ext = j.select(*keys, "_size", F.explode(F.filter(checked, lambda c: c.isNotNull())).alias("_c"))
-    ext = ext.select(*keys, F.col("_c.m").alias("m"), F.col("_c.v").alias("v"))
-    chunks = _chunks(ext, keys, "m", "v", size)
-    forward = _pass(chunks, keys, b, a, False, True).repartition(*[F.col(k) for k in keys], F.col("chunk"))
-    back = _pass(forward, keys, b, a, True, True)
-    out = _rows(back, keys, n, value, size, pad).join(ends.drop("_first", "_last"), keys)
-    return out.filter((F.col(n) >= 0) & (F.col(n) < F.col("_size"))).drop("_size")
+    chunks = written(_chunks(df, keys, n, value, size), "chunks")
+    edges = written(_edges(chunks, keys, size, pad), "edges")
+    first, last = F.col("chunk") == 0, F.col("chunk") == F.col("_last")
+    none = F.array().cast("array<double>")
+    longer = F.concat(F.when(first, F.col("_before")).otherwise(none), F.col("x"), F.when(last, F.col("_after")).otherwise(none))
+    forward = written(_pass(chunks.join(edges, keys).select(*keys, "chunk", longer.alias("x")), keys, b, a, False, True), "forward")
+    back = _pass(forward, keys, b, a, True, True).join(edges.select(*keys, "_last"), keys)
+    skip, cut = F.when(first, pad).otherwise(0), F.when(last, pad).otherwise(0)
+    own = F.slice("x", skip + 1, F.size("x") - skip - cut)
+    return _rows(back.select(*keys, "chunk", own.alias("x")), keys, n, value, size, 0)
 
 
 def high_pass_by_speed(df: DataFrame, keys: Sequence[str], re: float, fs: float, **kw) -> DataFrame:
