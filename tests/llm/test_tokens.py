@@ -39,7 +39,8 @@ def test_pieces_give_the_librarys_ids(library):
 
 
 def test_forgotten_pieces_are_learnt_again(library, monkeypatch):
-    monkeypatch.setattr(tokens, "KNOWN_PIECES", 3)
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 5)
+    monkeypatch.setattr(tokens, "FRESH_PIECES", 2)
     own = tokens.Encoder(PATH)
     for text in ["one two three four five six", "six five one", "seven one two"] * 2:
         _, _, data, at = next(blocks(pa.array([text])))
@@ -81,10 +82,21 @@ def test_files_read_back_and_at_random(spark, odd, library, vocabulary, block):
         assert one.document(0).tolist() == flat[f["start"] : f["start"] + one.first[1]].tolist()
 
 
+def test_texts_give_the_files_of_their_ids(spark, odd):
+    a, b = scratch(spark, "test-ids"), scratch(spark, "test-ids")
+    packed_ids.write_ids(tokens.tokenize(packed_ids.in_order(odd), PATH), a, 50257)
+    packed_ids.write_texts(packed_ids.in_order(odd), b, PATH)
+    rows = lambda f: sorted((str(r.doc_id), r.n_tokens, bytes(r.ids)) for r in packed_ids.read_ids(spark, f).collect())
+    assert rows(a) == rows(b)
+
+
 def test_an_empty_table_gives_an_empty_folder(spark, none):
     folder = scratch(spark, "test-ids")
     packed_ids.write_ids(tokens.tokenize(packed_ids.in_order(none), PATH), folder, 50257)
     assert packed_ids.read_ids(spark, folder).count() == 0
+    texts = scratch(spark, "test-ids")
+    packed_ids.write_texts(packed_ids.in_order(none), texts, PATH)
+    assert packed_ids.read_ids(spark, texts).count() == 0
     assert queries.packed(none).count() == 0
 
 

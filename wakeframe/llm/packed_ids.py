@@ -25,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from wakeframe.llm.stored import in_small_batches
+from wakeframe.llm.tokens import encoded, vocabulary_size
+
 MAGIC = b"WFIDS001"
 FOOTER = "<IIQQQ8s"
 FOOTER_BYTES = struct.calcsize(FOOTER)
 BLOCK = 8192
 MANIFEST = "manifest.json"
-READ_IDS = 4 << 20
+READ_IDS = 1 << 20
 
 
 def id_bits(vocabulary: int) -> int:
@@ -99,8 +102,24 @@ class PackedFile:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, bits: int, block: int):
-        self.path, self.bits, self.block = path.rstrip("/"), bits, block
+    def __init__(self, path: str, bits: int, block: int, tokenizer: str = ""):
+        self.path, self.bits, self.block, self.tokenizer = path.rstrip("/"), bits, block, tokenizer
+
+    def _parts(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        """(keys, ids of each) of the rows, in parts of some megabytes; texts are encoded here."""
+        for batch in iterator:
+            keys = batch.column(0)
+            if not self.tokenizer:
+                yield keys, [np.frombuffer(data.as_buffer() or b"", "<u4") for data in batch.column(1)]
+                continue
+            done, held, size = 0, [], 0
+            for k, data in encoded(self.tokenizer, batch.column(1)):
+                held.append(np.frombuffer(data, "<u4"))
+                size += len(data)
+                if size >= 4 << 20:
+                    yield keys[done : k + 1], held
+                    done, held, size = k + 1, [], 0
+            yield keys[done:], held
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         part = TaskContext.get().partitionId()
@@ -114,20 +133,17 @@ class _Writer(DataSourceArrowWriter):
             file.write(data)
             offsets.append(offsets[-1] + len(data))
 
-        for batch in iterator:
-            if not batch.num_rows:
+        for keys, pieces in self._parts(iterator):
+            if not pieces:
                 continue
             if file is None:
                 system.create_dir(base, recursive=True)
                 file = system.open_output_stream(f"{base}/{name}")
                 file.write(MAGIC)
-            keys = batch.column(0)
             known.append(np.asarray(keys.is_valid().to_numpy(zero_copy_only=False), np.uint8))
             doc_id.append(keys.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            parts = [rest]
-            for data in batch.column(1):
-                ids = np.frombuffer(data.as_buffer() or b"", "<u4")
-                parts.append(ids)
+            parts = [rest, *pieces]
+            for ids in pieces:
                 total += len(ids)
                 first.append(total)
             ids = np.concatenate(parts)
@@ -197,7 +213,10 @@ class _Reader(DataSourceReader):
 
 
 class PackedIds(DataSource):
-    """``spark.read.format("packed_ids").load(folder)``; the writer takes (doc_id, ids) in order, option ``bits``."""
+    """``spark.read.format("packed_ids").load(folder)``; the writer takes (doc_id, ids) in order, option ``bits``.
+
+    With option ``tokenizer`` it takes (doc_id, text) and encodes the texts itself, so a task runs one Python worker.
+    """
 
     @classmethod
     def name(cls):
@@ -210,7 +229,7 @@ class PackedIds(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], int(self.options["bits"]), int(self.options.get("block", BLOCK)))
+        return _Writer(self.options["path"], int(self.options["bits"]), int(self.options.get("block", BLOCK)), self.options.get("tokenizer", ""))
 
 
 def manifest(folder: str) -> dict:
@@ -226,10 +245,22 @@ def write_ids(pieces: DataFrame, folder: str, vocabulary: int, block: int = BLOC
     """
     spark = pieces.sparkSession
     spark.dataSource.register(PackedIds)
-    rows = pieces.select(pieces["doc_id"].cast("bigint").alias("doc_id"), "ids")
+    rows = in_small_batches(pieces.select(pieces["doc_id"].cast("bigint").alias("doc_id"), "ids"))
     rows.write.format("packed_ids").mode("append").option("bits", id_bits(vocabulary)).option("block", block).save(folder)
 
 
+def write_texts(docs: DataFrame, folder: str, tokenizer: str, block: int = BLOCK) -> None:
+    """Encode (doc_id, text), already in file order, with a tokenizer file and write the ids at ``folder``.
+
+    Each document ends with id 0; a null text has only that.
+    """
+    spark = docs.sparkSession
+    spark.dataSource.register(PackedIds)
+    rows = in_small_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"))
+    options = {"bits": id_bits(vocabulary_size(tokenizer)), "block": block, "tokenizer": tokenizer}
+    rows.write.format("packed_ids").mode("append").options(**options).save(folder)
+
+
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids BINARY): start counts the ids of all documents before, over all files."""
     spark.dataSource.register(PackedIds)

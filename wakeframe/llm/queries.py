@@ -34,8 +34,7 @@ def vocabulary() -> str:
 def op1(spark, sf_dir):
     """Ids of all documents through bit-packed files and back."""
     path, folder = vocabulary(), scratch(spark, "ids")
-    docs = packed_ids.in_order(table(spark, sf_dir, "documents"))
-    packed_ids.write_ids(tokens.tokenize(docs, path), folder, tokens.vocabulary_size(path))
+    packed_ids.write_texts(packed_ids.in_order(table(spark, sf_dir, "documents")), folder, path)
     return packed_ids.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -11,17 +11,22 @@ from wakeframe.session import scratch
 BATCH_BYTES = 8 << 20
 
 
-def in_batches(df: DataFrame, run, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` on batches of at most BATCH_BYTES (or one row), whatever the rows' sizes.
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's bound on the bytes of an Arrow batch lowered to BATCH_BYTES (a longer row goes alone).
 
-    The session's own bound on the bytes of a batch, read when the query runs, is lowered to that.
+    Spark reads that setting when the query runs.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark: SparkSession = df.sparkSession
     now = spark.conf.get(key).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df
+
+
+def in_batches(df: DataFrame, run, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` on batches of bounded bytes, whatever the rows' sizes."""
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

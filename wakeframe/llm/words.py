@@ -85,8 +85,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return make(n)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each byte range; the ranges ascend and do not overlap."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """A hash for each byte range; the ranges ascend and do not overlap. ``table`` gives a byte's value."""
     out, i = np.empty(len(starts), U), 0
     with np.errstate(over="ignore"):
         while i < len(starts):
@@ -95,7 +95,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
             part = data[base : ends[j - 1]]
             up, down = _powers(len(part) + 1)
             total = np.zeros(len(part) + 1, U)
-            np.cumsum(_TABLE[part] * up[: len(part)], out=total[1:])
+            np.cumsum(table[part] * up[: len(part)], out=total[1:])
             s, e = starts[i:j] - base, ends[i:j] - base
             out[i:j] = (total[e] - total[s]) * down[s]
             i = j
