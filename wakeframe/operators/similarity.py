@@ -123,32 +123,33 @@ def time_of_minimum(df: DataFrame, run: Sequence[str], sensor: str, t: str, valu
     return out if floor is None else out.withColumn("f_re", F.greatest("f_re", F.lit(floor)))
 
 
-def log_regression(df: DataFrame, position: str, x: str, y: str, confidence: float = 0.99) -> DataFrame:
-    """Least-squares line per position with the slope's confidence interval."""
+def _t_quantile(n: Column, lost: int, confidence: float) -> Column:
+    """Two-sided Student quantile for n observations less ``lost`` degrees of freedom, once for each distinct n."""
 
     @F.pandas_udf("double")
-    def quantile(n: pd.Series) -> pd.Series:
-        return n.map(lambda k: alignment.t_quantile(1 - (1 - confidence) / 2, k - 2) if k > 2 else None)
+    def run(counts: pd.Series) -> pd.Series:
+        known = {k: alignment.t_quantile(1 - (1 - confidence) / 2, k - lost) for k in counts.unique() if k > lost}
+        return counts.map(known).astype(float)
+
+    return F.nanvl(run(n), F.lit(None).cast("double"))
 
+
+def log_regression(df: DataFrame, position: str, x: str, y: str, confidence: float = 0.99) -> DataFrame:
+    """Least-squares line per position with the slope's confidence interval."""
     g = df.groupBy(position).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
         F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"), F.regr_count(y, x).alias("n"),
     )
     rest = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"), F.lit(0.0))
     g = g.withColumn("std_err", F.sqrt(rest / (F.col("n") - 2) / F.col("_sxx")))
-    half = quantile("n") * F.col("std_err")
+    half = _t_quantile(F.col("n"), 2, confidence) * F.col("std_err")
     return g.withColumns({"low": F.col("slope") - half, "high": F.col("slope") + half}).drop("_sxx", "_syy", "_sxy")
 
 
 def mean_slope(df: DataFrame, confidence: float = 0.99) -> DataFrame:
     """Mean of the positions' slopes with its confidence interval."""
-
-    @F.pandas_udf("double")
-    def quantile(n: pd.Series) -> pd.Series:
-        return n.map(lambda k: alignment.t_quantile(1 - (1 - confidence) / 2, k - 1) if k > 1 else None)
-
     g = df.agg(F.avg("slope").alias("mean_slope"), F.avg("intercept").alias("mean_intercept"), (F.stddev_pop("slope") / F.sqrt(F.count("slope"))).alias("_se"), F.count("slope").alias("n"))
-    half = quantile("n") * F.col("_se")
+    half = _t_quantile(F.col("n"), 1, confidence) * F.col("_se")
     return g.withColumns({"low": F.col("mean_slope") - half, "high": F.col("mean_slope") + half}).drop("_se")
 
 
