@@ -292,6 +292,21 @@ def test_predictive_deviation_matches_dense(spark):
     assert best["idx"] == got[got["idx"] != 2].sort_values(["std", "idx"], ascending=[False, True])["idx"].iloc[0]
 
 
+def test_bucketed_neighbours_find_most(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(60, 1, 6)) * 4 + rng.normal(size=(60, 40, 6))).reshape(-1, 6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(6)
+    true = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1) + np.diag(np.full(len(x), np.inf)), axis=1)[:, :5]
+    for rows, least in ((4000, 1.0), (300, 0.9)):
+        got = {r["item"]: r["neighbours"] for r in learn.bucketed_neighbours(df, "id", "v", 5, rows=rows).collect()}
+        assert len(got) == len(x) and all(len(v) == 5 and i not in v for i, v in got.items())
+        recall = np.mean([len(set(got[i]) & set(true[i])) / 5 for i in range(len(x))])
+        assert recall >= least - 1e-9, (rows, recall)
+    same = spark.range(90).selectExpr("id", "array(1.0D, 2.0D) AS v")
+    assert learn.bucketed_neighbours(same, "id", "v", 3, rows=10).count() == 90
+    assert learn.bucketed_neighbours(same.limit(0), "id", "v", 3).count() == 0
+
+
 def test_nearest_interval_widens_until_found(spark):
     rng = np.random.default_rng(8)
     spot = lambda n, wide: [(int(k % 3), i, int(s), int(s + rng.integers(1, 50))) for i, (k, s) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, wide, n)))]
