@@ -458,6 +458,18 @@ def l06_coverage(spark, sf):
     return l06(spark, sf).agg(F.count(F.lit(1)).alias("trials"), F.count_if(~ok).alias("bad"))
 
 
+@query("L08_coverage", "energy:2 n:i bad:i", "SELECT energy, n, 0 AS bad FROM (SELECT count(*) AS n FROM embeddings), (VALUES (0.95), (0.99)) e(energy)")
+def l08_coverage(spark, sf):
+    """Every window is scored with either basis, by no more modes than a snapshot has samples."""
+    ok = F.col("prob").between(0, 1) & F.col("modes").between(1, 64)
+    return l08(spark, sf).groupBy("energy").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok.isNull() | ~ok).alias("bad"))
+
+
+@query("L12_coverage", "settings:i bad:i", "SELECT 3 AS settings, 0 AS bad FROM (SELECT count(*) FROM embeddings)")
+def l12_coverage(spark, sf):
+    return l12(spark, sf).agg(F.count_distinct("kind", "params").alias("settings"), outside("accuracy").alias("bad"))
+
+
 @query("L11_coverage", "n:i bad:i", sql("", "SELECT n, 0 AS bad FROM parts WHERE part = 'test'", "cnt AS (SELECT count(*) AS n FROM embeddings)", PARTS))
 def l11_coverage(spark, sf):
     return l11(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("pred").isin(0.0, 1.0)).alias("bad"))

@@ -245,3 +245,96 @@ def m17d(spark, sf):
 def a41(spark, sf):
     d = velocity(spark, sf).select("run", F.inline(F.arrays_zip("u", "w")))
     return ops.relative_errors(d, ["run"], ["u"], ["w"])
+
+
+# --- what must hold of decompositions and fits ---------------------------------------------------
+
+ALL_RUNS = "SELECT DISTINCT run, 0 AS bad FROM fr"
+EACH_STATE = "SELECT state, 0 AS bad FROM (VALUES ('a'), ('b'), ('c')) s(state)"
+
+
+@query("M02_coefficient_energy", "run:i energy:4", sql("cells", "SELECT run, sum(pow(49 * v, 2)) AS energy FROM cov GROUP BY 1", CENT, COV))
+def m02_energy(spark, sf):
+    """The squares of all coefficients add up to those of the covariance's entries."""
+    return m02c(spark, sf).groupBy("run").agg(F.sum(F.col("a") * F.col("a")).alias("energy"))
+
+
+@query("M03_needed_bounds", "run:i bad:i", sql("fr", ALL_RUNS))
+def m03_bounds(spark, sf):
+    """The count with the crossing mode is the printed one plus 1, and the modes before it do not reach the target."""
+    s = ops.spectrum(covariance(spark, sf), ["run"])
+    d = s.join(m03n(spark, sf), "run").groupBy("run").agg(
+        F.max(F.when(F.col("mode") == F.col("needed") - 1, F.col("cumulative"))).alias("at"),
+        F.coalesce(F.max(F.when(F.col("mode") == F.col("needed") - 2, F.col("cumulative"))), F.lit(0.0)).alias("below"),
+        F.max(F.col("needed") - F.col("printed")).alias("step"),
+    )
+    return d.select("run", F.when((F.col("at") >= 0.95 - 1e-9) & (F.col("below") < 0.95) & (F.col("step") == 1), 0).otherwise(1).alias("bad"))
+
+
+@query("M05_sweep_cells", "re:i h:i runs:i bad:i", sql("fr", "SELECT re, h, count(*) AS runs, 0 AS bad FROM (SELECT DISTINCT 1000 * (1 + run % 3) AS re, 1 + run // 3 AS h FROM fr) GROUP BY CUBE (re, h)"))
+def m05_cells(spark, sf):
+    ok = (F.col("n99") >= F.col("n95")) & F.col("first_energy").between(0, 1) & (F.col("error") >= 0)
+    return m05(spark, sf).withColumn("bad", F.when(ok, 0).otherwise(1))
+
+
+@query("M08_mode_bounds", "energy:2 model:s bad:i", "SELECT energy, model, 0 AS bad FROM (VALUES (0.95), (0.99)) e(energy), (VALUES ('fish'), ('cylinder')) m(model)")
+def m08_bounds(spark, sf):
+    """As many modes as it says, values that fall, and the target reached by the last mode only."""
+    e = F.col("energy")
+    d = m08(spark, sf).groupBy("energy", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.max("cumulative").alias("top"),
+        F.max(F.when(F.col("mode") < F.col("k") - 1, F.col("cumulative"))).alias("below"),
+        F.max(F.struct("mode", "value"))["value"].alias("last"), F.min("value").alias("least"),
+    )
+    ok = (F.col("n") == F.col("k")) & (F.col("top") >= e - 1e-9) & (F.coalesce("below", F.lit(0.0)) < e) & (F.col("last") == F.col("least"))
+    return d.select("energy", "model", F.when(ok, 0).otherwise(1).alias("bad"))
+
+
+@query("M11_conjugates", "run:i modes:i bad:i", sql("fr", "SELECT DISTINCT run, 10 AS modes, 0 AS bad FROM fr"))
+def m11_conjugates(spark, sf):
+    """Eigenvalues of a real operator: their imaginary parts cancel, and the one-step error is a share."""
+    d = m11(spark, sf).groupBy("run").agg(F.count(F.lit(1)).alias("modes"), F.abs(F.sum("im")).alias("im"), F.min("error").alias("low"), F.max("error").alias("high"))
+    return d.select("run", "modes", F.when((F.col("im") < 1e-8) & F.col("low").between(0, 1.01) & F.col("high").between(0, 1.01), 0).otherwise(1).alias("bad"))
+
+
+def kept_terms(fit):
+    """The coefficients of a fit as one array per state, in the order of the terms."""
+    order = {ops.term_name(t): i for i, t in enumerate(ops.terms(STATES, 2))}
+    rank = F.element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("term"))
+    return fit.select("state", rank.alias("k"), "coef")
+
+
+@query("M14_normal_equations", "state:s bad:i", EACH_STATE)
+def m14_normal(spark, sf):
+    """The residual is orthogonal to every kept term, and kept coefficients are no smaller than the threshold."""
+    d = written(training(spark, sf), "library")
+    fit = ops.sparse_fit(d, STATES, 2, [0.5])
+    rest = F.array(*[F.struct(F.lit(s).alias("state"), F.col(f"r_{s}").alias("r"), F.col(f"d_{s}").alias("d")) for s in STATES])
+    long = ops.predict_derivatives(d, fit, STATES, 2).select("theta", F.explode(rest).alias("s")).select("s.*", F.posexplode("theta").alias("k", "t"))
+    g = long.groupBy("state", "k").agg(F.sum(F.col("t") * F.col("r")).alias("tr"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("d") * F.col("d")).alias("dd"))
+    j = g.join(kept_terms(fit), ["state", "k"])
+    kept = F.col("coef") != 0
+    wrong = kept & ((F.abs("coef") < 0.5) | (F.abs("tr") > 1e-7 * F.sqrt(F.col("tt") * F.col("dd"))))
+    return j.groupBy("state").agg(F.count_if(wrong).alias("bad"))
+
+
+@query("M15_scan_order", "state:s bad:i", EACH_STATE)
+def m15_order(spark, sf):
+    """Without a threshold all terms stay, and no sparser model has a smaller error."""
+    d = m15(spark, sf)
+    full = d.filter("threshold = 0").select("state", F.col("mse").alias("least"), F.col("active").alias("all"))
+    wrong = (F.col("mse") < F.col("least") * (1 - 1e-9)) | (F.col("active") > F.col("all")) | (F.col("all") != len(ops.terms(STATES, 2)))
+    return d.join(full, "state").groupBy("state").agg(F.count_if(wrong).alias("bad"))
+
+
+@query("M16_coverage", "kind:s n:i bad:i", "SELECT kind, 30 AS n, 0 AS bad FROM (VALUES ('rows'), ('library')) k(kind)")
+def m16_coverage(spark, sf):
+    ok = F.col("mean").isNotNull() & (F.col("spread") >= 0)
+    return m16(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("bad"))
+
+
+@query("M17_residuals", "run:i n:i bad:i", sql("fr", "SELECT run, count(*) - 2 AS n, 0 AS bad FROM fr GROUP BY run"))
+def m17_residuals(spark, sf):
+    """A row for every frame with both neighbours; derivative = prediction + residual."""
+    off = sum((F.abs(F.col(f"d_{c}") - F.col(f"p_{c}") - F.col(f"r_{c}")) for c in STATES), F.lit(0.0))
+    return predicted(spark, sf).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(off.isNull() | (off > 1e-9)).alias("bad"))
