@@ -166,6 +166,14 @@ def q17c(spark, sf):
     return bumpy(spark, sf).select(*K, F.posexplode(ops.resample_ring_cubic(poly(), 24)).alias("k", "p")).select(*K, "k", "p.*")
 
 
+@query("Q17_cubic_start", KF + "n:i x:6 y:6", sql("fr oct", "SELECT run, frame, 24 AS n, x, y FROM bmp WHERE vertex = 0", BUMPY))
+def q17_start(spark, sf):
+    """The spline is closed and passes through the first vertex, where the first point lies."""
+    d = q17c(spark, sf)
+    first = lambda c: F.max(F.when(F.col("k") == 0, F.col(c))).alias(c)
+    return d.groupBy(*K).agg(F.count(F.lit(1)).alias("n"), first("x"), first("y"))
+
+
 @query("A29_perimeter", KF + "perimeter:6", sql("fr oct", "SELECT run, frame, sum(len) AS perimeter FROM bedge GROUP BY run, frame", BUMPY))
 def a29(spark, sf):
     return bumpy(spark, sf).select(*K, geo.perimeter(poly()).alias("perimeter"))

@@ -492,6 +492,14 @@ def l15_coverage(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_if("pick").alias("picks"), outside("std").alias("bad"))
 
 
+@query("L17_coverage", "n:i bad:i", "SELECT 1 AS n, 0 AS bad FROM (SELECT count(*) FROM lineitem)")
+def l17_coverage(spark, sf):
+    """One choice, on the grid, that no source has measured."""
+    used = ops.grid_index(experiments(spark, sf, "A", "R"), bounds(spark, sf), *GRID_SIZE).withColumn("used", F.lit(True))
+    d = l17(spark, sf).join(used, "idx", "left")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("used").isNotNull() | ~F.col("idx").between(0, 21999)).alias("bad"))
+
+
 # --- pictures and labels ----------------------------------------------------------------------
 
 
