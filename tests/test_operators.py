@@ -307,6 +307,14 @@ def test_bucketed_neighbours_find_most(spark):
     assert learn.bucketed_neighbours(same.limit(0), "id", "v", 3).count() == 0
 
 
+def test_a_frame_in_parts_is_linked_once():
+    linker = tracks.Linker(3.0, 2)
+    first, _ = linker.step(0, np.array([[0.0, 0.0], [5.0, 5.0]]))
+    one, _ = linker.step(1, np.array([[0.1, 0.0]]))
+    two, _ = linker.step(1, np.array([[0.2, 0.0], [5.1, 5.0]]))
+    assert one[0] == first[0] and two[1] == first[1] and two[0] not in first
+
+
 def test_nearest_interval_widens_until_found(spark):
     rng = np.random.default_rng(8)
     spot = lambda n, wide: [(int(k % 3), i, int(s), int(s + rng.integers(1, 50))) for i, (k, s) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, wide, n)))]

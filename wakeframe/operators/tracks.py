@@ -80,17 +80,21 @@ class Linker:
         return (self.ids.tolist(), self.frames.tolist(), self.xy[:, 0].tolist(), self.xy[:, 1].tolist(), int(self.fresh))
 
     def step(self, frame: int, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Track ids and link distances (NaN for a new track) of one frame's detections."""
+        """Track ids and link distances (NaN for a new track) of one frame's detections.
+
+        A frame may come in parts: a track that took a detection of it already offers for no other.
+        """
         alive = frame - self.frames <= self.max_gap
         self.ids, self.frames, self.xy = self.ids[alive], self.frames[alive], self.xy[alive]
         ids, dist = np.full(len(xy), -1, np.int64), np.full(len(xy), np.nan)
-        if len(self.ids):
-            d = np.hypot(*(self.xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
+        free = np.flatnonzero(self.frames < frame)
+        if len(free) and len(xy):
+            d = np.hypot(*(self.xy[free][:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
             near = d.argmin(axis=1)
             best = d[np.arange(len(near)), near]
-            for k in np.lexsort((self.ids, best)):
+            for k in np.lexsort((self.ids[free], best)):
                 if best[k] < self.max_distance and ids[near[k]] < 0:
-                    ids[near[k]], dist[near[k]] = self.ids[k], best[k]
+                    ids[near[k]], dist[near[k]] = self.ids[free[k]], best[k]
         new = ids < 0
         ids[new] = self.fresh + np.arange(new.sum())
         self.fresh += int(new.sum())
