@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from wakeframe.session import scratch
 
 # Bytes of rows that a Python worker gets at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
