@@ -307,6 +307,19 @@ def test_bucketed_neighbours_find_most(spark):
     assert learn.bucketed_neighbours(same.limit(0), "id", "v", 3).count() == 0
 
 
+def test_bucketed_neighbours_miss_none(spark):
+    """64 dimensions, one hot cluster, one group of copies, and many buckets: what all pairs give."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1500, 64)), 3 + 0.05 * rng.normal(size=(1200, 64)), rng.normal(size=(30, 1, 64)).repeat(30, 1).reshape(-1, 64) * 4 + 0.2 * rng.normal(size=(900, 64)), np.full((300, 64), -2.0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(6)
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :5]
+    got = {r["item"]: r["neighbours"] for r in learn.bucketed_neighbours(df, "id", "v", 5, rows=128).collect()}
+    assert len(got) == len(x) and all(len(set(v)) == 5 and i not in v for i, v in got.items())
+    np.testing.assert_allclose([np.sqrt(((x[got[i]] - x[i]) ** 2).sum(1)) for i in range(len(x))], want, atol=1e-5)
+
+
 def test_a_frame_in_parts_is_linked_once():
     linker = tracks.Linker(3.0, 2)
     first, _ = linker.step(0, np.array([[0.0, 0.0], [5.0, 5.0]]))

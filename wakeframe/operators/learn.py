@@ -331,65 +331,89 @@ def nearest_neighbours(df: DataFrame, item: str, vec: str, k: int, block: int =
     return found.groupBy("item").agg(F.transform(ranked, lambda s: s["near"]).alias("neighbours"))
 
 
-# Rows of a bucket in which neighbours are looked for, and tables of buckets.
-BUCKET_ROWS, TABLES = 512, 8
+# Rows of a bucket in which neighbours are looked for, and buckets' centres at most.
+BUCKET_ROWS, CENTRES = 1024, 1024
 
 
-def bucketed_neighbours(df: DataFrame, item: str, vec: str, k: int, seed: int = 42, rows: int = BUCKET_ROWS, tables: int = TABLES) -> DataFrame:
-    """(item, neighbours ARRAY<item>): the k nearest found in a few buckets of each row, nearest first.
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0)
 
-    A table cuts the rows by the signs of random projections against their medians into buckets of about
-    ``rows`` rows; in each the search is exact, and the tables' finds are merged. Up to ``rows`` rows there is
-    one bucket, so the result is exact; beyond, a true neighbour is missed where no table puts the two
-    together (recall about 0.9 for close neighbours; a test measures it). The work grows with the rows. A
-    bucket of more than twice ``rows`` is cut by a hash, and rows equal in all projections share a bucket.
-    """
-    d = written(df.select(F.col(item).cast("bigint").alias("item"), F.col(vec).cast("array<double>").alias("x")), "points")
-    n, dim = d.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    bits = max(0, math.ceil(math.log2(max(n, 1) / rows)))
-    tables = tables if bits else 1
-    axes = np.random.default_rng(seed).normal(size=(max(dim, 1), max(1, tables * bits)))
-
-    def project(x: pa.Array) -> np.ndarray:
-        return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) @ axes
 
-    if bits:
+def _closest(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, squared distances) of the k rows of ``b`` closest to each row of ``a``, itself excepted (distance infinite)."""
+    middle = b.mean(axis=0)
+    a, b, take = a - middle, b - middle, min(k, len(b))
+    d2 = _squares(a, b)
+    d2[a_ids[:, None] == b_ids[None]] = np.inf
+    at = np.argpartition(d2, take - 1, axis=1)[:, :take]
+    # From differences, so that copies are at 0 exactly.
+    exact = np.where(np.isfinite(np.take_along_axis(d2, at, 1)), ((a[:, None] - b[at]) ** 2).sum(-1), np.inf)
+    order = np.lexsort((b_ids[at], exact))
+    return np.take_along_axis(b_ids[at], order, 1), np.take_along_axis(exact, order, 1)
 
-        @F.arrow_udf("array<double>")
-        def shadows(x: pa.Array) -> pa.Array:
-            return pa.FixedSizeListArray.from_arrays(pa.array(project(x).ravel()), axes.shape[1]).cast(pa.list_(pa.float64()))
 
-        spots = d.select(F.posexplode(shadows("x")).alias("axis", "v")).groupBy("axis").agg(F.percentile_approx("v", 0.5, 1000).alias("m"))
-        middle = np.array([r["m"] for r in spots.orderBy("axis").collect()])
+def bucketed_neighbours(df: DataFrame, item: str, vec: str, k: int, seed: int = 42, rows: int = BUCKET_ROWS) -> DataFrame:
+    """(item, neighbours ARRAY<item>): the k nearest of each row, nearest first; exact at every size.
 
-        @F.arrow_udf("array<bigint>")
-        def buckets(x: pa.Array) -> pa.Array:
-            side = (project(x) > middle).reshape(len(x), tables, bits)
-            return pa.FixedSizeListArray.from_arrays(pa.array((side << np.arange(bits)).sum(axis=2).ravel()), tables).cast(pa.list_(pa.int64()))
-
-        keyed = d.select("item", "x", F.posexplode(buckets("x")).alias("table", "bucket"))
-    else:
-        keyed = d.select("item", "x", F.lit(0).alias("table"), F.lit(0).cast("bigint").alias("bucket"))
-    sizes = written(keyed.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * rows)).cast("int").alias("parts")), "buckets")
-    placed = keyed.join(sizes, ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("item"), "parts").cast("int"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, own = np.stack(pdf["x"].to_numpy()).astype(float), pdf["item"].to_numpy()
-        d2 = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
-        d2[own[:, None] == own[None]] = np.inf
-        take = min(k, len(own))
-        at = np.argsort(d2, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame({"item": np.repeat(own, take), "near": own[at].ravel(), "d2": np.take_along_axis(d2, at, 1).ravel()})
-        return out[np.isfinite(out["d2"])]
-
-    found = placed.select("table", "bucket", "part", "item", "x").groupBy("table", "bucket", "part").applyInPandas(best, "item bigint, near bigint, d2 double")
-    each = found.groupBy("item", "near").agg(F.min("d2").alias("d2"))
+    A bucket holds the rows closest to one of some centres, which are rows drawn by hash, so a dense group gets
+    many; one of more than twice ``rows`` rows is cut into parts. Each part is searched by itself, which bounds
+    the distance of a row's k-th neighbour. A row then needs another bucket only if the plane between the two
+    centres is closer than that, and parts of which some row needs a bucket are searched against it, part by
+    part. Rows with k copies need no other. The work follows what the planes leave: few buckets where the rows
+    lie in groups, all pairs of buckets where distances hardly differ. Ties go by rounding.
+    """
+    d = written(df.select(F.col(item).cast("bigint").alias("item"), F.col(vec).cast("array<double>").alias("x")), "points")
+    n = d.count()
+    drawn = d.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(max(1, min(CENTRES, math.ceil(n / rows)))).collect()
+    centres = np.array([r["x"] for r in drawn], float)
+    apart = np.array([np.sqrt(((centres - c) ** 2).sum(-1)) for c in centres])
+
+    @F.arrow_udf("int")
+    def closest_centre(x: pa.Array) -> pa.Array:
+        return pa.array(_squares(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), centres).argmin(axis=1).astype(np.int32))
+
+    keyed = d.withColumn("bucket", closest_centre("x")) if len(centres) > 1 else d.withColumn("bucket", F.lit(0))
+    keyed = written(keyed, "keyed")
+    sizes = written(keyed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * rows)).cast("int").alias("parts")), "buckets")
+    place = lambda part: F.col("bucket").cast("bigint") * (1 << 32) + part
+    placed = keyed.join(sizes, "bucket").withColumn("own", place(F.pmod(F.xxhash64("item"), F.col("parts"))))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, bucket = np.stack(pdf["x"].to_numpy()).astype(float), pdf["item"].to_numpy(), int(pdf["bucket"].iloc[0])
+        near, d2 = _closest(x, ids, x, ids, k)
+        reach = np.sqrt(d2[:, k - 1]) if d2.shape[1] == k else np.full(len(x), np.inf)
+        to = _squares(x, centres)
+        slack = 1e-12 * ((x * x).sum(1).max() + (centres * centres).sum(1).max())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(apart[bucket] > 0, (to - to[:, [bucket]] - slack) / (2 * apart[bucket]), 0.0)
+        needed = np.flatnonzero(((plane < reach[:, None] * (1 + 1e-9)) & (reach > 0)[:, None]).any(axis=0))
+        there = np.isfinite(d2)
+        found = {"near": [a[t] for a, t in zip(near, there)], "d2": [a[t] for a, t in zip(d2, there)]}
+        return pdf[["own", "item", "x"]].assign(**found, needs=[needed] + [needed[:0]] * (len(x) - 1))
+
+    kind = "own bigint, item bigint, x array<double>, near array<bigint>, d2 array<double>, needs array<int>"
+    first = written(placed.select("own", "bucket", "item", "x").groupBy("own").applyInPandas(inside, kind), "inside")
+    each = first.select("item", F.inline(F.arrays_zip("near", "d2")))
+    if n > rows:
+        parts = sizes.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", place(F.col("part")).alias("other"))
+        tiles = written(first.select("own", F.explode("needs").alias("bucket")).join(parts, "bucket").filter("own <> other").select("own", "other"), "tiles")
+
+        def across(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+            x, y = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
+            near, d2 = _closest(x, a["item"].to_numpy(), y, b["item"].to_numpy(), k)
+            row, col = np.nonzero(d2 < a["reach"].fillna(np.inf).to_numpy()[:, None])
+            return pd.DataFrame({"item": a["item"].to_numpy()[row], "near": near[row, col], "d2": d2[row, col]})
+
+        asking = first.select("own", "item", "x", F.get("d2", F.lit(k - 1)).alias("reach"), F.lit(0).alias("side")).join(tiles, "own")
+        asked = first.select(F.col("own").alias("other"), "item", "x", F.lit(None).cast("double").alias("reach"), F.lit(1).alias("side")).join(tiles, "other")
+        each = each.unionByName(asking.unionByName(asked).groupBy("own", "other").applyInPandas(across, "item bigint, near bigint, d2 double"))
     ranked = F.slice(F.array_sort(F.collect_list(F.struct("d2", "near"))), 1, k)
     return each.groupBy("item").agg(F.transform(ranked, lambda s: s["near"]).alias("neighbours"))
 
 
 def oversample(df: DataFrame, item: str, vec: str, label: str, minority, deficit: int, k: int, seed: int) -> DataFrame:
-    """Synthetic minority rows: each a blend of a row and one of its k nearest of the same class (by buckets).
+    """Synthetic minority rows: each a blend of a row and one of its k nearest of the same class.
 
     Rows take turns by number; neighbour and blend come from a hash, so a re-run agrees.
     """
@@ -397,7 +421,7 @@ def oversample(df: DataFrame, item: str, vec: str, label: str, minority, deficit
     ranked = shuffled_rank(own.select(F.col(item).alias("item"), F.col(vec).alias("x")), ["item"], seed, name="turn")
     count = own.agg(F.count(F.lit(1)).alias("_n"))
     near = bucketed_neighbours(own, item, vec, k, seed)
-    # A row that no bucket shares with another is copied as it is.
+    # The only row of its class is copied as it is.
     alone = F.coalesce("neighbours", F.array("item"))
     base = ranked.join(near, "item", "left").withColumn("neighbours", alone).join(F.broadcast(count))
     copies = F.floor((F.lit(deficit) - F.col("turn") - 1) / F.col("_n")) + 1
