@@ -380,6 +380,28 @@ def test_bands_keep_their_promise():
     assert licenses.bands(0.5, rows=2) > licenses.bands(0.5)
 
 
+def test_notices_cover_texts_headers_and_wordings(spark):
+    gnu = "This {0} is free software; you can redistribute it and/or\n * modify it under the terms of the GNU {1} as published by\n * the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction, including without limitation the rights\n// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n// copies of the Software, and to permit persons to whom the Software is\n// furnished to do so, subject to the following conditions:\n// The above copyright notice and this permission notice shall be included in\n// all copies or substantial portions of the Software.\n// THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\n// IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n// FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\n// AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\n// LIABILITY": "mit:permission",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS": "isc-or-0bsd:permission",
+        gnu.format("program", "General Public License", "2"): "gpl:terms gnu:version-2",
+        gnu.format("library", "Lesser General Public License", "2.1"): "lgpl:terms gnu:version-2.1",
+        gnu.format("program", "Affero General Public License", "3"): "agpl:terms gnu:version-3",
+        "This is code licensed under the MIT License, see below": "mit:licensed",
+        "SPDX-License-Identifier: MIT": "mit:spdx",
+        "Available under the Apache License 2.0 since May": "apache-2.0:without-version",
+        "You may use it under CC BY 4.0 as you like": "cc-by-4.0:short",
+        "This is free and unencumbered software released into the public domain.": "unlicense:public-domain",
+        "GNU Lesser General Public License v3.0": "lgpl-3.0:v",
+        "Permission to land is granted to any person under the terms of the contract.": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: {m.template_id for m in r.matches} for r in licenses.scan(rows, licenses.notices(spark)).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert set(want.split()) <= got[i] and bool(want) == bool(got[i]), (text, got[i])
+
+
 def test_scan_of_odd_rows(spark, odd, none):
     templates = spark.createDataFrame([("a", "shared line of several words"), ("b", None), (None, "word"), ("c", ""), ("c", "plain words")], "template_id string, text string")
     got = licenses.scan(odd, templates).collect()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from wakeframe.llm.license_texts import TEXTS
 from wakeframe.llm.stored import in_batches
 from wakeframe.llm.words import ALPHANUMERIC, U, Words, blocks, shingles, stream
 
@@ -27,7 +28,7 @@ MISS = 1e-4
 # Bytes of templates that a task holds at a time.
 TEMPLATE_BYTES = 4 << 20
 
-# Notices of common licenses (fixed values).
+# Notices of common licenses (fixed values): short ones, then permission texts, headers and other wordings.
 NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "mit": "Released under the MIT License.",
@@ -37,6 +38,7 @@ NOTICES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "all-rights-reserved": "All rights reserved.",
+    **TEXTS,
 }
 
 
@@ -76,23 +78,36 @@ class Templates:
             mul, add = stream(21, n) | U(1), stream(22, n)
             with np.errstate(over="ignore"):
                 minima = np.array([(s[:, None] * mul + add).min(axis=0) for _, s in own])
-            self.groups.append((w, size, mul, add, minima, own))
+            least = max(1, min(math.ceil(percent * len(s) / 100 - 1e-9) for _, s in own))
+            self.groups.append((w, size, mul, add, minima, own, np.unique(np.concatenate([s for _, s in own])), least))
+        # By shingle width: the leading 16 bits that some template's shingle has.
+        self.marked = {w: np.zeros(1 << 16, bool) for w, _ in by}
+        for (w, _), own in by.items():
+            for _, s in own:
+                self.marked[w][s >> U(48)] = True
 
     def search(self, words: Words) -> Iterator[tuple[int, int, int, int, float]]:
-        """(document, template, first word, word after the last, containment), each run of matched windows once."""
-        last_width, values, first = 0, None, None
-        for width, size, mul, add, minima, own in self.groups:
+        """(document, template, first word, word after the last, containment), each run of matched windows once.
+
+        Only documents that hold as many shingles of a group's templates as a match needs get window minima.
+        """
+        last_width, all_values, all_first, hit = 0, None, None, None
+        for width, size, mul, add, minima, own, known, least in self.groups:
             if width != last_width:
-                values, first = shingles(words.hash, words.first, width)
-                lengths = np.diff(words.first)
-                short = np.flatnonzero((lengths > 0) & (lengths < width))  # texts shorter than the template's shingles
+                all_values, all_first = shingles(words.hash, words.first, width)
+                hit = np.flatnonzero(self.marked[width][all_values >> U(48)])
                 last_width = width
-            counts = np.diff(first)
-            doc_blocks = -(-counts // size)
-            start = np.concatenate([np.arange(a, z, size) for a, z in zip(first, first[1:])]) if len(values) else np.empty(0, np.int64)
-            if not len(start):
+            at = hit[np.isin(all_values[hit], known)]
+            held = np.bincount(np.searchsorted(all_first, at, "right") - 1, minlength=len(words.first) - 1)
+            # Texts shorter than the template's shingles do not count.
+            docs = np.flatnonzero((held >= least) & (np.diff(words.first) >= width))
+            if not len(docs):
                 continue
-            doc = np.repeat(np.arange(len(counts)), doc_blocks)
+            counts = np.diff(all_first)[docs]
+            values = np.concatenate([all_values[all_first[d] : all_first[d + 1]] for d in docs])
+            first = np.concatenate([[0], np.cumsum(counts)])
+            start = np.concatenate([np.arange(a, z, size) for a, z in zip(first, first[1:])])
+            doc = np.repeat(np.arange(len(counts)), -(-counts // size))
             more = np.append(doc[1:] == doc[:-1], False)
             seen: set[tuple[int, int]] = set()
             h = np.empty_like(values)
@@ -110,15 +125,13 @@ class Templates:
             spans: dict[tuple[int, int], list[list]] = {}
             for at, t in sorted(seen):
                 d = doc[at]
-                if d in short:
-                    continue
                 stop = min(first[d + 1], start[at] + 2 * size)
                 part = np.isin(values[start[at] : stop], own[t][1])
                 matched = np.flatnonzero(part)
                 share = len(np.unique(values[start[at] : stop][part])) / len(own[t][1])
                 if 100 * share >= self.percent - 1e-9:
                     a, z = int(start[at] + matched[0] - first[d]), int(start[at] + matched[-1] - first[d]) + width
-                    runs = spans.setdefault((int(d), own[t][0]), [])
+                    runs = spans.setdefault((int(docs[d]), own[t][0]), [])
                     if runs and a < runs[-1][1]:
                         runs[-1][1:] = [max(z, runs[-1][1]), max(share, runs[-1][2])]
                     else:
