@@ -320,6 +320,19 @@ def test_bucketed_neighbours_miss_none(spark):
     np.testing.assert_allclose([np.sqrt(((x[got[i]] - x[i]) ** 2).sum(1)) for i in range(len(x))], want, atol=1e-5)
 
 
+def test_classifiers_read_the_whole_embedding(spark, tmp_path):
+    """Labels follow from the last of 64 values alone."""
+    from wakeframe.plans import learn as plans
+
+    x = np.random.default_rng(6).normal(size=(400, 64))
+    x[:, 63] += np.where(x[:, 63] > 0, 1.0, -1.0)
+    rows = [(i, int(v[63] > 0), v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.l04(spark, str(tmp_path)).filter("part <> 'train'").select((F.col("pred") == F.col("label")).alias("right"), "loss").collect()
+    assert {r.loss for r in got} == {"mse", "bce"} and np.mean([r.right for r in got]) > 0.9
+    assert min(r.mse for r in plans.l06(spark, str(tmp_path)).collect()) < 0.15
+
+
 def test_a_frame_in_parts_is_linked_once():
     linker = tracks.Linker(3.0, 2)
     first, _ = linker.step(0, np.array([[0.0, 0.0], [5.0, 5.0]]))

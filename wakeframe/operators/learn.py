@@ -264,7 +264,7 @@ def apply_linear(model: Fitted, df: DataFrame, loss: str) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def search_linear(train: DataFrame, features: Sequence[str], label: str, trials: int, seed: int, parallelism: int = 4):
+def search_linear(train: DataFrame, features: Sequence[str] | str, label: str, trials: int, seed: int, parallelism: int = 4):
     """Seeded log-uniform search of the penalty; returns the tuned model and (reg, error) pairs."""
     regs = 10 ** np.random.default_rng(seed).uniform(-6, 0, trials)
     est = LinearRegression(labelCol=label, solver="normal")
@@ -283,14 +283,14 @@ def search_linear(train: DataFrame, features: Sequence[str], label: str, trials:
 FULL_DEPTH = 30
 
 
-def train_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = FULL_DEPTH, seed: int = 42) -> Fitted:
+def train_forest(train: DataFrame, features: Sequence[str] | str, label: str, trees: int = 200, depth: int = FULL_DEPTH, seed: int = 42) -> Fitted:
     est = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
     data = _training(train, features, label)
     own = Features(data, features)
     return Fitted(own, est.fit(own.rows(data, label)))
 
 
-def grid_search(train: DataFrame, features: Sequence[str], label: str, kind: str, grid: dict[str, list], folds: int = 5, seed: int = 42):
+def grid_search(train: DataFrame, features: Sequence[str] | str, label: str, kind: str, grid: dict[str, list], folds: int = 5, seed: int = 42):
     """Cross-validated accuracy of a tree model over a parameter grid: rows (params, accuracy)."""
     est = {"boost": GBTClassifier(labelCol=label, seed=seed), "forest": RandomForestClassifier(labelCol=label, featureSubsetStrategy="sqrt", seed=seed)}[kind]
     build = ParamGridBuilder()

@@ -14,12 +14,13 @@ from wakeframe.plans.tracks import WIN, a10, windows
 from wakeframe.plans.views import contours, frames, segments, signal, sql, table, tracks
 from wakeframe.session import written
 
-VEC = [f"x{i}" for i in range(8)]
+# The whole embedding, as one array feature.
+VEC = "x"
 
 
 def vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", (F.col("label") % 2).cast("double").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+    return e.select("vec_id", "label", (F.col("label") % 2).cast("double").alias("y"), F.col("embedding").cast("array<double>").alias(VEC))
 
 
 def ranked(src, ids, seed, part=""):
