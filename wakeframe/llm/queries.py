@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeframe.llm import exact, licenses, lines, minhash, packed_ids, packing, personal, phrase_index, quality, sharding, tokens
+from wakeframe.llm import (
+    divergence,
+    exact,
+    interaction,
+    licenses,
+    lines,
+    minhash,
+    packed_ids,
+    packing,
+    personal,
+    phrase_index,
+    quality,
+    sharding,
+    tokens,
+    url_filter,
+)
 from wakeframe.session import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -214,3 +229,105 @@ def op7(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template_id"])))
     return found.select("doc_id", F.size(names).cast("bigint").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
+
+
+@query(
+    "op11_source_divergence",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    w AS (
+        SELECT id, lang, source,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM d
+    ), kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS size FROM kept GROUP BY lang),
+    g AS (
+        SELECT lang, source, any_value(coalesce(size, 0)) AS size, coalesce(sum(n), 0) + any_value(coalesce(size, 0)) AS total
+        FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+    ), p AS (
+        SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // total AS p
+        FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ), l AS (
+        SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(size) + any_value(total)) AS q
+        FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) GROUP BY lang, term
+    ), pairs AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        UNION ALL
+        SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.size = 0
+    ), terms AS (
+        SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q
+    ), listed AS (
+        SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed)
+    WHERE part = 'pair' OR rank <= {divergence.TOP}
+    """,
+)
+def op11(spark, sf_dir):
+    """How far each source of a language is from the others, and the words that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+RULES = [
+    url_filter.Rule("block", "net/"),
+    url_filter.Rule("allow", "example.net/en/"),
+    url_filter.Rule("block", "example.com/de/"),
+    url_filter.Rule("allow", "org/fr/"),
+]
+
+
+@query("op12_url_filter")
+def op12(spark, sf_dir):
+    """Every page's URL, blocked or allowed: by the rules, else by a model of a small labelled table of URLs."""
+    labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES, url_filter.train(labelled))
+
+
+def _interaction_sql() -> str:
+    names = interaction.FILTERS
+    letters = ", ".join(f"('{f}', {1 << k})" for k, f in enumerate(names))
+    steps = range(1, len(names) + 1)
+    chosen = ", ".join(f"o{k}.f AS f{k}, o{k}.bit AS b{k}" for k in steps)
+    joined = " ".join(f"JOIN f o{k} ON {' AND '.join(f'o{k}.bit <> o{j}.bit' for j in range(1, k))}" for k in steps if k > 1)
+    each = " UNION ALL ".join(
+        f"SELECT {' || '.join(f'f{k}' for k in steps)} AS filter_order, {s} AS step, {' + '.join(['0', *[f'b{k}' for k in range(1, s)]])} AS state, b{s} AS bit FROM orders"
+        for s in steps
+    )
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    x AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+    m AS (
+        SELECT doc_id, part,
+               CASE WHEN len(w) < {interaction.MIN_WORDS} THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(w)) < {interaction.DISTINCT_PERCENT} * len(w) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > {interaction.UPPER_PERCENT} * length(text) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+        FROM x
+    ), marks AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+    cells AS (
+        SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+    ), f AS (SELECT * FROM (VALUES {letters}) AS t(f, bit)), orders AS (SELECT {chosen} FROM f o1 {joined}), steps AS ({each}),
+    parts AS (
+        SELECT part, filter_order, step, bit,
+               CAST(coalesce(sum(n) FILTER (mask & (state | bit) = 0), 0) AS BIGINT) AS kept,
+               CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & state = 0), 0) AS BIGINT) AS removed,
+               CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & state <> 0), 0) AS BIGINT) AS redundant,
+               CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & state = 0), 0) AS BIGINT) AS good_lost,
+               CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & state = 0), 0) AS BIGINT) AS toxic_lost
+        FROM cells, steps GROUP BY part, filter_order, step, bit
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+    FROM parts
+    """
+
+
+@query("op13_filter_interaction", _interaction_sql())
+def op13(spark, sf_dir):
+    """What five filters remove from all documents in each of their 120 orders."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -105,7 +105,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nda
 class Words:
     """Words of consecutive documents: ``hash``, byte ``start`` and ``end``, and ``first`` word of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, table: np.ndarray = _TABLE):
         inside = is_word[data]
         n = len(data)
         edges = offsets[(offsets > 0) & (offsets < n)]
@@ -116,7 +116,7 @@ class Words:
         self.data, self.offsets = data, offsets
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.hash = hashes(data, self.start, self.end)
+        self.hash = hashes(data, self.start, self.end, table)
         self.first = np.searchsorted(self.start, offsets)
 
 
