@@ -109,7 +109,7 @@ class Vocabulary:
         self.before = {k: [p[2] for p in v] for k, v in parts.items()}
 
     @staticmethod
-    def built(terms: DataFrame) -> Vocabulary:
+    def built(terms: DataFrame, part_terms: int = PART_TERMS) -> Vocabulary:
         """From (lang, term). Ranges of sorted terms go to tasks; one row a part comes to the driver."""
 
         def run(batches):
@@ -122,7 +122,7 @@ class Vocabulary:
 
             for batch in batches:
                 for own, term in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                    if builder and (own != lang or builder.terms >= PART_TERMS or size + len(term) > PART_BYTES):
+                    if builder and (own != lang or builder.terms >= part_terms or size + len(term) > PART_BYTES):
                         yield part()
                         builder = None
                     if not builder:
@@ -291,7 +291,7 @@ def _common(rows):
         yield from whole_terms(rest.combine_chunks())
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, part_terms: int = PART_TERMS) -> DataFrame:
     """(lang, source, part, item, value BIGINT, rank INT): divergence between sources, and their own words.
 
     Null text, lang and source count as ''. A group is an occurring (lang, source). With V kept terms in the
@@ -305,7 +305,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     is a constant. The sum is thus taken from histograms of weights (one group lacks the term), and term by term
     only where both groups have it.
     """
-    vocabulary = Vocabulary.built(kept_terms(docs, min_docs))
+    vocabulary = Vocabulary.built(kept_terms(docs, min_docs), part_terms)
     counts = stored(recount(docs, vocabulary), "recount")
     held = counts.groupBy("lang", "source").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("held"))
     none = F.lit(0).cast("bigint")

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST_GRAMS, PATH_GRAMS = (3, 4, 5), (3, 4)
 FEATURES = 1 << 16
-L2 = 0.002
-THRESHOLD = 0.5
+L2 = 0.0005
+# A host of which nothing is known scores near the labelled share of label 1, about a half: blocking takes more.
+THRESHOLD = 0.75
 # Labelled rows that a model is fitted on, at most: those whose URL has the smallest hash.
 LABELLED_ROWS = 50_000
 
@@ -60,15 +61,14 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
     return out
 
 
-def _grams(value: Column, sizes: tuple[int, ...], mark: str) -> list[Column]:
-    own = [F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    return [F.transform(g, lambda x: F.concat(F.lit(mark), x)) for g in own]
+def _grams(value: Column, sizes: tuple[int, ...]) -> list[Column]:
+    return [F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
 
 
 def _features(urls: DataFrame, host: Column, path: Column, name: str, features: int) -> DataFrame:
-    """``urls`` with a vector of hashed n-grams: of the host between marks, so that its ends count, and of the path."""
+    """``urls`` with a vector of hashed n-grams: of the host between marks, so that its ends count, and of the path. What both hold is one feature."""
     marked = F.when(host != "", F.concat(F.lit("^"), host, F.lit("$"))).otherwise("")
-    grams = F.concat(*_grams(marked, HOST_GRAMS, "h"), *_grams(path, PATH_GRAMS, "p"))
+    grams = F.concat(*_grams(marked, HOST_GRAMS), *_grams(path, PATH_GRAMS))
     cut = HashingTF(inputCol=f"{name}_grams", outputCol=name, numFeatures=features, binary=True)
     return cut.transform(urls.withColumn(f"{name}_grams", grams)).drop(f"{name}_grams")
 
@@ -110,28 +110,30 @@ def judge(pages: DataFrame, rules: list[Rule], model: LogisticRegressionModel |
     return ruled.select("page_id", "host", "path", F.col("found.place").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "score")
 
 
-# A small labelled table (fixed values): what hosts to block are about, and ordinary ones.
+# A small labelled table (fixed values): what hosts to block are about, ordinary topics, and words that go with either.
 BLOCKED_TOPICS = """
-online-casino casino-bonus vegas-casino win-big poker-room free-slots sports-bet betting-tips jackpot-winner lottery-win
-cheap-viagra buy-pills pills-online cheap-meds discount-pharmacy diet-pills cheap-cialis payday-loans quick-loan easy-credit
-adserver ads-network banner-ads popup-ads click-track tracker tracking-pixel ad-tracker adult-videos xxx-cams
-free-porn hot-dating replica-watches fake-bags free-iphone claim-prize verify-account login-secure crack-download warez
+casino poker slots betting bets jackpot lottery viagra pills pharmacy meds loans credit payday ads adserver
+banner popup tracker click pixel spam farm bulk porn adult xxx cams dating replica prize warez crack phish
 """.split()
 ORDINARY_TOPICS = """
-river-news daily-herald city-library garden-notes weather-report train-times math-lessons history-museum open-source science-review
-kitchen-table cooking mountain-hiking bird-watch local-council public-health university school-district art-gallery theatre
-stationery leather northern southern gallery reading writing letters articles essays stories poems travel maps photos music
-software-docs python-guide linux-wiki data-journal research-notes film-review chess-club cycling running football tennis
+news herald library garden weather trains math history museum science kitchen cooking hiking birds council health school
+district art theatre linux python docs wiki journal research film chess cycling tennis music maps photos poems letters
+stories travel essays village forest
 """.split()
+MODIFIERS = "online best free cheap my top win shop club world daily city".split()
 SUFFIXES = ["example.com", "example.org", "example.net"]
+FORMS = ["https://{t}.{s}/en/{n}", "http://www.{t}.{s}/de/{n}.html", "https://m.{t}.{s}/fr/{n}/", "http://blog.{t}.{s}/es/{n}?page=2", "https://{t}.{s}/{n}"]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, label): each topic as a host name and as a subdomain, with and without prefixes, over the same suffixes and paths."""
+    """(url, label): each topic alone, before or after other words in a host name, and as a folder. Prefixes, suffixes, words and
+    numbers turn alike for both labels, so that only the topic tells them apart."""
     out = []
-    forms = ["https://{}.{}/en/{}", "http://www.{}.{}/de/{}.html", "https://m.{}.{}/fr/{}/", "http://blog.{}.{}/es/{}?page=2", "https://{}.{}/{}"]
     for label, topics in ((1, BLOCKED_TOPICS), (0, ORDINARY_TOPICS)):
         for k, topic in enumerate(topics):
-            for i in range(3):
-                out.append((forms[(k + i) % len(forms)].format(topic, SUFFIXES[(k + 2 * i) % 3], 17 * k + 31 * i), label))
+            words = [MODIFIERS[(k + 5 * i) % len(MODIFIERS)] for i in range(4)]
+            names = [topic, f"{words[0]}-{topic}", f"{topic}-{words[1]}", f"{words[2]}-{topic}", f"{topic}-{words[3]}"]
+            for i, name in enumerate(names):
+                out.append((FORMS[(k + i) % len(FORMS)].format(t=name, s=SUFFIXES[(k + i) % 3], n=211 * (k % 30) + i), label))
+            out.append((f"https://www.{SUFFIXES[k % 3]}/{topic}/{211 * (k % 30)}", label))
     return out
