@@ -36,6 +36,11 @@ UNIT = 1_000_000_000
 PART_TERMS = 1 << 17
 PART_BYTES = 8 << 20
 KEPT_BYTES = 256 << 20
+# Counts that a task adds up before it passes them on.
+HELD_ROWS = 1 << 20
+HELD_BYTES = 64 << 20
+# More than a language's terms.
+ORDINALS = 1 << 40
 # Pairs of groups that a task works out at a time.
 PAIRS = 1 << 21
 
@@ -50,11 +55,11 @@ def _known(docs: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """Distinct words of some documents: ``start``, ``end`` in ``data``; and for each word of the text, which it is."""
+    """Distinct words of some documents: ``key`` (64-bit hash), ``start``, ``end`` in ``data``; and for each word of the text, which it is."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         found = Words(data, at, LETTERS)
-        _, where, self.which = np.unique(found.hash, return_index=True, return_inverse=True)
+        self.key, where, self.which = np.unique(found.hash, return_index=True, return_inverse=True)
         self.data = _LOWER[data]
         self.start, self.end = found.start[where], found.end[where]
         self.owner = np.repeat(np.arange(len(at) - 1), np.diff(found.first))
@@ -81,19 +86,55 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.array([raw[a:z] for a, z in zip(start.tolist(), end.tolist())], pa.binary()).cast(pa.string())
 
 
+def _summed(values: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, place, values)
+    return out
+
+
+def _sliced(columns: list[pa.Array], names: list[str], rows: int = 1 << 16):
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for i in range(0, whole.num_rows, rows):
+        yield whole.slice(i, rows)
+
+
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term): terms that at least ``min_docs`` documents of their language hold."""
 
     def run(batches):
+        held: dict[str, list[tuple]] = {}
+
+        def out():
+            for name, parts in held.items():
+                keys, docs, terms = parts[0] if len(parts) == 1 else merged(parts)
+                yield from _sliced([pa.array([name]).take(pa.array(np.zeros(len(keys), np.int64))), terms, pa.array(docs)], ["lang", "term", "docs"])
+            held.clear()
+
+        def merged(parts):
+            keys, docs = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            keys, where, back = np.unique(keys, return_index=True, return_inverse=True)
+            return keys, _summed(docs, back, len(keys)), pa.chunked_array([p[2] for p in parts]).combine_chunks().take(pa.array(where))
+
+        rows = size = 0
         for batch in batches:
             for i, j, data, at in blocks(batch.column(0)):
                 block = _Block(data, at)
                 langs, group = _dealt(batch.column(1)[i:j])
                 lang, word, n = block.counts(group, once=True)
-                if len(n):
-                    names = pa.array([k for (k,) in langs]).take(pa.array(lang))
-                    terms = _strings(block.data, block.start[word], block.end[word])
-                    yield pa.RecordBatch.from_arrays([names, terms, pa.array(n)], ["lang", "term", "docs"])
+                for k, (name,) in enumerate(langs):
+                    own = slice(*np.searchsorted(lang, (k, k + 1)))
+                    if len(word[own]):
+                        terms = _strings(block.data, block.start[word[own]], block.end[word[own]])
+                        held.setdefault(name, []).append((block.key[word[own]], n[own], terms))
+                        rows, size = rows + len(terms), size + terms.nbytes
+                if rows > HELD_ROWS or size > HELD_BYTES:
+                    for name in held:
+                        held[name] = [merged(held[name])]
+                    rows, size = (sum(f(p[0][2]) for p in held.values()) for f in (len, lambda t: t.nbytes))
+                    if rows > HELD_ROWS // 2 or size > HELD_BYTES // 2:
+                        yield from out()
+                        rows = size = 0
+        yield from out()
 
     found = in_batches(_known(docs).select("text", "lang"), run, "lang string, term string, docs bigint")
     return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term")
@@ -189,22 +230,40 @@ def recount(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(lang, source, ordinal, n): occurrences of kept terms, by streaming the text through the transducers."""
 
     def run(batches):
+        groups: dict[tuple, int] = {}
+        keys, sums = [], []
+
+        def out():
+            own, ordinal = np.divmod(keys[0], ORDINALS) if keys else (np.empty(0, np.int64),) * 2
+            columns = [pa.array([k[c] for k in groups], pa.string()).take(pa.array(own)) for c in (0, 1)]
+            yield from _sliced([*columns, pa.array(ordinal), pa.array(sums[0] if sums else ordinal)], ["lang", "source", "ordinal", "n"])
+
+        def merge():
+            if len(keys) > 1:
+                distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+                total = _summed(np.concatenate(sums), back, len(distinct))
+                keys[:], sums[:] = [distinct], [total]
+
         for batch in batches:
             for i, j, data, at in blocks(batch.column(0)):
                 block = _Block(data, at)
                 names, group = _dealt(batch.column(1)[i:j], batch.column(2)[i:j])
                 owner, word, n = block.counts(group, once=False)
-                lang = np.array([k[0] for k in names], object)[owner] if len(n) else np.empty(0, object)
-                ordinal = np.full(len(n), -1, np.int64)
-                for own in dict.fromkeys(lang.tolist()):
-                    rows = np.flatnonzero(lang == own)
+                place = np.array([groups.setdefault(k, len(groups)) for k in names], np.int64)
+                for lang in dict.fromkeys(k[0] for k in names):
+                    rows = np.flatnonzero(np.array([k[0] == lang for k in names])[owner])
                     distinct, back = np.unique(word[rows], return_inverse=True)
-                    ordinal[rows] = vocabulary.ordinals(own, block.data, block.start[distinct], block.end[distinct])[back]
-                kept = np.flatnonzero(ordinal >= 0)
-                if len(kept):
-                    place = pa.array(owner[kept])
-                    columns = [pa.array([k[c] for k in names]).take(place) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ordinal[kept]), pa.array(n[kept])], ["lang", "source", "ordinal", "n"])
+                    ordinal = vocabulary.ordinals(lang, block.data, block.start[distinct], block.end[distinct])[back]
+                    kept = ordinal >= 0
+                    keys.append(place[owner[rows[kept]]] * ORDINALS + ordinal[kept])
+                    sums.append(n[rows[kept]])
+                if sum(map(len, keys)) > HELD_ROWS:
+                    merge()
+                    if len(keys[0]) > HELD_ROWS // 2:
+                        yield from out()
+                        keys.clear(), sums.clear(), groups.clear()
+        merge()
+        yield from out()
 
     found = in_batches(_known(docs), run, "lang string, source string, ordinal bigint, n bigint")
     return found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
@@ -269,9 +328,7 @@ def _common(rows):
             if len(a):
                 value = p[a] ** 2 // p[b] - p[a] ** 2 // p0[b] - p0[a] ** 2 // p[b] + p0[a] ** 2 // p0[b]
                 keys, where = np.unique(dense[a] * len(names) + dense[b], return_inverse=True)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, where, value)
-                yield out(0, names[keys // len(names)], names[keys % len(names)], total)
+                yield out(0, names[keys // len(names)], names[keys % len(names)], _summed(value, where, len(keys)))
             lo = hi
 
     def edges(table):
