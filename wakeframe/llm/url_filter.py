@@ -6,6 +6,7 @@ place), so a long URL takes linear time; they are hashed to a fixed number of fe
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -18,8 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST_GRAMS, PATH_GRAMS = (3, 4, 5), (3, 4)
 FEATURES = 1 << 16
 L2 = 0.0005
-# A host of which nothing is known scores near the labelled share of label 1, about a half: blocking takes more.
-THRESHOLD = 0.75
+THRESHOLD = 0.5
 # Labelled rows that a model is fitted on, at most: those whose URL has the smallest hash.
 LABELLED_ROWS = 50_000
 
@@ -86,14 +86,14 @@ def train(labelled: DataFrame, features: int = FEATURES, rows: int = LABELLED_RO
         return (positive + 1) / (total + 2)
     # One partition in a fixed order, so that the same rows give the same model.
     cut = _features(picked.orderBy(F.xxhash64("url"), "url", "label").coalesce(1), host_of(F.col("url")), path_of(F.col("url")), "features", features)
-    return LogisticRegression(regParam=L2, elasticNetParam=0.0, maxIter=100, standardization=False).fit(cut.select("label", "features"))
+    return LogisticRegression(regParam=L2, elasticNetParam=0.0, maxIter=100, standardization=False, fitIntercept=False).fit(cut.select("label", "features"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: LogisticRegressionModel | float, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, score DOUBLE): for every row, no shuffle.
 
     ``rule`` is the longest one that fits, null if none does; then the verdict is ``block`` from a score of ``threshold`` on.
-    A null URL, or one without ``://``, has an empty host and path, no n-grams, and the verdict of the model's intercept.
+    A null URL, or one without ``://``, has an empty host and path, no n-grams, and a score of a half, which ``threshold`` blocks unless it is higher.
     Rows that repeat are judged each; other columns are not read, whatever their names. An empty table gives no rows.
     """
     url = F.col("url")
@@ -120,6 +120,7 @@ news herald library garden weather trains math history museum science kitchen co
 district art theatre linux python docs wiki journal research film chess cycling tennis music maps photos poems letters
 stories travel essays village forest
 """.split()
+NAMELESS = 60
 MODIFIERS = "online best free cheap my top win shop club world daily city".split()
 SUFFIXES = ["example.com", "example.org", "example.net"]
 FORMS = ["https://{t}.{s}/en/{n}", "http://www.{t}.{s}/de/{n}.html", "https://m.{t}.{s}/fr/{n}/", "http://blog.{t}.{s}/es/{n}?page=2", "https://{t}.{s}/{n}"]
@@ -127,8 +128,12 @@ FORMS = ["https://{t}.{s}/en/{n}", "http://www.{t}.{s}/de/{n}.html", "https://m.
 
 def labelled_urls() -> list[tuple[str, int]]:
     """(url, label): each topic alone, before or after other words in a host name, and as a folder. Prefixes, suffixes, words and
-    numbers turn alike for both labels, so that only the topic tells them apart."""
+    numbers turn alike for both labels, so that only the topic tells them apart. Made-up names are ordinary."""
     out = []
+    for k in range(NAMELESS):
+        digest = hashlib.sha256(str(k).encode()).digest()
+        name = "".join(LOWER[b % 26] for b in digest[: 4 + k % 5])
+        out.append((FORMS[k % len(FORMS)].format(t=name, s=SUFFIXES[k % 3], n=211 * (k % 30)), 0))
     for label, topics in ((1, BLOCKED_TOPICS), (0, ORDINARY_TOPICS)):
         for k, topic in enumerate(topics):
             words = [MODIFIERS[(k + 5 * i) % len(MODIFIERS)] for i in range(4)]
