@@ -92,8 +92,8 @@ def train(labelled: DataFrame, features: int = FEATURES, rows: int = LABELLED_RO
 def judge(pages: DataFrame, rules: list[Rule], model: LogisticRegressionModel | float, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, score DOUBLE): for every row, no shuffle.
 
-    ``rule`` is the longest one that fits, null if none does; then the verdict is ``block`` from a score of ``threshold`` on.
-    A null URL, or one without ``://``, has an empty host and path, no n-grams, and a score of a half, which ``threshold`` blocks unless it is higher.
+    ``rule`` is the longest one that fits, null if none does; then the verdict is ``block`` for a score above ``threshold``.
+    A null URL, or one without ``://``, has an empty host and path, no n-grams, and a score of a half, so it is allowed by default.
     Rows that repeat are judged each; other columns are not read, whatever their names. An empty table gives no rows.
     """
     url = F.col("url")
@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: list[Rule], model: LogisticRegressionModel |
         vector = model.setFeaturesCol("features").setProbabilityCol("chances").setRawPredictionCol("").setPredictionCol("")
         scored = vector.transform(_features(cut, host, path, "features", model.numFeatures)).withColumn("score", vector_to_array("chances")[1])
     ruled = scored.withColumn("found", rule_of(rules, host, path))
-    own = F.when(F.col("score") >= threshold, "block").otherwise("allow")
+    own = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", F.col("found.place").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "score")
 
 
