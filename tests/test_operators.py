@@ -11,7 +11,7 @@ from conftest import SF
 from wakeframe.functions import arrays, geometry as geo
 from wakeframe.functions.filters import butterworth, both_ways
 from wakeframe.functions.grid import Grid
-from wakeframe.operators import contours, fields, filters, learn, modal, ordering, similarity, tracks
+from wakeframe.operators import contours, fields, filters, learn, linking, modal, ordering, similarity, tracks
 from wakeframe.plans import views
 from wakeframe.plans.vortices import raw_regions
 from wakeframe.session import scratch
@@ -141,7 +141,7 @@ def test_tracking_matches_loop_batch_and_stream(spark):
                 dets.setdefault(f, []).append((region, x, y))
         want |= {(run, *k): v for k, v in link_loop(dets, 3.0, 2).items()}
     key = lambda r: (r["run"], r["frame"], r["region"])
-    got = {key(r): r["track_id"] for r in tracks.assign_tracks(df, 3.0, 2).collect()}
+    got = {key(r): r["track_id"] for r in linking.assign_tracks(df, 3.0, 2).collect()}
     assert got == want
     # The stream replays the same rows in two files.
     folder = scratch(spark, "test")
@@ -154,6 +154,34 @@ def test_tracking_matches_loop_batch_and_stream(spark):
     assert streamed == want
 
 
+@pytest.mark.parametrize("frames", [1, 3, 50])
+def test_tracks_of_a_recording_without_silences_in_slices(spark, frames):
+    """Whole coordinates, so that equal distances between tracks of unknown order come up; one crowded run, one sparse."""
+    rng, rows = np.random.default_rng(12), []
+    for run, per, box in ((0, 6, 9), (1, 2, 30)):
+        for frame in range(150):
+            for region in range(rng.integers(1, per + 1)):
+                rows.append((run, frame, region, float(rng.integers(0, box)), float(rng.integers(0, box))))
+    want = {}
+    for run in (0, 1):
+        dets = {}
+        for r, f, region, x, y in rows:
+            if r == run:
+                dets.setdefault(f, []).append((region, x, y))
+        want |= {(run, *k): v for k, v in link_loop(dets, 4.0, 3).items()}
+    df = spark.createDataFrame(rows, "run int, frame int, region int, core_x double, core_y double")
+    got = {(r["run"], r["frame"], r["region"]): r["track_id"] for r in linking.assign_tracks(df, 4.0, 3, frames).collect()}
+    assert got == want
+
+
+def test_tracks_outlive_empty_slices(spark):
+    rows = [(0, f, 0, 1.0, 1.0) for f in (0, 1, 40, 41, 80, 200, 201)] + [(0, f, 1, 5.0, 5.0) for f in (41, 200)]
+    df = spark.createDataFrame(rows, "run int, frame int, region int, core_x double, core_y double")
+    got = {(r["frame"], r["region"]): r["track_id"] for r in linking.assign_tracks(df, 2.0, 50, 3).collect()}
+    assert got == {(0, 0): 0, (1, 0): 0, (40, 0): 0, (41, 0): 0, (41, 1): 1, (80, 0): 0, (200, 0): 2, (200, 1): 3, (201, 0): 2}
+    assert linking.assign_tracks(df.limit(0), 2.0, 50, 3).collect() == []
+
+
 def test_tracking_in_order_matches_loop(spark):
     rows = [(0, f, int(RNG.integers(0, 10)), int(RNG.integers(0, 10)), float(RNG.choice([-1, 1]) * (i + 1))) for f in range(12) for i in range(RNG.integers(0, 4))]
     df = spark.createDataFrame(rows, "run int, frame int, x int, y int, value double")

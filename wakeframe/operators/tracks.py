@@ -60,13 +60,6 @@ def interval_join(
 # --- linking detections -----------------------------------------------------------------
 
 
-def _pieces(df: DataFrame, max_gap: int) -> DataFrame:
-    """Cut runs where no track can survive: more than ``max_gap`` frames without detections."""
-    w = W.partitionBy("run").orderBy("frame")
-    d = df.withColumn("_new", (F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"))
-    return d.withColumn("_piece", F.sum(F.coalesce("_new", F.lit(0))).over(w)).drop("_new")
-
-
 class Linker:
     """Live tracks of one run, fed frame by frame."""
 
@@ -75,6 +68,8 @@ class Linker:
         ids, frames, xs, ys, self.fresh = state or ([], [], [], [], 0)
         self.ids, self.frames = np.asarray(ids, np.int64), np.asarray(frames, np.int64)
         self.xy = np.column_stack([xs, ys]).astype(float).reshape(-1, 2)
+        # Tracks with ids below ``unsure`` may be in another order; ``tied`` tells whether that made a difference.
+        self.unsure, self.tied = 0, False
 
     def state(self):
         return (self.ids.tolist(), self.frames.tolist(), self.xy[:, 0].tolist(), self.xy[:, 1].tolist(), int(self.fresh))
@@ -92,6 +87,11 @@ class Linker:
             d = np.hypot(*(self.xy[free][:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
             near = d.argmin(axis=1)
             best = d[np.arange(len(near)), near]
+            old = np.flatnonzero((self.ids[free] < self.unsure) & (best < self.max_distance))
+            if len(old) > 1 and not self.tied:
+                offers = np.stack([near[old], best[old]])
+                offers = offers[:, np.lexsort(offers)]
+                self.tied = bool((offers[:, 1:] == offers[:, :-1]).all(axis=0).any())
             for k in np.lexsort((self.ids[free], best)):
                 if best[k] < self.max_distance and ids[near[k]] < 0:
                     ids[near[k]], dist[near[k]] = self.ids[free[k]], best[k]
@@ -105,38 +105,6 @@ class Linker:
         return ids, dist
 
 
-def _link(pdf: pd.DataFrame, max_distance: float, max_gap: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["frame", "region"], kind="stable").reset_index(drop=True)
-    linker, xy = Linker(max_distance, max_gap), pdf[["core_x", "core_y"]].to_numpy(float)
-    ids, dist = np.empty(len(pdf), np.int64), np.empty(len(pdf))
-    for frame, rows in pdf.groupby("frame", sort=True).indices.items():
-        ids[rows], dist[rows] = linker.step(int(frame), xy[rows])
-    out = pdf[["run", "_piece", "frame", "region", "core_x", "core_y"]].copy()
-    out["local_id"], out["track_distance"] = ids, dist
-    return out
-
-
-def assign_tracks(df: DataFrame, max_distance: float, max_gap: int) -> DataFrame:
-    """Give every detection (run, frame, region, core_x, core_y) a track id.
-
-    Each live track offers its nearest detection closer than ``max_distance``; offers
-    are taken shortest first, one to one; the rest start new tracks. Runs are cut at
-    long silences (exact: nothing survives them) and the pieces are linked in
-    parallel; ids continue from piece to piece by a running count.
-    """
-    tagged = _pieces(df.select("run", "frame", "region", "core_x", "core_y"), max_gap)
-    schema = "run int, _piece bigint, frame int, region int, core_x double, core_y double, local_id bigint, track_distance double"
-    linked = tagged.groupBy("run", "_piece").applyInPandas(lambda pdf: _link(pdf, max_distance, max_gap), schema)
-    fresh = (F.col("track_distance").isNull() | F.isnan("track_distance")).cast("bigint")
-    before = W.partitionBy("run").orderBy("_piece").rangeBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(fresh).over(before), F.lit(0))
-    return linked.select(
-        "run", "frame", "region", "core_x", "core_y",
-        (F.col("local_id") + offset).alias("track_id"),
-        F.nanvl("track_distance", F.lit(None).cast("double")).alias("track_distance"),
-    )
-
-
 def _link_in_order(pdf: pd.DataFrame, max_distance: float) -> pd.DataFrame:
     pdf = pdf.sort_values(["frame", "rank"], kind="stable").reset_index(drop=True)
     ids = np.empty(len(pdf), np.int64)

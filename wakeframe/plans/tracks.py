@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wakeframe.operators import fields, tracks as ops, vortices
+from wakeframe.operators import fields, linking, tracks as ops, vortices
 from wakeframe.plans.registry import query
 from wakeframe.plans.views import GRID, SENSORS, contours, frames, micros, sql, table, tracks
 from wakeframe.plans.fields import SMOOTH
@@ -93,7 +93,7 @@ LINKED = "SELECT run, frame, r AS region, x AS core_x, y AS core_y, id AS track_
 
 @query("J07_assign_tracks", "run:i frame:i region:i core_x:6 core_y:6 track_id:i track_distance:6", sql("cells", LINKED, *LINK))
 def j07(spark, sf):
-    return ops.assign_tracks(raw_regions(spark, sf).filter("area >= 2"), 2.0, 3)
+    return linking.assign_tracks(raw_regions(spark, sf).filter("area >= 2"), 2.0, 3)
 
 
 @query(
