@@ -11,7 +11,7 @@ from conftest import SF
 from wakeframe.functions import arrays, geometry as geo
 from wakeframe.functions.filters import butterworth, both_ways
 from wakeframe.functions.grid import Grid
-from wakeframe.operators import contours, fields, filters, learn, linking, modal, ordering, similarity, tracks
+from wakeframe.operators import contours, fields, filters, grids, learn, linking, modal, ordering, similarity, tracks
 from wakeframe.plans import views
 from wakeframe.plans.vortices import raw_regions
 from wakeframe.session import scratch
@@ -601,3 +601,77 @@ def test_decimal_comma_files(spark):
     path = scratch(spark, "comma")
     sinks.write_decimal_comma(spark.createDataFrame([(1, 2.5)], "k int, v double").coalesce(1), path)
     assert [r[0] for r in spark.read.text(path).collect()] == ["k;v", "1;2,500000"]
+
+
+# --- whole parameter grids ------------------------------------------------------------------------------
+
+
+def plain_tree(b, target, weight, depth, min_split, at):
+    """Value at each row of ``at`` of the best tree, cut by cut."""
+
+    def build(rows, level):
+        w, t = weight[rows], target[rows]
+        mean = (w * t).sum() / w.sum()
+        best, cut = 1e-12, None
+        if (depth is None or level < depth) and w.sum() >= min_split:
+            for f in range(b.shape[1]):
+                for c in range(grids.BINS):
+                    left = b[rows, f] <= c
+                    wl, wr = w[left].sum(), w[~left].sum()
+                    if wl > 0 and wr > 0:
+                        gain = (w * t)[left].sum() ** 2 / wl + (w * t)[~left].sum() ** 2 / wr - (w * t).sum() ** 2 / w.sum()
+                        if gain > best + 1e-9:
+                            best, cut = gain, (f, c)
+        if cut is None:
+            return lambda row: mean
+        left = b[rows, cut[0]] <= cut[1]
+        low, high = build(rows[left], level + 1), build(rows[~left], level + 1)
+        return lambda row: (low if row[cut[0]] <= cut[1] else high)(row)
+
+    tree = build(np.flatnonzero(weight > 0), 0)
+    return np.array([tree(r) for r in at])
+
+
+@pytest.mark.parametrize("depth,min_split", [(1, 2), (3, 2), (None, 2), (None, 9)])
+def test_trees_grow_as_cut_by_cut(depth, min_split):
+    rng = np.random.default_rng(5)
+    b = rng.integers(0, 12, (60, 3)).astype(np.uint8)
+    y, weight = rng.normal(size=60), rng.integers(0, 3, 60).astype(float)
+    others = rng.integers(0, 12, (20, 3)).astype(np.uint8)
+    *_, (node, far, nodes) = grids.grow(b, y, weight, depth, min_split, others)
+    mean = np.bincount(node, weight * y, nodes) / np.maximum(np.bincount(node, weight, nodes), 1e-300)
+    np.testing.assert_allclose(mean[far], plain_tree(b, y, weight, depth, min_split, others), atol=1e-9)
+
+
+def test_settings_read_off_one_chain_are_those_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    b, folds = grids.binned(x), np.arange(200) % 5
+    own = {"learning_rate": 0.2, "max_depth": 3, "min_samples_split": 2, "subsample": 0.8}
+    run = lambda trees: {p: r for p, r, _ in grids.run_chain("boost", own, 1, b, y, folds, grids.BOOST | {"n_estimators": trees}, grids.FOREST, 3)}
+    assert run([5, 20])["learning_rate=0.2, max_depth=3, min_samples_split=2, n_estimators=5, subsample=0.8"] == list(run([5]).values())[0]
+    held = folds == 1
+    make = lambda depths: grids.forest(b[~held], y[~held], b[held], [1], depths, 2, 4, np.random.default_rng(1))
+    both = make([None, 2])
+    # All four features in every cut: a tree cut at depth 2 is a tree grown to it.
+    weight = np.bincount(np.random.default_rng(1).integers(0, 160, 160), minlength=160).astype(float)
+    np.testing.assert_allclose(both[1, 2], plain_tree(b[~held], y[~held], weight, 2, 2, b[held]), atol=1e-9)
+    np.testing.assert_allclose(both[1, None], plain_tree(b[~held], y[~held], weight, None, 2, b[held]), atol=1e-9)
+
+
+def test_grid_finds_what_single_cuts_miss(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    rows = [(i, x[i].tolist(), float(x[i, 0] * x[i, 1] > 0)) for i in range(300)] + [(300, None, 1.0), (301, [None, 1.0], 0.0)]
+    df = spark.createDataFrame(rows, "id bigint, x array<double>, y double")
+    boost = {"n_estimators": [10, 40], "learning_rate": [0.2], "max_depth": [1, 3], "min_samples_split": [2], "subsample": [1.0]}
+    trees = {"n_estimators": [40], "max_depth": [None, 1], "min_samples_split": [2], "max_features": ["sqrt"]}
+    got = {r.params: r.accuracy for r in grids.search(df, "id", "x", "y", boost, trees).collect()}
+    assert len(got) == 4 + 2
+    deep = "learning_rate=0.2, max_depth=3, min_samples_split=2, n_estimators=40, subsample=1.0"
+    assert got[deep] > 0.85 and got[deep] > got[deep.replace("max_depth=3", "max_depth=1")] + 0.2
+    assert got["max_depth=None, max_features=sqrt, min_samples_split=2, n_estimators=40"] > 0.75
+    assert got == {r.params: r.accuracy for r in grids.search(df, "id", "x", "y", boost, trees).collect()}
+    assert grids.search(df.limit(0), "id", "x", "y", boost, trees).collect() == []
+    assert len(grids.chains()) == 5 * (36 + 4)

@@ -8,11 +8,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -290,21 +290,6 @@ def train_forest(train: DataFrame, features: Sequence[str] | str, label: str, tr
     return Fitted(own, est.fit(own.rows(data, label)))
 
 
-def grid_search(train: DataFrame, features: Sequence[str] | str, label: str, kind: str, grid: dict[str, list], folds: int = 5, seed: int = 42):
-    """Cross-validated accuracy of a tree model over a parameter grid: rows (params, accuracy)."""
-    est = {"boost": GBTClassifier(labelCol=label, seed=seed), "forest": RandomForestClassifier(labelCol=label, featureSubsetStrategy="sqrt", seed=seed)}[kind]
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        build = build.addGrid(est.getParam(name), values)
-    maps = build.build()
-    data = _training(train, features, label)
-    cv = CrossValidator(
-        estimator=est, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=4,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-    ).fit(written(Features(data, features).rows(data, label), "features"))
-    return [(kind, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a)) for m, a in zip(maps, cv.avgMetrics)]
-
-
 # --- over-sampling ----------------------------------------------------------------------------------
 
 

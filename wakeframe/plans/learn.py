@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeframe.functions import arrays
-from wakeframe.operators import contours as rings, filters, learn as ops, modal, series, similarity, tracks as trk
+from wakeframe.operators import contours as rings, filters, grids, learn as ops, modal, series, similarity, tracks as trk
 from wakeframe.plans.filters import BAND, CHUNK
 from wakeframe.plans.modal import snapshots
 from wakeframe.plans.registry import query
@@ -371,10 +371,7 @@ def l11(spark, sf):
 
 @query("L12_grid_search", "kind:s params:s accuracy:4")
 def l12(spark, sf):
-    d = vectors(spark, sf)
-    rows = ops.grid_search(d, VEC, "y", "forest", {"numTrees": [10, 20], "maxDepth": [3]}, folds=5)
-    rows += ops.grid_search(d, VEC, "y", "boost", {"maxIter": [3], "maxDepth": [2]}, folds=5)
-    return spark.createDataFrame(rows, "kind string, params string, accuracy double")
+    return grids.search(vectors(spark, sf), "vec_id", VEC, "y")
 
 
 @query("L13_oversample", "base:i copy:i near:i x0:6 x63:6 label:i")
@@ -466,7 +463,7 @@ def l08_coverage(spark, sf):
     return l08(spark, sf).groupBy("energy").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok.isNull() | ~ok).alias("bad"))
 
 
-@query("L12_coverage", "settings:i bad:i", "SELECT 3 AS settings, 0 AS bad FROM (SELECT count(*) FROM embeddings)")
+@query("L12_coverage", "settings:i bad:i", "SELECT 144 AS settings, 0 AS bad FROM (SELECT count(*) FROM embeddings)")
 def l12_coverage(spark, sf):
     return l12(spark, sf).agg(F.count_distinct("kind", "params").alias("settings"), outside("accuracy").alias("bad"))
 
