@@ -14,7 +14,7 @@ from wakeframe.functions.grid import Grid
 from wakeframe.operators import contours, fields, filters, grids, learn, linking, modal, ordering, similarity, tracks
 from wakeframe.plans import views
 from wakeframe.plans.vortices import raw_regions
-from wakeframe.session import scratch
+from wakeframe.session import scratch, written
 from wakeframe.sources import growing, scans, sinks
 from wakeframe.streaming import live
 
@@ -213,10 +213,10 @@ def flow(spark):
 
 def test_pod_matches_numpy(flow):
     data, df = flow
-    rows, cov = modal.cell_blocks(df, size=5), modal.snapshot_covariance(df)
-    spec = modal.spectrum(cov, ["run"]).toPandas()
-    errors = {r["run"]: r for r in modal.reconstruction_error(rows, cov, 0.8).collect()}
-    needed = {r["run"]: r for r in modal.modes_needed(modal.spectrum(cov, ["run"]), ["run"], 0.8).collect()}
+    cov = modal.Covariance(modal.cell_blocks(df, size=5, span=4))
+    spec = modal.mode_energy(cov.eigen()).toPandas()
+    errors = {r["run"]: r for r in modal.reconstruction_error(cov, modal.cell_counts(df), 0.8).collect()}
+    needed = {r["run"]: r for r in modal.modes_needed(modal.mode_energy(cov.eigen()), ["run"], 0.8).collect()}
     for run in range(2):
         y = (data[run] - data[run].mean(axis=0)).T
         values, vectors = np.linalg.eigh(y.T @ y / 5)
@@ -252,6 +252,45 @@ def test_pressure_modes_match_svd(spark):
     np.testing.assert_allclose(got["value"], s[:k])
 
 
+def test_modes_of_a_recording_longer_than_a_task(spark):
+    """5000 frames in spans, a short run beside them; no row holds all frames of the long one."""
+    rng = np.random.default_rng(31)
+    shapes = {0: rng.normal(size=(5000, 60)) * 0.8 ** np.arange(60) @ rng.normal(size=(60, 40)) + 3, 1: rng.normal(size=(30, 40))}
+    df = spark.createDataFrame(pd.DataFrame([(r, f, v.tolist()) for r, m in shapes.items() for f, v in enumerate(m)], columns=["run", "frame", "v"]), "run int, frame int, v array<double>")
+    rows = written(modal.cell_blocks(df, size=16), "test-blocks")
+    assert rows.agg(F.max(F.size("frames"))).first()[0] == modal.FRAME_BLOCK
+    cov = modal.Covariance(rows)
+    assert cov.tiles.agg(F.max(F.size("g"))).first()[0] <= modal.FRAME_BLOCK**2
+    pairs = cov.eigen(20).toPandas()
+    cells = modal.project_cells(rows, cov.eigen(20)).toPandas()
+    for run, m in shapes.items():
+        y = m - m.mean(axis=0)
+        u, s, vt = np.linalg.svd(y, full_matrices=False)
+        value = s**2 / (len(m) - 1)
+        own = pairs[(pairs["run"] == run) & (pairs["mode"] < 20)]
+        got = own.drop_duplicates("mode").sort_values("mode")["value"].to_numpy()
+        np.testing.assert_allclose(got, value[:20], atol=1e-8 * value[0])
+        vectors = np.column_stack([np.concatenate(own[own["mode"] == k].sort_values("span")["u"].tolist()) for k in range(20)])
+        np.testing.assert_allclose(np.abs((vectors * u[:, :20]).sum(axis=0)), 1, atol=1e-6)
+        phi = np.stack(cells[cells["run"] == run].sort_values("cell")["phi"].tolist())[:, :20]
+        np.testing.assert_allclose(np.abs(phi), np.abs(y.T @ u[:, :20]), atol=1e-5 * s[0])
+    errors = {r["run"]: r for r in modal.reconstruction_error(cov, modal.cell_counts(df), 0.9).collect()}
+    y = shapes[0] - shapes[0].mean(axis=0)
+    u, s, vt = np.linalg.svd(y, full_matrices=False)
+    k = int(np.argmax(np.cumsum(s**2) / (s**2).sum() >= 0.9))
+    rest = y - u[:, :k] @ (u[:, :k].T @ y)
+    assert errors[0]["kept"] == k and errors[0]["error"] == pytest.approx(np.sqrt((rest**2).mean(axis=1)).mean(), rel=1e-6)
+
+
+def test_dynamic_modes_of_a_long_recording(spark):
+    t = np.arange(2600)[:, None]
+    data = np.cos(0.3 * t) * np.arange(1, 9) + np.sin(0.3 * t) * np.arange(8, 0, -1)
+    df = spark.createDataFrame(pd.DataFrame({"run": 0, "frame": t.ravel() + 7, "v": list(data)}), "run int, frame int, v array<double>")
+    got = modal.dynamic_modes(df, 2, 0.1).toPandas()
+    np.testing.assert_allclose(np.sort(got["frequency"]), np.array([-3.0, 3.0]) / (2 * np.pi), atol=1e-6)
+    assert got["error"].max() < 1e-5
+
+
 def test_dynamic_modes_find_the_eigenvalues(spark):
     a = np.array([[0.9, -0.3], [0.3, 0.9]])
     x, frames = np.array([1.0, 0.5]), []

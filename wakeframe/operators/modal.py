@@ -1,10 +1,11 @@
 """Modal analysis and dynamics identification from small Gram matrices.
 
 Data stays distributed: each task adds its rows' outer products into a k x k
-matrix per run (k = frames of a run, samples of a snapshot, terms of a library), the
-partial matrices meet as one packed row per task and run, and only the k x k
+matrix per key (k = samples of a snapshot, terms of a library), the
+partial matrices meet as one packed row per task and key, and only the k x k
 problem is solved in one place. k is a property of the experiment, not of
-the amount of data.
+the amount of data. The frames of a recording have no such bound: their Gram matrix
+and its vectors stay in pieces (``eigen``).
 """
 
 from __future__ import annotations
@@ -14,66 +15,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from wakeframe.operators.eigen import adding, added, eigenpairs, entries, gram_tiles, leads, spans, stack, summed, wide
+from wakeframe.operators.ordering import previous_row
 from wakeframe.session import written
 
 
-# Bytes of partial matrices that a task holds before it passes them on.
-HELD_BYTES = 64 << 20
-
-
-def _adding(keys: list[str], matrices_of) -> Callable:
-    """A task's loop that adds up the matrices ``matrices_of(part)`` -> {replica: matrix} of each key's rows."""
-
-    def rows(held: dict) -> pd.DataFrame:
-        out = pd.DataFrame({"replica": [r for _, r in held], "size": [len(g) for g in held.values()], "g": [g.ravel() for g in held.values()]})
-        for i, name in enumerate(keys):
-            out.insert(i, name, [k[i] for k, _ in held])
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            for key, part in groups:
-                for replica, g in matrices_of(part).items():
-                    at = (key, replica)
-                    held[at] = held[at] + g if at in held else g
-            if sum(g.nbytes for g in held.values()) > HELD_BYTES:
-                yield rows(held)
-                held = {}
-        if held:
-            yield rows(held)
-
-    return run
-
-
-def _added(parts: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """The partial matrices of each key and replica as one: they meet sorted, and one is held at a time."""
-    by = [*keys, "replica"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in batches:
-            for i in range(len(pdf)):
-                row = pdf.iloc[[i]]
-                key = tuple(row[c].iloc[0] for c in by)
-                if last is not None and last[0] == key:
-                    last[1]["g"] = [last[1]["g"].iloc[0] + row["g"].iloc[0]]
-                else:
-                    if last is not None:
-                        yield last[1]
-                    last = (key, row.copy())
-        if last is not None:
-            yield last[1]
-
-    return parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
-
-
 def gram(df: DataFrame, keys: Sequence[str], rows: Column, matrices: bool = False) -> DataFrame:
     """(keys, size, g ARRAY): flattened sum of the outer products of ``rows``.
 
@@ -91,8 +40,8 @@ def gram(df: DataFrame, keys: Sequence[str], rows: Column, matrices: bool = Fals
 
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["replica int, size int, g array<double>"])
     kind = "array<array<double>>" if matrices else "array<double>"
-    parts = df.select(*keys, rows.cast(kind).alias("_x")).mapInPandas(_adding(keys, products), schema)
-    return _added(parts, keys, schema).drop("replica")
+    parts = df.select(*keys, rows.cast(kind).alias("_x")).mapInPandas(adding(keys, products), schema)
+    return added(parts, keys, schema).drop("replica")
 
 
 def weighted_gram(df: DataFrame, rows: Column, weights: Column) -> DataFrame:
@@ -103,29 +52,40 @@ def weighted_gram(df: DataFrame, rows: Column, weights: Column) -> DataFrame:
         return {r: (x * w[:, r : r + 1]).T @ x for r in range(w.shape[1])}
 
     schema = "replica int, size int, g array<double>"
-    parts = df.select(rows.cast("array<double>").alias("_x"), weights.alias("_w")).mapInPandas(_adding([], products), schema)
-    return _added(parts, [], schema)
+    parts = df.select(rows.cast("array<double>").alias("_x"), weights.alias("_w")).mapInPandas(adding([], products), schema)
+    return added(parts, [], schema)
 
 
-# Cells that travel together from frame order to cell order.
+# Cells that travel together from frame order to cell order, and frames of a recording that do.
 CELL_BLOCK = 1024
+FRAME_BLOCK = 512
 
 
-def cell_blocks(df: DataFrame, col: str = "v", centred: bool = True, size: int = CELL_BLOCK) -> DataFrame:
-    """(run, block, x): the frames of a run over ``size`` neighbouring cells as a frames x cells matrix.
+def cell_blocks(df: DataFrame, col: str = "v", centred: bool = True, size: int = CELL_BLOCK, span: int = FRAME_BLOCK) -> DataFrame:
+    """(run, block, span, frames, x): up to ``span`` frames of a run over ``size`` neighbouring cells as a frames x cells matrix.
 
-    This is the transposition every modal operator needs: slices of frames are
-    shuffled, not single cells, and a task holds one slice of one recording. With
-    ``centred`` each cell's time mean is removed.
+    This is the transposition every modal operator needs: slices of frames are shuffled, not single cells, and
+    a row holds one slice over one span of a recording, however long that is. With ``centred`` each cell's time
+    mean over the whole recording is removed.
     """
     slices = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(col) - 1) / size).cast("int")),
         lambda b: F.struct(b.alias("block"), F.slice(F.col(col), b * size + 1, size).alias("part")),
     )
-    long = df.select("run", "frame", F.inline(slices))
-    packed = F.array_sort(F.collect_list(F.struct("frame", "part")))
-    rows = long.groupBy("run", "block").agg(F.transform(packed, lambda s: s["part"]).alias("x"))
-    return rows.withColumn("x", _centre("x")) if centred else rows
+    long = df.select("run", "frame", F.floor(F.col("frame") / span).alias("span"), F.inline(slices))
+    packed = F.array_sort(F.collect_list(F.struct("frame", "part"))).alias("_p")
+    rows = long.groupBy("run", "block", "span").agg(packed).select("run", "block", "span", F.col("_p.frame").alias("frames"), F.col("_p.part").alias("x"))
+    if not centred:
+        return rows
+    rows = written(rows, "blocks")
+    return rows.join(cell_means(rows), ["run", "block"]).withColumn("x", _matrix_udf(lambda m, c: m - np.asarray(c, float), "x", "mean")).drop("mean")
+
+
+def cell_means(rows: DataFrame) -> DataFrame:
+    """(run, block, mean ARRAY): each cell's mean over all frames of its run."""
+    total = summed(rows.select("run", "block", "x"), ["run", "block"], lambda r: np.append(stack(r.x).sum(axis=0), len(r.x)).reshape(1, -1))
+    sums = F.slice("g", 1, F.size("g") - 1)
+    return total.select("run", "block", F.transform(sums, lambda v: v / F.element_at("g", -1)).alias("mean"))
 
 
 def _matrix_udf(fn, *cols, out: str = "array<array<double>>") -> Column:
@@ -142,20 +102,44 @@ def _matrix_udf(fn, *cols, out: str = "array<array<double>>") -> Column:
     return run(*cols)
 
 
-def _centre(col: str) -> Column:
-    return _matrix_udf(lambda m: m - m.mean(axis=0), col)
-
-
 def block_cells(df: DataFrame, value: str, size: int = CELL_BLOCK) -> DataFrame:
     """(run, cell, value) from blocks that hold one array per cell."""
     long = df.select("run", "block", F.posexplode(value).alias("_p", value))
     return long.select("run", (F.col("block") * size + F.col("_p")).alias("cell"), value)
 
 
-def covariance(rows: DataFrame) -> DataFrame:
-    """Gram matrix of the frames of each run over its cells, divided by frames - 1."""
-    g = gram(rows, ["run"], F.col("x"), matrices=True)
-    return g.withColumn("g", F.transform("g", lambda v: v / (F.col("size") - 1)))
+class Covariance:
+    """The frames' Gram matrix of each run over its cells, as tiles of spans, divided by frames - 1 unless ``scaled`` is off.
+
+    Tiles are written once: (run, i, j, size, g), with (run, span, frames, n) in ``parts``.
+    """
+
+    def __init__(self, rows: DataFrame, scaled: bool = True):
+        self.parts = written(spans(rows), "spans")
+        tiles = gram_tiles(rows)
+        if scaled:
+            n = self.parts.groupBy("run").agg(F.first("n").alias("n"))
+            tiles = tiles.join(n, "run").withColumn("g", F.transform("g", lambda v: v / (F.col("n") - 1))).drop("n")
+        self.tiles = written(tiles, "tiles")
+
+    def entries(self) -> DataFrame:
+        """Long form (run, i, j, v), both i and j being frames."""
+        return entries(self.tiles, self.parts)
+
+    def eigen(self, modes: int | None = None, energy: float | None = None) -> DataFrame:
+        return written(eigenpairs(self.tiles, self.parts, modes, energy), "eigen")
+
+    def diagonal(self) -> DataFrame:
+        """(run, span, frame, v)."""
+        own = self.tiles.filter("i = j").select("run", F.col("i").alias("span"), "size", "g")
+        value = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.get("g", k * (F.col("size") + 1)))
+        own = own.join(self.parts, ["run", "span"]).select("run", "span", F.inline(F.arrays_zip(F.col("frames").alias("frame"), value.alias("v"))))
+        return own
+
+
+def snapshot_covariance(df: DataFrame, col: str = "v") -> Covariance:
+    """Covariance of the frames of each run."""
+    return Covariance(cell_blocks(df, col))
 
 
 def _solve(df: DataFrame, keys: Sequence[str], schema: str, fn) -> DataFrame:
@@ -180,31 +164,7 @@ def _eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues (largest first, not negative) and vectors whose largest entry is positive."""
     values, vectors = np.linalg.eigh((m + m.T) / 2)
     values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
-    lead = np.abs(vectors).argmax(axis=0)
-    return values, vectors * np.where(vectors[lead, np.arange(len(values))] < 0, -1.0, 1.0)
-
-
-def snapshot_covariance(df: DataFrame, col: str = "v") -> DataFrame:
-    """Covariance of the frames of each run."""
-    return covariance(cell_blocks(df, col))
-
-
-def matrix_entries(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long form (keys, i, j, v) of packed square matrices."""
-    long = df.select(*keys, "size", F.posexplode("g").alias("_k", "v"))
-    return long.select(*keys, F.floor(F.col("_k") / F.col("size")).cast("int").alias("i"), (F.col("_k") % F.col("size")).alias("j"), "v")
-
-
-def spectrum(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(mode, value, energy, cumulative) of each packed matrix; energies sum to 1."""
-
-    def one(m):
-        v, _ = _eigen(m)
-        total = v.sum()
-        e = v / total if total > 0 else np.zeros_like(v)
-        return pd.DataFrame({"mode": np.arange(len(v), dtype="int32"), "value": v, "energy": e, "cumulative": np.cumsum(e)})
-
-    return _solve(df, keys, "mode int, value double, energy double, cumulative double", one)
+    return values, vectors * leads(vectors)
 
 
 def modes_needed(spec: DataFrame, keys: Sequence[str], target: float, include_crossing: bool = True) -> DataFrame:
@@ -213,60 +173,64 @@ def modes_needed(spec: DataFrame, keys: Sequence[str], target: float, include_cr
     return spec.groupBy(*keys).agg((first + (1 if include_crossing else 0)).alias("needed"), F.max(F.when(F.col("mode") == 0, F.col("energy"))).alias("first_energy"))
 
 
-def temporal_basis(cov: DataFrame) -> DataFrame:
-    """(run, basis ARRAY, values ARRAY): flattened eigenvectors, one row of ``size`` weights per mode."""
+def mode_energy(eigen: DataFrame) -> DataFrame:
+    """(run, mode, value, energy, cumulative) of eigenpairs; energies of all modes sum to 1."""
+    w = W.partitionBy("run").orderBy("mode")
+    first = eigen.groupBy("run", "mode").agg(F.first("value").alias("value"), F.first("trace").alias("trace"))
+    d = first.withColumn("energy", F.when(F.col("trace") > 0, F.col("value") / F.col("trace")).otherwise(0.0))
+    return d.select("run", "mode", "value", "energy", F.sum("energy").over(w).alias("cumulative"))
 
-    def one(m):
-        v, u = _eigen(m)
-        return pd.DataFrame({"size": [len(v)], "basis": [u.T.ravel()], "values": [v]})
 
-    return _solve(cov, ["run"], "size int, basis array<double>, values array<double>", one)
+def packed_basis(eigen: DataFrame) -> DataFrame:
+    """(run, span, u): the pieces of all modes of a span as a modes x frames matrix."""
+    rows = F.array_sort(F.collect_list(F.struct("mode", "u")))
+    return eigen.groupBy("run", "span").agg(F.transform(rows, lambda m: m["u"]).alias("u"))
 
 
-def project_cells(rows: DataFrame, basis: DataFrame) -> DataFrame:
-    """(run, cell, phi): unscaled modes, each cell's frames times every temporal vector."""
-    project = lambda m, b: (np.asarray(b, float).reshape(-1, len(m)) @ m).T
-    return block_cells(rows.join(basis, "run").withColumn("phi", _matrix_udf(project, "x", "basis")), "phi")
+def projected_blocks(rows: DataFrame, eigen: DataFrame) -> DataFrame:
+    """(run, block, phi): unscaled modes as cells x modes matrices, each cell's frames times every temporal vector."""
+    j = rows.join(packed_basis(eigen), ["run", "span"]).select("run", "block", "x", "u")
+    made = summed(j, ["run", "block"], lambda r: stack(r.x).T @ stack(r.u).T)
+    cells = _matrix_udf(lambda g, n: np.asarray(g, float).reshape(n, -1), "g", "size")
+    return made.select("run", "block", cells.alias("phi"))
 
 
-def mode_coefficients(cov: DataFrame) -> DataFrame:
-    """(run, mode, frame, a): coefficients Phi' Y, which equal (frames - 1) value_k U_k."""
+def project_cells(rows: DataFrame, eigen: DataFrame) -> DataFrame:
+    """(run, cell, phi): unscaled modes of every cell."""
+    return block_cells(projected_blocks(rows, eigen), "phi")
 
-    def one(m):
-        v, u = _eigen(m)
-        a = (v * (len(v) - 1))[:, None] * u.T
-        k, f = np.meshgrid(np.arange(len(v)), np.arange(len(v)), indexing="ij")
-        return pd.DataFrame({"mode": k.ravel().astype("int32"), "frame": f.ravel().astype("int32"), "a": a.ravel()})
 
-    return _solve(cov, ["run"], "mode int, frame int, a double", one)
+def mode_coefficients(cov: Covariance, modes: int | None = None) -> DataFrame:
+    """(run, mode, frame, a): coefficients Phi' Y, which equal (frames - 1) value_k U_k."""
+    d = cov.eigen(modes).join(cov.parts.select("run", "span", "frames"), ["run", "span"])
+    d = d.select("run", "mode", "value", "n", F.inline(F.arrays_zip(F.col("frames").alias("frame"), "u")))
+    return d.select("run", "mode", "frame", (F.col("value") * (F.col("n") - 1) * F.col("u")).alias("a"))
 
 
-def reconstruction_error(rows: DataFrame, cov: DataFrame, target: float = 0.99, normalised: bool = True) -> DataFrame:
-    """Mean over the frames of the cell-wise RMS error with the modes below ``target`` energy.
+def reconstruction_error(cov: Covariance, cells: DataFrame, target: float = 0.99, normalised: bool = True, eigen: DataFrame | None = None) -> DataFrame:
+    """(run, kept, error): mean over the frames of the cell-wise RMS error with the modes below ``target`` energy.
 
-    With unit modes the reconstruction is a projection of each cell's row on the kept
-    vectors; without (``normalised=False``) each mode's share is scaled by its energy.
+    ``cells`` gives each run's number of them. With unit modes the reconstruction is a projection on the kept vectors;
+    without (``normalised=False``) each mode's share is scaled by its energy. What remains of a frame's square is its
+    diagonal entry less what the kept modes take of it, so no field is read again.
     """
+    eigen = cov.eigen(energy=target) if eigen is None else eigen
+    spec = mode_energy(eigen)
+    kept = spec.groupBy("run").agg(F.coalesce(F.min(F.when(F.col("cumulative") >= target - 1e-12, F.col("mode"))), F.lit(0)).alias("kept"))
+    used = eigen.join(kept, "run").filter(F.col("mode") < F.col("kept")).join(cov.parts.select("run", "span", "frames"), ["run", "span"])
+    value = F.col("value") * (F.col("n") - 1)
+    weight = F.lit(1.0) if normalised else value
+    share = used.select("run", (value * weight * (2 - weight)).alias("w"), F.inline(F.arrays_zip(F.col("frames").alias("frame"), "u")))
+    share = share.groupBy("run", "frame").agg(F.sum(F.col("w") * F.col("u") * F.col("u")).alias("taken"))
+    n = cov.parts.groupBy("run").agg(F.first("n").alias("n"))
+    rest = cov.diagonal().join(n, "run").select("run", "frame", (F.col("v") * (F.col("n") - 1)).alias("sq")).join(share, ["run", "frame"], "left").join(cells, "run").join(kept, "run")
+    per = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.coalesce("taken", F.lit(0.0))) / F.col("cells"))
+    return rest.groupBy("run", "kept").agg(F.avg(per).alias("error"))
 
-    def one(m):
-        v, u = _eigen(m)
-        total = v.sum()
-        cum = np.cumsum(v) / total if total > 0 else np.ones_like(v)
-        k = int(np.argmax(cum >= target - 1e-12))
-        weight = np.ones(k) if normalised else v[:k] * (len(v) - 1)
-        p = (u[:, :k] * weight) @ u[:, :k].T
-        return pd.DataFrame({"size": [len(v)], "kept": [k], "p": [p.ravel()]})
-
-    projector = _solve(cov, ["run"], "size int, kept int, p array<double>", one)
 
-    def residual(m, p):
-        rest = m - np.asarray(p, float).reshape(len(m), len(m)) @ m
-        return np.append((rest**2).sum(axis=1), m.shape[1])
-
-    sums = rows.join(projector, "run").select("run", "kept", _matrix_udf(residual, "x", "p", out="array<double>").alias("e"))
-    long = sums.select("run", "kept", F.element_at("e", -1).alias("cells"), F.posexplode(F.slice("e", F.lit(1), F.size("e") - 1)).alias("frame", "sq"))
-    per = long.groupBy("run", "kept", "frame").agg(F.sqrt(F.sum("sq") / F.sum("cells")).alias("rmse"))
-    return per.groupBy("run", "kept").agg(F.avg("rmse").alias("error"))
+def cell_counts(df: DataFrame, col: str = "v") -> DataFrame:
+    """(run, cells)."""
+    return df.groupBy("run").agg(F.max(F.size(col)).alias("cells"))
 
 
 def sweep(df: DataFrame, a: str, b: str, col: str = "v") -> DataFrame:
@@ -274,12 +238,12 @@ def sweep(df: DataFrame, a: str, b: str, col: str = "v") -> DataFrame:
 
     ``df`` carries the sweep keys per frame; every run is independent.
     """
-    rows = written(cell_blocks(df, col), "blocks")
-    cov = written(covariance(rows), "covariance")
-    spec = spectrum(cov, ["run"])
+    cov = snapshot_covariance(df, col)
+    eigen = cov.eigen(energy=0.99)
+    spec = mode_energy(eigen)
     n99 = modes_needed(spec, ["run"], 0.99, False).withColumnRenamed("needed", "n99")
     n95 = modes_needed(spec, ["run"], 0.95, False).select("run", F.col("needed").alias("n95"))
-    err = reconstruction_error(rows, cov, 0.99).select("run", "error")
+    err = reconstruction_error(cov, cell_counts(df, col), 0.99, eigen=eigen).select("run", "error")
     keys = df.groupBy("run").agg(F.first(a).alias(a), F.first(b).alias(b))
     per = keys.join(n99, "run").join(n95, "run").join(err, "run")
     cols = ["n99", "n95", "first_energy", "error"]
@@ -293,17 +257,12 @@ def shift_mode_basis(df: DataFrame, starts: DataFrame, n_modes: int, col: str =
     ``starts`` gives the frame at which each run's final period begins. The columns are
     made orthonormal through their k x k Gram matrix, never by gathering cells.
     """
-    rows = written(cell_blocks(df, col, centred=False).join(starts.select("run", "start"), "run"), "blocks")
-    late = lambda m, start: m[start:] - m[start:].mean(axis=0)
-    basis = temporal_basis(covariance(rows.withColumn("x", _matrix_udf(late, "x", "start"))))
-
-    def columns(m, start, b):
-        period = m[start:]
-        modes = np.asarray(b, float).reshape(-1, len(period))[: n_modes - 1] @ period
-        return np.vstack([modes, m.mean(axis=0)]).T
-
-    phi = rows.join(basis.select("run", "basis"), "run").withColumn("phi", _matrix_udf(columns, "x", "start", "basis"))
-    return orthonormal(written(phi.select("run", "block", "phi"), "columns"))
+    late = df.join(starts.select("run", "start"), "run").filter(F.col("frame") >= F.col("start"))
+    eigen = snapshot_covariance(late, col).eigen(n_modes - 1).filter(F.col("mode") < n_modes - 1)
+    modes = projected_blocks(cell_blocks(late, col, centred=False), eigen)
+    mean = cell_means(cell_blocks(df, col, centred=False))
+    both = modes.join(mean, ["run", "block"]).select("run", "block", _matrix_udf(lambda m, c: np.column_stack([m, c]), "phi", "mean").alias("phi"))
+    return orthonormal(written(both, "columns"))
 
 
 def orthonormal(phi: DataFrame) -> DataFrame:
@@ -327,8 +286,8 @@ def orthonormal(phi: DataFrame) -> DataFrame:
 def project_frames(df: DataFrame, basis: DataFrame, col: str = "v") -> DataFrame:
     """(run, frame, mode, a): every frame on a basis in blocks; blocks add up their shares."""
     share = _matrix_udf(lambda m, b: m @ np.stack(b).astype(float), "x", "phi")
-    j = cell_blocks(df, col, centred=False).join(basis, ["run", "block"]).select("run", share.alias("a"))
-    long = j.select("run", F.posexplode("a").alias("frame", "_r")).select("run", "frame", F.posexplode("_r").alias("mode", "a"))
+    j = cell_blocks(df, col, centred=False).join(basis, ["run", "block"]).select("run", F.arrays_zip("frames", share.alias("a")).alias("_z"))
+    long = j.select("run", F.inline("_z")).select("run", F.col("frames").alias("frame"), F.posexplode("a").alias("mode", "a"))
     return long.groupBy("run", "frame", "mode").agg(F.sum("a").alias("a"))
 
 
@@ -376,39 +335,66 @@ def project_series(df: DataFrame, keys: Sequence[str], col: str, modes: DataFram
     return d.select(*df.columns, F.inline(rows))
 
 
-def singular_values(df: DataFrame, col: str = "v") -> DataFrame:
-    """Singular values of each run's cells x frames matrix."""
-    return spectrum(gram(cell_blocks(df, col, centred=False), ["run"], F.col("x"), matrices=True), ["run"]).select("run", "mode", F.sqrt("value").alias("sigma"))
+def singular_values(df: DataFrame, col: str = "v", modes: int | None = None) -> DataFrame:
+    """Singular values of each run's cells x frames matrix (of a long recording the leading ``modes``)."""
+    cov = Covariance(cell_blocks(df, col, centred=False), scaled=False)
+    return mode_energy(cov.eigen(modes)).select("run", "mode", F.sqrt("value").alias("sigma"))
 
 
 def dynamic_modes(df: DataFrame, rank: int, dt: float, col: str = "v") -> DataFrame:
     """Exact dynamic mode decomposition: (run, mode, re, im, frequency, growth, error).
 
-    Everything follows from the frames' Gram matrix G: X'X and X'Y are its blocks,
-    so the reduced operator and the one-step residual need no cell-sized data. A
-    plain exact fit stands in for an optimised, bagged one.
+    Everything follows from the frames' Gram matrix G: the leading pairs U, s^2 of its part without the last frame, the
+    r x r product U' G1 U with the part G1 that lies one frame later, and two traces. A plain exact fit stands in for
+    an optimised, bagged one.
     """
-
-    def one(m):
-        n = len(m) - 1
-        v, u = _eigen(m[:n, :n])
-        r = max(1, min(rank, int((v > v[0] * 1e-12).sum())))
-        s = np.sqrt(v[:r])
-        small = (u[:, :r].T @ m[:n, 1:] @ u[:, :r]) / np.outer(s, s)
-        lam = np.linalg.eigvals(small)
-        lam = lam[np.lexsort((lam.imag, -np.abs(lam).round(10)))]
-        # Y - X U S^-1 small S U': the one-step residual through the same Gram matrix.
-        step = (u[:, :r] / s) @ small @ (s[:, None] * u[:, :r].T)
-        full = np.vstack([-step, np.zeros((1, n))])
-        full[np.arange(n) + 1, np.arange(n)] += 1.0
-        err = np.sqrt(max(np.trace(full.T @ m @ full), 0.0) / max(np.trace(m[1:, 1:]), 1e-300))
-        log = np.log(lam.astype(complex)) / dt
-        return pd.DataFrame(
-            {"mode": np.arange(r, dtype="int32"), "re": lam.real, "im": lam.imag, "frequency": log.imag / (2 * np.pi), "growth": log.real, "error": err}
-        )
-
-    g = gram(cell_blocks(df, col, centred=False), ["run"], F.col("x"), matrices=True)
-    return _solve(g, ["run"], "mode int, re double, im double, frequency double, growth double, error double", one)
+    blocks = written(cell_blocks(df, col, centred=False), "blocks")
+    steps = previous_row(df.select("run", "frame"), ["run"], ["frame"], F.floor(F.col("frame") / FRAME_BLOCK), ["frame"])
+    frames = written(steps.filter("prev_frame IS NOT NULL").select("run", F.col("prev_frame").alias("frame"), F.col("frame").alias("next")), "frames")
+    early = df.join(frames.select("run", "frame"), ["run", "frame"], "left_semi")
+    cov = Covariance(cell_blocks(early, col, centred=False), scaled=False)
+    eigen = cov.eigen(rank).filter(F.col("mode") < rank)
+    # X U and Y U by blocks of cells: U goes to its own frames, and to those that follow them.
+    u = eigen.join(cov.parts.select("run", "span", "frames"), ["run", "span"]).select("run", "mode", F.inline(F.arrays_zip(F.col("frames").alias("frame"), "u")))
+    u = u.join(frames, ["run", "frame"])
+    sides = u.select("run", "mode", "u", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("frame").alias("frame")), F.struct(F.lit(1).alias("side"), F.col("next").alias("frame")))))
+    span = blocks.select("run", "span", F.explode("frames").alias("frame")).distinct()
+    sides = sides.join(span, ["run", "frame"])
+    vectors = F.transform(F.array_sort(F.collect_list(F.struct("frame", "u"))), lambda p: p["u"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("frame", "u"))), lambda p: p["frame"])
+    by_mode = sides.groupBy("run", "span", "side", "mode").agg(vectors.alias("u"), listed.alias("own"))
+    packed = by_mode.groupBy("run", "span", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("mode", "u"))), lambda p: p["u"]).alias("u"), F.first("own").alias("own"))
+    j = blocks.join(packed, ["run", "span"]).select("run", "block", "side", "frames", "x", "u", "own")
+    shares = summed(j, ["run", "block", "side"], lambda r: stack(r.x)[np.isin(np.asarray(r.frames), np.asarray(r.own))].T @ stack(r.u).T)
+    xu = shares.filter("side = 0").select("run", "block", "size", F.col("g").alias("a"))
+    yu = shares.filter("side = 1").select("run", "block", F.col("g").alias("b"))
+    crossed = summed(xu.join(yu, ["run", "block"]), ["run"], lambda r: wide(r.a, r.size).T @ wide(r.b, r.size)).select("run", "size", "g")
+    later = blocks.select("run", "block", "frames", "x").join(df.groupBy("run").agg(F.min("frame").alias("first")), "run")
+    trace = summed(later.select("run", "frames", "x", "first"), ["run"], lambda r: (stack(r.x)[np.asarray(r.frames) != r.first] ** 2).sum().reshape(1, 1)).select("run", F.col("g")[0].alias("trace"))
+    pairs = eigen.groupBy("run", "mode").agg(F.first("value").alias("value")).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("mode", "value"))), lambda p: p["value"]).alias("values"))
+    small = crossed.join(pairs, "run").join(trace, "run")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                v = np.asarray(row.values, float)
+                r = max(1, min(rank, int((v > v[0] * 1e-12).sum())))
+                s = np.sqrt(np.maximum(v[:r], 1e-300))
+                step = wide(row.g, row.size)[:r, :r]
+                low = step / np.outer(s, s)
+                lam = np.linalg.eigvals(low)
+                lam = lam[np.lexsort((lam.imag, -np.abs(lam).round(10)))]
+                # |Y - X U s^-1 low s U'|^2 in the same small products.
+                scaled = low * s[None, :]
+                back = ((low * s[None, :]).T / s[None, :]) @ step
+                rest = row.trace - 2 * np.trace(back) + (scaled**2).sum()
+                err = np.sqrt(max(rest, 0.0) / max(row.trace, 1e-300))
+                log = np.log(lam.astype(complex)) / dt
+                yield pd.DataFrame(
+                    {"run": row.run, "mode": np.arange(r, dtype="int32"), "re": lam.real, "im": lam.imag, "frequency": log.imag / (2 * np.pi), "growth": log.real, "error": err}
+                )
+
+    return small.mapInPandas(solve, "run int, mode int, re double, im double, frequency double, growth double, error double")
 
 
 def delay_stack(df: DataFrame, delays: int, col: str = "v") -> DataFrame:

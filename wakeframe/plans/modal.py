@@ -25,12 +25,13 @@ def covariance(spark, sf):
 
 @query("M01_snapshot_covariance", "run:i i:i j:i v:6", sql("cells", "SELECT * FROM cov", CENT, COV))
 def m01(spark, sf):
-    return ops.matrix_entries(covariance(spark, sf), ["run"])
+    return covariance(spark, sf).entries()
 
 
 @query("M02_pod_modes", "run:i cell:i norm:6", sql("cells", "SELECT run, cell, sum(v * v) AS norm FROM cen GROUP BY 1, 2", CENT))
 def m02(spark, sf):
-    phi = ops.project_cells(ops.cell_blocks(frames(spark, sf)), ops.temporal_basis(covariance(spark, sf)))
+    rows = ops.cell_blocks(frames(spark, sf))
+    phi = ops.project_cells(rows, ops.Covariance(rows).eigen())
     return phi.select("run", "cell", arrays.total(F.transform("phi", lambda p: p * p)).alias("norm"))
 
 
@@ -45,7 +46,7 @@ def m02c(spark, sf):
     sql("cells", "SELECT run, sum(v) FILTER (i = j) AS total, sum(v * v) AS squares, 1 AS energy, 50 AS modes FROM cov GROUP BY run", CENT, COV),
 )
 def m03(spark, sf):
-    s = ops.spectrum(covariance(spark, sf), ["run"])
+    s = ops.mode_energy(covariance(spark, sf).eigen())
     return s.groupBy("run").agg(
         F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.sum("energy").alias("energy"), F.count("mode").alias("modes")
     )
@@ -53,17 +54,17 @@ def m03(spark, sf):
 
 @query("M03_modes_needed", "run:i needed:i first_energy:6 printed:i")
 def m03n(spark, sf):
-    s = ops.spectrum(covariance(spark, sf), ["run"])
+    s = ops.mode_energy(covariance(spark, sf).eigen())
     printed = ops.modes_needed(s, ["run"], 0.95, False).select("run", F.col("needed").alias("printed"))
     return ops.modes_needed(s, ["run"], 0.95).join(printed, "run")
 
 
 @query("M04_reconstruction_error", "run:i kept:i error:6 raw_error:5")
 def m04(spark, sf):
-    rows = written(ops.cell_blocks(frames(spark, sf)), "blocks")
-    cov = written(ops.covariance(rows), "covariance")
-    raw = ops.reconstruction_error(rows, cov, 0.9, normalised=False).select("run", F.col("error").alias("raw_error"))
-    return ops.reconstruction_error(rows, cov, 0.9).join(raw, "run")
+    d = frames(spark, sf)
+    cov, cells = ops.snapshot_covariance(d), ops.cell_counts(d)
+    raw = ops.reconstruction_error(cov, cells, 0.9, normalised=False).select("run", F.col("error").alias("raw_error"))
+    return ops.reconstruction_error(cov, cells, 0.9).join(raw, "run")
 
 
 @query("M05_pod_sweep", "re:i h:i n99:4 n95:4 first_energy:6 error:6 runs:i")
@@ -262,7 +263,7 @@ def m02_energy(spark, sf):
 @query("M03_needed_bounds", "run:i bad:i", sql("fr", ALL_RUNS))
 def m03_bounds(spark, sf):
     """The count with the crossing mode is the printed one plus 1, and the modes before it do not reach the target."""
-    s = ops.spectrum(covariance(spark, sf), ["run"])
+    s = ops.mode_energy(covariance(spark, sf).eigen())
     d = s.join(m03n(spark, sf), "run").groupBy("run").agg(
         F.max(F.when(F.col("mode") == F.col("needed") - 1, F.col("cumulative"))).alias("at"),
         F.coalesce(F.max(F.when(F.col("mode") == F.col("needed") - 2, F.col("cumulative"))), F.lit(0.0)).alias("below"),
