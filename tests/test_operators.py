@@ -143,15 +143,37 @@ def test_tracking_matches_loop_batch_and_stream(spark):
     key = lambda r: (r["run"], r["frame"], r["region"])
     got = {key(r): r["track_id"] for r in linking.assign_tracks(df, 3.0, 2).collect()}
     assert got == want
-    # The stream replays the same rows in two files.
+    timed = df.withColumn("ts", live.frame_time(F.col("frame")))
+    # In one batch, and in one of many files: a frame's rows may come in two of them while the watermark waits.
+    for parts, delay in (([timed], "0 seconds"), ([timed.filter(f"frame DIV 4 = {k}") for k in range(8)], "0 seconds")):
+        folder = scratch(spark, "test")
+        for part in parts:
+            part.coalesce(1).write.parquet(folder + "/in", mode="append")
+        feed = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+        with live.state_in_rocksdb(spark):
+            out = live.run_to_table(live.track_stream(feed, 3.0, 2, delay=delay), folder + "/out", folder + "/state")
+        assert {key(r): r["track_id"] for r in out.collect()} == want
+
+
+def test_frames_in_parts_and_silent_runs_of_a_stream(spark):
+    """Frames come in halves and out of order within the delay; run 0 falls silent and leaves the state."""
+    rows = [(run, f, k, float(10 * k + f % 3), float(run)) for run in (0, 1) for f in range(40) for k in range(3) if run or f < 12]
+    df = spark.createDataFrame(rows, "run int, frame int, region int, core_x double, core_y double").withColumn("ts", live.frame_time(F.col("frame")))
     folder = scratch(spark, "test")
-    df.filter("frame < 15").coalesce(1).write.parquet(folder + "/in", mode="append")
-    df.filter("frame >= 15").coalesce(1).write.parquet(folder + "/in", mode="append")
+    for low in range(0, 40, 5):
+        part = df.filter(F.col("frame").between(low, low + 4))
+        for half in (part.filter("(region + frame) % 2 = 0"), part.filter("(region + frame) % 2 = 1")):
+            half.orderBy(F.desc("frame")).coalesce(1).write.parquet(folder + "/in", mode="append")
+    end = spark.createDataFrame([(9, 60, 0, 0.0, 0.0)], "run int, frame int, region int, core_x double, core_y double").withColumn("ts", live.frame_time(F.col("frame")))
+    end.coalesce(1).write.parquet(folder + "/in", mode="append")
     feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
     with live.state_in_rocksdb(spark):
-        out = live.run_to_table(live.track_stream(feed, 3.0, 2), folder + "/out", folder + "/state")
-    streamed = {key(r): r["track_id"] for r in out.collect()}
-    assert streamed == want
+        out = live.run_to_table(live.track_stream(feed, 3.0, 2, delay="6 seconds"), folder + "/out", folder + "/state")
+        live_rows = spark.read.format("statestore").option("path", folder + "/state").option("stateVarName", "live").load()
+        waiting = spark.read.format("statestore").option("path", folder + "/state").option("stateVarName", "waiting").load()
+        told = spark.read.format("statestore").option("path", folder + "/state").option("stateVarName", "told").load()
+        assert live_rows.count() == 0 and waiting.count() == 1 and told.count() == 2
+    assert {(r["run"], r["frame"], r["region"]): r["track_id"] for r in out.collect()} == {(r, f, k): k for r, f, k, _, _ in rows}
 
 
 @pytest.mark.parametrize("frames", [1, 3, 50])

@@ -153,7 +153,7 @@ def t09_coverage(spark, sf):
 @query("T10_stateful_tracking", "run:i frame:i region:i core_x:4 core_y:4 track_id:i", sql("cells", LINKED, *LINK))
 def t10(spark, sf):
     d = raw_regions(spark, sf).filter("area >= 2").select("run", "frame", "region", "core_x", "core_y")
-    return finish(live.track_stream(replay(spark, d, "t10-in"), 2.0, 3), "t10")
+    return finish(live.track_stream(replay(spark, d.withColumn("ts", live.frame_time(F.col("frame"))), "t10-in"), 2.0, 3), "t10")
 
 def event_feed(spark, sf, name):
     e = table(spark, sf, "events")

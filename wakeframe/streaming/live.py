@@ -167,36 +167,83 @@ def capture_duration(re: float) -> float:
 
 
 class _Tracker(StatefulProcessor):
-    def __init__(self, max_distance: float, max_gap: int):
-        self.max_distance, self.max_gap = max_distance, max_gap
+    """Detections wait in state, a frame an entry, until the watermark has passed them; then frames are linked in order."""
+
+    def __init__(self, max_distance: float, max_gap: int, period: int):
+        self.max_distance, self.max_gap, self.period = max_distance, max_gap, period
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getValueState("live", "ids array<bigint>, frames array<bigint>, xs array<double>, ys array<double>, fresh bigint")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms bigint", "frame int, regions array<int>, xs array<double>, ys array<double>")
+        self.live = handle.getValueState("live", "ids array<bigint>, frames array<bigint>, xs array<double>, ys array<double>, ms bigint")
+        self.told = handle.getValueState("told", "fresh bigint, done bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["frame", "region"], kind="stable").reset_index(drop=True)
-        linker = Linker(self.max_distance, self.max_gap, self.live.get() if self.live.exists() else None)
-        xy = pdf[["core_x", "core_y"]].to_numpy(float)
-        ids = np.empty(len(pdf), np.int64)
-        for frame, at in pdf.groupby("frame", sort=True).indices.items():
-            ids[at] = linker.step(int(frame), xy[at])[0]
-        self.live.update(linker.state())
-        yield pdf[["run", "frame", "region", "core_x", "core_y"]].assign(track_id=ids)
+        done, last = (self.told.get()[1] if self.told.exists() else -1), -1
+        for pdf in rows:
+            pdf = pdf[pdf["ms"] > done]
+            for ms, part in pdf.groupby("ms"):
+                new = [part["region"].tolist(), part["core_x"].tolist(), part["core_y"].tolist()]
+                if self.waiting.containsKey((int(ms),)):
+                    _, *old = self.waiting.getValue((int(ms),))
+                    new = [list(a) + b for a, b in zip(old, new)]
+                self.waiting.updateValue((int(ms),), (int(part["frame"].iloc[0]), *new))
+                last = max(last, int(ms))
+        if last >= 0:
+            self.handle.registerTimer(last)
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+
+    def _due(self, key, now: int):
+        """Link the frames that no more detections can come for; forget tracks that have been silent for too long."""
+        times = sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
+        silence = (self.max_gap + 1) * self.period
+        if times:
+            fresh = self.told.get()[0] if self.told.exists() else 0
+            state = (*self.live.get()[:4], fresh) if self.live.exists() else ([], [], [], [], fresh)
+            linker = Linker(self.max_distance, self.max_gap, state)
+            for ms in times:
+                frame, regions, xs, ys = self.waiting.getValue((ms,))
+                order = np.argsort(regions, kind="stable")
+                xy = np.column_stack([xs, ys]).astype(float)[order]
+                ids, _ = linker.step(int(frame), xy)
+                self.waiting.removeKey((ms,))
+                yield pd.DataFrame({"run": key[0], "frame": int(frame), "region": np.asarray(regions)[order], "core_x": xy[:, 0], "core_y": xy[:, 1], "track_id": ids})
+            *heads, fresh = linker.state()
+            self.live.update((*heads, times[-1]))
+            self.told.update((fresh, times[-1]))
+            self.handle.registerTimer(times[-1] + silence)
+        if self.live.exists() and self.live.get()[4] + silence <= now:
+            self.live.clear()
 
     def close(self) -> None:
         pass
 
 
-def track_stream(df: DataFrame, max_distance: float, max_gap: int) -> DataFrame:
-    """Track ids for a stream of detections; tracks silent for more than ``max_gap`` frames leave the state."""
-    return df.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=_Tracker(max_distance, max_gap),
+def track_stream(df: DataFrame, max_distance: float, max_gap: int, ts: str = "ts", period: int = 1000, delay: str = "0 seconds") -> DataFrame:
+    """Track ids for a stream of detections (run, frame, region, core_x, core_y) whose frames are ``period`` milliseconds apart.
+
+    ``ts`` is a frame's time. A frame is linked when the watermark (the latest time less ``delay``) has reached it, so its
+    detections may come in several batches and out of order; those that come later are dropped. A task holds one frame
+    and the live tracks of a run. A run that has been silent for more than ``max_gap`` frames keeps nothing but its number
+    of tracks.
+    """
+    rows = df.withWatermark(ts, delay).select("run", "frame", "region", "core_x", "core_y", ts, F.unix_millis(ts).alias("ms"))
+    return rows.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=_Tracker(max_distance, max_gap, period),
         outputStructType="run int, frame int, region int, core_x double, core_y double, track_id bigint",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
+def frame_time(frame: Column, period: int = 1000) -> Column:
+    """The time of a frame of a recording that starts at the first one."""
+    return F.timestamp_millis((frame + 1) * period)
+
+
 # --- event time -------------------------------------------------------------------------------
 
 
