@@ -86,6 +86,55 @@ def test_other_spans_are_added(spark):
     assert "(201) 555-1001" in values and len([v for v in values if "555" in v]) == 40
 
 
+def planted(rng):
+    """(text, planted value) of each kind beyond the base patterns, in sentences with and without a cue."""
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+    first, last = rng.choice(personal.GIVEN_NAMES), rng.choice(["Smith", "Müller", "O'Neil", "Garcia-Lopez", "Dubois", "Novak", "Tanaka"])
+    made = [
+        ("set {} here", 'token = "%s"', hexed(40)), ("see {}", "%s", hexed(64)), ("use {} please", "api_key: %s", mixed(24)), ("the key {} works", "AKIA%s", "".join(rng.choice("ABCDEFGH234567") for _ in range(16))),
+        ("push with {}", "ghp_%s", mixed(36)), ("login {} now", "password=%s", "x!" + mixed(9)), ("my {} ok", "Passwort: %s", mixed(7) + "#"),
+        ("write to {}", "%s", f"{mixed(5)} [at] mail [dot] example [dot] com"), ("call {} today", "%s", f"({rng.randint(201, 989)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"),
+        ("ssn {} given", "%s", f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"), ("iban {} thanks", "%s", f"DE{rng.randint(10, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(10, 99)}"),
+        ("dear Dr. {}, hello", "%s", None), ("we met {} there", "%s", f"{first} {last}"),
+    ]
+    frame, form, value = rng.choice(made)
+    if value is None:
+        value = f"Dr. {last}"
+        return f"we saw {value}, hello", value
+    if form.startswith("AKIA") or form.startswith("ghp"):
+        value = form % value
+        form = "%s"
+    return frame.format(form % value), value
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    rng = random.Random(21)
+    decoys = ["version 10.2.3 of the model", "order 4412-99 page 12", "a token of thanks", "the password must be changed", "#aabbcc and 0x1f", "isbn 978-3-16-148410-0", "Paris and London",
+              "the key point", "figure 3.14159", "serial AB12 CD34", "in 2024-10-12", "deadbeef", "room 555 1234"]
+    rows, want = [], {}
+    for k in range(1500):
+        text, value = planted(rng) if k % 3 else (rng.choice(decoys), None)
+        before, after = (" ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 12))) for _ in range(2))
+        rows.append((k, f"{before} {text} {after}"))
+        if value:
+            want[k] = value
+    found = personal.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    added = {(r.doc_id, s.value.rstrip(".")) for r in found for s in r.spans if not s.base}
+    true = {(k, v) for k, v in want.items()}
+    recall, precision = len(true & added) / len(true), len(true & added) / len(added)
+    print(f"recall {recall:.3f}, precision {precision:.3f}", sorted(true - added)[:5], sorted(added - true)[:5])
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_no_length_is_cut(spark):
+    long = "b" * 5000
+    text = f"mail {long} [at] {long} [dot] com and token = {'0f' * 4000} and Dr. S{long} end " + "a." * 100_000 + " x" + "-a" * 100_000
+    rows = [(k, text if not k else f"mail u{k} [at] h [dot] com, token = {'0f' * 20}, Dr. Smith") for k in range(40)]
+    got = {r.doc_id: {s.value for s in r.spans} for r in personal.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=0.0).collect()}
+    assert {f"{long} [at] {long} [dot] com", "0f" * 4000, f"Dr. S{long}"} <= got[0]
+
+
 def test_estimated_reliability_follows_the_labelers():
     rng = random.Random(6)
     votes = Counter()

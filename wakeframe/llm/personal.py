@@ -32,17 +32,35 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Proposals beyond the base kinds: addresses spelt out, numbers without a plus, numbers of persons and accounts, names.
+# Given names that begin a name without a title (fixed values).
+GIVEN_NAMES = """
+James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George
+Kevin Brian Edward Peter Henry Frank Patrick Jack Samuel Benjamin Alexander Adam Simon Oliver Lucas Martin Stefan Klaus
+Hans Jürgen Wolfgang Dieter Uwe Jan Pierre Jean Michel François Philippe Louis Antoine José Juan Carlos Luis Miguel Javier
+Pedro Pablo Diego Fernando Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra
+Emily Michelle Laura Rebecca Anna Emma Julia Sophie Marie Claire Camille Isabelle Nathalie Monika Ursula Petra Sabine Katrin
+Heike María Carmen Ana Isabel Lucía Elena Cristina Marta Jane Alice Helen Ruth Olivia Charlotte Victoria Diana
+""".split()
+# Proposals beyond the base kinds: addresses spelt out, numbers without a plus, numbers of persons and accounts, names,
+# keys and tokens (by their makers' prefixes, as long runs of hexadecimal digits, or assigned), passwords. Each starts where
+# its run of characters does and takes all of it, so time is linear and no length is cut.
+_NAME = r"\p{Lu}[\p{L}'-]++"
+_ASSIGNED = r"[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?"
 MORE = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![A-Za-z0-9+(.-])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])",
     "person_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?(?![A-Za-z])",
+    "name": rf"(?<![\p{{L}}])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20{_NAME}|(?:{'|'.join(GIVEN_NAMES)})\x20{_NAME})(?:\x20{_NAME})?",
+    "token": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|[0-9a-fA-F]{32,}+"
+    rf"|(?<=(?i:token|secret|api[_\x20-]?key|access[_\x20-]?key|bearer|credential){_ASSIGNED})[A-Za-z0-9+/_.=-]{{12,}}+)(?![A-Za-z0-9_-])",
+    "password": rf"(?<=(?i:password|passwd|passphrase|pwd|kennwort|passwort|contraseña){_ASSIGNED})[^\s\"',;=:][^\s\"',;]{{3,}}+",
 }
 KINDS = [*BASE, *[k for k in MORE if k not in BASE]]
-# A character that each pattern needs: texts without one are not searched.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "card": "", "person_id": "-", "iban": "", "name": ""}
+# What a text needs for a pattern to be worth a search.
+DIGIT = "[0-9]"
+NEEDS = {"email": "@", "ip": DIGIT, "phone": DIGIT, "card": DIGIT, "person_id": DIGIT, "iban": DIGIT, "name": r"\p{Lu}", "token": "[0-9A-Za-z]{12}", "password": "(?i:pass|pwd|kennw|contras)"}
 # Fixed word lists of the gazetteer and of the cues.
 DOMAINS = "com org net edu gov mil int info biz io de fr es it nl uk us eu ch at be ca au jp example test".split()
 CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 60 61 62 63 64 65 66 81 82 84 86 90 91 92".split()
@@ -54,7 +72,9 @@ CUES = {
     "phone": "call|phone|tel|mobile|fax|dial|contact|anruf|llam|appel",
     "person_id": "ssn|social|security|insurance|identity",
     "iban": "iban|bank|account|konto|cuenta|compte",
-    "name": "name|dear|signed|patient|employee|contact",
+    "name": "name|dear|signed|patient|employee|contact|regards|sincerely|meet|called",
+    "token": "token|secret|key|auth|bearer|credential|session",
+    "password": "pass|pwd|kennwort|contrase|login|user",
 }
 AGAINST = r"version|release|isbn|issn|invoice|order|serial|model|figure|table|page|section|build|\bv\.?\s*$|[$€#]\s*$"
 LABELERS = ["format", "gazetteer", "cue", "against", "edges"]
@@ -81,9 +101,10 @@ def _candidates(kind: str, pattern: str, base: bool) -> Column:
             ),
         ),
     )
-    needed = NEEDS[kind] if base else {"email": "at", "phone": ""}.get(kind, NEEDS[kind])
+    needed = NEEDS[kind] if base else {"email": r"[\[(]at[\])]"}.get(kind, NEEDS[kind])
     none = F.array().cast("array<struct<kind:string,base:boolean,k:int,gap:int,left:string,hit:string,right:string>>")
-    return F.when(F.contains("text", F.lit(needed)), F.flatten(each)).otherwise(none)
+    # Most texts hold no match: one search that stops at the first spares them the cutting.
+    return F.when(F.col("text").rlike(needed) & F.col("text").rlike(pattern), F.flatten(each)).otherwise(none)
 
 
 def _digits(c: Column) -> Column:
@@ -105,6 +126,8 @@ def _format(kind: Column, hit: Column) -> Column:
         .when(kind == "card", n.between(16, 19) & _luhn(hit))
         .when(kind == "phone", n.between(8, 15))
         .when(kind == "person_id", ~hit.rlike("^(000|666|9..)|-00-|-0000$"))
+        .when(kind == "token", hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & ~hit.rlike(r"^(.)\1*$"))
+        .when(kind == "password", ~hit.rlike(r"^(?i:is|was|must|should|reset|change|none|null|true|false)\b"))
         .otherwise(F.lit(True))
     )
 
@@ -126,6 +149,8 @@ def _votes() -> dict[str, Column]:
         .when(kind == "card", F.left(hit, F.lit(1)).isin("3", "4", "5", "6"))
         .when(kind == "ip", ~hit.rlike(r"^(0|127|255)\."))
         .when(kind == "iban", F.left(hit, F.lit(2)).isin(BANK_COUNTRIES))
+        .when((kind == "name") & F.regexp_extract(hit, r"^(\p{L}+)", 1).isin(GIVEN_NAMES), F.lit(True))
+        .when((kind == "token") & hit.rlike(r"^(AKIA|gh[pousr]_|[sr]k_|xox|AIza|eyJ)|^[0-9a-f]+$|^[0-9A-F]+$"), F.lit(True))
     )
     inside = F.col("left").rlike(r"[\p{L}\p{N}]$") | F.col("right").rlike(r"^[\p{L}\p{N}]")
     return {
