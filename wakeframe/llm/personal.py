@@ -51,7 +51,7 @@ MORE = {
     "phone": r"(?<![A-Za-z0-9+(.-])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])",
     "person_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20{_NAME}|(?:{'|'.join(GIVEN_NAMES)})\x20{_NAME})(?:\x20{_NAME})?",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{L}}*+\.?\x20\p{{Lu}})(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20{_NAME}|(?:{'|'.join(GIVEN_NAMES)})\x20{_NAME})(?:\x20{_NAME})?",
     "token": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
     r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++|[0-9a-fA-F]{32,}+"
     rf"|(?<=(?i:token|secret|api[_\x20-]?key|access[_\x20-]?key|bearer|credential){_ASSIGNED})[A-Za-z0-9+/_.=-]{{12,}}+)(?![A-Za-z0-9_-])",
@@ -60,7 +60,7 @@ MORE = {
 KINDS = [*BASE, *[k for k in MORE if k not in BASE]]
 # What a text needs for a pattern to be worth a search.
 DIGIT = "[0-9]"
-NEEDS = {"email": "@", "ip": DIGIT, "phone": DIGIT, "card": DIGIT, "person_id": DIGIT, "iban": DIGIT, "name": r"\p{Lu}", "token": "[0-9A-Za-z]{12}", "password": "(?i:pass|pwd|kennw|contras)"}
+NEEDS = {"email": "@", "ip": DIGIT, "phone": DIGIT, "card": DIGIT, "person_id": DIGIT, "iban": DIGIT, "name": r"\p{Lu}[\p{L}'.-]*+\x20\p{Lu}", "token": DIGIT, "password": "(?i:pass|pwd|kennw|contras)"}
 # Fixed word lists of the gazetteer and of the cues.
 DOMAINS = "com org net edu gov mil int info biz io de fr es it nl uk us eu ch at be ca au jp example test".split()
 CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 60 61 62 63 64 65 66 81 82 84 86 90 91 92".split()
