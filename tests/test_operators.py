@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import SF
-from wakeframe.functions import arrays, geometry as geo
+from wakeframe.functions import arrays, geometry as geo, text
 from wakeframe.functions.filters import butterworth, both_ways
 from wakeframe.functions.grid import Grid
 from wakeframe.operators import contours, fields, filters, grids, learn, linking, modal, ordering, similarity, tracks
@@ -354,11 +354,12 @@ def test_neighbours_and_oversampling(spark):
     x = RNG.normal(size=(30, 3))
     rows = [(i, int(i >= 20), r.tolist()) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "id bigint, y int, v array<double>")
-    near = {r["item"]: r["neighbours"] for r in learn.nearest_neighbours(df, "id", "v", 4, block=7).collect()}
+    near = {r["item"]: r["neighbours"] for r in learn.bucketed_neighbours(df, "id", "v", 4).collect()}
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     for i in range(30):
-        assert near[i] == np.argsort(d[i])[:4].tolist()
+        assert sorted(near[i]) == sorted(np.argsort(d[i])[:4].tolist())
+    assert learn.oversample(df, "id", "v", "y", 7, 5, 4, 5).collect() == [] and learn.oversample(df, "id", "v", "y", 1, 0, 4, 5).collect() == []
     extra = learn.oversample(df, "id", "v", "y", 1, 10 + 3, 4, 5).collect()
     assert len(extra) == 13 and {r["base"] for r in extra} == set(range(20, 30))
     for r in extra:
@@ -736,3 +737,13 @@ def test_grid_finds_what_single_cuts_miss(spark):
     assert got == {r.params: r.accuracy for r in grids.search(df, "id", "x", "y", boost, trees).collect()}
     assert grids.search(df.limit(0), "id", "x", "y", boost, trees).collect() == []
     assert len(grids.chains()) == 5 * (36 + 4)
+
+
+def test_range_lists_as_a_table_function(spark):
+    spark.udtf.register("range_values", text.RangeValues)
+    spark.createDataFrame([(1, "1,2,5-8"), (2, "8 - 6, 7,"), (3, ""), (4, None), (5, "-3"), (6, "3-3")], "id int, spec string").createOrReplaceTempView("specs")
+    got = spark.sql("SELECT id, r.k, r.v FROM specs, LATERAL range_values(spec) r").collect()
+    want = {1: [1, 2, 5, 6, 7, 8], 2: [6, 7, 8], 6: [3]}
+    assert {i: [r.v for r in sorted(got, key=lambda r: r.k) if r.id == i] for i in want} == want and {r.id for r in got} == set(want)
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT * FROM range_values('1,x')").collect()

@@ -36,6 +36,24 @@ def range_list(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(items, spread))))
 
 
+@F.udtf(returnType="k int, v int")
+class RangeValues:
+    """A table function of range lists: the numbers of ``range_list`` and their places, one row each.
+
+    Null and empty texts give no rows, an entry that is no number or range fails; an entry with an empty end, such as
+    ``-3``, is none either and is passed over.
+    """
+
+    def eval(self, spec: str):
+        values = set()
+        for item in filter(None, map(str.strip, (spec or "").split(","))):
+            ends = [e.strip() for e in item.split("-")]
+            if all(ends):
+                low, high = sorted((int(ends[0]), int(ends[-1])))
+                values.update(range(low, high + 1))
+        yield from enumerate(sorted(values))
+
+
 def sensor_list(c: Column) -> Column:
     """``"x,y;x,y"`` as points; an entry without two parts raises."""
     items = F.filter(F.transform(F.split(c, ";"), lambda s: F.trim(s)), lambda s: s != "")

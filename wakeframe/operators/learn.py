@@ -293,29 +293,6 @@ def train_forest(train: DataFrame, features: Sequence[str] | str, label: str, tr
 # --- over-sampling ----------------------------------------------------------------------------------
 
 
-def nearest_neighbours(df: DataFrame, item: str, vec: str, k: int, block: int = 512) -> DataFrame:
-    """Exact (item, neighbours ARRAY<item>) by tiles; a tile passes on only its k best per item."""
-    d = df.select(F.col(item).alias("item"), F.col(vec).alias("x"), F.floor(F.col(item) / block).alias("_b"))
-    blocks = d.select("_b").distinct()
-    tiles = blocks.withColumn("_k", F.lit(0)).join(blocks.select(F.col("_b").alias("_c"), F.lit(0).alias("_k")), "_k").drop("_k")
-    sides = tiles.select("*", F.explode(F.array(F.struct(F.col("_b").alias("h"), F.lit(0).alias("side")), F.struct(F.col("_c").alias("h"), F.lit(1).alias("side")))).alias("_s"))
-    placed = d.withColumnRenamed("_b", "_home").join(sides, F.col("_home") == F.col("_s.h")).select("_b", "_c", F.col("_s.side").alias("side"), "item", "x")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, other = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        a, b = np.stack(own["x"].to_numpy()).astype(float), np.stack(other["x"].to_numpy()).astype(float)
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-        d2[own["item"].to_numpy()[:, None] == other["item"].to_numpy()[None]] = np.inf
-        take = min(k, d2.shape[1])
-        at = np.argsort(d2, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame({"item": np.repeat(own["item"].to_numpy(), take), "near": other["item"].to_numpy()[at].ravel(), "d2": np.take_along_axis(d2, at, 1).ravel()})
-        return out[np.isfinite(out["d2"])]
-
-    found = placed.groupBy("_b", "_c").applyInPandas(best, "item bigint, near bigint, d2 double")
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct("d2", "near"))), 1, k)
-    return found.groupBy("item").agg(F.transform(ranked, lambda s: s["near"]).alias("neighbours"))
-
-
 # Rows of a bucket in which neighbours are looked for, and buckets' centres at most.
 BUCKET_ROWS, CENTRES = 1024, 1024
 

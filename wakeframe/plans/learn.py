@@ -378,7 +378,7 @@ def l12(spark, sf):
 def l13(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") == 3).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     counts = {r["label"]: r["n"] for r in e.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = ops.oversample(e, "vec_id", "v", "label", 1, counts[0] - counts[1], 5, 42)
+    out = ops.oversample(e, "vec_id", "v", "label", 1, max(0, counts.get(0, 0) - counts.get(1, 0)), 5, 42)
     return out.withColumns({"x0": F.col("v")[0], "x63": F.col("v")[63]})
 
 

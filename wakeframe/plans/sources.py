@@ -482,14 +482,24 @@ def e05(spark, sf):
     return tracks(spark, sf).filter("core_q > 1").select("run", "track_id").distinct()
 
 
-@query(
-    "F01_range_list",
-    "event_id:i k:i v:i",
-    sql("", "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY v) - 1 AS k, v FROM (SELECT DISTINCT event_id, unnest(list_concat([user_id], range(least(m, k), greatest(m, k) + 1))) AS v FROM (SELECT event_id, user_id, minute(ts) AS m, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"),
-)
-def f01(spark, sf):
+RANGES = "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY v) - 1 AS k, v FROM (SELECT DISTINCT event_id, unnest(list_concat([user_id], range(least(m, k), greatest(m, k) + 1))) AS v FROM (SELECT event_id, user_id, minute(ts) AS m, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"
+
+
+def range_specs(spark, sf):
     spec = F.concat(F.col("user_id").cast("string"), F.lit(", "), F.minute("ts").cast("string"), F.lit("-"), F.get_json_object("props", "$.k"))
-    return table(spark, sf, "events").select("event_id", F.posexplode(text.range_list(spec)).alias("k", "v"))
+    return table(spark, sf, "events").select("event_id", spec.alias("spec"))
+
+
+@query("F01_range_list", "event_id:i k:i v:i", sql("", RANGES))
+def f01(spark, sf):
+    return range_specs(spark, sf).select("event_id", F.posexplode(text.range_list(F.col("spec"))).alias("k", "v"))
+
+
+@query("F01_range_table", "event_id:i k:i v:i", sql("", RANGES))
+def f01_table(spark, sf):
+    """The same through a table function, once for each row of a table."""
+    spark.udtf.register("range_values", text.RangeValues)
+    return spark.sql("SELECT event_id, r.k, r.v FROM {specs} s, LATERAL range_values(s.spec) r", specs=range_specs(spark, sf))
 
 
 @query("F02_sensor_list", "event_id:i k:i x:4 y:4", sql("", "SELECT event_id, k, CASE k WHEN 0 THEN value ELSE user_id END AS x, CASE k WHEN 0 THEN user_id ELSE value END AS y FROM events, range(2) r(k)"))

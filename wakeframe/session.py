@@ -45,6 +45,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme: what Spark takes it for, for readers outside of Spark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def written(df: DataFrame, name: str = "side") -> DataFrame:
     """``df`` computed once into the shared folder and read from there.
 

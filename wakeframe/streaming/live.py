@@ -23,7 +23,7 @@ from wakeframe.operators.ordering import index_rows, windowed
 from wakeframe.operators.series import force_and_pressure
 from wakeframe.operators.similarity import peak_to_peak, time_of_minimum
 from wakeframe.operators.tracks import Linker
-from wakeframe.session import written
+from wakeframe.session import qualified, written
 from wakeframe.sources.growing import GrowingLines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,7 +61,7 @@ def tail_rows(lines: DataFrame, channels: int = 96, sep: str = ",") -> DataFrame
 def tail_csv(spark: SparkSession, path: str, channels: int = 96) -> DataFrame:
     """Stream of complete CSV rows of the files under ``path``, also of rows that are appended later."""
     spark.dataSource.register(GrowingLines)
-    return tail_rows(spark.readStream.format("growing_lines").option("path", path).load(), channels)
+    return tail_rows(spark.readStream.format("growing_lines").option("path", qualified(spark, path)).load(), channels)
 
 
 def replay_csv(spark: SparkSession, path: str, channels: int, files_per_trigger: int) -> DataFrame:
