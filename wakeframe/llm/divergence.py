@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from wakeframe.llm.stored import in_batches, stored
 from wakeframe.llm.transducer import Builder, Transducer
 from wakeframe.llm.words import Words, blocks, per_process
-from wakeframe.session import scratch
+from wakeframe.session import qualified, scratch
 
 MIN_DOCS = 3
 TOP = 200
@@ -183,7 +183,7 @@ class Vocabulary:
         for r in sorted(spark.read.parquet(folder).select("lang", "first", "terms", "name").collect(), key=lambda r: (r.lang, bytes(r.first))):
             parts.setdefault(r.lang, []).append((bytes(r.first), r.name, sizes.get(r.lang, 0)))
             sizes[r.lang] = sizes.get(r.lang, 0) + r.terms
-        return Vocabulary(_qualified(spark, folder), parts)
+        return Vocabulary(qualified(spark, folder), parts)
 
     def sizes(self, spark: SparkSession) -> DataFrame:
         """(lang, size): kept terms by language."""
@@ -221,11 +221,6 @@ class Vocabulary:
         return self._part(self.name[lang][k]).term(ordinal - self.before[lang][k]).decode()
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
-
-
 def recount(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(lang, source, ordinal, n): occurrences of kept terms, by streaming the text through the transducers."""
 

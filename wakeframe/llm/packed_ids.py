@@ -27,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from wakeframe.llm.stored import in_small_batches
 from wakeframe.llm.tokens import encoded, vocabulary_size
+from wakeframe.session import qualified
 
 MAGIC = b"WFIDS001"
 FOOTER = "<IIQQQ8s"
@@ -258,13 +259,13 @@ def write_texts(docs: DataFrame, folder: str, tokenizer: str, block: int = BLOCK
     spark.dataSource.register(PackedIds)
     rows = in_small_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"))
     options = {"bits": id_bits(vocabulary_size(tokenizer)), "block": block, "tokenizer": tokenizer}
-    rows.write.format("packed_ids").mode("append").options(**options).save(folder)
+    rows.write.format("packed_ids").mode("append").options(**options).save(qualified(spark, folder))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids BINARY): start counts the ids of all documents before, over all files."""
     spark.dataSource.register(PackedIds)
-    return spark.read.format("packed_ids").load(folder)
+    return spark.read.format("packed_ids").load(qualified(spark, folder))
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

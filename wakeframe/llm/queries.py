@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary() -> str:
+    import public_tokenizers  # only the token operators need it
+
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -298,7 +299,8 @@ def _interaction_sql() -> str:
     )
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
-    x AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+    x AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
     m AS (
         SELECT doc_id, part,
                CASE WHEN len(w) < {interaction.MIN_WORDS} THEN 1 ELSE 0 END
