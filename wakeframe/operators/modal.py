@@ -77,7 +77,6 @@ def cell_blocks(df: DataFrame, col: str = "v", centred: bool = True, size: int =
     rows = long.groupBy("run", "block", "span").agg(packed).select("run", "block", "span", F.col("_p.frame").alias("frames"), F.col("_p.part").alias("x"))
     if not centred:
         return rows
-    rows = written(rows, "blocks")
     return rows.join(cell_means(rows), ["run", "block"]).withColumn("x", _matrix_udf(lambda m, c: m - np.asarray(c, float), "x", "mean")).drop("mean")
 
 
@@ -111,11 +110,12 @@ def block_cells(df: DataFrame, value: str, size: int = CELL_BLOCK) -> DataFrame:
 class Covariance:
     """The frames' Gram matrix of each run over its cells, as tiles of spans, divided by frames - 1 unless ``scaled`` is off.
 
-    Tiles are written once: (run, i, j, size, g), with (run, span, frames, n) in ``parts``.
+    Blocks and tiles are written once: tiles (run, i, j, size, g), with (run, span, frames, n) in ``parts``.
     """
 
     def __init__(self, rows: DataFrame, scaled: bool = True):
-        self.parts = written(spans(rows), "spans")
+        rows = written(rows, "blocks")
+        self.parts = spans(rows)
         tiles = gram_tiles(rows)
         if scaled:
             n = self.parts.groupBy("run").agg(F.first("n").alias("n"))
