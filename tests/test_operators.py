@@ -11,7 +11,7 @@ from conftest import SF
 from wakeframe.functions import arrays, geometry as geo, text
 from wakeframe.functions.filters import butterworth, both_ways
 from wakeframe.functions.grid import Grid
-from wakeframe.operators import contours, fields, filters, grids, learn, linking, modal, ordering, similarity, tracks
+from wakeframe.operators import contours, fields, filters, grids, learn, linking, modal, ordering, processes, similarity, tracks
 from wakeframe.plans import views
 from wakeframe.plans.vortices import raw_regions
 from wakeframe.session import scratch, written
@@ -487,12 +487,76 @@ def test_closed_loop_makes_whole_runs_of_parts(spark):
     feed = spark.readStream.schema("re int, h int, sensor int, t double, p double").option("maxFilesPerTrigger", 1).parquet(source)
     bounds = spark.createDataFrame([(1.0, 2.0, 0.0, 2.0)], "a_lo double, a_hi double, b_lo double, b_hi double")
     grid = learn.candidate_grid(bounds, 3, 3)
-    live.closed_loop(feed, grid, lambda d: learn.grid_index(d, bounds, 3, 3), folder, (1.0, 1.0), 1e-9, scratch(spark, "loop-state")).awaitTermination()
+    fit = lambda d: processes.fit_process(d, ["f_re", "f_h"], (1.0, 1.0), ((0.1, 10.0), (0.1, 10.0)), restarts=2)
+    index = lambda d: learn.grid_index(d, bounds, 3, 3)
+    live.closed_loop(feed, grid, index, folder, fit, 1e-9, scratch(spark, "loop-state")).awaitTermination()
     got = live.latest_metrics(spark, folder)
     whole = spark.createDataFrame(rows, "re int, h int, sensor int, t double, p double")
     want = similarity.time_of_minimum(whole, ["re", "h"], "sensor", "t", "p").join(similarity.peak_to_peak(whole, ["re", "h"], "sensor", "p"), ["re", "h"])
     assert spark.read.parquet(folder + "/next").select("batch").distinct().count() == 2
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # Of each sensor and batch, the first minimum and the maximum; nothing after the threshold is passed.
+    assert spark.read.parquet(folder + "/rows").groupBy("batch", "re", "h", "sensor").count().filter("count > 2").isEmpty()
+    short = scratch(spark, "loop-short")
+    live.closed_loop(feed, grid, index, short, fit, 1.5, scratch(spark, "loop-short-state")).awaitTermination()
+    assert [r.batch for r in spark.read.parquet(short + "/next").collect()] == [0]
+
+
+def dense_fit(x, y, bounds, noise):
+    """Scales of highest likelihood by a grid that closes in on the best cell, and that likelihood."""
+
+    def value(la, lb):
+        d = (x[:, None] - x[None]) / np.array([la, lb])
+        k = np.exp(-0.5 * (d * d).sum(-1)) + noise * np.eye(len(x))
+        return -0.5 * np.einsum("ij,ij->", y, np.linalg.solve(k, y)) - 0.5 * y.shape[1] * (np.linalg.slogdet(k)[1] + len(x) * np.log(2 * np.pi))
+
+    (a0, a1), (b0, b1) = np.log(np.array(bounds))
+    low, high = np.array([a0, b0]), np.array([a1, b1])
+    lo, hi, best = low, high, None
+    for _ in range(16):
+        cells = [np.linspace(lo[k], hi[k], 9) for k in (0, 1)]
+        best = max((value(np.exp(p), np.exp(q)), p, q) for p in cells[0] for q in cells[1])
+        half = (hi - lo) / 5
+        lo, hi = np.maximum(low, best[1:] - half), np.minimum(high, best[1:] + half)
+    return np.exp(best[1:]), best[0]
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_fitted_scales_and_mean_match_a_dense_fit(spark, copies):
+    """200 experiments, each measured once or four times with some error, against the plain formulas."""
+    rng, noise, bounds = np.random.default_rng(3), 1e-4, ((0.4, 20.0), (0.4, 20.0))
+    x = rng.uniform(0, 6, (200 // copies, 2)).repeat(copies, axis=0)
+    y = np.stack([np.sin(x[:, 0]) + 0.3 * x[:, 1] / 6, np.cos(0.6 * x[:, 1]) * x[:, 0] / 6], 1) + 1e-2 * rng.standard_normal((len(x), 2))
+    rows = [(*map(float, p), *map(float, q)) for p, q in zip(x, y)] + [(1.0, 1.0, None, 0.0), (float("nan"), 1.0, 1.0, 1.0)]
+    train = spark.createDataFrame(rows, "a double, b double, u double, v double").repartition(5)
+    got = processes.fit_process(train, ["u", "v"], (1.0, 1.0), bounds, noise=noise)
+    scales, _ = dense_fit(x, y, bounds, noise)
+    np.testing.assert_allclose(got.scales, scales, rtol=1e-4)
+    cand = spark.createDataFrame([(i, 0.7 * (i % 9), 0.9 * (i // 9)) for i in range(63)], "idx int, a double, b double")
+    d = got.predict(cand).orderBy("idx").toPandas()
+    k = lambda p, q: np.exp(-0.5 * (((p[:, None] - q[None]) / scales) ** 2).sum(-1))
+    q = d[["a", "b"]].to_numpy()
+    solved = np.linalg.solve(k(x, x) + noise * np.eye(len(x)), np.hstack([y, k(x, q)]))
+    np.testing.assert_allclose(d[["mean_u", "mean_v"]], k(q, x) @ solved[:, :2], atol=1e-4)
+    np.testing.assert_allclose(d["std"], np.sqrt(np.maximum(1 - np.einsum("ij,ji->i", k(q, x), solved[:, 2:]), 0)), atol=1e-3)
+
+
+def test_many_experiments_are_fitted_from_few_points(spark):
+    """What the thinned points miss is below the noise: the scales are those of the dense fit."""
+    rng, noise, bounds = np.random.default_rng(8), 1e-3, ((0.8, 10.0), (0.8, 10.0))
+    x = rng.uniform(0, 2, (300, 2))
+    y = np.stack([np.sin(1.5 * x[:, 0]) * np.cos(x[:, 1])], 1) + np.sqrt(noise) * rng.standard_normal((300, 1))
+    train = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), (v,) in zip(x, y)], "a double, b double, v double").repartition(4)
+    got = processes.fit_process(train, ["v"], (1.0, 1.0), bounds, restarts=4, noise=noise)
+    assert len(got._z) < 200
+    np.testing.assert_allclose(got.scales, dense_fit(x, y, bounds, noise)[0], rtol=1e-3)
+
+
+def test_a_process_without_experiments(spark):
+    cand = spark.createDataFrame([(0, 1.0, 1.0)], "idx int, a double, b double")
+    none = spark.createDataFrame([], "a double, b double, v double")
+    got = processes.fit_process(none, ["v"], (2.0, 3.0), ((1.0, 9.0), (1.0, 9.0)))
+    assert got.scales == (2.0, 3.0) and got.predict(cand).first()[3:] == (0.0, 1.0)
 
 
 def test_overlap_areas_are_exact(spark):

@@ -497,9 +497,3 @@ def next_or_random(scored: DataFrame, used: DataFrame, score: str, seed: int = 4
     free = scored.join(used.select("idx"), "idx", "left_anti").orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(1)
     both = best.withColumn("fallback", F.lit(False)).unionByName(free.withColumn("fallback", F.lit(True)))
     return both.orderBy("fallback").limit(1)
-
-
-def disagreement(candidates: DataFrame, one: DataFrame, two: DataFrame, scales: tuple[float, float]) -> DataFrame:
-    """|deviation from one source - deviation from the other| per candidate."""
-    d = predictive_deviation(predictive_deviation(candidates, one, scales, "s1"), two, scales, "s2")
-    return d.withColumn("gap", F.abs(F.col("s1") - F.col("s2")))

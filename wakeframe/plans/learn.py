@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeframe.functions import arrays
-from wakeframe.operators import contours as rings, filters, grids, learn as ops, modal, series, similarity, tracks as trk
+from wakeframe.operators import contours as rings, filters, grids, learn as ops, modal, processes, series, similarity, tracks as trk
 from wakeframe.plans.filters import BAND, CHUNK
 from wakeframe.plans.modal import snapshots
 from wakeframe.plans.registry import query
@@ -409,25 +409,35 @@ def l16(spark, sf):
     return grid(spark, sf)
 
 
+# Length scales (re, h) from which a fit starts, and their bounds.
+SCALES, SCALE_BOUNDS = (2.0, 8.0), ((0.5, 100.0), (1.0, 1000.0))
+
+
 def experiments(spark, sf, *flags):
-    """Finished experiments (a, b) of the named sources: all their sweep cells."""
-    return sweep(spark, sf).filter(F.col("flag").isin(*flags)).select(F.col("re").alias("a"), F.col("h").alias("b")).distinct()
+    """Finished experiments (a, b) of the named sources with their metrics: all their sweep cells."""
+    d = sweep(spark, sf).filter(F.col("flag").isin(*flags))
+    metrics = similarity.time_of_minimum(d, ["re", "h"], "sensor", "t", "p", floor=-1.0).join(similarity.peak_to_peak(d, ["re", "h"], "sensor", "p"), ["re", "h"])
+    return metrics.select(F.col("re").alias("a"), F.col("h").alias("b"), "f_re", "f_h")
+
+
+def fitted(done):
+    return processes.fit_process(done, ["f_re", "f_h"], SCALES, SCALE_BOUNDS)
 
 
-@query("L15_active_sampling", "idx:i a:6 b:6 std:5 pick:b")
+@query("L15_active_sampling", "idx:i a:6 b:6 mean_f_re:3 mean_f_h:3 std:4 pick:b")
 def l15(spark, sf):
-    """Deviation of every candidate given all experiments, and the next one to try."""
+    """Mean and deviation of every candidate given all experiments, with fitted scales, and the next one to try."""
     done = written(experiments(spark, sf, "A", "N", "R"), "experiments")
-    scored = written(ops.predictive_deviation(grid(spark, sf), done, (2.0, 8.0)), "scored")
+    scored = written(fitted(done).predict(grid(spark, sf)), "scored")
     pick = ops.next_parameters(scored, ops.grid_index(done, bounds(spark, sf), *GRID_SIZE), "std")
     return scored.join(F.broadcast(pick.select("idx", F.lit(True).alias("pick"))), "idx", "left").withColumn("pick", F.coalesce("pick", F.lit(False)))
 
 
-@query("L17_disagreement_pick", "idx:i a:6 b:6 gap:5 fallback:b")
+@query("L17_disagreement_pick", "idx:i a:6 b:6 gap:4 fallback:b")
 def l17(spark, sf):
-    """The candidate on which two sources disagree most; a random one if it was measured already."""
+    """The candidate on which two sources, fitted each, disagree most; a random one if it was measured already."""
     one, two = written(experiments(spark, sf, "A"), "one"), written(experiments(spark, sf, "R"), "two")
-    scored = written(ops.disagreement(grid(spark, sf), one, two, (2.0, 8.0)), "scored")
+    scored = written(processes.fitted_disagreement(grid(spark, sf), fitted(one), fitted(two)), "scored")
     return ops.next_or_random(scored, ops.grid_index(one.unionByName(two), bounds(spark, sf), *GRID_SIZE), "gap")
 
 
@@ -491,7 +501,8 @@ def l13_coverage(spark, sf):
 @query("L15_coverage", "n:i picks:i bad:i", "SELECT 22000 AS n, 1 AS picks, 0 AS bad FROM (SELECT count(*) FROM lineitem)")
 def l15_coverage(spark, sf):
     d = l15(spark, sf)
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if("pick").alias("picks"), outside("std").alias("bad"))
+    known = F.coalesce(F.col("std").between(0, 1), F.lit(False)) & ~F.isnan("mean_f_re") & ~F.isnan("mean_f_h")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if("pick").alias("picks"), F.count_if(~known).alias("bad"))
 
 
 @query("L17_coverage", "n:i bad:i", "SELECT 1 AS n, 0 AS bad FROM (SELECT count(*) FROM lineitem)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeframe.operators.learn import grid_index
-from wakeframe.plans.learn import GRID_SIZE, bounds, grid
+from wakeframe.plans.learn import GRID_SIZE, bounds, fitted, grid
 from wakeframe.plans.registry import query
 from wakeframe.plans.similarity import sweep
 from wakeframe.plans.tracks import LINK, LINKED
@@ -128,18 +128,28 @@ def t08(spark, sf):
     a, b = replay(spark, stamped(spark, sf, "view"), "t08-a"), replay(spark, stamped(spark, sf, "click"), "t08-b")
     return finish(live.paired_feeds(a, b, "user_id", "ts", "1 day", "2 hours"), "t08")
 
-@query("T09_closed_loop", "batch:i idx:i a:4 b:4 std:5 runs:i")
-def t09(spark, sf):
-    """All runs arrive in four parts, each run spread over several of them."""
-    runs = sweep(spark, sf).repartition(4)
+def loop(spark, sf, threshold):
+    """All runs arrive in four parts, each run spread over several of them; the folder of what the loop wrote."""
+    runs = sweep(spark, sf).select("re", "h", "sensor", "p", "t").repartition(4)
     folder, size = scratch(spark, "t09"), GRID_SIZE
     stream = replay(spark, runs, "t09-in", files_per_trigger=1)
     limits = written(bounds(spark, sf), "bounds")
     index = lambda done: grid_index(done, limits, *size)
-    live.closed_loop(stream, written(grid(spark, sf), "grid"), index, folder, (2.0, 8.0), 1e-9, scratch(spark, "t09-state")).awaitTermination()
+    live.closed_loop(stream, written(grid(spark, sf), "grid"), index, folder, fitted, threshold, scratch(spark, "t09-state")).awaitTermination()
+    return folder
+
+@query("T09_closed_loop", "batch:i idx:i a:4 b:4 mean_f_re:3 mean_f_h:3 std:4 runs:i")
+def t09(spark, sf):
+    folder = loop(spark, sf, 1e-9)
     done = live.latest_metrics(spark, folder).agg(F.count(F.lit(1)).alias("runs"))
     return spark.read.parquet(folder + "/next").join(F.broadcast(done))
 
+@query("T09_stopped_loop", "batches:i last:i", sql("", "SELECT 1 AS batches, 0 AS last FROM (SELECT count(*) FROM lineitem)"))
+def t09_stopped(spark, sf):
+    """With a threshold that no deviation reaches the loop is over after its first batch."""
+    folder = loop(spark, sf, 1.5)
+    return spark.read.parquet(folder + "/next").agg(F.count_distinct("batch").alias("batches"), F.max("batch").alias("last"))
+
 @query(
     "T09_coverage",
     "batches:i runs:i bad:i",

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wakeframe.functions.text import lenient_double
-from wakeframe.operators.learn import next_parameters, predictive_deviation
+from wakeframe.operators.learn import next_parameters
 from wakeframe.operators.ordering import index_rows, windowed
+from wakeframe.operators.processes import Process
 from wakeframe.operators.series import force_and_pressure
 from wakeframe.operators.similarity import peak_to_peak, time_of_minimum
 from wakeframe.operators.tracks import Linker
@@ -271,41 +272,50 @@ def window_means(df: DataFrame, key: str, ts: str, value: str, length: str, slid
 # --- closed loop --------------------------------------------------------------------------------
 
 
+def _extremes(batch: DataFrame) -> DataFrame:
+    """The rows of a batch that the metrics of a run can need: first minimum and maximum of each sensor."""
+    row, known = F.struct("p", "t"), F.col("p").isNotNull()
+    ends = F.array(F.min(row), F.min(F.when(known, row)), F.max(F.when(known, row)))
+    return batch.groupBy("re", "h", "sensor").agg(F.filter(F.array_distinct(ends), lambda r: r.isNotNull()).alias("_e")).select("re", "h", "sensor", F.inline("_e"))
+
+
 def closed_loop(
-    feed: DataFrame, candidates: DataFrame, index: Callable[[DataFrame], DataFrame], folder: str, scales: tuple[float, float], threshold: float, checkpoint: str
+    feed: DataFrame, candidates: DataFrame, index: Callable[[DataFrame], DataFrame], folder: str, fit: Callable[[DataFrame], Process], threshold: float, checkpoint: str
 ):
-    """For every batch of new rows: metrics of the runs, refit, next parameters; stops below ``threshold``.
+    """For every batch of new rows: metrics of the runs, refit, next parameters.
 
-    A batch's rows are kept, and the metrics of the runs (re, h) that it touches are made anew from all
-    rows of those runs so far, so a run may arrive in parts. ``index`` maps finished experiments (a, b) to
-    the candidates they stand for. Each batch writes to its own folders: a repeated one replaces its first try.
+    Of a batch only each sensor's first minimum and maximum are kept, and the metrics of the runs (re, h) that it
+    touches are made anew from those, so a run may arrive in parts and no batch reads earlier rows. ``fit`` makes a
+    process of (a, b, f_re, f_h), ``index`` maps finished experiments (a, b) to the candidates they stand for. Once no
+    candidate's deviation reaches ``threshold`` the loop is over: later batches change nothing, also after a restart.
+    Each batch writes to its own folders: a repeated one replaces its first try.
     """
     spark = feed.sparkSession
-    holder: dict = {}
+    chosen = candidates.select("idx", "a", "b").schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        so_far = spark.read.schema(f"{batch.schema.toDDL()}, batch bigint").parquet(f"{folder}/rows").filter(F.col("batch") <= batch_id)
-        touched = so_far.filter(F.col("batch") == batch_id).select("re", "h").distinct()
-        if touched.isEmpty():
+        earlier = spark.read.schema(f"{chosen}, highest double, batch bigint").parquet(f"{folder}/next") if batch_id else None
+        if earlier is not None and not earlier.filter((F.col("batch") < batch_id) & (F.col("highest") < threshold)).isEmpty():
             return
+        _extremes(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        so_far = spark.read.schema("re {re}, h {h}, sensor {sensor}, p {p}, t {t}, batch bigint".format(**dict(batch.dtypes))).parquet(f"{folder}/rows")
+        so_far = so_far.filter(F.col("batch") <= batch_id)
+        touched = so_far.filter(F.col("batch") == batch_id).select("re", "h").distinct()
         whole = written(so_far.drop("batch").join(touched, ["re", "h"], "left_semi"), "touched")
         metrics = time_of_minimum(whole, ["re", "h"], "sensor", "t", "p").join(peak_to_peak(whole, ["re", "h"], "sensor", "p"), ["re", "h"])
         metrics.write.mode("overwrite").parquet(f"{folder}/metrics/batch={batch_id}")
-        done = written(spark.read.parquet(f"{folder}/metrics").filter(F.col("batch") <= batch_id).select(F.col("re").alias("a"), F.col("h").alias("b")).distinct(), "done")
-        scored = written(predictive_deviation(candidates, done, scales), "scored")
-        best = next_parameters(scored, index(done), "std").withColumn("batch", F.lit(batch_id))
+        done = written(latest_metrics(spark, folder, batch_id).withColumnsRenamed({"re": "a", "h": "b"}), "done")
+        scored = written(fit(done).predict(candidates), "scored")
+        highest = scored.agg(F.max("std").alias("highest"))
+        best = next_parameters(scored, index(done.select("a", "b").distinct()), "std").join(F.broadcast(highest))
         best.write.mode("overwrite").parquet(f"{folder}/next/batch={batch_id}")
-        top = spark.read.parquet(f"{folder}/next/batch={batch_id}").agg(F.max("std")).first()[0]
-        if top is not None and top < threshold and "query" in holder:
-            holder["query"].stop()
 
-    holder["query"] = feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    return holder["query"]
+    return feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def latest_metrics(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
     """The metrics of each run as of the last batch that touched it."""
     rows = spark.read.parquet(f"{folder}/metrics")
+    rows = rows if upto is None else rows.filter(F.col("batch") <= upto)
     last = rows.groupBy("re", "h").agg(F.max("batch").alias("batch"))
     return rows.join(last, ["re", "h", "batch"])
