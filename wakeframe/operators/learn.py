@@ -9,10 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -264,21 +262,6 @@ def apply_linear(model: Fitted, df: DataFrame, loss: str) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def search_linear(train: DataFrame, features: Sequence[str] | str, label: str, trials: int, seed: int, parallelism: int = 4):
-    """Seeded log-uniform search of the penalty; returns the tuned model and (reg, error) pairs."""
-    regs = 10 ** np.random.default_rng(seed).uniform(-6, 0, trials)
-    est = LinearRegression(labelCol=label, solver="normal")
-    grid = ParamGridBuilder().addGrid(est.regParam, [float(r) for r in regs]).build()
-    data = _training(train, features, label)
-    own = Features(data, features)
-    tuner = TrainValidationSplit(
-        estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
-        trainRatio=0.8, seed=seed, parallelism=parallelism,
-    )
-    tuned = tuner.fit(own.rows(data, label))
-    return Fitted(own, tuned), [(float(r), float(m)) for r, m in zip(regs, tuned.validationMetrics)]
-
-
 # Depth to which trees grow when no other is asked for: as deep as the library goes.
 FULL_DEPTH = 30
 

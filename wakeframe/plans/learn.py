@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeframe.functions import arrays
-from wakeframe.operators import contours as rings, filters, grids, learn as ops, modal, processes, series, similarity, tracks as trk
+from wakeframe.operators import contours as rings, filters, gradient, grids, learn as ops, modal, processes, series, similarity, tracks as trk
 from wakeframe.plans.filters import BAND, CHUNK
 from wakeframe.plans.modal import snapshots
 from wakeframe.plans.registry import query
@@ -63,15 +63,14 @@ def parted(spark, sf):
     return ops.split_three(vectors(spark, sf), ["vec_id"], 0.7, 0.15, 42)
 
 
-@query("L04_linear_classifier", "vec_id:i loss:s part:s prob:4 pred:i")
+@query("L04_linear_classifier", "vec_id:i loss:s part:s prob:4 pred:i best_epoch:i stop_epoch:i")
 def l04(spark, sf):
-    d = parted(spark, sf)
-    out = None
-    for loss in ("mse", "bce"):
-        model = ops.train_linear(d.filter("part = 'train'"), VEC, "y", loss, 1e-4)
-        scored = ops.apply_linear(model, d, loss).withColumn("loss", F.lit(loss))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """Two linear layers by either loss, stopped early on the validation part, with the weights of the best epoch."""
+    d = written(parted(spark, sf), "parted")
+    settings = [gradient.Setting("mse"), gradient.Setting("bce")]
+    models = gradient.fit_linear(d.filter("part = 'train'"), d.filter("part = 'validate'"), "vec_id", VEC, "y", settings)
+    scored = [m.transform(d).withColumn("loss", F.lit(m.loss)) for m in models]
+    return scored[0].unionByName(scored[1])
 
 
 @query("L05_feature_classifier", "run:i track_id:i part:s prob:4 pred:i")
@@ -85,10 +84,15 @@ def l05(spark, sf):
     return ops.apply_linear(model, scaled, "mse")
 
 
-@query("L06_penalty_search", "trial:i reg:8 mse:6")
+# Bounds of the searched learning rate and weight decay.
+RATES, DECAYS = (1e-4, 1e-1), (1e-6, 1e-2)
+
+
+@query("L06_penalty_search", "trial:i lr:8 decay:8 val_loss:5 best_epoch:i")
 def l06(spark, sf):
-    _, trials = ops.search_linear(parted(spark, sf).filter("part <> 'test'"), VEC, "y", 30, 42)
-    return spark.createDataFrame([(i, r, m) for i, (r, m) in enumerate(trials)], "trial int, reg double, mse double")
+    d = parted(spark, sf).filter("part <> 'test'")
+    trials = gradient.search_linear(d, "vec_id", VEC, "y", F.col("part") == "validate", gradient.Setting("bce"), RATES, DECAYS)
+    return spark.createDataFrame(trials, "trial int, lr double, decay double, val_loss double, best_epoch int")
 
 
 LIN = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -455,7 +459,10 @@ def outside(c, low=0.0, high=1.0):
 
 @query("L04_coverage", "loss:s part:s n:i bad:i", sql("", "SELECT loss, part, n, 0 AS bad FROM parts, (VALUES ('mse'), ('bce')) l(loss)", "cnt AS (SELECT count(*) AS n FROM embeddings)", PARTS))
 def l04_coverage(spark, sf):
-    return l04(spark, sf).groupBy("loss", "part").agg(F.count(F.lit(1)).alias("n"), outside("prob").alias("bad"))
+    """Every row is scored by either loss; a fit ends ``patience`` epochs after its best one, or with its last epoch."""
+    s = gradient.Setting("mse")
+    fair = F.col("prob").between(0, 1) & ((F.col("stop_epoch") == F.col("best_epoch") + s.patience) | (F.col("stop_epoch") == s.epochs)) & (F.col("best_epoch") >= 1)
+    return l04(spark, sf).groupBy("loss", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(fair, F.lit(False))).alias("bad"))
 
 
 @query("L05_coverage", "part:s n:i bad:i", sql("trk", "SELECT part, n, 0 AS bad FROM parts", "cnt AS (SELECT count(*) AS n FROM (SELECT DISTINCT run, track_id FROM trk))", PARTS))
@@ -465,9 +472,9 @@ def l05_coverage(spark, sf):
 
 @query("L06_coverage", "trials:i bad:i", "SELECT 30 AS trials, 0 AS bad")
 def l06_coverage(spark, sf):
-    """Penalties lie in the searched range, and no trial is worse than twice the variance of a fair label."""
-    ok = F.col("reg").between(1e-6, 1.0) & F.col("mse").between(0.0, 0.5)
-    return l06(spark, sf).agg(F.count(F.lit(1)).alias("trials"), F.count_if(~ok).alias("bad"))
+    """Both parameters lie in their ranges, and no trial's best loss is far above that of a coin."""
+    ok = F.col("lr").between(*RATES) & F.col("decay").between(*DECAYS) & F.col("val_loss").between(0.0, 1.5) & (F.col("best_epoch") >= 1)
+    return l06(spark, sf).agg(F.count_distinct("trial").alias("trials"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad"))
 
 
 @query("L08_coverage", "energy:2 n:i bad:i", "SELECT energy, n, 0 AS bad FROM (SELECT count(*) AS n FROM embeddings), (VALUES (0.95), (0.99)) e(energy)")
