@@ -899,3 +899,41 @@ def test_parzen_search_closes_in_on_the_best(spark, labelled):
     run = lambda: gradient.search_linear(d, "item", "v", "y", F.col("item") % 4 == 0, base, (1e-4, 1e-1), (1e-6, 1e-2), trials=13)
     one = run()
     assert one == run() and [t[0] for t in one] == list(range(13))
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 40])
+def test_smoothing_spline_matches_a_dense_solve(n):
+    """Residual on the target, curvatures and values of the dense equations, and no bend at the ends of the range."""
+    rng = np.random.default_rng(n)
+    turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+    v = np.stack([20 * np.cos(turn), 12 * np.sin(turn)], 1) + rng.normal(scale=0.8, size=(n, 2))
+    target, i = float(max(1, n // 4)), np.arange(n)
+    h = np.hypot(*(np.roll(v, -1, 0) - v).T)
+    h = h / h.sum()
+    hats, second = np.zeros((n, n)), np.zeros((n, n))
+    for k in range(n):
+        for a, b, w in ((k, k, h[k - 1] / 3 + h[k] / 3), (k, (k + 1) % n, h[k] / 6), (k, k - 1, h[k - 1] / 6)):
+            hats[a, b] += w
+        for b, w in ((k - 1, 1 / h[k - 1]), (k, -1 / h[k - 1] - 1 / h[k]), ((k + 1) % n, 1 / h[k])):
+            second[k, b] += w
+
+    def dense(penalty):
+        bend = np.linalg.solve(hats + penalty * second @ second.T, second @ v)
+        off = penalty * second.T @ bend
+        return v - off, (off**2).sum()
+
+    low, high = -18.0, 8.0
+    for _ in range(80):
+        mid = 0.5 * (low + high)
+        low, high = (mid, high) if dense(10**mid)[1] < target else (low, mid)
+    want, _ = dense(10**low)
+    x, y, residual = contours.smoothing_spline(v[:, 0], v[:, 1], 9, target)
+    assert abs(residual - target) < 0.01 * target
+    np.testing.assert_allclose([x[0], y[0]], want[0], atol=1e-4)
+    np.testing.assert_allclose([x[-1], y[-1]], want[0], atol=1e-4)
+    # No allowance: the spline through the vertices; more than their spread: their mean.
+    px, py = contours.periodic_spline(v[:, 0], v[:, 1], 9)
+    x, y, residual = contours.smoothing_spline(v[:, 0], v[:, 1], 9, 0.0)
+    np.testing.assert_allclose([x, y], [px, py], atol=1e-8)
+    x, _, residual = contours.smoothing_spline(v[:, 0], v[:, 1], 9, 1e9)
+    assert np.allclose(x, v[:, 0].mean()) and residual < 1e9

@@ -195,6 +195,120 @@ def resample_ring_cubic(ring: Column, count: int) -> Column:
     return run(F.transform(clean, lambda p: p["x"]), F.transform(clean, lambda p: p["y"]))
 
 
+def _ring_system(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Cyclic bands (diagonal, next, next but one) of R and of Q'Q, and the weights of Q', for steps ``h`` around a ring.
+
+    R holds the products of the hat functions, Q' takes second differences: R g = Q' f for values f and curvatures g.
+    """
+    ahead, back = 1 / h, 1 / np.roll(h, 1)
+    mid = -(ahead + back)
+    r = np.stack([(np.roll(h, 1) + h) / 3, h / 6, np.zeros(len(h))])
+    q = np.stack([back**2 + mid**2 + ahead**2, mid * np.roll(back, -1) + ahead * np.roll(mid, -1), ahead * np.roll(back, -2)])
+    return r, q, (ahead, back)
+
+
+def _solve_ring(bands: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solutions (k, n, m) of k symmetric cyclic systems, given by bands (k, 3, n), for right sides (n, m).
+
+    The last two unknowns border a banded matrix, which is factored row by row for all k at once. Rings of fewer
+    than six points, on which bands overlap, are solved as they are.
+    """
+    k, _, n = bands.shape
+    if n < 6:
+        full, i = np.zeros((k, n, n)), np.arange(n)
+        for step in (0, 1, 2):
+            np.add.at(full, (slice(None), i, (i + step) % n), bands[:, step])
+            if step:
+                np.add.at(full, (slice(None), (i + step) % n, i), bands[:, step])
+        return np.linalg.solve(full, np.broadcast_to(rhs, (k, *rhs.shape)))
+    d0, d1, d2 = bands[:, 0], bands[:, 1], bands[:, 2]
+    m = n - 2
+    border = np.zeros((k, m, 2))
+    border[:, m - 2, 0], border[:, m - 1, 0], border[:, 0, 0] = d2[:, m - 2], d1[:, m - 1], d2[:, n - 2]
+    border[:, m - 1, 1], border[:, 0, 1], border[:, 1, 1] = d2[:, m - 1], d1[:, n - 1], d2[:, n - 1]
+    x = np.concatenate([border, np.broadcast_to(rhs[:m], (k, m, rhs.shape[1]))], axis=2)
+    pivot, low1, low2 = np.zeros((k, m)), np.zeros((k, m)), np.zeros((k, m))
+    for i in range(m):
+        pivot[:, i] = d0[:, i]
+        one = d1[:, i].copy()
+        if i:
+            pivot[:, i] -= pivot[:, i - 1] * low1[:, i - 1] ** 2
+            one -= pivot[:, i - 1] * low1[:, i - 1] * low2[:, i - 1]
+            x[:, i] -= low1[:, [i - 1]] * x[:, i - 1]
+        if i > 1:
+            pivot[:, i] -= pivot[:, i - 2] * low2[:, i - 2] ** 2
+            x[:, i] -= low2[:, [i - 2]] * x[:, i - 2]
+        low1[:, i], low2[:, i] = one / pivot[:, i], d2[:, i] / pivot[:, i]
+    for i in range(m - 1, -1, -1):
+        x[:, i] /= pivot[:, [i]]
+        if i < m - 1:
+            x[:, i] -= low1[:, [i]] * x[:, i + 1]
+        if i < m - 2:
+            x[:, i] -= low2[:, [i]] * x[:, i + 2]
+    corner = np.stack([np.stack([d0[:, m], d1[:, m]], 1), np.stack([d1[:, m], d0[:, m + 1]], 1)], 1)
+    turned = border.transpose(0, 2, 1)
+    tail = np.linalg.solve(corner - turned @ x[:, :, :2], rhs[m:] - turned @ x[:, :, 2:])
+    return np.concatenate([x[:, :, 2:] - x[:, :, :2] @ tail, tail], axis=1)
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, count: int, target: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Periodic cubic smoothing spline of a ring over chord length: ``count`` even points (closed) and its residual.
+
+    Of all closed curves whose squared distances to the vertices sum to ``target``, the one of least integrated squared
+    curvature (Reinsch): the penalty is searched in its logarithm, 17 at a time. A target of 0 gives the spline through the
+    vertices, one beyond the vertices' spread about their mean that mean.
+    """
+    v = np.stack([x, y], 1)
+    seg = np.hypot(*(np.roll(v, -1, 0) - v).T)
+    total = float(((v - v.mean(0)) ** 2).sum())
+    if len(v) < 3 or total <= target:
+        return np.full(count, x.mean()), np.full(count, y.mean()), total
+    h = seg / seg.sum()
+    r, q, (ahead, back) = _ring_system(h)
+    second = lambda f: (np.roll(f, -1, -2) - f) * ahead[:, None] - (f - np.roll(f, 1, -2)) * back[:, None]
+    low, high, best = -18.0, 8.0, None
+    for _ in range(7 if target > 0 else 0):
+        tried = np.linspace(low, high, 17)
+        bend = _solve_ring(r + 10 ** tried[:, None, None] * q, second(v))
+        residual = (10 ** (2 * tried)) * (second(bend) ** 2).sum((1, 2))
+        k = int(np.clip(np.searchsorted(residual, target), 1, 16))
+        best = min((k - 1, k), key=lambda j: abs(residual[j] - target))
+        best = (v - 10 ** tried[best] * second(bend[best]), bend[best], float(residual[best]))
+        low, high = tried[k - 1], tried[k]
+    f, g, left = best if best else (v, _solve_ring(r[None], second(v))[0], 0.0)
+    cum = np.concatenate([[0.0], np.cumsum(h)])
+    at = np.linspace(0, cum[-1], count)
+    k = np.clip(np.searchsorted(cum, at, side="right") - 1, 0, len(h) - 1)
+    t, u, w = (at - cum[k])[:, None], (cum[k + 1] - at)[:, None], h[k][:, None]
+    after, turn = np.roll(f, -1, 0)[k], np.roll(g, -1, 0)[k]
+    p = (g[k] * u**3 + turn * t**3) / (6 * w) + (f[k] / w - g[k] * w / 6) * u + (after / w - turn * w / 6) * t
+    return p[:, 0], p[:, 1], left
+
+
+def smooth_ring(ring: Column, count: int, target: float | None = None) -> Column:
+    """STRUCT<points, residual> of a smoothing spline through a ring's distinct vertices, ``count`` points, closed.
+
+    ``target`` is the sum of squared distances that is allowed; without one, a quarter of the points of the closed ring,
+    rounded down. A ring without vertices has no points, one of fewer than three distinct ones is its mean.
+    """
+
+    @F.pandas_udf("struct<points:array<struct<x:double,y:double>>,residual:double>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        points, residuals = [], []
+        for x, y in zip(xs, ys):
+            if x is None or not len(x):
+                points.append([])
+                residuals.append(0.0)
+                continue
+            px, py, left = smoothing_spline(np.asarray(x, float), np.asarray(y, float), count, (len(x) + 1) // 4 if target is None else target)
+            points.append([{"x": a, "y": b} for a, b in zip(px, py)])
+            residuals.append(left)
+        return pd.DataFrame({"points": points, "residual": residuals})
+
+    clean = first_occurrences(ring)
+    return run(F.transform(clean, lambda p: p["x"]), F.transform(clean, lambda p: p["y"]))
+
+
 # --- measures ------------------------------------------------------------------------------
 
 

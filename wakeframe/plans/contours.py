@@ -174,6 +174,28 @@ def q17_start(spark, sf):
     return d.groupBy(*K).agg(F.count(F.lit(1)).alias("n"), first("x"), first("y"))
 
 
+@query("Q17_resample_contour_smooth", KF + "k:i x:4 y:4")
+def q17s(spark, sf):
+    return bumpy(spark, sf).select(*K, F.posexplode(ops.smooth_ring(poly(), 24)["points"]).alias("k", "p")).select(*K, "k", "p.*")
+
+
+@query(
+    "Q17_smooth_residual",
+    KF + "n:i residual:2 closed:b",
+    sql(
+        "fr oct",
+        """SELECT run, frame, 24 AS n, least((count(*) + 1) // 4, sum(pow(x - mx, 2) + pow(y - my, 2))) AS residual, true AS closed
+        FROM (SELECT *, avg(x) OVER (PARTITION BY run, frame) AS mx, avg(y) OVER (PARTITION BY run, frame) AS my FROM bmp) GROUP BY run, frame""",
+        BUMPY,
+    ),
+)
+def q17_residual(spark, sf):
+    """The spline keeps to the residual it was allowed, or to the vertices' spread where that is less, and is closed."""
+    s = bumpy(spark, sf).select(*K, ops.smooth_ring(poly(), 24).alias("s"))
+    first, last = F.get("s.points", F.lit(0)), F.element_at("s.points", -1)
+    return s.select(*K, F.size("s.points").alias("n"), "s.residual", (F.hypot(first["x"] - last["x"], first["y"] - last["y"]) < 1e-6).alias("closed"))
+
+
 @query("A29_perimeter", KF + "perimeter:6", sql("fr oct", "SELECT run, frame, sum(len) AS perimeter FROM bedge GROUP BY run, frame", BUMPY))
 def a29(spark, sf):
     return bumpy(spark, sf).select(*K, geo.perimeter(poly()).alias("perimeter"))
