@@ -937,3 +937,45 @@ def test_smoothing_spline_matches_a_dense_solve(n):
     np.testing.assert_allclose([x, y], [px, py], atol=1e-8)
     x, _, residual = contours.smoothing_spline(v[:, 0], v[:, 1], 9, 1e9)
     assert np.allclose(x, v[:, 0].mean()) and residual < 1e9
+
+
+def test_forest_is_grown_in_pieces(spark):
+    """Nodes above the bound are cut from summed histograms; what tasks get stays below it, and nothing but first cuts is on the driver."""
+    from wakeframe.operators import forest
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 8, (1500, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 7).astype(int) + (x[:, 2] > 5)
+    d = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "_id bigint, x array<double>, y int").repartition(3)
+    made = forest.Forest(d, trees=8, depth=30, seed=1, branch_rows=200)
+    assert made.classes == 3 and all(made.top)
+    assert not any(isinstance(v, np.ndarray) and v.size > 31 for v in made.__dict__.values())
+    sizes = {}
+    for r in made.branches.collect():
+        counts = np.frombuffer(r["counts"]).reshape(-1, 3)
+        sizes.setdefault(r["tree"], []).append(counts[0].sum())
+        assert len(counts) == 1 or counts[0].sum() <= 200
+    drawn = {t: forest.draws(np.arange(1500), t, 1).sum() for t in range(8)}
+    assert {t: sum(s) for t, s in sizes.items()} == drawn
+    assert all(len(s) == len(made.top[t]) + 1 for t, s in sizes.items())
+    got = {r["_id"]: r["p"] for r in made.scores(d.select("_id", "x")).collect()}
+    assert len(got) == 1500 and all(abs(sum(p) - 8) < 1e-9 for p in got.values())
+    assert np.mean([np.argmax(got[i]) == y[i] for i in range(1500)]) > 0.97
+
+
+def test_forest_branch_matches_plain_cuts():
+    """With all features drawn, a branch ends in pure leaves, and its first cut is the best of all."""
+    from wakeframe.operators import forest
+
+    rng = np.random.default_rng(6)
+    b, w = np.unique(rng.integers(0, 12, (400, 3)), axis=0).astype(np.uint8), None
+    y, w = (rng.random(len(b)) < 0.2 + 0.5 * (b[:, 1] > 6)).astype(np.int32), rng.integers(1, 4, len(b)).astype(np.uint8)
+    feature, cut, child, counts = forest.branch(b, y, w, 2, 30, 3, rng)
+    leaf = forest._leaf(feature, cut, child, b)
+    assert (counts[leaf].argmax(1) == y).all() and (np.count_nonzero(counts[feature < 0], axis=1) == 1).all()
+    gini = lambda m: sum((w[m & (y == c)].sum() ** 2) / max(w[m].sum(), 1) for c in (0, 1))
+    best = max((gini(b[:, j] <= k) + gini(b[:, j] > k), j, k) for j in range(3) for k in range(11))
+    assert abs(gini(b[:, feature[0]] <= cut[0]) + gini(b[:, feature[0]] > cut[0]) - best[0]) < 1e-6
+    assert np.bincount(leaf, w, minlength=len(feature))[feature < 0].tolist() == counts[feature < 0].sum(1).tolist()
+    shallow = forest.branch(b, y, w, 2, 2, 3, rng)
+    assert len(shallow[0]) <= 7

@@ -8,12 +8,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeframe.operators.forest import FittedForest, Forest
 from wakeframe.operators.ordering import index_rows
 from wakeframe.session import written
 
@@ -262,15 +263,18 @@ def apply_linear(model: Fitted, df: DataFrame, loss: str) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-# Depth to which trees grow when no other is asked for: as deep as the library goes.
+# Depth to which trees grow when no other is asked for.
 FULL_DEPTH = 30
 
 
-def train_forest(train: DataFrame, features: Sequence[str] | str, label: str, trees: int = 200, depth: int = FULL_DEPTH, seed: int = 42) -> Fitted:
-    est = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-    data = _training(train, features, label)
+def train_forest(train: DataFrame, features: Sequence[str] | str, label: str, trees: int = 200, depth: int = FULL_DEPTH, seed: int = 42, item: str | None = None) -> FittedForest:
+    """A forest grown in pieces (see ``forest``). Rows are drawn by ``item``, or by their place if that is None."""
+    columns = [features] if isinstance(features, str) else list(features)
+    draw = F.monotonically_increasing_id() if item is None else F.xxhash64(item)
+    data = written(train.select(*columns, F.col(label).cast("double").alias("y"), draw.alias("_id")), "training")
     own = Features(data, features)
-    return Fitted(own, est.fit(own.rows(data, label)))
+    rows = written(data.select("_id", vector_to_array(own.vector()).alias("x"), "y"), "rows")
+    return FittedForest(own, Forest(rows, trees, depth, seed))
 
 
 # --- over-sampling ----------------------------------------------------------------------------------

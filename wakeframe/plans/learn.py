@@ -373,7 +373,7 @@ def l10(spark, sf):
 @query("L11_random_forest", "vec_id:i pred:i")
 def l11(spark, sf):
     d = parted(spark, sf)
-    model = ops.train_forest(d.filter("part = 'train'"), VEC, "y", trees=200)
+    model = ops.train_forest(d.filter("part = 'train'"), VEC, "y", trees=200, item="vec_id")
     return model.transform(d.filter("part = 'test'")).withColumn("pred", F.col("prediction"))
 
 
