@@ -979,3 +979,14 @@ def test_forest_branch_matches_plain_cuts():
     assert np.bincount(leaf, w, minlength=len(feature))[feature < 0].tolist() == counts[feature < 0].sum(1).tolist()
     shallow = forest.branch(b, y, w, 2, 2, 3, rng)
     assert len(shallow[0]) <= 7
+
+
+def test_short_track_keeps_its_run(spark):
+    """A recording of six frames is too short for the tail's filter; its Reynolds number and lengths are still told."""
+    ring = lambda f: [(f * 1.0, 0.3 * math.sin(2.1 * f)), (f + 5.0, 0.5 * math.cos(1.7 * f))]
+    rows = [(run, f, ring(f)) for run, n in ((0, 50), (1, 6)) for f in range(n)]
+    d = spark.createDataFrame(rows, "run int, frame int, poly array<struct<x: double, y: double>>")
+    got = {r["run"]: r for r in contours.tailbeat(contours.trajectory_summary(d, 0, 1, 0.004, 100.0), 100.0).collect()}
+    assert set(got) == {0, 1} and got[0]["frequency"] > 0
+    assert got[1]["frequency"] is None and got[1]["strouhal"] is None and got[1]["beats"] is None
+    assert got[1]["reynolds"] > 0 and got[1]["lengths"] == pytest.approx(got[1]["distance"] / got[1]["length"])

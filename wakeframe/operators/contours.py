@@ -461,11 +461,12 @@ def tailbeat(df: DataFrame, fps: float, nu: float = 1e-6) -> DataFrame:
     """Tail-beat frequency, Strouhal and Reynolds numbers from a trajectory summary.
 
     The tail track loses its own low-passed form, the cutoff being the highest
-    frequency of the head track above a tenth of its peak.
+    frequency of the head track above a tenth of its peak. A track too short or too still for that filter
+    has no frequency (NULL, and so the Strouhal number and the beats); its run keeps its other numbers.
     """
     d = df.withColumn("_spec", filters.amplitude_spectrum(F.col("head"), fps))
     d = d.withColumn("_cut", filters.dominant(F.col("_spec"))["cutoff"])
-    d = d.withColumn("_swing", filters.detrend_adaptive(F.col("tail"), F.col("_cut"), fps)).filter("_swing IS NOT NULL")
+    d = d.withColumn("_swing", filters.detrend_adaptive(F.col("tail"), F.col("_cut"), fps))
     d = d.withColumn("_spec", filters.amplitude_spectrum(F.col("_swing"), fps))
     d = d.withColumn("frequency", filters.dominant(F.col("_spec"))["freq"])
     speed = F.nullif(F.col("distance") / F.col("duration"), F.lit(0.0))

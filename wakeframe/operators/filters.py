@@ -161,12 +161,15 @@ def filter_prefixed(df: DataFrame, prefix: str, index: str, b, a, size: int = CH
 
 
 def amplitude_spectrum(col: Column, fs: float) -> Column:
-    """Array of (freq, amp): 2/N |FFT| of the mean-removed series, positive half."""
+    """Array of (freq, amp): 2/N |FFT| of the mean-removed series, positive half; NULL for NULL."""
 
     @F.pandas_udf("array<struct<freq:double,amp:double>>")
     def run(rows: pd.Series) -> pd.Series:
         out = []
         for r in rows:
+            if r is None:
+                out.append(None)
+                continue
             x = np.asarray(r, float)
             n, half = len(x), len(x) // 2
             amp = 2.0 / n * np.abs(np.fft.fft(x - x.mean())[:half]) if n else np.empty(0)
