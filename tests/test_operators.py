@@ -990,3 +990,15 @@ def test_short_track_keeps_its_run(spark):
     assert set(got) == {0, 1} and got[0]["frequency"] > 0
     assert got[1]["frequency"] is None and got[1]["strouhal"] is None and got[1]["beats"] is None
     assert got[1]["reynolds"] > 0 and got[1]["lengths"] == pytest.approx(got[1]["distance"] / got[1]["length"])
+
+
+def test_recording_has_a_bounded_number_of_files(spark):
+    """A long recording is told in no more files, so a replay of some files at a time takes no more batches."""
+    from wakeframe.plans import streams
+
+    sf = scratch(spark, "sf")
+    v = spark.range(600 * 50).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.array(F.lit(0.5), F.col("id").cast("double")).alias("embedding"))
+    v.write.parquet(sf + "/embeddings.parquet")
+    rows = spark.read.text(streams.recorded(spark, sf)).select(F.input_file_name().alias("file"), F.split("value", ",")[0].cast("int").alias("t"))
+    got = rows.agg(F.count(F.lit(1)), F.count_distinct("t"), F.count_distinct("file")).first()
+    assert got[:2] == (30000, 30000) and 128 <= got[2] <= streams.RECORDED_FILES

@@ -42,9 +42,15 @@ def array_lines(spark, sf):
 
 TAIL = "SELECT run * 50 + frame AS timestamp, cell AS k, v[cell + 1] AS p FROM fr, grid WHERE v[1] >= -0.1"
 
+# Files of a recording that are aimed at, and runs in a file at most.
+RECORDED_FILES, FILE_RUNS = 256, 64
+
 def recorded(spark, sf):
-    path = scratch(spark, "live")
-    sinks.write_lines(array_lines(spark, sf), path, ["run"], ["line"])
+    """The lines in text files of whole runs: a file holds the more of them the longer the recording is, up to a bound."""
+    path, lines = scratch(spark, "live"), array_lines(spark, sf)
+    last = lines.agg(F.max("run")).first()[0] or 0
+    runs = min(FILE_RUNS, last // RECORDED_FILES + 1)
+    sinks.write_lines(lines.withColumn("part", F.floor(F.col("run") / runs)), path, ["part"], ["run", "line"])
     return path
 
 @query("T01_tail_csv", "timestamp:i k:i p:6", sql("fr grid", TAIL))
@@ -53,7 +59,7 @@ def t01(spark, sf):
 
 @query("T02_replay_chunks", "timestamp:i k:i p:6", sql("fr grid", TAIL))
 def t02(spark, sf):
-    return finish(live.replay_csv(spark, recorded(spark, sf) + "/run=*", 64, 4), "t02").select("timestamp", F.posexplode("pressures").alias("k", "p"))
+    return finish(live.replay_csv(spark, recorded(spark, sf) + "/part=*", 64, 4), "t02").select("timestamp", F.posexplode("pressures").alias("k", "p"))
 
 BASE = """bse AS (SELECT channel, n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY channel)) / 1e6 AS elapsed, p,
   avg(p) OVER (PARTITION BY channel ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS baseline FROM
