@@ -396,8 +396,12 @@ BOUNDS = "bnd AS (SELECT min(re) AS a_lo, max(re) AS a_hi, min(h) AS b_lo, max(h
 GRID_SIZE = (100, 220)
 
 
+def sweep_bounds(runs):
+    return runs.agg(F.min("re").alias("a_lo"), F.max("re").alias("a_hi"), F.min("h").alias("b_lo"), F.max("h").alias("b_hi"))
+
+
 def bounds(spark, sf):
-    return sweep(spark, sf).agg(F.min("re").alias("a_lo"), F.max("re").alias("a_hi"), F.min("h").alias("b_lo"), F.max("h").alias("b_hi"))
+    return sweep_bounds(sweep(spark, sf))
 
 
 def grid(spark, sf):

@@ -273,10 +273,22 @@ def window_means(df: DataFrame, key: str, ts: str, value: str, length: str, slid
 
 
 def _extremes(batch: DataFrame) -> DataFrame:
-    """The rows of a batch that the metrics of a run can need: first minimum and maximum of each sensor."""
-    row, known = F.struct("p", "t"), F.col("p").isNotNull()
-    ends = F.array(F.min(row), F.min(F.when(known, row)), F.max(F.when(known, row)))
-    return batch.groupBy("re", "h", "sensor").agg(F.filter(F.array_distinct(ends), lambda r: r.isNotNull()).alias("_e")).select("re", "h", "sensor", F.inline("_e"))
+    """The rows of a batch that the metrics of a run can need: first minimum and maximum of each sensor, and its first gap.
+
+    The smallest and largest values come first, then the times of the rows that have them: both are plain hash
+    aggregates, while the minimum of (value, time) pairs would sort a task's rows.
+    """
+    keys = ["re", "h", "sensor"]
+    first = lambda rows: F.when(F.count_if(rows & F.col("t").isNull()) == 0, F.min(F.when(rows, F.col("t"))))
+    gap, low, high = F.col("p").isNull(), F.col("p") == F.col("_low"), F.col("p") == F.col("_high")
+    ends = batch.groupBy(*keys).agg(F.min("p").alias("_low"), F.max("p").alias("_high"), F.count_if(gap).alias("_gaps"), first(gap).alias("_t"))
+    ends = written(ends, "ends")
+    own = ends.select(*[F.col(k).alias("_" + k) for k in keys], "_low", "_high")
+    at = batch.join(own, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]).filter(low | high)
+    edges = at.groupBy(*keys, "_low", "_high").agg(first(low).alias("_first"), F.max(F.when(high, F.col("t"))).alias("_last"))
+    pairs = F.array_distinct(F.array(F.struct(F.col("_low").alias("p"), F.col("_first").alias("t")), F.struct(F.col("_high").alias("p"), F.col("_last").alias("t"))))
+    gaps = ends.filter("_gaps > 0").select(*keys, F.lit(None).cast(dict(batch.dtypes)["p"]).alias("p"), F.col("_t").alias("t"))
+    return edges.select(*keys, F.inline(pairs)).unionByName(gaps)
 
 
 def closed_loop(
